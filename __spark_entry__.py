@@ -28,7 +28,7 @@ from quizlens.operators import rollup as RU  # noqa: E402
 from quizlens.operators import score as SC  # noqa: E402
 from quizlens.plans import oracle as O  # noqa: E402
 from quizlens.plans import reports as RP  # noqa: E402
-from quizlens.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
+from quizlens.session import ensure_checkpoint_dir, scratch_path, spread  # noqa: E402
 from quizlens.sources import io as IO  # noqa: E402
 from quizlens.sources import standins as S  # noqa: E402
 from quizlens.streaming import stream as ST  # noqa: E402
@@ -162,7 +162,7 @@ def q_p15_display_name(spark, sf):
 # --- text -------------------------------------------------------------------------
 
 def _docs_clean(spark, sf):
-    d = S.table(spark, sf, "documents")
+    d = spread(S.table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", TX.clean_text("text").alias("clean_answer"))
 
 
@@ -185,10 +185,9 @@ def q_t4_lemmas(spark, sf):
     documents)."""
     toks = _docs_clean(spark, sf).select(
         "doc_id", TX.remove_stop_words(TX.tokenize("clean_answer")).alias("filtered_tokens"))
-    lexicon = toks.select(F.explode("filtered_tokens").alias("word"))
     table = spark.createDataFrame(sorted(TX.IRREGULAR_NOUNS.items()), "token string, lemma string")
     return LM.lemmatize_rows(toks, "doc_id", "filtered_tokens", "lemmatized",
-                             lemmas=table, lexicon=lexicon).select("doc_id", "lemmatized")
+                             lemmas=table, lexicon="corpus")
 
 
 def q_t5_final_text(spark, sf):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlens.functions import text as TX
-from quizlens.session import small_side
+from quizlens.session import small_side, spread
 
 DICT_MAX_ROWS = 2_000_000
 
@@ -26,10 +26,11 @@ def lemma_dictionary(tokens: DataFrame, lemmas: DataFrame | None = None,
     """(token, lemma) for every distinct token of ``tokens``."""
     distinct = tokens.select(F.col(token).alias("token")).where(F.col("token").isNotNull()).distinct()
     if lexicon is not None:
-        lex = lexicon.select(F.col(lexicon.columns[0]).alias("form")).distinct()
+        lex = lexicon.select(F.col(lexicon.columns[0]).alias("form")).where(
+            F.col("form").isNotNull()).distinct()
         cands = distinct.select("token", F.explode(TX.rule_candidates(F.col("token"))).alias("c"))
         cands = cands.select("token", F.col("c.idx").alias("idx"), F.col("c.form").alias("form"))
-        ok = cands.join(small_side(lex, DICT_MAX_ROWS), "form", "left_semi")
+        ok = cands.join(lex, "form", "left_semi")
         best = ok.groupBy("token").agg(
             F.min_by("form", F.struct(F.length("form"), F.col("idx"))).alias("rule_lemma"))
         d = distinct.join(best, "token", "left")
@@ -38,22 +39,35 @@ def lemma_dictionary(tokens: DataFrame, lemmas: DataFrame | None = None,
     if lemmas is not None:
         lt = lemmas.select(F.col(lemmas.columns[0]).alias("token"),
                            F.col(lemmas.columns[1]).alias("table_lemma"))
-        d = d.join(small_side(lt, DICT_MAX_ROWS), "token", "left")
+        d = d.join(lt, "token", "left")
     else:
         d = d.withColumn("table_lemma", F.lit(None).cast("string"))
     return d.select("token", F.coalesce("table_lemma", "rule_lemma", "token").alias("lemma"))
 
 
 def lemmatize_rows(df: DataFrame, key: str, tokens_col: str, out: str,
-                   lemmas: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
-    """Add ``out``: the lemmas of ``tokens_col`` in order, for every row of df
-    (``key`` must be unique). Only (key, position, token) rows are exploded;
-    the wide row is joined back once."""
-    pos = df.select(key, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    d = lemma_dictionary(pos, lemmas, lexicon)
-    lem = (pos.join(small_side(d, DICT_MAX_ROWS), "token", "left")
-           .groupBy(key)
-           .agg(F.sort_array(F.collect_list(
-               F.when(F.col("pos").isNotNull(), F.struct("pos", F.col("lemma"))))).alias("_l"))
-           .select(key, F.col("_l.lemma").alias(out)))
-    return df.join(lem, key, "left")
+                   lemmas: DataFrame | None = None, lexicon: DataFrame | str | None = None,
+                   materialize: bool = True) -> DataFrame:
+    """(key, out): the lemmas of ``tokens_col`` in order for every row of df
+    (``key`` must be unique). ``lexicon='corpus'`` takes the tokens of df
+    themselves as the lexicon.
+
+    The (key, tokens) pairs are written once (checkpoint) because three
+    branches read them: the lexicon, the dictionary and the positions; the
+    cleaning upstream then runs once. The dictionary is built on distinct
+    tokens and only its changed entries (lemma != token) are joined to the
+    positions, broadcast when their checked size allows, else shuffled.
+    """
+    base = spread(df.select(key, tokens_col))
+    if materialize:
+        base = base.checkpoint()
+    pos = base.select(key, F.posexplode_outer(tokens_col).alias("pos", "token"))
+    lex = pos.select(F.col("token").alias("form")) if isinstance(lexicon, str) else lexicon
+    d = lemma_dictionary(pos, lemmas, lex)
+    changes = d.where(F.col("lemma") != F.col("token")).checkpoint()
+    return (pos.join(small_side(changes, DICT_MAX_ROWS), "token", "left")
+            .groupBy(key)
+            .agg(F.sort_array(F.collect_list(
+                F.when(F.col("pos").isNotNull(),
+                       F.struct("pos", F.coalesce("lemma", "token").alias("lemma"))))).alias("_l"))
+            .select(key, F.col("_l.lemma").alias(out)))

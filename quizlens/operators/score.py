@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from quizlens.functions import text as TX
 from quizlens.functions.rounding import py_round1
 from quizlens.functions.vectors import similarity_score
-from quizlens.session import small_side
+from quizlens.session import small_side, spread
 
 BANK_MAX_ROWS = 1_000_000  # broadcast the bank only below this many rows
 
@@ -80,14 +80,14 @@ def embed_texts(df: DataFrame, text_col: str, out: str = "embedding", dim: int =
     Arrow batches."""
     if embedder is not None:
         return df.withColumn(out, embedder(F.col(text_col)))
-    t = df.withColumn("_tok", TX.tokenize(TX.clean_text(text_col)))
+    t = spread(df).withColumn("_tok", TX.tokenize(TX.clean_text(text_col)))
     return hashed_term_vectors(t, "_tok", out, dim).drop("_tok")
 
 
 # --- V3 ---------------------------------------------------------------------------
 
 def _term_counts(df: DataFrame, keys: list[str], text_col: str, side: str) -> DataFrame:
-    tok = df.select(*keys, F.explode(TX.tokenize(TX.clean_text(text_col))).alias("token"))
+    tok = spread(df).select(*keys, F.explode(TX.tokenize(TX.clean_text(text_col))).alias("token"))
     return tok.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias(side))
 
 
@@ -105,6 +105,7 @@ def text_cosine(pairs: DataFrame, keys: list[str], a_col: str, b_col: str,
     partially-aggregated group-by, so no token list is ever joined to another;
     the per-pair sums are a second, small group-by.
     """
+    pairs = spread(pairs)
     a = pairs.select(*keys, F.explode(TX.tokenize(TX.clean_text(a_col))).alias("token"),
                      F.lit(1).alias("_a"), F.lit(0).alias("_b"))
     b = pairs.select(*keys, F.explode(TX.tokenize(TX.clean_text(b_col))).alias("token"),

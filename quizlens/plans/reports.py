@@ -16,6 +16,7 @@ from quizlens.functions import text as TX
 from quizlens.functions.rounding import UNITS, py_round1
 from quizlens.operators import rank, rollup
 from quizlens.operators.score import join_bank
+from quizlens.session import spread
 
 
 # --- R2 -------------------------------------------------------------------------
@@ -151,7 +152,7 @@ def clean_question_set(qs: DataFrame, text_col: str = "ideal_answer",
                        exceptions: dict[str, str] | None = None) -> DataFrame:
     """The whole cleaning notebook as one narrow stage of native
     expressions: clean, tokens, filtered tokens, lemmas, final text."""
-    return (qs.withColumn("clean_answer", TX.clean_text(text_col))
+    return (spread(qs).withColumn("clean_answer", TX.clean_text(text_col))
             .withColumn("tokens", TX.tokenize("clean_answer"))
             .withColumn("filtered_tokens", TX.remove_stop_words("tokens", stop_words))
             .withColumn("lemmatized", TX.lemmatize("filtered_tokens", exceptions))

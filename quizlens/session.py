@@ -70,3 +70,19 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Mark df for broadcast only when its row count is proven below the
     bound; otherwise return it unchanged so Catalyst shuffles both sides."""
     return F.broadcast(df) if has_at_most(df, max_rows) else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy per-row work (regex cleaning of whole texts) at least
+    as many partitions as the cluster has cores.
+
+    A scan yields one task per file split / row group; a many-file input on
+    a cluster already has far more partitions than cores, and then this is a
+    no-op. Only an input with fewer splits than cores (one large row group)
+    is spread by a round-robin repartition before the expensive expressions.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
