@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quizlens.session import small_side
 from quizlens.sources import schemas
 
+NULL_TOKEN = "\\N"  # CSV text of a null, so that an empty string stays empty
 _ROW_BITS = 33  # monotonically_increasing_id: partition index << 33 | row
 
 
@@ -69,13 +70,14 @@ def write_clean_csv(df: DataFrame, path: str) -> None:
             else F.col(f.name) for f in df.schema.fields]
     (df.select(*cols).write.mode("overwrite")
      .option("header", True).option("escape", '"').option("emptyValue", '""')
-     .csv(path))
+     .option("nullValue", NULL_TOKEN).csv(path))
 
 
 def read_clean_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     schema = ", ".join(f"`{c}` string" for c in columns)
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("emptyValue", "").csv(path))
+            .option("escape", '"').option("emptyValue", "").option("nullValue", NULL_TOKEN)
+            .csv(path))
 
 
 def max_id(existing: DataFrame, id_col: str) -> DataFrame:
@@ -97,15 +99,13 @@ def assign_ids(df: DataFrame, existing: DataFrame, id_col: str, order_cols: list
     ordered = ordered.withColumn("_part", F.shiftright("_mid", _ROW_BITS)) \
                      .withColumn("_pos", F.col("_mid").bitwiseAND((1 << _ROW_BITS) - 1))
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_part",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    # The one-row maximum is attached to the per-partition offsets (one row
-    # per partition, so bounded), and that small table is broadcast.
-    base = max_id(existing, id_col).withColumn("_k", F.lit(1))
-    starts = (offsets.withColumn("_k", F.lit(1)).join(base, "_k")
-              .select("_part", (F.col("max_id") + F.col("_off")).alias("_start")))
+    # The current maximum enters as partition -1, so one prefix sum over the
+    # (few) partition counts gives each partition its first id minus one.
+    base = max_id(existing, id_col).select(F.lit(-1).cast("bigint").alias("_part"),
+                                           F.col("max_id").alias("_n"))
+    starts = base.unionByName(counts).select(
+        "_part", F.sum("_n").over(Window.orderBy("_part").rowsBetween(
+            Window.unboundedPreceding, -1)).alias("_start")).where(F.col("_part") >= 0)
     return (ordered.join(F.broadcast(starts), "_part")
             .withColumn(out_col, F.col("_start") + F.col("_pos") + 1)
             .drop("_mid", "_part", "_pos", "_start"))
