@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quizlens.functions import labels
 from quizlens.functions.rounding import py_round1
+from quizlens.sources.io import global_rank
 
 
 def latest_sessions(sessions: DataFrame, k: int = 10, user: str = "user_id",
@@ -55,15 +56,27 @@ def first_questions(questions: DataFrame, k: int = 10, category: str = "category
     return questions.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
+def grouped_positions(df: DataFrame, group: str, order_cols: list[str],
+                      out: str = "ordinal") -> DataFrame:
+    """1-based position of each row inside its group, the group size and a
+    last-row flag, without a per-group window: a global rank over (group,
+    order) (range-partitioned, so a hot group spans many tasks), then the
+    first rank and the size of each group by a partial aggregate, joined back
+    (AQE splits a hot group in that join)."""
+    r = global_rank(df, [group] + order_cols, out="_grank")
+    g = r.groupBy(group).agg(F.min("_grank").alias("_g0"), F.count(F.lit(1)).alias("n_in_group"))
+    return (r.join(g, group)
+            .withColumn(out, F.col("_grank") - F.col("_g0") + 1)
+            .withColumn("is_last", F.col(out) == F.col("n_in_group"))
+            .drop("_grank", "_g0"))
+
+
 def question_positions(answers: DataFrame, session: str = "session_id",
                        ts: str = "answered_at", key: str = "answer_id") -> DataFrame:
     """W4 + W5 + P14: 1-based ordinal of each answer in its session, the
     last-question flag, and the progress shown before it (index / n)."""
-    w = Window.partitionBy(session).orderBy(ts, key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(session))
-    return (answers.withColumn("ordinal", F.row_number().over(w))
-            .withColumn("is_last", F.lead(key).over(w).isNull())
-            .withColumn("n_in_session", n)
+    p = grouped_positions(answers, session, [ts, key])
+    return (p.withColumnRenamed("n_in_group", "n_in_session")
             .withColumn("progress_pct", labels.progress_pct(F.col("ordinal") - 1, F.col("n_in_session"))))
 
 

@@ -80,14 +80,14 @@ def categories_tried(sessions: DataFrame, user: str = "user_id",
 def dedupe_submissions(answers: DataFrame, session: str = "session_id",
                        question: str = "question_id", ts: str = "answered_at",
                        key: str = "answer_id") -> DataFrame:
-    """Keep the first submission of each (session, question). The window is
-    partitioned by session only, so a following group-by on the session
-    reuses its shuffle."""
-    w = Window.partitionBy(session).orderBy(question, ts, key)
-    prev = F.lag(question).over(w)
-    first = F.row_number().over(w) == 1
-    return (answers.withColumn("_keep", first | ~F.equal_null(prev, F.col(question)))
-            .where("_keep").drop("_keep"))
+    """Keep the first submission (by time, then id) of each (session,
+    question). ``min_by`` over a struct is partially aggregated, so a flood of
+    re-posts of one key collapses on the map side instead of in one task."""
+    others = [c for c in answers.columns if c not in (session, question)]
+    first = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(F.col(ts), F.col(key)))
+    agg = answers.groupBy(session, question).agg(first.alias("_r"))
+    return agg.select(*[F.col(c) if c in (session, question) else F.col(f"_r.{c}").alias(c)
+                        for c in answers.columns])
 
 
 def session_scores(answers: DataFrame, skipped: str = "exclude", session: str = "session_id",

@@ -85,32 +85,44 @@ def max_id(existing: DataFrame, id_col: str) -> DataFrame:
     return existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint").alias("max_id"))
 
 
-def assign_ids(df: DataFrame, existing: DataFrame, id_col: str, order_cols: list[str],
-               out_col: str | None = None) -> DataFrame:
-    """Serial ids for new rows, continuing above the current maximum, in the
-    order of ``order_cols`` (which must be unique).
-
-    No single-partition window over all rows: the rows are range-sorted, each
-    partition counts its rows, a prefix sum over the (few) partition counts
-    gives each partition's offset, and a row's id is offset + its position.
+def global_rank(df: DataFrame, order_cols: list, base: DataFrame | None = None,
+                out: str = "_grank") -> DataFrame:
+    """0-based rank of every row in the order of ``order_cols`` (which must be
+    unique), plus the single value of ``base`` (one row, column ``_n``) if
+    given.
+
+    No single-partition window over all rows: the rows are range-sorted (a
+    hot key is split by the range bounds), each partition counts its rows, a
+    prefix sum over the few partition counts gives each partition's start,
+    and a row's rank is start + its position. The rank is deterministic, so
+    a lost task recomputes the same values.
     """
-    out_col = out_col or id_col
     ordered = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
     ordered = ordered.withColumn("_part", F.shiftright("_mid", _ROW_BITS)) \
                      .withColumn("_pos", F.col("_mid").bitwiseAND((1 << _ROW_BITS) - 1))
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # The current maximum enters as partition -1, so one prefix sum over the
-    # (few) partition counts gives each partition its first id minus one.
-    base = max_id(existing, id_col).select(F.lit(-1).cast("bigint").alias("_part"),
-                                           F.col("max_id").alias("_n"))
-    starts = base.unionByName(counts).select(
-        "_part", F.sum("_n").over(Window.orderBy("_part").rowsBetween(
-            Window.unboundedPreceding, -1)).alias("_start")).where(F.col("_part") >= 0)
+    if base is not None:
+        counts = base.select(F.lit(-1).cast("bigint").alias("_part"), F.col("_n")).unionByName(counts)
+    starts = counts.select(
+        "_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("_start")).where(F.col("_part") >= 0)
+    # one row per partition: a bounded broadcast
     return (ordered.join(F.broadcast(starts), "_part")
-            .withColumn(out_col, F.col("_start") + F.col("_pos") + 1)
+            .withColumn(out, F.col("_start") + F.col("_pos"))
             .drop("_mid", "_part", "_pos", "_start"))
 
 
+def assign_ids(df: DataFrame, existing: DataFrame, id_col: str, order_cols: list[str],
+               out_col: str | None = None) -> DataFrame:
+    """Serial ids for new rows, continuing above the current maximum, in the
+    order of ``order_cols`` (which must be unique): the current maximum
+    enters the rank as a base, so id = max + rank + 1."""
+    out_col = out_col or id_col
+    base = max_id(existing, id_col).select(F.col("max_id").alias("_n"))
+    r = global_rank(df, order_cols, base=base, out="_grank")
+    return r.withColumn(out_col, F.col("_grank") + 1).drop("_grank")
+
+
 def append_rows(existing: DataFrame, new_rows: DataFrame, table: str,
                 fill_timestamp: bool = True) -> DataFrame:
     """INSERT with column defaults: new rows may lack defaulted columns."""

@@ -2,7 +2,7 @@
 
 Each function reads one parquet table of a scale-factor folder and renames,
 casts or derives columns so it has the shape of one of our tables. All
-derivations are per-row expressions (or a per-conversation window), so the
+derivations are per-row expressions (or an equi-join of turns), so the
 work grows with the tables and nothing is sampled or cut.
 
 | ours | from | rule |
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SESSION_DAY_FACTOR = 100_000  # session id = user_id * 100000 + days since 1970
@@ -96,15 +96,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, user_text, ideal_text): a user turn and the assistant
-    turn that follows it. The window is per conversation (a few turns)."""
+    turn right after it (turn + 1). An equi-join on (conversation, turn), so
+    a long conversation is spread by its turns, not gathered in one task."""
     c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = c.select("conv_id", "turn", "role", "text",
-                   F.lead("role").over(w).alias("next_role"),
-                   F.lead("text").over(w).alias("next_text"))
-    return (nxt.where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-            .select("conv_id", "turn", F.col("text").alias("user_text"),
-                    F.col("next_text").alias("ideal_text")))
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("user_text"))
+    a = c.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ideal_text"))
+    return u.join(a, ["conv_id", "turn"])
 
 
 def question_set(spark: SparkSession, sf_dir: str) -> DataFrame:
