@@ -83,6 +83,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
+    # After a shuffle the data already has shuffle-level parallelism, and
+    # asking an adaptive plan for its partitions would run its stages: only
+    # a plan without an exchange (a scan and narrow steps) is inspected.
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
