@@ -185,7 +185,9 @@ def close_sessions(answers: DataFrame, state: DataFrame | None = None,
     """Submissions -> sessions -> performance in one batch: dedupe,
     session scores, then the smoothed per-(user, category) score continued
     from ``state`` (user_id, category, average_score) when given."""
-    sess = session_rows(answers, skipped)
+    # Session rows are two shuffles deep and read twice (key statistics and
+    # the fold): written once to the shared checkpoint folder.
+    sess = session_rows(answers, skipped).checkpoint()
     keys = ["user_id", "category"]
     if state is None:
         res = rollup.smoothed_scores(sess, keys, "interview_date", "session_id", "overall_score",

@@ -23,11 +23,15 @@ from quizlens.session import scratch_path
 from quizlens.sources import standins as S
 
 
-def read_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """A file stream over one table of a folder of parquet tables."""
+def read_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1,
+                parts_dir: str | None = None) -> DataFrame:
+    """A file stream over one table of a folder of parquet tables, or over
+    ``parts_dir`` holding the table's files (one micro-batch per file)."""
     schema = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if parts_dir is not None:
+        return r.parquet(parts_dir)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _run(df: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> str:
@@ -102,10 +106,11 @@ def _smooth_state(key, pdfs, state):
                         "smoothed_score": [s], "n": [n]})
 
 
-def stream_smoothed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_smoothed_scores(spark: SparkSession, sf_dir: str,
+                           parts_dir: str | None = None) -> DataFrame:
     """ST3: the smoothed per-category score as keyed state. Equal to the batch
     fold when rows arrive in time order; a late row is applied on arrival."""
-    s = read_stream(spark, sf_dir, "events").select(
+    s = read_stream(spark, sf_dir, "events", parts_dir=parts_dir).select(
         F.col("event_id").alias("id"), "user_id", F.col("ts").alias("interview_date"),
         F.col("event_type").alias("category"), S.score_of("value").alias("overall_score"))
     out = s.groupBy("user_id", "category").applyInPandasWithState(
