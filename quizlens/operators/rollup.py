@@ -20,6 +20,9 @@ from quizlens.session import small_side
 # Rows of one key folded in one task. A key with more rows is cut into time
 # slices of about this many rows.
 CHUNK_ROWS = 1_000_000
+# States of the 0.1 grid a slice's transfer map starts from: scores in
+# [-100, 100] need 2,001; a wider range is refused rather than guessed.
+MAX_STATES = 200_000
 
 
 # --- A1, A2, A3 ----------------------------------------------------------------
@@ -134,7 +137,9 @@ def _transfer(items: Column, lo10: Column, hi10: Column) -> Column:
     distances each step, so the map is kept as breakpoints
     array<struct<lo, out>> (out for every state >= lo) with equal neighbours
     merged. It shrinks to one or two entries within a dozen rows."""
-    init = F.transform(F.sequence(lo10, hi10),
+    span = F.when(hi10 - lo10 <= MAX_STATES, hi10).otherwise(
+        F.raise_error(F.lit("smoothed score: score range too wide for the state grid")).cast("bigint"))
+    init = F.transform(F.sequence(lo10, span),
                        lambda k: F.struct((k / 10.0).alias("lo"), (k / 10.0).alias("out"),
                                           F.lit(True).alias("keep")))
 

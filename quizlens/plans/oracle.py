@@ -96,7 +96,7 @@ SESSIONS = ("SELECT event_id AS id, user_id, ts AS interview_date, event_type AS
             "FROM events")
 ANSWERS = ("SELECT event_id AS answer_id, "
            "user_id * 100000 + (CAST(ts AS DATE) - DATE '1970-01-01') AS session_id, user_id, "
-           "CAST(json_extract_string(props, '$.k') AS BIGINT) AS question_id, "
+           "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS question_id, "
            "CASE WHEN event_type = 'error' THEN '' ELSE props END AS user_answer, "
            "least(value, 100.0::DOUBLE) AS score, ts AS answered_at, event_type AS category "
            "FROM events")

@@ -16,6 +16,22 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 1_000_000
 
 
+# Settings for a large cluster (about 100 TB of input). They are advice for
+# the job's submitter, not applied by the library: a session owns its config.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # an initial shuffle width that AQE coalesces down: ~100 TB / 256 MB
+    "spark.sql.shuffle.partitions": "400000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    "spark.sql.session.timeZone": "UTC",
+    # spark.checkpoint.dir: a shared folder (HDFS/object store) of the cluster
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "quizlens") -> SparkSession:
     """A local session as used in tests and the bench. On a cluster the

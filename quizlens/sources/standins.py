@@ -52,7 +52,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("answer_id"),
         (F.col("user_id") * SESSION_DAY_FACTOR + F.unix_date(F.to_date("ts"))).alias("session_id"),
         "user_id",
-        F.get_json_object("props", "$.k").cast("bigint").alias("question_id"),
+        F.get_json_object("props", "$.k").try_cast("bigint").alias("question_id"),
         F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("props")).alias("user_answer"),
         score_of("value").alias("score"),
         F.col("ts").alias("answered_at"),

@@ -132,7 +132,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str, delay: str = "1 day") -> Dat
         return e.select(
             F.col("event_id").alias("answer_id"),
             (F.col("user_id") * S.SESSION_DAY_FACTOR + F.unix_date(F.to_date("ts"))).alias("session_id"),
-            F.get_json_object("props", "$.k").cast("bigint").alias("question_id"),
+            F.get_json_object("props", "$.k").try_cast("bigint").alias("question_id"),
             F.col("ts").cast("timestamp").alias("_wm"))
     both = answers().unionByName(answers())
     dedup = both.withWatermark("_wm", delay).dropDuplicatesWithinWatermark(["answer_id"])
