@@ -63,6 +63,18 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
+def read_sessions_between(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """Sessions with start <= interview_date < end. The month predicate on
+    the partition column prunes whole folders before any file is opened; the
+    exact bound is then pushed into the parquet scan."""
+    df = spark.read.parquet(path)
+    lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    months = (F.col("month") >= F.date_format(lo, "yyyy-MM")) & (F.col("month") <= F.date_format(hi, "yyyy-MM"))
+    rows = df.where(months & (F.col("interview_date") >= lo) & (F.col("interview_date") < hi))
+    schema = schemas.TABLES["interview_session"]
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+
 def write_clean_csv(df: DataFrame, path: str) -> None:
     """CSV with a header and no index; array columns go out as JSON text
     (CSV cannot hold arrays)."""

@@ -103,3 +103,16 @@ def test_filter_and_columns_pushed_to_scan(spark):
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "avg_score" in df.columns
+
+
+def test_sessions_partition_pruning(spark):
+    from quizlens.sources import standins as S
+    path = scratch_path(spark, "sessions-by-month")
+    sess = S.sessions(spark, SF_SMALL)
+    IO.write_table(sess, path, "interview_session")
+    got = IO.read_sessions_between(spark, path, "2024-01-10 00:00:00", "2024-01-12 00:00:00")
+    plan = _plan(got)
+    assert "PartitionFilters: [isnotnull(month" in plan and "PushedFilters" in plan
+    want = sess.where("interview_date >= '2024-01-10' AND interview_date < '2024-01-12'") \
+               .select(*got.columns)
+    assert got.count() > 0 and sorted(got.collect()) == sorted(want.collect())
