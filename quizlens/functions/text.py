@@ -19,6 +19,11 @@ WS = (r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 URL_RE = rf"(http|www)[^{WS}]+"
 NON_WORD_RE = rf"[^a-zA-Z0-9{WS}]"
 SPACE_RE = rf"[{WS}]+"
+# The same white space minus the ASCII part [\t\n\f\r ]: mapped to a blank
+# first (a per-character lookup), so the three regexes only test ASCII.
+OTHER_SPACES = ("\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+                "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                "\u2028\u2029\u202f\u205f\u3000")
 
 # Contractions the Treebank word tokenizer splits that can survive cleaning
 # (all others contain an apostrophe, which cleaning deletes).
@@ -82,9 +87,10 @@ def clean_text(text) -> Column:
     """null -> ''; lower; drop URLs; drop all but ASCII letters, digits and
     white space; collapse white space; trim."""
     t = F.lower(F.coalesce(_c(text), F.lit("")))
-    t = F.regexp_replace(t, URL_RE, "")
-    t = F.regexp_replace(t, NON_WORD_RE, "")
-    t = F.regexp_replace(t, SPACE_RE, " ")
+    t = F.translate(t, OTHER_SPACES, " " * len(OTHER_SPACES))
+    t = F.regexp_replace(t, r"(http|www)[^\t\n\f\r ]+", "")
+    t = F.regexp_replace(t, r"[^a-zA-Z0-9\t\n\f\r ]+", "")
+    t = F.regexp_replace(t, r"[\t\n\f\r ]+", " ")
     return F.trim(t)
 
 
