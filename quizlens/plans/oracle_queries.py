@@ -137,7 +137,7 @@ ORACLE["t8_strip_answer"] = ("SELECT conv_id, turn, trim(coalesce(text, '')) AS
 ORACLE["j1_answer_question"] = (
     with_(a=ANSWERS, q=QUESTIONS) +
     f"SELECT a.answer_id, a.question_id, {preview('q.question_text', 60)} AS question_preview, "
-    f"length(q.ideal_answer) AS ideal_chars FROM a LEFT JOIN q ON a.question_id = q.id")
+    f"CAST(length(q.ideal_answer) AS INTEGER) AS ideal_chars FROM a LEFT JOIN q ON a.question_id = q.id")
 ORACLE["j2_link_accounts"] = (
     with_(a=ACCOUNTS, u=f"SELECT * FROM ({USERS}) WHERE c_mktsegment <> 'AUTOMOBILE'") +
     "SELECT a.id AS account_id, u.id AS user_id, lower(trim(a.email)) AS email FROM a "
@@ -166,16 +166,16 @@ ORACLE["j6_audit"] = (
     "(SELECT count(*) AS n FROM orders GROUP BY o_orderkey HAVING count(*) > 1) "
     "UNION ALL SELECT 'lineitem_pk', CAST(coalesce(sum(n), 0) AS BIGINT) FROM "
     "(SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) "
-    "UNION ALL SELECT 'lineitem_orders_fk', count(*) FROM lineitem WHERE l_orderkey IS NOT NULL AND "
+    "UNION ALL SELECT 'lineitem_orders_fk', CAST(count(*) AS BIGINT) FROM lineitem WHERE l_orderkey IS NOT NULL AND "
     "l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL) "
-    "UNION ALL SELECT 'orders_customer_fk', count(*) FROM orders WHERE o_custkey IS NOT NULL AND "
+    "UNION ALL SELECT 'orders_customer_fk', CAST(count(*) AS BIGINT) FROM orders WHERE o_custkey IS NOT NULL AND "
     "o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL) "
-    "UNION ALL SELECT 'sessions_users_fk', count(*) FROM events WHERE user_id IS NOT NULL AND "
+    "UNION ALL SELECT 'sessions_users_fk', CAST(count(*) AS BIGINT) FROM events WHERE user_id IS NOT NULL AND "
     "user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL) "
-    "UNION ALL SELECT 'users_without_sessions', count(*) FROM customer WHERE c_custkey IS NOT NULL AND "
+    "UNION ALL SELECT 'users_without_sessions', CAST(count(*) AS BIGINT) FROM customer WHERE c_custkey IS NOT NULL AND "
     "c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) "
-    f"UNION ALL SELECT 'ideal_answer_len', count_if(length(ideal_answer) > 5000) FROM ({QUESTIONS}) "
-    f"UNION ALL SELECT 'question_text_len', count_if(length(question_text) > 2000) FROM ({QUESTIONS})")
+    f"UNION ALL SELECT 'ideal_answer_len', CAST(count_if(length(ideal_answer) > 5000) AS BIGINT) FROM ({QUESTIONS}) "
+    f"UNION ALL SELECT 'question_text_len', CAST(count_if(length(question_text) > 2000) AS BIGINT) FROM ({QUESTIONS})")
 
 # --- scoring ----------------------------------------------------------------------
 _VCOS = ("CASE WHEN len(a) > 0 AND len(b) > 0 AND na > 0 AND nb > 0 THEN dot / (sqrt(na) * sqrt(nb)) "
@@ -248,7 +248,7 @@ ORACLE["a8_session_counts"] = (
 
 # --- windows ----------------------------------------------------------------------
 ORACLE["w1_latest_sessions"] = (
-    f"SELECT user_id, id, rn, overall_score FROM (SELECT *, row_number() OVER (PARTITION BY user_id "
+    f"SELECT user_id, id, CAST(rn AS INTEGER) AS rn, overall_score FROM (SELECT *, row_number() OVER (PARTITION BY user_id "
     f"ORDER BY interview_date DESC, id DESC) AS rn FROM ({SESSIONS})) WHERE rn <= 10")
 ORACLE["w2_trend"] = (
     f"SELECT user_id, list(strftime(interview_date, '%b %d') ORDER BY interview_date, id) AS chart_labels, "
@@ -256,7 +256,7 @@ ORACLE["w2_trend"] = (
     f"SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY interview_date, id) AS rn FROM ({SESSIONS})) "
     f"WHERE rn <= 20 GROUP BY user_id")
 ORACLE["w3_first_questions"] = (
-    f"SELECT id, category, rn FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS rn "
+    f"SELECT id, category, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS rn "
     f"FROM ({QUESTIONS})) WHERE rn <= 10")
 ORACLE["w4_ordinal"] = (f"SELECT answer_id, session_id, row_number() OVER (PARTITION BY session_id "
                         f"ORDER BY answered_at, answer_id) AS ordinal FROM ({ANSWERS})")
@@ -265,8 +265,8 @@ ORACLE["w5_last_flag"] = (f"SELECT answer_id, lead(answer_id) OVER (PARTITION BY
 ORACLE["w6_user_latest"] = (f"SELECT id, interview_date, overall_score FROM ({SESSIONS}) WHERE user_id = 7 "
                             f"ORDER BY interview_date DESC, id DESC LIMIT 10")
 ORACLE["w7_category_rank"] = (
-    f"SELECT user_id, category, row_number() OVER (PARTITION BY user_id ORDER BY avg DESC NULLS FIRST, "
-    f"category) AS rank FROM (SELECT user_id, category, {sql_round1_mean('overall_score')} AS avg "
+    f"SELECT user_id, category, CAST(row_number() OVER (PARTITION BY user_id ORDER BY avg DESC NULLS FIRST, "
+    f"category) AS INTEGER) AS rank FROM (SELECT user_id, category, {sql_round1_mean('overall_score')} AS avg "
     f"FROM ({SESSIONS}) GROUP BY user_id, category)")
 
 # --- streaming (same values as their batch forms) ---------------------------------

@@ -177,3 +177,10 @@ def test_text_cosine_and_answer_scores(spark):
                                 "answer_id bigint, question_id bigint, user_answer string")
     s = {r.answer_id: r.score for r in SC.score_answers(ans, bank).collect()}
     assert s == {1: 100.0, 2: 0.0, 3: 0.0}
+
+
+def test_strengths_plus_weak_is_answered(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    rows = E.queries()["a8_session_counts"](spark, SF_SMALL).collect()
+    assert rows and all(r.strengths + r.weak_areas == r.answered for r in rows)
