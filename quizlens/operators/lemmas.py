@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlens.functions import text as TX
-from quizlens.session import small_side, spread
+from quizlens.session import checkpointed, small_side, spread
 
 DICT_MAX_ROWS = 2_000_000
 
@@ -60,11 +60,11 @@ def lemmatize_rows(df: DataFrame, key: str, tokens_col: str, out: str,
     """
     base = spread(df.select(key, tokens_col))
     if materialize:
-        base = base.checkpoint()
+        base = checkpointed(base)
     pos = base.select(key, F.posexplode_outer(tokens_col).alias("pos", "token"))
     lex = pos.select(F.col("token").alias("form")) if isinstance(lexicon, str) else lexicon
     d = lemma_dictionary(pos, lemmas, lex)
-    changes = d.where(F.col("lemma") != F.col("token")).checkpoint()
+    changes = checkpointed(d.where(F.col("lemma") != F.col("token")))
     return (pos.join(small_side(changes, DICT_MAX_ROWS), "token", "left")
             .groupBy(key)
             .agg(F.sort_array(F.collect_list(

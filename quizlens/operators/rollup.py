@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quizlens.functions import labels
 from quizlens.functions.rounding import exact_mean, py_round1, sql_round1_mean, units
-from quizlens.session import small_side
+from quizlens.session import checkpointed, small_side
 
 # Rows of one key folded in one task. A key with more rows is cut into time
 # slices of about this many rows.
@@ -182,8 +182,8 @@ def smoothed_scores(rows: DataFrame, keys: list[str], ts: str, tiebreak: str, sc
     # Hot keys: at most total_rows / chunk_rows of them. Materialised once
     # (checkpoint cuts the lineage, so the stats pass is not run again) and
     # broadcast after its size is checked.
-    hot = stats.where(F.col("_n") > chunk_rows).withColumn(
-        "_k", F.ceil(F.col("_n") / float(chunk_rows))).checkpoint()
+    hot = checkpointed(stats.where(F.col("_n") > chunk_rows).withColumn(
+        "_k", F.ceil(F.col("_n") / float(chunk_rows))))
     r = r.join(small_side(hot), keys, "left")
     span = F.col("_t1") - F.col("_t0") + 1
     chunk = F.when(F.col("_k").isNull() | F.col("_us").isNull(), F.lit(0)).otherwise(

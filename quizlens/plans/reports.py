@@ -16,7 +16,7 @@ from quizlens.functions import text as TX
 from quizlens.functions.rounding import UNITS, py_round1
 from quizlens.operators import rank, rollup
 from quizlens.operators.score import join_bank
-from quizlens.session import spread
+from quizlens.session import checkpointed, spread
 
 
 # --- R2 -------------------------------------------------------------------------
@@ -187,7 +187,7 @@ def close_sessions(answers: DataFrame, state: DataFrame | None = None,
     from ``state`` (user_id, category, average_score) when given."""
     # Session rows are two shuffles deep and read twice (key statistics and
     # the fold): written once to the shared checkpoint folder.
-    sess = session_rows(answers, skipped).checkpoint()
+    sess = checkpointed(session_rows(answers, skipped))
     keys = ["user_id", "category"]
     if state is None:
         res = rollup.smoothed_scores(sess, keys, "interview_date", "session_id", "overall_score",

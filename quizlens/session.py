@@ -109,3 +109,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` into the shared folder (set from the session's
+    ``spark.checkpoint.dir`` first if the context has none yet)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -92,29 +92,29 @@ def stream_user_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(py_round1("best"), F.lit(0.0)).alias("best_score"))
 
 
-def _smooth_state(key, pdfs, state):
-    """State function: the smoothed score of one (user, category) as one
-    double; the micro-batch's rows are applied in (time, id) order."""
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["interview_date", "id"])
-    s = state.get[0] if state.exists else None
-    n = state.get[1] if state.exists else 0
-    for x in rows["overall_score"].tolist():
-        s = x if s is None else round((s + x) / 2, 1)
-        n += 1
-    state.update((s, n))
-    yield pd.DataFrame({"user_id": [key[0]], "category": [key[1]],
-                        "smoothed_score": [s], "n": [n]})
-
-
 def stream_smoothed_scores(spark: SparkSession, sf_dir: str,
                            parts_dir: str | None = None) -> DataFrame:
     """ST3: the smoothed per-category score as keyed state. Equal to the batch
     fold when rows arrive in time order; a late row is applied on arrival."""
+    def smooth_state(key, pdfs, state):
+        """State of one (user, category): the smoothed score and the count;
+        the micro-batch's rows are applied in (time, id) order. Nested so it
+        is shipped by value: workers need not import this package."""
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["interview_date", "id"])
+        s = state.get[0] if state.exists else None
+        n = state.get[1] if state.exists else 0
+        for x in rows["overall_score"].tolist():
+            s = x if s is None else round((s + x) / 2, 1)
+            n += 1
+        state.update((s, n))
+        yield pd.DataFrame({"user_id": [key[0]], "category": [key[1]],
+                            "smoothed_score": [s], "n": [n]})
+
     s = read_stream(spark, sf_dir, "events", parts_dir=parts_dir).select(
         F.col("event_id").alias("id"), "user_id", F.col("ts").alias("interview_date"),
         F.col("event_type").alias("category"), S.score_of("value").alias("overall_score"))
     out = s.groupBy("user_id", "category").applyInPandasWithState(
-        _smooth_state,
+        smooth_state,
         outputStructType="user_id bigint, category string, smoothed_score double, n bigint",
         stateStructType="s double, n bigint",
         outputMode="update",
