@@ -105,7 +105,9 @@ def session_report(answers: DataFrame, bank: DataFrame, skipped: str = "exclude"
     broadcast, and the per-session group-by reuses the session partitioning.
     """
     a = rollup.dedupe_submissions(answers)
-    a = join_bank(a, bank.select("id", "question_text"), on="question_id", bank_key="id")
+    # only the 60-character preview of a question crosses the join
+    a = join_bank(a, bank.select("id", LB.preview("question_text", LB.QUESTION_PREVIEW)
+                                 .alias("question_text")), on="question_id", bank_key="id")
     blank = F.trim(F.coalesce(F.col("user_answer"), F.lit(""))) == ""
     if skipped == "exclude":
         counted = F.when(~blank, F.col("score"))
@@ -116,7 +118,7 @@ def session_report(answers: DataFrame, bank: DataFrame, skipped: str = "exclude"
     a = a.withColumn("_s", counted)
     item = F.struct(
         "answered_at", "answer_id", F.col("_s").alias("score"),
-        LB.preview(F.coalesce("question_text", F.lit("")), LB.QUESTION_PREVIEW).alias("q"),
+        F.coalesce("question_text", F.lit("")).alias("q"),
         LB.preview(F.col("user_answer"), LB.ANSWER_PREVIEW).alias("a"),
         LB.answer_status("user_answer").alias("status"),
         LB.band4(F.coalesce(F.col("_s"), F.lit(0.0))).alias("band"))
