@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quizlens.functions import labels
 from quizlens.functions.rounding import exact_mean, py_round1, sql_round1_mean, units
-from quizlens.session import checkpointed, small_side
+from quizlens.session import checkpointed, has_at_most, small_side
 
 # Rows of one key folded in one task. A key with more rows is cut into time
 # slices of about this many rows.
@@ -160,13 +160,34 @@ def _apply(g: Column, t: Column) -> Column:
     return F.element_at(hits, -1)["out"]
 
 
+def _slice_hot_keys(r: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
+    """Add ``_chunk`` (time slice within a hot key, else 0) and the key's
+    score range in tenths (``_lo10``, ``_hi10``) for hot keys."""
+    stats = r.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_t0"), F.max("_us").alias("_t1"),
+        F.floor(F.min("x") * 10.0).alias("_lo10"), F.ceil(F.max("x") * 10.0).alias("_hi10"))
+    # Hot keys: at most total_rows / chunk_rows of them. Materialised once
+    # (checkpoint cuts the lineage, so the stats pass is not run again) and
+    # broadcast after its size is checked.
+    hot = checkpointed(stats.where(F.col("_n") > chunk_rows).withColumn(
+        "_k", F.ceil(F.col("_n") / float(chunk_rows))))
+    r = r.join(small_side(hot), keys, "left")
+    span = F.col("_t1") - F.col("_t0") + 1
+    chunk = F.when(F.col("_k").isNull() | F.col("_us").isNull(), F.lit(0)).otherwise(
+        F.least(F.floor((F.col("_us") - F.col("_t0")).cast("double") * F.col("_k") / span),
+                F.col("_k") - 1)).cast("bigint")
+    return r.withColumn("_chunk", chunk)
+
+
 def smoothed_scores(rows: DataFrame, keys: list[str], ts: str, tiebreak: str, score: str,
                     chunk_rows: int = CHUNK_ROWS, out: str = "smoothed_score") -> DataFrame:
     """Per key, the first score, then ``py_round1((old + new) / 2)`` for
     every further score in (ts, tiebreak) order. Also returns n and the true
     mean beside it.
 
-    Plan: one partial aggregate for per-key counts/time span/score range; keys
+    Plan: when the input has at most ``chunk_rows`` rows in all (a bounded
+    count), every key is one slice. Otherwise one partial aggregate gives
+    per-key counts/time span/score range; keys
     with more than ``chunk_rows`` rows (at most total/chunk_rows of them, so
     the table is bounded) get time slices; rows are grouped by (key, slice)
     and each slice is folded natively. The first slice of a key yields its
@@ -176,22 +197,16 @@ def smoothed_scores(rows: DataFrame, keys: list[str], ts: str, tiebreak: str, sc
     r = rows.select(*keys, F.col(ts).alias("_ts"), F.col(tiebreak).alias("_id"),
                     F.col(score).alias("x"))
     r = r.withColumn("_us", F.unix_micros(F.col("_ts").cast("timestamp")))
-    stats = r.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_t0"), F.max("_us").alias("_t1"),
-        F.floor(F.min("x") * 10.0).alias("_lo10"), F.ceil(F.max("x") * 10.0).alias("_hi10"))
-    # Hot keys: at most total_rows / chunk_rows of them. Materialised once
-    # (checkpoint cuts the lineage, so the stats pass is not run again) and
-    # broadcast after its size is checked.
-    hot = checkpointed(stats.where(F.col("_n") > chunk_rows).withColumn(
-        "_k", F.ceil(F.col("_n") / float(chunk_rows))))
-    r = r.join(small_side(hot), keys, "left")
-    span = F.col("_t1") - F.col("_t0") + 1
-    chunk = F.when(F.col("_k").isNull() | F.col("_us").isNull(), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_us") - F.col("_t0")).cast("double") * F.col("_k") / span),
-                F.col("_k") - 1)).cast("bigint")
-    r = r.withColumn("_chunk", chunk)
-
     items = F.sort_array(F.collect_list(F.struct("_ts", "_id", "x")))
+    if has_at_most(r, chunk_rows):
+        # No key can exceed the chunk size (the check reads at most
+        # chunk_rows+1 rows): one group-by per key, folded directly.
+        one = r.groupBy(*keys).agg(items.alias("_items"), F.count(F.lit(1)).alias("n"),
+                                   F.sum(units("x")).alias("_usum"), F.count("x").alias("_xn"))
+        return one.select(*keys, _fold(F.col("_items")).alias(out), "n",
+                          py_round1(F.col("_usum") / (F.col("_xn") * 10000.0)).alias("mean_score"))
+    r = _slice_hot_keys(r, keys, chunk_rows)
+
     chunks = (r.groupBy(*keys, "_chunk", "_lo10", "_hi10")
               .agg(items.alias("_items"), F.count(F.lit(1)).alias("_cn"),
                    F.sum(units("x")).alias("_us_sum"), F.count("x").alias("_xn"))
