@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from quizlens.functions import text as TX
 from quizlens.functions.rounding import py_round1
 from quizlens.functions.vectors import similarity_score
-from quizlens.session import small_side, spread
+from quizlens.session import checkpointed, small_side, spread
 
 BANK_MAX_ROWS = 1_000_000  # broadcast the bank only below this many rows
 
@@ -134,7 +134,9 @@ def score_answers(answers: DataFrame, bank: DataFrame, answer_key: str = "answer
     The bank is counted once per question (its token table is broadcast when
     its size is checked); answer counts join it on (question, token)."""
     b = bank.select(F.col(bank_key).alias(question), F.col(ideal_text).alias("_ideal"))
-    bank_counts = _term_counts(b, [question], "_ideal", "cb")
+    # The bank is counted once and written once: its size checks and both
+    # broadcasts read the checkpoint instead of re-tokenising the bank.
+    bank_counts = checkpointed(_term_counts(b, [question], "_ideal", "cb"))
     bank_norm = bank_counts.groupBy(question).agg(F.sum(F.col("cb") * F.col("cb")).alias("nb"))
     ans = answers.select(answer_key, question, answer_text)
     ans_counts = _term_counts(ans, [answer_key, question], answer_text, "ca")
