@@ -71,3 +71,20 @@ def lemmatize_rows(df: DataFrame, key: str, tokens_col: str, out: str,
                 F.when(F.col("pos").isNotNull(),
                        F.struct("pos", F.coalesce("lemma", "token").alias("lemma"))))).alias("_l"))
             .select(key, F.col("_l.lemma").alias(out)))
+
+
+def remove_stop_words_table(df: DataFrame, key: str, tokens_col: str, out: str,
+                            stop_words: DataFrame) -> DataFrame:
+    """T3 with the stop-word list given as a table (one string column):
+    (key, out) with the tokens of ``tokens_col`` that are not in it, order
+    and repeats kept. The list is broadcast after its size is checked; the
+    positions are re-collected per row."""
+    sw = stop_words.select(F.col(stop_words.columns[0]).alias("token")).distinct() \
+                   .withColumn("_stop", F.lit(True))
+    pos = spread(df.select(key, tokens_col)).select(
+        key, F.posexplode_outer(tokens_col).alias("pos", "token"))
+    kept = F.when(F.col("pos").isNotNull() & F.col("_stop").isNull(), F.struct("pos", "token"))
+    return (pos.join(small_side(sw, DICT_MAX_ROWS), "token", "left")
+            .groupBy(key)
+            .agg(F.sort_array(F.collect_list(kept)).alias("_k"))
+            .select(key, F.col("_k.token").alias(out)))

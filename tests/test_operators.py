@@ -184,3 +184,14 @@ def test_strengths_plus_weak_is_answered(spark):
     from conftest import SF_SMALL
     rows = E.queries()["a8_session_counts"](spark, SF_SMALL).collect()
     assert rows and all(r.strengths + r.weak_areas == r.answered for r in rows)
+
+
+def test_stop_words_as_table_equal_list(spark):
+    from quizlens.functions import text as TX
+    from quizlens.operators.lemmas import remove_stop_words_table
+    df = spark.createDataFrame([(1, ["the", "data", "is", "the", "data"]), (2, []), (3, ["a"])],
+                               "k bigint, t array<string>")
+    table = spark.createDataFrame([(w,) for w in TX.STOP_WORDS], "token string")
+    got = {r.k: r.f for r in remove_stop_words_table(df, "k", "t", "f", table).collect()}
+    want = {r.k: r.f for r in df.select("k", TX.remove_stop_words("t").alias("f")).collect()}
+    assert got == want == {1: ["data", "data"], 2: [], 3: []}
