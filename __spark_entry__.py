@@ -20,13 +20,11 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from quizlens.functions import labels as LB  # noqa: E402
 from quizlens.functions import text as TX  # noqa: E402
-from quizlens.functions.rounding import py_round1  # noqa: E402
 from quizlens.operators import lemmas as LM  # noqa: E402
 from quizlens.operators import quality as Q  # noqa: E402
 from quizlens.operators import rank as RK  # noqa: E402
 from quizlens.operators import rollup as RU  # noqa: E402
 from quizlens.operators import score as SC  # noqa: E402
-from quizlens.plans import oracle as O  # noqa: E402
 from quizlens.plans import reports as RP  # noqa: E402
 from quizlens.session import ensure_checkpoint_dir, scratch_path, spread  # noqa: E402
 from quizlens.sources import io as IO  # noqa: E402

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quizlens.session import small_side
 from quizlens.sources import schemas
 
 NULL_TOKEN = "\\N"  # CSV text of a null, so that an empty string stays empty
