@@ -33,8 +33,8 @@ def main() -> None:
            "Streaming queries (st1-st4) run when built and are not listed.", "",
            "At this size Catalyst broadcasts some per-key results (for example the per-user",
            "branches of r2) because its size estimate is under `autoBroadcastJoinThreshold`;",
-           "on large inputs the same joins are sort-merge joins on inputs already",
-           "hash-partitioned by that key, so they add no exchange. Explicit broadcasts",
+           "on large inputs these are sort-merge joins whose per-key sides are already",
+           "hash-partitioned by that key (only the other side is shuffled). Explicit broadcasts",
            "(question bank, hot keys, lemma changes, partition offsets) go through a size",
            "check (`quizlens.session.small_side`).", ""]
     for name, fn in E.queries().items():
