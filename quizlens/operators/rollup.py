@@ -161,22 +161,32 @@ def _apply(g: Column, t: Column) -> Column:
 
 
 def _slice_hot_keys(r: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
-    """Add ``_chunk`` (time slice within a hot key, else 0) and the key's
-    score range in tenths (``_lo10``, ``_hi10``) for hot keys."""
+    """Add ``_chunk`` (slice of a hot key, in order; 0 for other keys),
+    ``_hot`` and the key's score range in tenths (``_lo10``, ``_hi10``).
+
+    Hot keys (more than ``chunk_rows`` rows; at most total/chunk_rows of
+    them) are found by one partial aggregate, checkpointed and broadcast
+    after a size check. Their rows alone are range-partitioned on (key, time,
+    id) into ceil(hot rows / chunk_rows) partitions: each partition is a
+    contiguous run of a key's order whatever the time distribution (bursts of
+    equal timestamps included), and the partition index orders the slices.
+    """
     stats = r.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_t0"), F.max("_us").alias("_t1"),
+        F.count(F.lit(1)).alias("_n"),
         F.floor(F.min("x") * 10.0).alias("_lo10"), F.ceil(F.max("x") * 10.0).alias("_hi10"))
-    # Hot keys: at most total_rows / chunk_rows of them. Materialised once
-    # (checkpoint cuts the lineage, so the stats pass is not run again) and
-    # broadcast after its size is checked.
-    hot = checkpointed(stats.where(F.col("_n") > chunk_rows).withColumn(
-        "_k", F.ceil(F.col("_n") / float(chunk_rows))))
-    r = r.join(small_side(hot), keys, "left")
-    span = F.col("_t1") - F.col("_t0") + 1
-    chunk = F.when(F.col("_k").isNull() | F.col("_us").isNull(), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_us") - F.col("_t0")).cast("double") * F.col("_k") / span),
-                F.col("_k") - 1)).cast("bigint")
-    return r.withColumn("_chunk", chunk)
+    hot = checkpointed(stats.where(F.col("_n") > chunk_rows))
+    hot_rows_total = hot.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hb = small_side(hot.select(*keys, "_lo10", "_hi10"))
+    cold = (r.join(hb.select(*keys), keys, "left_anti")
+            .withColumn("_chunk", F.lit(0)).withColumn("_hot", F.lit(False))
+            .withColumn("_lo10", F.lit(None).cast("bigint")).withColumn("_hi10", F.lit(None).cast("bigint")))
+    if hot_rows_total == 0:
+        return cold
+    n_parts = max(2, -(-hot_rows_total // chunk_rows))
+    hot_r = (r.join(hb, keys, "inner")
+             .repartitionByRange(n_parts, *[F.col(k) for k in keys], F.col("_ts"), F.col("_id"))
+             .withColumn("_chunk", F.spark_partition_id()).withColumn("_hot", F.lit(True)))
+    return cold.unionByName(hot_r)
 
 
 def smoothed_scores(rows: DataFrame, keys: list[str], ts: str, tiebreak: str, score: str,
@@ -187,16 +197,15 @@ def smoothed_scores(rows: DataFrame, keys: list[str], ts: str, tiebreak: str, sc
 
     Plan: when the input has at most ``chunk_rows`` rows in all (a bounded
     count), every key is one slice. Otherwise one partial aggregate gives
-    per-key counts/time span/score range; keys
-    with more than ``chunk_rows`` rows (at most total/chunk_rows of them, so
-    the table is bounded) get time slices; rows are grouped by (key, slice)
-    and each slice is folded natively. The first slice of a key yields its
+    per-key counts and score range; keys with more than ``chunk_rows`` rows
+    (at most total/chunk_rows of them, so the table is bounded) are cut into
+    ordered range slices of about ``chunk_rows`` rows; rows are grouped by
+    (key, slice) and each slice is folded natively. The first slice of a key yields its
     value, later slices a breakpoint map; maps are applied in slice order in
     one last small group-by.
     """
     r = rows.select(*keys, F.col(ts).alias("_ts"), F.col(tiebreak).alias("_id"),
                     F.col(score).alias("x"))
-    r = r.withColumn("_us", F.unix_micros(F.col("_ts").cast("timestamp")))
     items = F.sort_array(F.collect_list(F.struct("_ts", "_id", "x")))
     if has_at_most(r, chunk_rows):
         # No key can exceed the chunk size (the check reads at most
@@ -207,16 +216,17 @@ def smoothed_scores(rows: DataFrame, keys: list[str], ts: str, tiebreak: str, sc
                           py_round1(F.col("_usum") / (F.col("_xn") * 10000.0)).alias("mean_score"))
     r = _slice_hot_keys(r, keys, chunk_rows)
 
-    chunks = (r.groupBy(*keys, "_chunk", "_lo10", "_hi10")
+    chunks = (r.groupBy(*keys, "_chunk", "_hot", "_lo10", "_hi10")
               .agg(items.alias("_items"), F.count(F.lit(1)).alias("_cn"),
                    F.sum(units("x")).alias("_us_sum"), F.count("x").alias("_xn"))
               .select(*keys, "_chunk", "_cn", "_us_sum", "_xn",
-                      F.when(F.col("_chunk") == 0, _fold(F.col("_items"))).alias("_final"),
+                      _fold(F.col("_items")).alias("_final"),
                       F.col("_items")[0]["x"].alias("_first"),
-                      F.when(F.col("_chunk") > 0,
-                             _transfer(F.col("_items"), F.col("_lo10"), F.col("_hi10")))
+                      F.when(F.col("_hot"), _transfer(F.col("_items"), F.col("_lo10"), F.col("_hi10")))
                       .alias("_g")))
 
+    # The first slice of a key gives its value directly; each later slice
+    # maps the incoming state through its breakpoints.
     parts = F.sort_array(F.collect_list(F.struct("_chunk", "_final", "_first", "_g")))
     comp = chunks.groupBy(*keys).agg(
         parts.alias("_parts"), F.sum("_cn").alias("n"),

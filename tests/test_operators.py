@@ -195,3 +195,14 @@ def test_stop_words_as_table_equal_list(spark):
     got = {r.k: r.f for r in remove_stop_words_table(df, "k", "t", "f", table).collect()}
     want = {r.k: r.f for r in df.select("k", TX.remove_stop_words("t").alias("f")).collect()}
     assert got == want == {1: ["data", "data"], 2: [], 3: []}
+
+
+def test_chunked_fold_with_a_burst_of_equal_timestamps(spark):
+    rnd = random.Random(3)
+    rows = [(i, 1, 0, "hr", round(rnd.uniform(0, 100), 1)) for i in range(1, 301)]  # one instant
+    rows += [(1000 + i, 2, i, "hr", float(i)) for i in range(5)]
+    s = _sessions(spark, rows)
+    expect = {1: _py_fold([r[4] for r in sorted(rows[:300])]), 2: _py_fold([0.0, 1.0, 2.0, 3.0, 4.0])}
+    got = {r.user_id: r.smoothed_score for r in RU.smoothed_scores(
+        s, ["user_id"], "interview_date", "id", "overall_score", chunk_rows=20).collect()}
+    assert got == expect
