@@ -106,20 +106,23 @@ def text_cosine(pairs: DataFrame, keys: list[str], a_col: str, b_col: str,
     the per-pair sums are a second, small group-by.
     """
     pairs = spread(pairs)
-    a = pairs.select(*keys, F.explode(TX.tokenize(TX.clean_text(a_col))).alias("token"),
-                     F.lit(1).alias("_a"), F.lit(0).alias("_b"))
-    b = pairs.select(*keys, F.explode(TX.tokenize(TX.clean_text(b_col))).alias("token"),
-                     F.lit(0).alias("_a"), F.lit(1).alias("_b"))
-    counts = a.unionByName(b).groupBy(*keys, "token").agg(
+
+    def side(col: str, mark_a: int) -> DataFrame:
+        # explode_outer keeps a pair whose text has no token (as a null token
+        # that counts 0), so every pair reaches the sums and no join back to
+        # the pairs is needed.
+        t = pairs.select(*keys, F.explode_outer(TX.tokenize(TX.clean_text(col))).alias("token"))
+        one = F.when(F.col("token").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+        return t.select(*keys, "token", (one * mark_a).alias("_a"), (one * (1 - mark_a)).alias("_b"))
+
+    counts = side(a_col, 1).unionByName(side(b_col, 0)).groupBy(*keys, "token").agg(
         F.sum("_a").alias("ca"), F.sum("_b").alias("cb"))
     sums = counts.groupBy(*keys).agg(
         F.sum(F.col("ca") * F.col("cb")).alias("dot"),
         F.sum(F.col("ca") * F.col("ca")).alias("na"),
         F.sum(F.col("cb") * F.col("cb")).alias("nb"))
-    res = pairs.select(*keys).join(sums, keys, "left")
-    return res.select(*keys, py_round1(_cosine_from_sums(
-        F.coalesce("dot", F.lit(0)), F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0))) * 100.0)
-        .alias(out))
+    return sums.select(*keys, py_round1(_cosine_from_sums(
+        F.col("dot"), F.col("na"), F.col("nb")) * 100.0).alias(out))
 
 
 # --- V4 ---------------------------------------------------------------------------
