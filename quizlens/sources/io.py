@@ -84,6 +84,19 @@ def write_clean_csv(df: DataFrame, path: str) -> None:
      .option("nullValue", NULL_TOKEN).csv(path))
 
 
+def write_touched_partitions(state: DataFrame, touched: DataFrame, path: str,
+                             partition_col: str = "category") -> None:
+    """Store an updated state table partitioned by ``partition_col``,
+    rewriting only the partitions whose values appear in ``touched`` (the
+    batch): dynamic partition overwrite, so untouched partitions are left
+    as they are. ``touched`` is reduced to its distinct partition values
+    before the semi join."""
+    keys = touched.select(partition_col).distinct()
+    (state.join(keys, partition_col, "left_semi")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_col).parquet(path))
+
+
 def read_clean_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     schema = ", ".join(f"`{c}` string" for c in columns)
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)

@@ -116,3 +116,23 @@ def test_sessions_partition_pruning(spark):
     want = sess.where("interview_date >= '2024-01-10' AND interview_date < '2024-01-12'") \
                .select(*got.columns)
     assert got.count() > 0 and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_upsert_rewrites_only_touched_partitions(spark):
+    import datetime as dt
+    from quizlens.operators import rollup as RU
+    t0 = dt.datetime(2024, 1, 1)
+    mk = lambda rows: spark.createDataFrame(
+        [(i, u, t0 + dt.timedelta(hours=h), c, x) for i, u, h, c, x in rows],
+        "id bigint, user_id bigint, interview_date timestamp_ntz, category string, overall_score double")
+    keys = ["user_id", "category"]
+    first = mk([(1, 1, 0, "hr", 50.0), (2, 1, 1, "sql", 40.0)])
+    path = scratch_path(spark, "performance")
+    state0 = RU.upsert_performance(None, first, keys, "interview_date", "id", "overall_score")
+    IO.write_touched_partitions(state0, first, path)
+    batch = mk([(3, 1, 2, "hr", 80.0)])
+    stored = spark.read.parquet(path)
+    state1 = RU.upsert_performance(stored, batch, keys, "interview_date", "id", "overall_score")
+    IO.write_touched_partitions(state1, batch, path)
+    got = {(r.user_id, r.category): r.average_score for r in spark.read.parquet(path).collect()}
+    assert got == {(1, "hr"): 65.0, (1, "sql"): 40.0}
