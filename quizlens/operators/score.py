@@ -152,3 +152,22 @@ def score_answers(answers: DataFrame, bank: DataFrame, answer_key: str = "answer
     score = py_round1(_cosine_from_sums(F.coalesce("dot", F.lit(0)), F.coalesce("na", F.lit(0)),
                                         F.coalesce("nb", F.lit(0))) * 100.0)
     return res.withColumn(out, score).drop("dot", "na", "nb")
+
+
+def score_answers_by_model(answers: DataFrame, bank: DataFrame, embedder=None, dim: int = 64,
+                           answer_key: str = "answer_id", question: str = "question_id",
+                           answer_text: str = "user_answer", bank_key: str = "id",
+                           ideal_text: str = "ideal_answer", out: str = "score") -> DataFrame:
+    """V1 + V2 + V4 as the source scores: embed the answer and the ideal
+    answer, score = Python-rounded 100 x cosine; a blank answer or ideal
+    scores 0.0. The bank is embedded once and written once (checkpoint), then
+    joined to every answer by question id after a size check."""
+    b = bank.select(F.col(bank_key).alias(question), F.col(ideal_text).alias("_ideal"))
+    ideals = checkpointed(embed_texts(b, "_ideal", "ideal_embedding", dim, embedder)
+                          .select(question, "_ideal", "ideal_embedding"))
+    a = embed_texts(answers, answer_text, "embedding", dim, embedder)
+    j = a.join(small_side(ideals, BANK_MAX_ROWS), question, "left")
+    blank = (F.trim(F.coalesce(F.col(answer_text), F.lit(""))) == "") | \
+            (F.trim(F.coalesce(F.col("_ideal"), F.lit(""))) == "")
+    score = F.when(blank, F.lit(0.0)).otherwise(similarity_score("embedding", "ideal_embedding"))
+    return j.withColumn(out, score).drop("embedding", "ideal_embedding", "_ideal")

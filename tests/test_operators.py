@@ -206,3 +206,21 @@ def test_chunked_fold_with_a_burst_of_equal_timestamps(spark):
     got = {r.user_id: r.smoothed_score for r in RU.smoothed_scores(
         s, ["user_id"], "interview_date", "id", "overall_score", chunk_rows=20).collect()}
     assert got == expect
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 50),
+                          st.integers(-1000, 1000).map(lambda v: v / 10)), min_size=20, max_size=120),
+       st.integers(1, 15))
+def test_sliced_fold_property(spark, rows, chunk):
+    data = [(i, u, h, "hr", x) for i, (u, h, x) in enumerate(rows, start=1)]
+    s = _sessions(spark, data)
+    expect = {u: _py_fold([x for _, _, x in sorted((h, i, x) for i, uu, h, _, x in data if uu == u)])
+              for u in {d[1] for d in data}}
+    got = {r.user_id: r.smoothed_score for r in RU.smoothed_scores(
+        s, ["user_id"], "interview_date", "id", "overall_score", chunk_rows=chunk).collect()}
+    assert got == expect

@@ -56,3 +56,17 @@ def test_hashed_vectors_default(spark):
     d = spark.createDataFrame([(1, "Data data science"), (2, "")], "doc_id bigint, text string")
     rows = {r.doc_id: r.embedding for r in SC.embed_texts(d, "text", dim=16).collect()}
     assert sum(rows[1]) == 3.0 and sum(rows[2]) == 0.0 and len(rows[1]) == 16
+
+
+def test_model_scoring_of_an_answer_table(spark):
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    bank = spark.createDataFrame([(7, "Spark joins tables"), (8, "")], "id bigint, ideal_answer string")
+    ans = spark.createDataFrame([(1, 7, "Spark joins tables"), (2, 7, "  "), (3, 8, "x"), (4, 9, "y")],
+                                "answer_id bigint, question_id bigint, user_answer string")
+    emb = SC.model_embedder(_make_model, dim=8, batch_size=4)
+    got = {r.answer_id: r.score for r in SC.score_answers_by_model(ans, bank, emb).collect()}
+    assert got == {1: 100.0, 2: 0.0, 3: 0.0, 4: 0.0}
+    hashed = {r.answer_id: r.score for r in SC.score_answers_by_model(ans, bank).collect()}
+    assert hashed == {1: 100.0, 2: 0.0, 3: 0.0, 4: 0.0}
