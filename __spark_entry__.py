@@ -50,10 +50,18 @@ def q_io1_read_question_set(spark, sf):
 
 
 def q_io2_load_bank(spark, sf):
-    d = S.table(spark, sf, "documents")
-    nested = d.select(F.create_map("lang", F.array(F.struct(
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("question"),
-        F.col("text").alias("ideal"), F.col("source").alias("hint")))).alias("bank"))
+    """The documents folded into seed-bank rows (map: category -> up to 10
+    items, like the seed's 10 questions per category) and unfolded again.
+    Groups are blocks of 10 consecutive doc ids, so no group grows with the
+    table."""
+    d = S.table(spark, sf, "documents").select(
+        F.floor(F.col("doc_id") / 10).alias("block"), "lang", "doc_id",
+        F.struct(F.split_part("text", F.lit("\n"), F.lit(1)).alias("question"),
+                 F.col("text").alias("ideal"), F.col("source").alias("hint")).alias("item"))
+    per_cat = d.groupBy("block", "lang").agg(
+        F.sort_array(F.collect_list(F.struct("doc_id", "item"))).alias("_items"))
+    nested = per_cat.groupBy("block").agg(F.map_from_entries(F.collect_list(
+        F.struct("lang", F.col("_items.item")))).alias("bank"))
     return IO.load_bank(nested, existing=None)
 
 
