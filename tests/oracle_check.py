@@ -42,10 +42,17 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+# Spark type -> DuckDB type name, for the schema part of the comparison.
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+              "array<string>": "VARCHAR[]", "array<double>": "DOUBLE[]", "array<bigint>": "BIGINT[]"}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     df = fn(spark, sf_dir)
     cols = df.columns
+    spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rows = [tuple(norm(r[c]) for c in sorted(cols)) for r in df.collect()]
     t1 = time.time()
     if sql is None:
@@ -55,6 +62,11 @@ def compare(spark, con, name, fn, sql, sf_dir):
     drows_raw = cur.fetchall()
     if sorted(dcols) != sorted(cols):
         return dict(name=name, ok=False, note=f"columns {sorted(cols)} vs {sorted(dcols)}")
+    duck_types = dict(zip(dcols, [str(t) for t in con.sql(sql).types]))
+    wrong = {c: (t, duck_types.get(c)) for c, t in spark_types.items()
+             if TYPE_NAMES.get(t, t) != duck_types.get(c)}
+    if wrong:
+        return dict(name=name, ok=False, note=f"types {wrong}")
     idx = {c: i for i, c in enumerate(dcols)}
     drows = [tuple(norm(r[idx[c]]) for c in sorted(cols)) for r in drows_raw]
     a, b = Counter(rows), Counter(drows)
