@@ -299,10 +299,9 @@ def q_j6_audit(spark, sf):
 def q_v1_vector_scores(spark, sf):
     v = S.vectors(spark, sf)
     ideals = SC.ideal_vectors_by_min_key(v, "label", "vec_id")
-    answers = v.join(ideals.select("label", "ideal_key"), "label") \
-               .where(F.col("vec_id") != F.col("ideal_key")).drop("ideal_key")
-    return SC.vector_scores(answers, ideals.drop("ideal_key"), "label") \
-             .select("vec_id", "label", "score")
+    # one size-checked broadcast join; the ideal itself is not an answer
+    return SC.vector_scores(v, ideals, "label") \
+             .where(F.col("vec_id") != F.col("ideal_key")).select("vec_id", "label", "score")
 
 
 def q_v2_embed_texts(spark, sf):
