@@ -17,8 +17,8 @@ from quizlens.functions import labels
 from quizlens.functions.rounding import exact_mean, py_round1, sql_round1_mean, units
 from quizlens.session import checkpointed, has_at_most, small_side
 
-# Rows of one key folded in one task. A key with more rows is cut into time
-# slices of about this many rows.
+# Rows of one key folded in one task. A key with more rows is cut into
+# ordered range slices of about this many rows.
 CHUNK_ROWS = 1_000_000
 # States of the 0.1 grid a slice's transfer map starts from: scores in
 # [-100, 100] need 2,001; a wider range is refused rather than guessed.
