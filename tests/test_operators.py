@@ -224,3 +224,18 @@ def test_sliced_fold_property(spark, rows, chunk):
     got = {r.user_id: r.smoothed_score for r in RU.smoothed_scores(
         s, ["user_id"], "interview_date", "id", "overall_score", chunk_rows=chunk).collect()}
     assert got == expect
+
+
+def test_dashboard_switches(spark):
+    from quizlens.plans.reports import dashboard
+    rows = [(i, 1, i, "hr", 0.0 if i % 2 else 90.0) for i in range(1, 26)]
+    s = _sessions(spark, rows)
+    users = spark.createDataFrame([(1, "Ann")], "id bigint, name string")
+    all_ = dashboard(s, users).first()
+    done = dashboard(s, users, count_abandoned=False).first()
+    latest = dashboard(s, users, trend_which="latest").first()
+    assert (all_.total_interviews, all_.avg_score) == (25, round(12 * 90.0 / 25, 1))
+    assert (done.total_interviews, done.avg_score, done.best_score) == (12, 90.0, 90.0)
+    assert len(all_.chart_scores) == 20 and all_.chart_scores[0] == 0.0
+    assert latest.chart_scores[-1] == 0.0 and latest.chart_labels[0] == "Jan 01"
+    assert all_.recent_scores[0] == 0.0 and all_.recent_bands[:2] == ["red", "green"]
