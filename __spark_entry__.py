@@ -402,6 +402,10 @@ def q_st1_stream_scores(spark, sf):
     return ST.stream_vector_scores(spark, sf)
 
 
+def q_st1_stream_text_scores(spark, sf):
+    return ST.stream_text_scores(spark, sf)
+
+
 def q_st2_stream_user_stats(spark, sf):
     return ST.stream_user_stats(spark, sf)
 

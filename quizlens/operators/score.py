@@ -127,20 +127,23 @@ def text_cosine(pairs: DataFrame, keys: list[str], a_col: str, b_col: str,
 
 # --- V4 ---------------------------------------------------------------------------
 
-def score_answers(answers: DataFrame, bank: DataFrame, answer_key: str = "answer_id",
-                  question: str = "question_id", answer_text: str = "user_answer",
-                  bank_key: str = "id", ideal_text: str = "ideal_answer",
-                  out: str = "score") -> DataFrame:
-    """V4: score a whole answer table against the bank by term-count cosine;
-    empty answers and answers to unknown questions score 0.0.
-
-    The bank is counted once per question (its token table is broadcast when
-    its size is checked); answer counts join it on (question, token)."""
+def bank_term_counts(bank: DataFrame, question: str = "question_id", bank_key: str = "id",
+                     ideal_text: str = "ideal_answer") -> tuple[DataFrame, DataFrame]:
+    """The bank counted once: (question, token, cb) and (question, nb), the
+    counts written once (checkpoint) so size checks, broadcasts and every
+    later batch read them instead of re-tokenising the bank."""
     b = bank.select(F.col(bank_key).alias(question), F.col(ideal_text).alias("_ideal"))
-    # The bank is counted once and written once: its size checks and both
-    # broadcasts read the checkpoint instead of re-tokenising the bank.
-    bank_counts = checkpointed(_term_counts(b, [question], "_ideal", "cb"))
-    bank_norm = bank_counts.groupBy(question).agg(F.sum(F.col("cb") * F.col("cb")).alias("nb"))
+    counts = checkpointed(_term_counts(b, [question], "_ideal", "cb"))
+    norms = counts.groupBy(question).agg(F.sum(F.col("cb") * F.col("cb")).alias("nb"))
+    return counts, norms
+
+
+def score_against_counts(answers: DataFrame, bank_counts: DataFrame, bank_norm: DataFrame,
+                         answer_key: str = "answer_id", question: str = "question_id",
+                         answer_text: str = "user_answer", out: str = "score") -> DataFrame:
+    """Term-count cosine of each answer against its question's counted ideal
+    answer; answer counts join the (checked, broadcast) bank counts on
+    (question, token)."""
     ans = answers.select(answer_key, question, answer_text)
     ans_counts = _term_counts(ans, [answer_key, question], answer_text, "ca")
     dots = (ans_counts.join(small_side(bank_counts, BANK_MAX_ROWS), [question, "token"], "left")
@@ -154,6 +157,17 @@ def score_answers(answers: DataFrame, bank: DataFrame, answer_key: str = "answer
     return res.withColumn(out, score).drop("dot", "na", "nb")
 
 
+def score_answers(answers: DataFrame, bank: DataFrame, answer_key: str = "answer_id",
+                  question: str = "question_id", answer_text: str = "user_answer",
+                  bank_key: str = "id", ideal_text: str = "ideal_answer",
+                  out: str = "score") -> DataFrame:
+    """V4: score a whole answer table against the bank by term-count cosine;
+    empty answers and answers to unknown questions score 0.0. The bank is
+    counted once per question, not once per answer."""
+    counts, norms = bank_term_counts(bank, question, bank_key, ideal_text)
+    return score_against_counts(answers, counts, norms, answer_key, question, answer_text, out)
+
+
 def score_answers_by_model(answers: DataFrame, bank: DataFrame, embedder=None, dim: int = 64,
                            answer_key: str = "answer_id", question: str = "question_id",
                            answer_text: str = "user_answer", bank_key: str = "id",

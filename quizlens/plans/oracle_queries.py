@@ -271,6 +271,7 @@ ORACLE["w7_category_rank"] = (
 
 # --- streaming (same values as their batch forms) ---------------------------------
 ORACLE["st1_stream_scores"] = ORACLE["v1_vector_scores"]
+ORACLE["st1_stream_text_scores"] = ORACLE["v4_score_answers"]
 ORACLE["st2_stream_user_stats"] = (
     f"SELECT user_id, count(*) AS total_interviews, {R(exact_mean('overall_score'))} AS avg_score, "
     f"{R('max(overall_score)')} AS best_score FROM ({SESSIONS}) GROUP BY user_id")

@@ -74,6 +74,35 @@ def stream_vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_run(scored, spark, "st1"))
 
 
+def stream_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 for text answers: user turns of ``conversations`` arrive as a
+    stream and are scored against a static bank (the first assistant turn of
+    each conversation) by term-count cosine. The bank is counted and written
+    once; each micro-batch is scored by the batch operator (JVM-side) in a
+    ``foreachBatch`` sink that appends its rows."""
+    c = S.table(spark, sf_dir, "conversations")
+    bank = c.where(F.col("role") == "assistant").groupBy("conv_id").agg(
+        F.min_by("text", F.col("turn")).alias("ideal_answer")).withColumnRenamed("conv_id", "id")
+    counts, norms = SC.bank_term_counts(bank)
+    answers = read_stream(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"),
+        F.col("conv_id").alias("question_id"), F.col("text").alias("user_answer"))
+    out = scratch_path(spark, "st1-text-out")
+    ckpt = scratch_path(spark, "st1-text-ckpt")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        scored = SC.score_against_counts(batch, counts, norms)
+        scored.select("answer_id", "question_id", "score").write.mode("append").parquet(out)
+
+    q = (answers.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    try:
+        return spark.read.parquet(out)
+    except Exception:  # no micro-batch had a row
+        return spark.createDataFrame([], "answer_id bigint, question_id bigint, score double")
+
+
 def stream_user_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2: running per-user totals, average and best (update mode)."""
     s = read_stream(spark, sf_dir, "events").select(

@@ -10,7 +10,7 @@ def test_entry_schema_is_stable(spark):
 
 def test_every_query_has_an_oracle_but_hashed_vectors():
     q, o = set(E.queries()), set(E.oracle_sql())
-    assert len(q) == 62 and q - o == {"v2_embed_texts"} and o <= q
+    assert len(q) == 63 and q - o == {"v2_embed_texts"} and o <= q
     ids = {k.split("_")[0] for k in q}
     want = ({f"io{i}" for i in range(1, 7)} | {f"p{i}" for i in range(1, 16)} |
             {f"t{i}" for i in range(1, 9)} | {f"j{i}" for i in range(1, 7)} |
