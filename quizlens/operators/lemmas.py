@@ -22,12 +22,17 @@ DICT_MAX_ROWS = 2_000_000
 
 
 def lemma_dictionary(tokens: DataFrame, lemmas: DataFrame | None = None,
-                     lexicon: DataFrame | None = None, token: str = "token") -> DataFrame:
-    """(token, lemma) for every distinct token of ``tokens``."""
+                     lexicon: DataFrame | str | None = None, token: str = "token") -> DataFrame:
+    """(token, lemma) for every distinct token of ``tokens``. ``lexicon`` is a
+    table of known words, or ``"corpus"`` for the distinct tokens themselves
+    (then one distinct aggregate serves both sides)."""
     distinct = tokens.select(F.col(token).alias("token")).where(F.col("token").isNotNull()).distinct()
     if lexicon is not None:
-        lex = lexicon.select(F.col(lexicon.columns[0]).alias("form")).where(
-            F.col("form").isNotNull()).distinct()
+        if isinstance(lexicon, str):
+            lex = distinct.select(F.col("token").alias("form"))
+        else:
+            lex = lexicon.select(F.col(lexicon.columns[0]).alias("form")).where(
+                F.col("form").isNotNull()).distinct()
         cands = distinct.select("token", F.explode(TX.rule_candidates(F.col("token"))).alias("c"))
         cands = cands.select("token", F.col("c.idx").alias("idx"), F.col("c.form").alias("form"))
         ok = cands.join(lex, "form", "left_semi")
@@ -62,8 +67,7 @@ def lemmatize_rows(df: DataFrame, key: str, tokens_col: str, out: str,
     if materialize:
         base = checkpointed(base)
     pos = base.select(key, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    lex = pos.select(F.col("token").alias("form")) if isinstance(lexicon, str) else lexicon
-    d = lemma_dictionary(pos, lemmas, lex)
+    d = lemma_dictionary(pos, lemmas, lexicon)
     changes = checkpointed(d.where(F.col("lemma") != F.col("token")))
     return (pos.join(small_side(changes, DICT_MAX_ROWS), "token", "left")
             .groupBy(key)
