@@ -45,7 +45,9 @@ def _run(df: DataFrame, spark: SparkSession, name: str, mode: str = "append") ->
              .trigger(availableNow=True).start())
     else:
         def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+            # one folder per micro-batch, overwritten if the batch is retried
+            # (foreachBatch is at-least-once), so the output is exactly-once
+            batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
         q = (df.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
              .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -92,13 +94,15 @@ def stream_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         scored = SC.score_against_counts(batch, counts, norms)
-        scored.select("answer_id", "question_id", "score").write.mode("append").parquet(out)
+        # a retried micro-batch overwrites its own folder: exactly-once output
+        scored.select("answer_id", "question_id", "score").write.mode("overwrite") \
+              .parquet(f"{out}/_batch={batch_id}")
 
     q = (answers.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     try:
-        return spark.read.parquet(out)
+        return spark.read.parquet(out).select("answer_id", "question_id", "score")
     except Exception:  # no micro-batch had a row
         return spark.createDataFrame([], "answer_id bigint, question_id bigint, score double")
 
