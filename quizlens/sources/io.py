@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quizlens.session import checkpointed
 from quizlens.sources import schemas
 
 NULL_TOKEN = "\\N"  # CSV text of a null, so that an empty string stays empty
@@ -121,7 +122,13 @@ def global_rank(df: DataFrame, order_cols: list, base: DataFrame | None = None,
     and a row's rank is start + its position. The rank is deterministic, so
     a lost task recomputes the same values.
     """
-    ordered = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
+    ordered = df.orderBy(*order_cols)
+    # The counts branch and the row branch must read the same range shuffle
+    # (one set of sampled range bounds). Spark reuses that exchange; if a
+    # session turns reuse off, the sorted rows are written once instead.
+    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        ordered = checkpointed(ordered)
+    ordered = ordered.withColumn("_mid", F.monotonically_increasing_id())
     ordered = ordered.withColumn("_part", F.shiftright("_mid", _ROW_BITS)) \
                      .withColumn("_pos", F.col("_mid").bitwiseAND((1 << _ROW_BITS) - 1))
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -239,3 +239,14 @@ def test_dashboard_switches(spark):
     assert len(all_.chart_scores) == 20 and all_.chart_scores[0] == 0.0
     assert latest.chart_scores[-1] == 0.0 and latest.chart_labels[0] == "Jan 01"
     assert all_.recent_scores[0] == 0.0 and all_.recent_bands[:2] == ["red", "green"]
+
+
+def test_global_rank_without_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        existing = spark.createDataFrame([(5,)], "id bigint")
+        new = spark.range(0, 500, 1, 6).select((F.col("id") * 7 % 500).alias("k"))
+        got = IO.assign_ids(new, existing, "id", ["k"], out_col="n").orderBy("k").collect()
+        assert [r.n for r in got] == list(range(6, 506))
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
