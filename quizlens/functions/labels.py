@@ -36,11 +36,13 @@ def category_key(c) -> Column:
 
 
 def category_label(c) -> Column:
+    """Category code -> its label (P5); unknown codes read "Interview"."""
     m = F.create_map(*[F.lit(x) for kv in CATEGORY_LABELS.items() for x in kv])
     return F.coalesce(F.element_at(m, _c(c)), F.lit(DEFAULT_LABEL))
 
 
 def grade(score) -> Column:
+    """Excellent from 80, Good from 60, else Needs Practice."""
     s = _c(score)
     return (F.when(s >= GRADE_CUTS[0], "Excellent")
             .when(s >= GRADE_CUTS[1], "Good")
@@ -48,6 +50,7 @@ def grade(score) -> Column:
 
 
 def grade_class(score) -> Column:
+    """The style class that goes with the grade."""
     s = _c(score)
     return (F.when(s >= GRADE_CUTS[0], "grade-good")
             .when(s >= GRADE_CUTS[1], "grade-mid")
@@ -55,6 +58,7 @@ def grade_class(score) -> Column:
 
 
 def badge(score) -> Column:
+    """Above average / Average / Keep practising on the grade cuts."""
     s = _c(score)
     return (F.when(s >= GRADE_CUTS[0], "Above average")
             .when(s >= GRADE_CUTS[1], "Average")
@@ -79,27 +83,33 @@ def band3(score) -> Column:
 
 
 def is_strength(score) -> Column:
+    """A strength scores at least 70; below is a weak area."""
     return _c(score) >= STRENGTH_CUT
 
 
 def category_title(c) -> Column:
+    """P10: "<code> Interview"."""
     return F.concat(_c(c), F.lit(" Interview"))
 
 
 def short_date(ts) -> Column:
+    """P11: "Mon dd" (trend labels)."""
     return F.date_format(_c(ts), "MMM dd")
 
 
 def long_date(ts) -> Column:
+    """P11: "Mon dd, yyyy" (recent sessions)."""
     return F.date_format(_c(ts), "MMM dd, yyyy")
 
 
 def preview(text, n: int) -> Column:
+    """The first n characters, with an ellipsis only when the text is longer."""
     t = _c(text)
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit(ELLIPSIS))).otherwise(t)
 
 
 def answer_status(answer) -> Column:
+    """A blank (or null) answer is "Skipped", else "Answered"."""
     a = F.trim(F.coalesce(_c(answer), F.lit("")))
     return F.when(a == "", "Skipped").otherwise("Answered")
 
@@ -110,15 +120,18 @@ def progress_pct(index0, n) -> Column:
 
 
 def completion(answered, total=None) -> Column:
+    """P14: "answered/total", total defaulting to the questions per session."""
     t = F.lit(QUESTIONS_PER_SESSION) if total is None else _c(total)
     return F.concat(_c(answered).cast("string"), F.lit("/"), t.cast("string"))
 
 
 def display_name(first_name) -> Column:
+    """The first name, or "Guest" when blank."""
     n = F.nullif(F.trim(_c(first_name)), F.lit(""))
     return F.coalesce(n, F.lit("Guest"))
 
 
 def initial(first_name) -> Column:
+    """The upper-cased first letter of the name, or "G"."""
     n = F.nullif(F.trim(_c(first_name)), F.lit(""))
     return F.coalesce(F.upper(F.substring(n, 1, 1)), F.lit("G"))

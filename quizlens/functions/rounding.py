@@ -72,10 +72,6 @@ def exact_mean(x) -> Column:
     return F.sum(units(x)) / (F.count(_c(x)) * float(UNITS))
 
 
-def mean_from_parts(unit_sum: Column, n: Column) -> Column:
-    return unit_sum / (n * float(UNITS))
-
-
 def sql_round1_mean(x) -> Column:
     """``ROUND(AVG(x)::numeric, 1)``: the decimal mean rounded half away from
     zero to one decimal, computed in integers."""

@@ -124,18 +124,22 @@ def lemma_of(t: Column, exceptions: dict[str, str] | None = None) -> Column:
 
 
 def lemmatize(tokens, exceptions: dict[str, str] | None = None) -> Column:
+    """T4 without a join: each token through the fixed exception table."""
     return F.transform(_c(tokens), lambda t: lemma_of(t, exceptions))
 
 
 def join_tokens(tokens) -> Column:
+    """T5: tokens joined by single blanks."""
     return F.array_join(_c(tokens), " ")
 
 
 def normalise_email(e) -> Column:
+    """E-mail as stored: trimmed and lower-cased."""
     return F.lower(F.trim(_c(e)))
 
 
 def normalise_name(n) -> Column:
+    """Names as stored: trimmed."""
     return F.trim(_c(n))
 
 

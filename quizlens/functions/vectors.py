@@ -22,12 +22,14 @@ def _sum(arr: Column) -> Column:
 
 
 def dot(a, b) -> Column:
+    """Dot product of two arrays, in double, left to right."""
     a = _c(a).cast("array<double>")
     b = _c(b).cast("array<double>")
     return _sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
 def sq_norm(a) -> Column:
+    """Squared Euclidean norm of an array, in double."""
     a = _c(a).cast("array<double>")
     return _sum(F.transform(a, lambda x: x * x))
 

@@ -86,6 +86,7 @@ def orphan_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFr
 
 
 def too_long(df: DataFrame, col: str, n: int) -> DataFrame:
+    """Rows whose column is longer than n characters (one row: bad_rows)."""
     return df.agg(F.count_if(F.length(col) > n).alias("bad_rows"))
 
 

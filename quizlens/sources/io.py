@@ -24,6 +24,7 @@ def read_question_set(spark: SparkSession, path: str, multi_line: bool = True) -
 
 
 def write_question_set(df: DataFrame, path: str) -> None:
+    """Write (question, ideal_answer) as JSON lines."""
     df.select("question", "ideal_answer").write.mode("overwrite").json(path)
 
 
@@ -58,6 +59,7 @@ def write_table(df: DataFrame, path: str, name: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Read one of the six tables and cast it to its fixed schema."""
     schema = schemas.TABLES[name]
     df = spark.read.parquet(path)
     return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
@@ -99,6 +101,7 @@ def write_touched_partitions(state: DataFrame, touched: DataFrame, path: str,
 
 
 def read_clean_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Read the cleaned CSV back, every column as text."""
     schema = ", ".join(f"`{c}` string" for c in columns)
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
             .option("escape", '"').option("emptyValue", "").option("nullValue", NULL_TOKEN)

@@ -27,14 +27,17 @@ SESSION_DAY_FACTOR = 100_000  # session id = user_id * 100000 + days since 1970
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One parquet table of a scale-factor folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def score_of(value) -> F.Column:
+    """A stand-in value as a per-cent score (capped at 100)."""
     return F.least(F.col(value), F.lit(100.0))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions from events: one session per event."""
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("id"),
@@ -47,6 +50,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored answers from events, sessions being (user, day)."""
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("answer_id"),
@@ -61,6 +65,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users from customers, with normalised e-mails."""
     c = table(spark, sf_dir, "customer")
     return c.select(
         F.col("c_custkey").alias("id"),
@@ -83,6 +88,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The question bank from documents."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("id"),
@@ -106,10 +112,12 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON question set from benchmark items."""
     b = table(spark, sf_dir, "benchmark")
     return b.select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("question"),
                     F.col("text").alias("ideal_answer"), "item_id")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer and ideal vectors from embeddings (label = question)."""
     return table(spark, sf_dir, "embeddings")
