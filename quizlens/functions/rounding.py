@@ -48,8 +48,9 @@ def py_round0(x) -> Column:
 
 
 def py_round1_sql(e: str, rint: str = "rint") -> str:
-    """The same rule as SQL text; ``rint='round_even'`` style for DuckDB is
-    written by passing ``rint=None``."""
+    """The same rule as SQL text: ``rint="rint"`` for Spark SQL, any other
+    value (the oracle passes ``"round_even"``) for DuckDB's
+    ``round_even(x, 0)``."""
     r = (lambda v: f"rint({v})") if rint == "rint" else (lambda v: f"round_even({v}, 0)")
     k = r(f"({e}) * 20.0")
     d = f"((({e}) * 16.0 - {k}) + ({e}) * 4.0)"
