@@ -65,18 +65,20 @@ def _latest(spark: SparkSession, path: str, keys: list[str], schema: str) -> Dat
     return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
-def stream_vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_vector_scores(spark: SparkSession, sf_dir: str,
+                         parts_dir: str | None = None) -> DataFrame:
     """ST1: score vectors as they arrive against a static, checked-broadcast
     bank of ideal vectors (stateless, append)."""
     static = S.vectors(spark, sf_dir)
     ideals = SC.ideal_vectors_by_min_key(static, "label", "vec_id")
-    stream = read_stream(spark, sf_dir, "embeddings")
+    stream = read_stream(spark, sf_dir, "embeddings", parts_dir=parts_dir)
     scored = SC.vector_scores(stream, ideals, "label") \
                .where(F.col("vec_id") != F.col("ideal_key")).select("vec_id", "label", "score")
     return spark.read.parquet(_run(scored, spark, "st1"))
 
 
-def stream_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_text_scores(spark: SparkSession, sf_dir: str,
+                       parts_dir: str | None = None) -> DataFrame:
     """ST1 for text answers: user turns of ``conversations`` arrive as a
     stream and are scored against a static bank (the first assistant turn of
     each conversation) by term-count cosine. The bank is counted and written
@@ -86,7 +88,8 @@ def stream_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = c.where(F.col("role") == "assistant").groupBy("conv_id").agg(
         F.min_by("text", F.col("turn")).alias("ideal_answer")).withColumnRenamed("conv_id", "id")
     counts, norms = SC.bank_term_counts(bank)
-    answers = read_stream(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
+    answers = read_stream(spark, sf_dir, "conversations", parts_dir=parts_dir) \
+        .where(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"),
         F.col("conv_id").alias("question_id"), F.col("text").alias("user_answer"))
     out = scratch_path(spark, "st1-text-out")
@@ -107,9 +110,10 @@ def stream_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], "answer_id bigint, question_id bigint, score double")
 
 
-def stream_user_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_user_stats(spark: SparkSession, sf_dir: str,
+                      parts_dir: str | None = None) -> DataFrame:
     """ST2: running per-user totals, average and best (update mode)."""
-    s = read_stream(spark, sf_dir, "events").select(
+    s = read_stream(spark, sf_dir, "events", parts_dir=parts_dir).select(
         "user_id", S.score_of("value").alias("overall_score"))
     agg = s.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_interviews"),
@@ -156,12 +160,13 @@ def stream_smoothed_scores(spark: SparkSession, sf_dir: str,
                    "user_id bigint, category string, smoothed_score double, n bigint")
 
 
-def stream_dedupe(spark: SparkSession, sf_dir: str, delay: str = "1 day") -> DataFrame:
+def stream_dedupe(spark: SparkSession, sf_dir: str, delay: str = "1 day",
+                  parts_dir: str | None = None) -> DataFrame:
     """ST4: drop re-posted submissions (same answer arriving again) within a
     watermark. The stream is read twice and unioned, so every submission is
     planted twice. ``timestamp_ntz`` cannot carry a watermark: cast first."""
     def answers():
-        e = read_stream(spark, sf_dir, "events")
+        e = read_stream(spark, sf_dir, "events", parts_dir=parts_dir)
         return e.select(
             F.col("event_id").alias("answer_id"),
             (F.col("user_id") * S.SESSION_DAY_FACTOR + F.unix_date(F.to_date("ts"))).alias("session_id"),
