@@ -28,6 +28,8 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
     "spark.sql.session.timeZone": "UTC",
+    # checkpoints written by the operators are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # spark.checkpoint.dir: a shared folder (HDFS/object store) of the cluster
 }
 
