@@ -43,6 +43,8 @@ def entry(spark: SparkSession) -> DataFrame:
 # --- sources and sinks -----------------------------------------------------------
 
 def q_io1_read_question_set(spark, sf):
+    """IO1: the benchmark items written as a JSON question set and read back under the fixed
+    two-column schema."""
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, "question_set")
     IO.write_question_set(S.question_set(spark, sf), path)
@@ -66,12 +68,14 @@ def q_io2_load_bank(spark, sf):
 
 
 def q_io3_table_round_trip(spark, sf):
+    """IO3: all sessions written month-partitioned under the fixed schema and read back."""
     path = scratch_path(spark, "interview_session")
     IO.write_table(S.sessions(spark, sf), path, "interview_session")
     return IO.read_table(spark, path, "interview_session")
 
 
 def q_io4_clean_csv_round_trip(spark, sf):
+    """IO4: the cleaned question set written as CSV (arrays as JSON) and read back."""
     cleaned = RP.clean_question_set(S.question_set(spark, sf).select("question", "ideal_answer"))
     path = scratch_path(spark, "clean_csv")
     IO.write_clean_csv(cleaned, path)
@@ -79,6 +83,8 @@ def q_io4_clean_csv_round_trip(spark, sf):
 
 
 def q_io5_assign_ids(spark, sf):
+    """IO5: customers of one segment play the stored table; every other customer gets a serial
+    id above its maximum (all rows take part)."""
     c = S.table(spark, sf, "customer")
     existing = c.where(F.col("c_mktsegment") == "BUILDING")
     new = c.where(F.col("c_mktsegment") != "BUILDING").select("c_custkey")
@@ -86,6 +92,8 @@ def q_io5_assign_ids(spark, sf):
 
 
 def q_io6_append_rows(spark, sf):
+    """IO6: sessions before the split are stored; the later ones are appended without score and
+    size columns, which take their defaults."""
     s = S.sessions(spark, sf)
     old = s.where(F.col("interview_date") < F.lit(SPLIT_TS).cast("timestamp_ntz"))
     new = s.where(F.col("interview_date") >= F.lit(SPLIT_TS).cast("timestamp_ntz")) \
@@ -100,6 +108,8 @@ def q_p1_project(spark, sf):
 
 
 def q_p2_user_filter(spark, sf):
+    """The equality filter by user is the operator under test (pushed into the scan), not a
+    cut of the data."""
     return S.sessions(spark, sf).where(F.col("user_id") == ONE_USER)
 
 
@@ -219,6 +229,8 @@ def _registrations(spark, sf):
 
 
 def q_t7_registration_checks(spark, sf):
+    """Every customer as a registration; e-mails built from segment and nation collide on
+    purpose; customers of nations 0-2 play the existing accounts."""
     reg = _registrations(spark, sf)
     existing = reg.where(F.col("c_nationkey") < 3).select("email")
     return Q.registration_checks(reg, existing)
@@ -242,6 +254,8 @@ def q_j1_answer_question(spark, sf):
 
 
 def q_j2_link_accounts(spark, sf):
+    """Every account linked to its user by normalised e-mail; one segment has no user row,
+    so unmatched accounts show."""
     users = S.users(spark, sf).where(F.col("c_mktsegment") != "AUTOMOBILE")
     return Q.link_accounts(S.accounts(spark, sf), users)
 
@@ -257,11 +271,15 @@ def _j3_parts(spark, sf):
 
 
 def q_j3_insert_if_absent(spark, sf):
+    """One segment is the target; all customers are inserted if their e-mail is absent,
+    first by id within the batch."""
     target, batch = _j3_parts(spark, sf)
     return Q.insert_if_absent(target, batch, ["email"], ["id"])
 
 
 def q_j4_upsert_performance(spark, sf):
+    """The smoothed score of sessions before the split is the stored state; later sessions
+    are applied to it (equal to folding all in order)."""
     s = S.sessions(spark, sf)
     cut = F.lit(SPLIT_TS).cast("timestamp_ntz")
     keys = ["user_id", "category"]
@@ -272,6 +290,8 @@ def q_j4_upsert_performance(spark, sf):
 
 
 def q_j5_update_session_scores(spark, sf):
+    """Every session starts at 0.0; sessions get the mean of their non-error answers,
+    sessions with none keep 0.0."""
     a = RU.dedupe_submissions(S.answers(spark, sf))
     sessions = a.groupBy("session_id").agg(F.lit(0.0).alias("overall_score")) \
                 .withColumnRenamed("session_id", "id")
@@ -388,6 +408,8 @@ def q_w5_last_flag(spark, sf):
 
 
 def q_w6_user_latest(spark, sf):
+    """The single-user form of W1; the user filter and the top 10 are the operator under
+    test."""
     return RK.user_latest(S.sessions(spark, sf), ONE_USER).select(
         "id", "interview_date", "overall_score")
 
