@@ -9,6 +9,7 @@ is compared by rows only.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -458,11 +459,27 @@ def q_r4_close_sessions(spark, sf):
     return RP.close_sessions(S.answers(spark, sf))
 
 
+def _training_data():
+    """The optional subpackage and pipeline: (queries, oracle SQL), both empty
+    where the subpackage has been removed."""
+    if importlib.util.find_spec("quizlens.llm") is None:
+        return {}, {}
+    from quizlens.llm import queries as L
+    qs, sql = dict(L.QUERIES), dict(L.ORACLE)
+    if importlib.util.find_spec("corpus_pipeline") is not None:
+        import corpus_pipeline as P
+        qs["pipeline"] = P.run
+        if P.ORACLE_SQL:
+            sql["pipeline"] = P.ORACLE_SQL
+    return qs, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     g = globals()
-    return {k[2:]: v for k, v in g.items() if k.startswith("q_") and callable(v)}
+    own = {k[2:]: v for k, v in g.items() if k.startswith("q_") and callable(v)}
+    return own | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     from quizlens.plans.oracle_queries import ORACLE
-    return dict(ORACLE)
+    return dict(ORACLE) | _training_data()[1]
