@@ -5,8 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quizlens.llm import bpe as BPE
 from quizlens.llm import exact_dedup as ED
+from quizlens.llm import langid as LG
 from quizlens.llm import mixing as MX
+from quizlens.llm import toxicity as TX
 from quizlens.llm import url_filter as UF
 from quizlens.llm.common import table, written
 
@@ -14,12 +17,51 @@ URL_RULES = [UF.Rule("net", "/", "block"), UF.Rule("example.net", "/en/", "allow
              UF.Rule("example.com", "/de/", "block"), UF.Rule("org", "/fr/", "allow")]
 
 
+def _fold(n):
+    """The documents' fold: crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def q_op1_exact_dedup(spark, sf):
     """Exact copies by tree-merged digest runs; the largest doc_id stays."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     return ED.exact_dedup(d, keep_largest=True)
 
 
+def q_op5_language_id(spark, sf):
+    """Every document's language by compression; learned from the labelled
+    documents of two folds of three."""
+    d = table(spark, sf, "documents")
+    learned = LG.learn(d.where(_fold(3) != 1), "doc_id", "text", "lang")
+    named = d.select("doc_id", (_fold(3) == 1).alias("held_out"), "text")
+    return LG.identify(named, learned, columns=("doc_id", "held_out"), min_margin=0.0)
+
+
+def q_op7_byte_bpe(spark, sf):
+    """Every document encoded and decoded with the public byte-level ranks."""
+    import public_tokenizers as P
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return BPE.encode_rows(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, columns=("doc_id",))
+
+
+def toxicity_model(spark, docs, sf):
+    """Trained on labels of the folds that are not held out; the class prior
+    is the toxic share of those labels."""
+    labels = table(spark, sf, "labels").where((_fold(5) != 0) & F.col("toxic").isNotNull())
+    prior = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    return TX.fit(docs.where(_fold(5) != 0), labels.where("toxic = 1").select("doc_id"), prior)
+
+
+def q_op10_toxicity(spark, sf):
+    """Every document scored by the positive-unlabelled classifier."""
+    d = table(spark, sf, "documents")
+    model = toxicity_model(spark, d.select("doc_id", "text"), sf)
+    rows = d.select("doc_id", (_fold(5) == 0).alias("held_out"), "text")
+    return TX.score_rows(rows, model, columns=("doc_id", "held_out")).select(
+        "doc_id", "held_out", F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def q_op8_url_filter(spark, sf):
     """Every page's url judged by the trie of block and allow entries."""
     p = table(spark, sf, "pages").select("page_id", "url")
