@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quizlens.llm import bpe as BPE
 from quizlens.llm import exact_dedup as ED
+from quizlens.llm import jaccard as JC
 from quizlens.llm import langid as LG
 from quizlens.llm import mixing as MX
 from quizlens.llm import toxicity as TX
@@ -37,6 +38,12 @@ def q_op5_language_id(spark, sf):
     return LG.identify(named, learned, columns=("doc_id", "held_out"), min_margin=0.0)
 
 
+def q_op6_ngram_jaccard(spark, sf):
+    """Components of all documents by shared 5-word shingles, 0.75 or more."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return JC.near_duplicates(d)
+
+
 def q_op7_byte_bpe(spark, sf):
     """Every document encoded and decoded with the public byte-level ranks."""
     import public_tokenizers as P
