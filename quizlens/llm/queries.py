@@ -12,6 +12,7 @@ from quizlens.llm import langid as LG
 from quizlens.llm import mixing as MX
 from quizlens.llm import toxicity as TX
 from quizlens.llm import url_filter as UF
+from quizlens.llm import vptree as VP
 from quizlens.llm.common import table, written
 
 URL_RULES = [UF.Rule("net", "/", "block"), UF.Rule("example.net", "/en/", "allow"),
@@ -29,6 +30,11 @@ def q_op1_exact_dedup(spark, sf):
     return ED.exact_dedup(d, keep_largest=True)
 
 
+def q_op2_nearest_vectors(spark, sf):
+    """The 5 nearest rows of every 50th vector, by exact vantage-point search."""
+    return VP.nearest(table(spark, sf, "embeddings"), F.col("id") % 50 == 0, "vec_id", "embedding", k=5, factor=1.0)
+
+
 def q_op5_language_id(spark, sf):
     """Every document's language by compression; learned from the labelled
     documents of two folds of three."""
@@ -96,6 +102,16 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op2_nearest_vectors": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+                   WHERE embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 5""",
     "op8_url_filter": f"""
         WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest
                    FROM pages),
