@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from quizlens.llm import bpe as BPE
 from quizlens.llm import exact_dedup as ED
+from quizlens.llm import html_text as HT
 from quizlens.llm import jaccard as JC
 from quizlens.llm import langid as LG
 from quizlens.llm import mixing as MX
+from quizlens.llm import quotes as QT
 from quizlens.llm import toxicity as TX
 from quizlens.llm import url_filter as UF
 from quizlens.llm import vptree as VP
@@ -35,6 +37,18 @@ def q_op2_nearest_vectors(spark, sf):
     return VP.nearest(table(spark, sf, "embeddings"), F.col("id") % 50 == 0, "vec_id", "embedding", k=5, factor=1.0)
 
 
+def q_op3_quote_linking(spark, sf):
+    """All conversations, sent as mails that quote the two messages before
+    them (the table itself holds no quotes), linked and freed of quotes."""
+    mails = QT.as_mail(table(spark, sf, "conversations"))
+    return QT.conversations(mails)
+
+
+def q_op4_html_text(spark, sf):
+    """The main text of every page."""
+    return HT.main_text(table(spark, sf, "pages"))
+
+
 def q_op5_language_id(spark, sf):
     """Every document's language by compression; learned from the labelled
     documents of two folds of three."""
@@ -112,6 +126,14 @@ ORACLE = {
         SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 5""",
+    "op3_quote_linking": """
+        WITH m AS (SELECT conv_id, turn, role, trim(text, ' \n') AS text,
+                          lag(turn) OVER w AS prev, trim(lag(text) OVER w) <> '' AS said
+                   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        p AS (SELECT *, CASE WHEN prev = turn - 1 AND said THEN prev END AS parent FROM m),
+        s AS (SELECT *, max(CASE WHEN parent IS NULL THEN turn END)
+                        OVER (PARTITION BY conv_id ORDER BY turn) AS root FROM p)
+        SELECT conv_id, turn, role, text, parent, root, turn - root AS depth FROM s""",
     "op8_url_filter": f"""
         WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest
                    FROM pages),
