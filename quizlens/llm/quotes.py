@@ -9,6 +9,7 @@ most often. Parents give every message a root and a depth by pointer doubling.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -111,18 +112,31 @@ def link_quotes(passages: DataFrame) -> DataFrame:
 
 def with_ancestry(messages: DataFrame) -> DataFrame:
     """``messages`` (thread, position, parent, ...) plus root and depth, by
-    pointer doubling: each round a message's jump is doubled."""
-    up = messages.select("thread", "position", F.coalesce("parent", "position").alias("top"),
-                         F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    up = written(up.distinct(), "ancestry")
+    pointer doubling: each round doubles a message's jump. A message whose
+    jump has reached a root is set aside, so later rounds join only what is
+    left of the long chains."""
+    up = written(messages.select(
+        "thread", "position", F.coalesce("parent", "position").alias("top"),
+        F.col("parent").isNotNull().cast("long").alias("depth")).distinct(), "ancestry")
+    done = [up.where("depth = 0")]
+    live = up.where("depth > 0")
     for _ in range(MAX_ROUNDS):
-        above = up.select("thread", F.col("position").alias("top"), F.col("top").alias("top2"), F.col("depth").alias("more"))
-        up = written(up.join(above, ["thread", "top"]).select(
-            "thread", "position", F.col("top2").alias("top"), (F.col("depth") + F.col("more")).alias("depth")), "ancestry")
-        open_ = up.join(up.where("depth > 0").select("thread", F.col("position").alias("top")), ["thread", "top"], "left_semi")
-        if open_.isEmpty():
+        above = up.select("thread", F.col("position").alias("top"), F.col("top").alias("top2"),
+                          F.col("depth").alias("more"))
+        # a jump that ends on a root stays there
+        moved = written(live.join(above, ["thread", "top"]).select(
+            "thread", "position", F.col("top2").alias("top"), (F.col("depth") + F.col("more")).alias("depth"),
+            (F.col("more") == 0).alias("done")), "ancestry")
+        done.append(moved.where("done").drop("done"))
+        live = moved.where("NOT done").drop("done")
+        if live.isEmpty():
             break
-    return messages.join(up.select("thread", "position", F.col("top").alias("root"), "depth"), ["thread", "position"])
+        # what is set aside ends chains: its jump is to its root
+        up = functools.reduce(DataFrame.unionByName, [*done, live])
+    else:
+        raise RuntimeError(f"a chain of replies did not end in {MAX_ROUNDS} doublings")
+    all_ = functools.reduce(DataFrame.unionByName, done)
+    return messages.join(all_.select("thread", "position", F.col("top").alias("root"), "depth"), ["thread", "position"])
 
 
 def conversations(messages: DataFrame, thread: str = "conv_id", position: str = "turn", role: str = "role",
