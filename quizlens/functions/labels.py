@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quizlens.functions.text import is_blank, strip
+
 # --- fixed values ------------------------------------------------------------
 CATEGORY_LABELS = {
     "hr": "HR Interview",
@@ -110,8 +112,7 @@ def preview(text, n: int) -> Column:
 
 def answer_status(answer) -> Column:
     """A blank (or null) answer is "Skipped", else "Answered"."""
-    a = F.trim(F.coalesce(_c(answer), F.lit("")))
-    return F.when(a == "", "Skipped").otherwise("Answered")
+    return F.when(is_blank(answer), "Skipped").otherwise("Answered")
 
 
 def progress_pct(index0, n) -> Column:
@@ -127,11 +128,11 @@ def completion(answered, total=None) -> Column:
 
 def display_name(first_name) -> Column:
     """The first name, or "Guest" when blank."""
-    n = F.nullif(F.trim(_c(first_name)), F.lit(""))
+    n = F.nullif(strip(first_name), F.lit(""))
     return F.coalesce(n, F.lit("Guest"))
 
 
 def initial(first_name) -> Column:
     """The upper-cased first letter of the name, or "G"."""
-    n = F.nullif(F.trim(_c(first_name)), F.lit(""))
+    n = F.nullif(strip(first_name), F.lit(""))
     return F.coalesce(F.upper(F.substring(n, 1, 1)), F.lit("G"))

@@ -25,6 +25,9 @@ OTHER_SPACES = ("\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680"
                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
                 "\u2028\u2029\u202f\u205f\u3000")
 
+# All of it, as a text to strip from the ends.
+STRIPPED = " \t\n\f\r" + OTHER_SPACES
+
 # Contractions the Treebank word tokenizer splits that can survive cleaning
 # (all others contain an apostrophe, which cleaning deletes).
 CONTRACTIONS = {
@@ -113,39 +116,34 @@ def remove_stop_words(tokens, stop_words: list[str] | None = None) -> Column:
     return F.filter(_c(tokens), lambda w: ~w.isin(sw))
 
 
-def lemma_of(t: Column, exceptions: dict[str, str] | None = None) -> Column:
-    """Lemma of one token from a fixed exception table; unknown tokens are
-    kept. Suffix rules need a lexicon and live in ``lemma_dictionary``."""
-    exc = IRREGULAR_NOUNS if exceptions is None else exceptions
-    if not exc:
-        return t
-    m = F.create_map(*[F.lit(x) for kv in sorted(exc.items()) for x in kv])
-    return F.coalesce(F.element_at(m, t), t)
-
-
-def lemmatize(tokens, exceptions: dict[str, str] | None = None) -> Column:
-    """T4 without a join: each token through the fixed exception table."""
-    return F.transform(_c(tokens), lambda t: lemma_of(t, exceptions))
-
-
 def join_tokens(tokens) -> Column:
     """T5: tokens joined by single blanks."""
     return F.array_join(_c(tokens), " ")
 
 
+def strip(x) -> Column:
+    """Without white space of any kind (tabs and line breaks too) at its ends."""
+    return F.btrim(_c(x), F.lit(STRIPPED))
+
+
 def normalise_email(e) -> Column:
-    """E-mail as stored: trimmed and lower-cased."""
-    return F.lower(F.trim(_c(e)))
+    """E-mail as stored: stripped and lower-cased."""
+    return F.lower(strip(e))
 
 
 def normalise_name(n) -> Column:
-    """Names as stored: trimmed."""
-    return F.trim(_c(n))
+    """Names as stored: stripped."""
+    return strip(n)
 
 
 def strip_answer(a) -> Column:
     """Answer as stored: stripped; null counts as empty."""
-    return F.trim(F.coalesce(_c(a), F.lit("")))
+    return strip(F.coalesce(_c(a), F.lit("")))
+
+
+def is_blank(a) -> Column:
+    """True for a null answer and one of white space only."""
+    return strip_answer(a) == ""
 
 
 def rule_candidates(token: Column) -> Column:

@@ -5,9 +5,9 @@ the noun suffix rules are tried and a form is accepted only if a lexicon
 (a table of known words) holds it; among accepted forms the shortest wins,
 ties going to the earlier rule, the token itself first. Unknown tokens stay.
 
-Work is done on the distinct tokens (partially aggregated), then joined back
-to the token positions and re-collected in order per row, so order, repeats
-and empty lists survive.
+Work is done on the distinct tokens (partially aggregated); the changes found
+are joined to each row's distinct tokens and applied to its list in place, so
+order, repeats and empty lists survive.
 """
 
 from __future__ import annotations
@@ -16,9 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlens.functions import text as TX
-from quizlens.session import checkpointed, small_side, spread
-
-DICT_MAX_ROWS = 2_000_000
+from quizlens.session import small_side, spread, written
 
 
 def lemma_dictionary(tokens: DataFrame, lemmas: DataFrame | None = None,
@@ -52,29 +50,27 @@ def lemma_dictionary(tokens: DataFrame, lemmas: DataFrame | None = None,
 
 def lemmatize_rows(df: DataFrame, key: str, tokens_col: str, out: str,
                    lemmas: DataFrame | None = None, lexicon: DataFrame | str | None = None,
-                   materialize: bool = True) -> DataFrame:
+                   is_written: bool = False) -> DataFrame:
     """(key, out): the lemmas of ``tokens_col`` in order for every row of df
     (``key`` must be unique). ``lexicon='corpus'`` takes the tokens of df
     themselves as the lexicon.
 
-    The (key, tokens) pairs are written once (checkpoint) because three
-    branches read them: the lexicon, the dictionary and the positions; the
-    cleaning upstream then runs once. The dictionary is built on distinct
-    tokens and only its changed entries (lemma != token) are joined to the
-    positions, broadcast when their checked size allows, else shuffled.
+    The (key, tokens) pairs are written once (unless df already is): the
+    lexicon, the dictionary, the changes and the rows read them, each only its
+    columns. Of a row only the distinct tokens that change are joined and
+    collected, into a map; the row's list is then mapped in place, so the
+    other tokens never cross the network by themselves.
     """
-    base = spread(df.select(key, tokens_col))
-    if materialize:
-        base = checkpointed(base)
-    pos = base.select(key, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    d = lemma_dictionary(pos, lemmas, lexicon)
-    changes = checkpointed(d.where(F.col("lemma") != F.col("token")))
-    return (pos.join(small_side(changes, DICT_MAX_ROWS), "token", "left")
-            .groupBy(key)
-            .agg(F.sort_array(F.collect_list(
-                F.when(F.col("pos").isNotNull(),
-                       F.struct("pos", F.coalesce("lemma", "token").alias("lemma"))))).alias("_l"))
-            .select(key, F.col("_l.lemma").alias(out)))
+    base = df.select(key, tokens_col) if is_written else written(spread(df.select(key, tokens_col)), "tokens")
+    tokens = base.select(F.explode(tokens_col).alias("token"))
+    d = lemma_dictionary(tokens, lemmas, lexicon)
+    changes = written(d.where(F.col("lemma") != F.col("token")), "changes")
+    own = base.select(key, F.explode(F.array_distinct(tokens_col)).alias("token"))
+    maps = own.join(small_side(changes, is_written=True), "token").groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_m"))
+    mapped = F.transform(tokens_col, lambda t: F.coalesce(F.element_at("_m", t), t))
+    return base.join(maps, key, "left").select(
+        key, F.when(F.col("_m").isNull(), F.col(tokens_col)).otherwise(mapped).alias(out))
 
 
 def remove_stop_words_table(df: DataFrame, key: str, tokens_col: str, out: str,
@@ -88,7 +84,7 @@ def remove_stop_words_table(df: DataFrame, key: str, tokens_col: str, out: str,
     pos = spread(df.select(key, tokens_col)).select(
         key, F.posexplode_outer(tokens_col).alias("pos", "token"))
     kept = F.when(F.col("pos").isNotNull() & F.col("_stop").isNull(), F.struct("pos", "token"))
-    return (pos.join(small_side(sw, DICT_MAX_ROWS), "token", "left")
+    return (pos.join(small_side(sw), "token", "left")
             .groupBy(key)
             .agg(F.sort_array(F.collect_list(kept)).alias("_k"))
             .select(key, F.col("_k.token").alias(out)))

@@ -7,12 +7,11 @@ so a user with a third of all sessions still sends k rows per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlens.functions import labels
 from quizlens.functions.rounding import py_round1
-from quizlens.sources.io import global_rank
 
 
 def latest_sessions(sessions: DataFrame, k: int = 10, user: str = "user_id",
@@ -56,26 +55,36 @@ def first_questions(questions: DataFrame, k: int = 10, category: str = "category
     return questions.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
-def grouped_positions(df: DataFrame, group: str, order_cols: list[str],
+def grouped_positions(df: DataFrame, group: str, order_cols: list[str], bucket: Column,
                       out: str = "ordinal") -> DataFrame:
     """1-based position of each row inside its group, the group size and a
-    last-row flag, without a per-group window: a global rank over (group,
-    order) (range-partitioned, so a hot group spans many tasks), then the
-    first rank and the size of each group by a partial aggregate, joined back
-    (AQE splits a hot group in that join)."""
-    r = global_rank(df, [group] + order_cols, out="_grank")
-    g = r.groupBy(group).agg(F.min("_grank").alias("_g0"), F.count(F.lit(1)).alias("n_in_group"))
-    return (r.join(g, group)
-            .withColumn(out, F.col("_grank") - F.col("_g0") + 1)
+    last-row flag, with all other columns kept.
+
+    ``bucket`` must never fall where the order rises (say, the hour of the
+    first order column). Rows are counted per (group, bucket); a prefix sum
+    over a group's buckets gives each bucket's start, and rows are numbered
+    inside (group, bucket) only, so a group with a third of all rows is spread
+    over its buckets. A null group is one group."""
+    keyed = df.withColumn("_g", F.struct(F.col(group).alias("k"))).withColumn("_b", bucket)
+    counts = keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    of_group = Window.partitionBy("_g")
+    before = of_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_g", F.struct(F.col("_b").alias("k")).alias("_bk"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+                           F.sum("_n").over(of_group).alias("n_in_group"))
+    inside = Window.partitionBy("_g", "_bk").orderBy(*order_cols)
+    # a struct that holds a null key still equals itself, so null groups join
+    return (keyed.withColumn("_bk", F.struct(F.col("_b").alias("k"))).join(starts, ["_g", "_bk"])
+            .withColumn(out, F.col("_start") + F.row_number().over(inside))
             .withColumn("is_last", F.col(out) == F.col("n_in_group"))
-            .drop("_grank", "_g0"))
+            .drop("_g", "_b", "_bk", "_start"))
 
 
 def question_positions(answers: DataFrame, session: str = "session_id",
                        ts: str = "answered_at", key: str = "answer_id") -> DataFrame:
     """W4 + W5 + P14: 1-based ordinal of each answer in its session, the
     last-question flag, and the progress shown before it (index / n)."""
-    p = grouped_positions(answers, session, [ts, key])
+    p = grouped_positions(answers, session, [ts, key], F.date_trunc("hour", F.col(ts)))
     return (p.withColumnRenamed("n_in_group", "n_in_session")
             .withColumn("progress_pct", labels.progress_pct(F.col("ordinal") - 1, F.col("n_in_session"))))
 

@@ -14,15 +14,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlens.functions import labels
+from quizlens.functions.text import is_blank
 from quizlens.functions.rounding import exact_mean, py_round1, sql_round1_mean, units
-from quizlens.session import checkpointed, has_at_most, small_side
+from quizlens.session import small_side, written
+from quizlens.sources.io import assign_ids
 
 # Rows of one key folded in one task. A key with more rows is cut into
 # ordered range slices of about this many rows.
 CHUNK_ROWS = 1_000_000
-# States of the 0.1 grid a slice's transfer map starts from: scores in
-# [-100, 100] need 2,001; a wider range is refused rather than guessed.
-MAX_STATES = 200_000
+# Scores of a slice that are kept as they are before its map begins: 64
+# halvings bring any two states within a step of the 0.1 grid.
+PREFIX = 64
 
 
 # --- A1, A2, A3 ----------------------------------------------------------------
@@ -84,13 +86,12 @@ def dedupe_submissions(answers: DataFrame, session: str = "session_id",
                        question: str = "question_id", ts: str = "answered_at",
                        key: str = "answer_id") -> DataFrame:
     """Keep the first submission (by time, then id) of each (session,
-    question). ``min_by`` over a struct is partially aggregated, so a flood of
-    re-posts of one key collapses on the map side instead of in one task."""
-    others = [c for c in answers.columns if c not in (session, question)]
-    first = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(F.col(ts), F.col(key)))
-    agg = answers.groupBy(session, question).agg(first.alias("_r"))
-    return agg.select(*[F.col(c) if c in (session, question) else F.col(f"_r.{c}").alias(c)
-                        for c in answers.columns])
+    question); answers without a question id are each kept. ``row_number() =
+    1`` plans a window group limit, so a flood of re-posts of one key
+    collapses on the map side instead of in one task."""
+    own = F.when(F.col(question).isNull(), F.col(key))
+    w = Window.partitionBy(session, question, own).orderBy(ts, key)
+    return answers.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def session_scores(answers: DataFrame, skipped: str = "exclude", session: str = "session_id",
@@ -102,7 +103,7 @@ def session_scores(answers: DataFrame, skipped: str = "exclude", session: str =
     ``skipped='exclude'`` leaves blank answers out of the mean (a skip adds no
     answer); ``'zero'`` counts them with score 0.
     """
-    blank = F.trim(F.coalesce(F.col(answer), F.lit(""))) == ""
+    blank = is_blank(answer)
     if skipped == "exclude":
         s = F.when(~blank, F.col(score))
     elif skipped == "zero":
@@ -130,18 +131,21 @@ def _fold(items: Column) -> Column:
                        items[0]["x"], lambda s, r: _step(s, r["x"]))
 
 
-def _transfer(items: Column, lo10: Column, hi10: Column) -> Column:
-    """The chunk as a function of the incoming state, for chunks that do not
-    start a key. After the chunk's first row the state is on the 0.1 grid in
-    [lo10, hi10] / 10; the fold maps that grid monotonically and halves
-    distances each step, so the map is kept as breakpoints
-    array<struct<lo, out>> (out for every state >= lo) with equal neighbours
-    merged. It shrinks to one or two entries within a dozen rows."""
-    span = F.when(hi10 - lo10 <= MAX_STATES, hi10).otherwise(
-        F.raise_error(F.lit("smoothed score: score range too wide for the state grid")).cast("bigint"))
-    init = F.transform(F.sequence(lo10, span),
-                       lambda k: F.struct((k / 10.0).alias("lo"), (k / 10.0).alias("out"),
-                                          F.lit(True).alias("keep")))
+def _transfer(items: Column, lo: Column, hi: Column) -> Column:
+    """The slice as a function of the incoming state, for slices that do not
+    start a key: its first PREFIX scores as they are, then a map of
+    breakpoints for the rest.
+
+    Every step is monotone and halves distances, so after PREFIX rows the
+    states that started anywhere in [lo, hi] (which allows for rounding) lie between the folds of lo and
+    hi, a few points of the 0.1 grid apart whatever the range of scores. The
+    rest of the slice maps those points; the map is kept as array<struct<lo,
+    out>> (out for every state >= lo) with equal neighbours merged."""
+    head, rest = F.slice(items, 1, PREFIX), F.slice(items, PREFIX + 1, F.greatest(F.size(items) - PREFIX, F.lit(1)))
+    through = lambda s: F.aggregate(head, s, lambda t, r: _step(t, r["x"]))
+    points = F.sequence(F.rint(through(lo) * 10.0).cast("bigint"), F.rint(through(hi) * 10.0).cast("bigint"))
+    init = F.transform(points, lambda k: F.struct((k / 10.0).alias("lo"), (k / 10.0).alias("out"),
+                                                  F.lit(True).alias("keep")))
 
     def step(acc, r):
         moved = F.transform(acc, lambda b, i: F.struct(
@@ -151,102 +155,102 @@ def _transfer(items: Column, lo10: Column, hi10: Column) -> Column:
             .alias("keep")))
         return F.filter(moved, lambda b: b["keep"])
 
-    return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), init, step)
+    table = F.when(F.size(items) > PREFIX, F.aggregate(rest, init, step))
+    return F.struct(F.transform(head, lambda r: r["x"]).alias("head"), table.alias("map"))
 
 
-def _apply(g: Column, t: Column) -> Column:
-    """Look a grid state up in a breakpoint map."""
-    hits = F.filter(g, lambda b: b["lo"] <= t + 0.05)
-    return F.element_at(hits, -1)["out"]
+def _apply(g: Column, s: Column) -> Column:
+    """The state after a slice, from the state before it."""
+    t = F.aggregate(g["head"], s, lambda acc, x: _step(acc, x))
+    # the first entry also holds every state below it
+    hit = F.element_at(g["map"], F.greatest(F.size(F.filter(g["map"], lambda b: b["lo"] <= t + 0.05)), F.lit(1)))
+    return F.when(g["map"].isNull(), t).otherwise(hit["out"])
 
 
 def _slice_hot_keys(r: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
     """Add ``_chunk`` (slice of a hot key, in order; 0 for other keys),
-    ``_hot`` and the key's score range in tenths (``_lo10``, ``_hi10``).
+    ``_hot`` and the key's range of scores (``_lo``, ``_hi``).
 
     Hot keys (more than ``chunk_rows`` rows; at most total/chunk_rows of
-    them) are found by one partial aggregate, checkpointed and broadcast
-    after a size check. Their rows alone are range-partitioned on (key, time,
-    id) into ceil(hot rows / chunk_rows) partitions: each partition is a
-    contiguous run of a key's order whatever the time distribution (bursts of
-    equal timestamps included), and the partition index orders the slices.
+    them) are found by one partial aggregate and written once. Their rows
+    alone are range-partitioned on (key, time, id) into ceil(hot rows /
+    chunk_rows) partitions: each partition is a contiguous run of a key's
+    order whatever the time distribution (bursts of equal timestamps
+    included), and the partition index orders the slices.
     """
-    stats = r.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.floor(F.min("x") * 10.0).alias("_lo10"), F.ceil(F.max("x") * 10.0).alias("_hi10"))
-    hot = checkpointed(stats.where(F.col("_n") > chunk_rows))
+    stats = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    hot = written(stats.where(F.col("_n") > chunk_rows), "hot-keys")
     hot_rows_total = hot.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    hb = small_side(hot.select(*keys, "_lo10", "_hi10"))
-    cold = (r.join(hb.select(*keys), keys, "left_anti")
-            .withColumn("_chunk", F.lit(0)).withColumn("_hot", F.lit(False))
-            .withColumn("_lo10", F.lit(None).cast("bigint")).withColumn("_hi10", F.lit(None).cast("bigint")))
+    none = F.lit(None).cast("double")
     if hot_rows_total == 0:
-        return cold
+        return r.select("*", F.lit(0).alias("_chunk"), F.lit(False).alias("_hot"), none.alias("_lo"), none.alias("_hi"))
+    hb = small_side(hot.select(*keys, "_lo", "_hi"), is_written=True).select(
+        *[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], "_lo", "_hi")
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_h{i}"))
+    cold = r.join(hb, cond, "left_anti").select(
+        "*", F.lit(0).alias("_chunk"), F.lit(False).alias("_hot"), none.alias("_lo"), none.alias("_hi"))
     n_parts = max(2, -(-hot_rows_total // chunk_rows))
-    hot_r = (r.join(hb, keys, "inner")
+    hot_r = (r.join(hb, cond).select(*r.columns, "_lo", "_hi")
              .repartitionByRange(n_parts, *[F.col(k) for k in keys], F.col("_ts"), F.col("_id"))
              .withColumn("_chunk", F.spark_partition_id()).withColumn("_hot", F.lit(True)))
     return cold.unionByName(hot_r)
 
 
 def smoothed_scores(rows: DataFrame, keys: list[str], ts: str, tiebreak: str, score: str,
-                    chunk_rows: int = CHUNK_ROWS, out: str = "smoothed_score") -> DataFrame:
+                    chunk_rows: int = CHUNK_ROWS, out: str = "smoothed_score",
+                    stands_for: str | None = None) -> DataFrame:
     """Per key, the first score, then ``py_round1((old + new) / 2)`` for
     every further score in (ts, tiebreak) order. Also returns n and the true
-    mean beside it.
-
-    Plan: when the input has at most ``chunk_rows`` rows in all (a bounded
-    count), every key is one slice. Otherwise one partial aggregate gives
-    per-key counts and score range; keys with more than ``chunk_rows`` rows
-    (at most total/chunk_rows of them, so the table is bounded) are cut into
-    ordered range slices of about ``chunk_rows`` rows; rows are grouped by
-    (key, slice) and each slice is folded natively. The first slice of a key yields its
-    value, later slices a breakpoint map; maps are applied in slice order in
-    one last small group-by.
+    mean beside it. A row without a score counts in n and changes nothing
+    else; a key without any score has null for both. ``stands_for`` names a
+    column with the number of rows a row stands for in n (a stored state).
+
+    One plan for every size: a partial aggregate gives per-key counts and
+    score range; keys with more than ``chunk_rows`` rows are cut into ordered
+    slices of about that many; rows are grouped by (key, slice) and each slice
+    is folded natively. The first slice of a key yields its value, later
+    slices a function of the state before them; these are applied in slice
+    order in one last small group-by.
     """
     r = rows.select(*keys, F.col(ts).alias("_ts"), F.col(tiebreak).alias("_id"),
-                    F.col(score).alias("x"))
-    items = F.sort_array(F.collect_list(F.struct("_ts", "_id", "x")))
-    if has_at_most(r, chunk_rows):
-        # No key can exceed the chunk size (the check reads at most
-        # chunk_rows+1 rows): one group-by per key, folded directly.
-        one = r.groupBy(*keys).agg(items.alias("_items"), F.count(F.lit(1)).alias("n"),
-                                   F.sum(units("x")).alias("_usum"), F.count("x").alias("_xn"))
-        return one.select(*keys, _fold(F.col("_items")).alias(out), "n",
-                          py_round1(F.col("_usum") / (F.col("_xn") * 10000.0)).alias("mean_score"))
+                    F.col(score).cast("double").alias("x"),
+                    (F.col(stands_for) if stands_for else F.lit(1)).cast("bigint").alias("_w"))
     r = _slice_hot_keys(r, keys, chunk_rows)
-
-    chunks = (r.groupBy(*keys, "_chunk", "_hot", "_lo10", "_hi10")
-              .agg(items.alias("_items"), F.count(F.lit(1)).alias("_cn"),
+    scored = F.when(F.col("x").isNotNull(), F.struct("_ts", "_id", "x"))
+    chunks = (r.groupBy(*keys, "_chunk", "_hot", "_lo", "_hi")
+              .agg(F.sort_array(F.collect_list(scored)).alias("_items"), F.sum("_w").alias("_cn"),
                    F.sum(units("x")).alias("_us_sum"), F.count("x").alias("_xn"))
               .select(*keys, "_chunk", "_cn", "_us_sum", "_xn",
-                      _fold(F.col("_items")).alias("_final"),
-                      F.col("_items")[0]["x"].alias("_first"),
-                      F.when(F.col("_hot"), _transfer(F.col("_items"), F.col("_lo10"), F.col("_hi10")))
-                      .alias("_g")))
-
-    # The first slice of a key gives its value directly; each later slice
-    # maps the incoming state through its breakpoints.
-    parts = F.sort_array(F.collect_list(F.struct("_chunk", "_final", "_first", "_g")))
+                      F.when(F.size("_items") > 0, _fold(F.col("_items"))).alias("_final"),
+                      F.when(F.col("_hot") & (F.size("_items") > 0),
+                             _transfer(F.col("_items"), F.col("_lo") - 0.1, F.col("_hi") + 0.1)).alias("_g")))
+
+    # The first slice that holds a score gives its value directly; each later
+    # one is applied to the state before it.
+    parts = F.sort_array(F.collect_list(F.when(F.col("_xn") > 0, F.struct("_chunk", "_final", "_g"))))
     comp = chunks.groupBy(*keys).agg(
         parts.alias("_parts"), F.sum("_cn").alias("n"),
         F.sum("_us_sum").alias("_usum"), F.sum("_xn").alias("_xn"))
     value = F.aggregate(F.slice(F.col("_parts"), 2, F.greatest(F.size("_parts") - 1, F.lit(0))),
-                        F.col("_parts")[0]["_final"],
-                        lambda s, p: _apply(p["_g"], _step(s, p["_first"])))
+                        F.get(F.col("_parts"), F.lit(0))["_final"],
+                        lambda s, p: _apply(p["_g"], s))
     return comp.select(*keys, value.alias(out), "n",
                        py_round1(F.col("_usum") / (F.col("_xn") * 10000.0)).alias("mean_score"))
 
 
 def upsert_performance(state: DataFrame | None, sessions: DataFrame, keys: list[str],
                        ts: str, tiebreak: str, score: str, out: str = "average_score",
-                       chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                       chunk_rows: int = CHUNK_ROWS, id_col: str | None = None) -> DataFrame:
     """Apply new session scores to the stored smoothed score.
 
     A stored value acts as the first element of the key's sequence (it sorts
     before every new row), so keys only in the state keep it, keys only in the
     batch start from their first score, and keys in both continue from the
     state: the full-outer-join-and-coalesce of an upsert, done by the fold.
+    With ``id_col``, stored rows keep their id and new keys get serial ids
+    above the largest, in the order of the keys.
     """
     new = sessions.select(*keys, F.col(ts).alias("_t"), F.col(tiebreak).cast("bigint").alias("_i"),
                           F.col(score).alias("_x"))
@@ -254,8 +258,19 @@ def upsert_performance(state: DataFrame | None, sessions: DataFrame, keys: list[
         old = state.select(*keys, F.lit(None).cast(new.schema["_t"].dataType).alias("_t"),
                            F.lit(None).cast("bigint").alias("_i"), F.col(out).alias("_x"))
         new = old.unionByName(new)
-    res = smoothed_scores(new, keys, "_t", "_i", "_x", chunk_rows=chunk_rows, out=out)
-    return res.select(*keys, out)
+    res = smoothed_scores(new, keys, "_t", "_i", "_x", chunk_rows=chunk_rows, out=out).select(*keys, out)
+    if id_col is None:
+        return res
+    if state is None:
+        return assign_ids(res, res.limit(0).withColumn(id_col, F.lit(0).cast("bigint")), id_col, keys)
+    # written once: the ids read it several times
+    known = state.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], id_col)
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_s{i}"))
+    joined = written(res.join(known, cond, "left").select(*keys, out, id_col), "performance")
+    fresh = assign_ids(joined.where(F.col(id_col).isNull()).drop(id_col), joined, id_col, keys)
+    return joined.where(F.col(id_col).isNotNull()).unionByName(fresh)
 
 
 # --- J5 -------------------------------------------------------------------------

@@ -17,9 +17,7 @@ from pyspark.sql import types as T
 from quizlens.functions import text as TX
 from quizlens.functions.rounding import py_round1
 from quizlens.functions.vectors import similarity_score
-from quizlens.session import checkpointed, small_side, spread
-
-BANK_MAX_ROWS = 1_000_000  # broadcast the bank only below this many rows
+from quizlens.session import small_side, spread, written
 
 
 # --- J1 ---------------------------------------------------------------------------
@@ -28,9 +26,9 @@ def join_bank(answers: DataFrame, bank: DataFrame, on: str = "question_id",
               bank_key: str = "id", how: str = "left") -> DataFrame:
     """Bring question text and ideal answer to each answer. The bank is
     broadcast after its size is checked (it is 50 questions in practice);
-    above the bound the join is a shuffle join."""
+    above the bound (in bytes) the join is a shuffle join."""
     b = bank.withColumnRenamed(bank_key, on) if bank_key != on else bank
-    return answers.join(small_side(b, BANK_MAX_ROWS), on, how)
+    return answers.join(small_side(b), on, how)
 
 
 # --- V1 ---------------------------------------------------------------------------
@@ -39,7 +37,7 @@ def vector_scores(answers: DataFrame, ideals: DataFrame, on: str, answer_vec: st
                   ideal_vec: str = "ideal_embedding") -> DataFrame:
     """V1: score = Python-rounded 100 x cosine of answer and ideal vectors;
     0.0 for a missing, empty or zero vector."""
-    j = answers.join(small_side(ideals, BANK_MAX_ROWS), on, "left")
+    j = answers.join(small_side(ideals), on, "left")
     return j.withColumn("score", similarity_score(answer_vec, ideal_vec))
 
 
@@ -56,12 +54,13 @@ def ideal_vectors_by_min_key(vectors: DataFrame, group: str, key: str,
 
 def hashed_term_vectors(df: DataFrame, tokens_col: str, out: str = "embedding",
                         dim: int = 64) -> DataFrame:
-    """V2 default: hashed term counts of a token array, as array<double>.
-    Spark ML's HashingTF runs in the JVM, per row, no shuffle."""
-    from pyspark.ml.feature import HashingTF
-    from pyspark.ml.functions import vector_to_array
-    tf = HashingTF(numFeatures=dim, inputCol=tokens_col, outputCol="_tf")
-    return tf.transform(df).withColumn(out, vector_to_array("_tf")).drop("_tf")
+    """V2 default: hashed term counts of a token array, as array<double>. A
+    token's place is the number of its md5's first 8 hex digits modulo
+    ``dim``, a rule any engine can repeat. Native, per row, no shuffle."""
+    place = F.transform(tokens_col, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim))
+    counts = [(F.size("_place") - F.size(F.array_remove("_place", F.lit(i).cast("bigint")))).cast("double")
+              for i in range(dim)]
+    return df.withColumn("_place", place).withColumn(out, F.array(*counts)).drop("_place")
 
 
 def model_embedder(make_predict_fn: Callable, dim: int, batch_size: int = 64):
@@ -96,27 +95,26 @@ def _cosine_from_sums(dot_, na, nb):
     return F.when(ok, dot_ / (F.sqrt(na.cast("double")) * F.sqrt(nb.cast("double")))).otherwise(0.0)
 
 
+def _keys(k) -> list[str]:
+    return [k] if isinstance(k, str) else list(k)
+
+
 def text_cosine(pairs: DataFrame, keys: list[str], a_col: str, b_col: str,
                 out: str = "score") -> DataFrame:
     """V3: model-free similarity of two texts per row: cosine of their term
     counts (clean + tokenise), x100, Python-rounded.
 
-    Both texts are exploded into one (keys, token) table and counted in one
-    partially-aggregated group-by, so no token list is ever joined to another;
-    the per-pair sums are a second, small group-by.
+    A pair's two token lists are marked and exploded together, so the pairs
+    are read once, and counted in one partially-aggregated group-by; the
+    per-pair sums are a second, small group-by. A pair without any token
+    stays as a null token that counts nothing.
     """
-    pairs = spread(pairs)
-
-    def side(col: str, mark_a: int) -> DataFrame:
-        # explode_outer keeps a pair whose text has no token (as a null token
-        # that counts 0), so every pair reaches the sums and no join back to
-        # the pairs is needed.
-        t = pairs.select(*keys, F.explode_outer(TX.tokenize(TX.clean_text(col))).alias("token"))
-        one = F.when(F.col("token").isNotNull(), F.lit(1)).otherwise(F.lit(0))
-        return t.select(*keys, "token", (one * mark_a).alias("_a"), (one * (1 - mark_a)).alias("_b"))
-
-    counts = side(a_col, 1).unionByName(side(b_col, 0)).groupBy(*keys, "token").agg(
-        F.sum("_a").alias("ca"), F.sum("_b").alias("cb"))
+    mark = lambda col, a, b: F.transform(
+        TX.tokenize(TX.clean_text(col)),
+        lambda t: F.struct(t.alias("token"), F.lit(a).alias("a"), F.lit(b).alias("b")))
+    both = spread(pairs).select(*keys, F.explode_outer(F.concat(mark(a_col, 1, 0), mark(b_col, 0, 1))).alias("t"))
+    counts = both.groupBy(*keys, F.col("t.token").alias("token")).agg(
+        F.coalesce(F.sum("t.a"), F.lit(0)).alias("ca"), F.coalesce(F.sum("t.b"), F.lit(0)).alias("cb"))
     sums = counts.groupBy(*keys).agg(
         F.sum(F.col("ca") * F.col("cb")).alias("dot"),
         F.sum(F.col("ca") * F.col("ca")).alias("na"),
@@ -127,43 +125,44 @@ def text_cosine(pairs: DataFrame, keys: list[str], a_col: str, b_col: str,
 
 # --- V4 ---------------------------------------------------------------------------
 
-def bank_term_counts(bank: DataFrame, question: str = "question_id", bank_key: str = "id",
+def bank_term_counts(bank: DataFrame, question="question_id", bank_key="id",
                      ideal_text: str = "ideal_answer") -> tuple[DataFrame, DataFrame]:
-    """The bank counted once: (question, token, cb) and (question, nb), the
-    counts written once (checkpoint) so size checks, broadcasts and every
-    later batch read them instead of re-tokenising the bank."""
-    b = bank.select(F.col(bank_key).alias(question), F.col(ideal_text).alias("_ideal"))
-    counts = checkpointed(_term_counts(b, [question], "_ideal", "cb"))
-    norms = counts.groupBy(question).agg(F.sum(F.col("cb") * F.col("cb")).alias("nb"))
-    return counts, norms
+    """The bank counted once: (question, token, cb) and (question, nb), both
+    written once and marked for broadcast where their measured bytes allow it;
+    every later batch reads them as they are."""
+    q = _keys(question)
+    b = bank.select(*[F.col(k).alias(n) for k, n in zip(_keys(bank_key), q)], F.col(ideal_text).alias("_ideal"))
+    counts = written(_term_counts(b, q, "_ideal", "cb"), "bank-counts")
+    norms = written(counts.groupBy(*q).agg(F.sum(F.col("cb") * F.col("cb")).alias("nb")), "bank-norms")
+    return small_side(counts, is_written=True), small_side(norms, is_written=True)
 
 
 def score_against_counts(answers: DataFrame, bank_counts: DataFrame, bank_norm: DataFrame,
-                         answer_key: str = "answer_id", question: str = "question_id",
+                         answer_key="answer_id", question="question_id",
                          answer_text: str = "user_answer", out: str = "score") -> DataFrame:
-    """Term-count cosine of each answer against its question's counted ideal
-    answer; answer counts join the (checked, broadcast) bank counts on
-    (question, token)."""
-    ans = answers.select(answer_key, question, answer_text)
-    ans_counts = _term_counts(ans, [answer_key, question], answer_text, "ca")
-    dots = (ans_counts.join(small_side(bank_counts, BANK_MAX_ROWS), [question, "token"], "left")
-            .groupBy(answer_key).agg(
-                F.sum(F.coalesce(F.col("ca") * F.col("cb"), F.lit(0))).alias("dot"),
-                F.sum(F.col("ca") * F.col("ca")).alias("na")))
-    res = (answers.join(dots, answer_key, "left")
-           .join(small_side(bank_norm, BANK_MAX_ROWS), question, "left"))
-    score = py_round1(_cosine_from_sums(F.coalesce("dot", F.lit(0)), F.coalesce("na", F.lit(0)),
-                                        F.coalesce("nb", F.lit(0))) * 100.0)
-    return res.withColumn(out, score).drop("dot", "na", "nb")
-
-
-def score_answers(answers: DataFrame, bank: DataFrame, answer_key: str = "answer_id",
-                  question: str = "question_id", answer_text: str = "user_answer",
-                  bank_key: str = "id", ideal_text: str = "ideal_answer",
+    """(answer key, question, score): term-count cosine of each answer against
+    its question's counted ideal answer. Answer tokens are counted under their
+    answer and question, joined to the bank's counts on (question, token) and
+    summed per answer: the answers are read once and not joined back."""
+    a, q = _keys(answer_key), _keys(question)
+    keys = [*a, *[c for c in q if c not in a]]
+    tokens = spread(answers).select(
+        *keys, F.explode_outer(TX.tokenize(TX.clean_text(answer_text))).alias("token"))
+    counts = tokens.groupBy(*keys, "token").agg(F.count("token").alias("ca"))
+    sums = (counts.join(bank_counts, [*q, "token"], "left").groupBy(*keys).agg(
+        F.sum(F.coalesce(F.col("ca") * F.col("cb"), F.lit(0))).alias("dot"),
+        F.sum(F.col("ca") * F.col("ca")).alias("na")))
+    score = py_round1(_cosine_from_sums(F.col("dot"), F.col("na"), F.coalesce("nb", F.lit(0))) * 100.0)
+    return sums.join(bank_norm, q, "left").select(*keys, score.alias(out))
+
+
+def score_answers(answers: DataFrame, bank: DataFrame, answer_key="answer_id",
+                  question="question_id", answer_text: str = "user_answer",
+                  bank_key="id", ideal_text: str = "ideal_answer",
                   out: str = "score") -> DataFrame:
     """V4: score a whole answer table against the bank by term-count cosine;
     empty answers and answers to unknown questions score 0.0. The bank is
-    counted once per question, not once per answer."""
+    counted once per question, not once per answer. Keys may be lists."""
     counts, norms = bank_term_counts(bank, question, bank_key, ideal_text)
     return score_against_counts(answers, counts, norms, answer_key, question, answer_text, out)
 
@@ -174,14 +173,13 @@ def score_answers_by_model(answers: DataFrame, bank: DataFrame, embedder=None, d
                            ideal_text: str = "ideal_answer", out: str = "score") -> DataFrame:
     """V1 + V2 + V4 as the source scores: embed the answer and the ideal
     answer, score = Python-rounded 100 x cosine; a blank answer or ideal
-    scores 0.0. The bank is embedded once and written once (checkpoint), then
+    scores 0.0. The bank is embedded once and written once, then
     joined to every answer by question id after a size check."""
     b = bank.select(F.col(bank_key).alias(question), F.col(ideal_text).alias("_ideal"))
-    ideals = checkpointed(embed_texts(b, "_ideal", "ideal_embedding", dim, embedder)
-                          .select(question, "_ideal", "ideal_embedding"))
+    ideals = written(embed_texts(b, "_ideal", "ideal_embedding", dim, embedder)
+                     .select(question, "_ideal", "ideal_embedding"), "ideals")
     a = embed_texts(answers, answer_text, "embedding", dim, embedder)
-    j = a.join(small_side(ideals, BANK_MAX_ROWS), question, "left")
-    blank = (F.trim(F.coalesce(F.col(answer_text), F.lit(""))) == "") | \
-            (F.trim(F.coalesce(F.col("_ideal"), F.lit(""))) == "")
+    j = a.join(small_side(ideals, is_written=True), question, "left")
+    blank = TX.is_blank(answer_text) | TX.is_blank("_ideal")
     score = F.when(blank, F.lit(0.0)).otherwise(similarity_score("embedding", "ideal_embedding"))
     return j.withColumn(out, score).drop("embedding", "ideal_embedding", "_ideal")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from quizlens.functions import text as TX
 from quizlens.functions.rounding import py_round1_sql
+from quizlens.sources.standins import BLANK
 
 
 def R(e: str) -> str:
@@ -30,6 +31,14 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def strip(e: str) -> str:
+    return f"trim({e}, {lit(TX.STRIPPED)})"
+
+
+def blank(e: str) -> str:
+    return f"{strip(f'coalesce({e}, {lit(str())})')} = ''"
+
+
 def clean(e: str) -> str:
     t = f"lower(coalesce({e}, ''))"
     t = f"regexp_replace({t}, {lit(TX.URL_RE)}, '', 'g')"
@@ -50,9 +59,29 @@ def stop_filter(t: str) -> str:
     return f"list_filter({t}, lambda w: w NOT IN ({words}))"
 
 
-def lemmas(t: str) -> str:
-    cases = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in sorted(TX.IRREGULAR_NOUNS.items()))
-    return f"list_transform({t}, lambda w: CASE w {cases} ELSE w END)"
+def lemma_ctes(rows: str, key: str) -> dict[str, str]:
+    """CTEs from ``rows`` (``key``, filtered_tokens) to ``lem`` (``key``,
+    lemmatized): the irregular nouns, then the suffix rules (with the token
+    itself) whose form is a token of the rows, the shortest first."""
+    rules = ", ".join(f"({i}, {lit(s)}, {lit(r)})" for i, (s, r) in enumerate(TX.NOUN_RULES, start=1))
+    irregular = ", ".join(f"({lit(k)}, {lit(v)})" for k, v in sorted(TX.IRREGULAR_NOUNS.items()))
+    return {
+        "pos": f"SELECT {key}, unnest(generate_series(1, len(filtered_tokens))) AS pos, "
+               f"unnest(filtered_tokens) AS token FROM {rows}",
+        "lex": "SELECT DISTINCT token FROM pos",
+        "rules": f"SELECT * FROM (VALUES {rules}) AS r(idx, suf, rep)",
+        "cands": "SELECT token, 0 AS idx, token AS form FROM lex UNION ALL "
+                 "SELECT token, idx, left(token, length(token) - length(suf)) || rep AS form "
+                 "FROM lex, rules WHERE suffix(token, suf) AND length(token) > length(suf)",
+        "best": "SELECT token, arg_min(form, (length(form), idx)) AS rule_lemma FROM cands "
+                "WHERE form IN (SELECT token FROM lex) GROUP BY token",
+        "irr": f"SELECT * FROM (VALUES {irregular}) AS t(token, lemma)",
+        "dict_": "SELECT d.token, coalesce(irr.lemma, best.rule_lemma, d.token) AS lemma FROM lex d "
+                 "LEFT JOIN best ON d.token = best.token LEFT JOIN irr ON d.token = irr.token",
+        "got": f"SELECT {key}, list(lemma ORDER BY pos) AS l FROM pos JOIN dict_ USING (token) GROUP BY {key}",
+        "lem": f"SELECT {rows}.{key}, coalesce(l, []::VARCHAR[]) AS lemmatized FROM {rows} "
+               f"LEFT JOIN got ON {rows}.{key} = got.{key}",
+    }
 
 
 def final(l: str) -> str:
@@ -92,18 +121,20 @@ def preview(t: str, n: int) -> str:
 
 # Stand-in tables as CTE bodies (see quizlens.sources.standins).
 SESSIONS = ("SELECT event_id AS id, user_id, ts AS interview_date, event_type AS category, "
-            "least(value, 100.0::DOUBLE) AS overall_score, CAST(10 AS INTEGER) AS total_questions "
+            "value AS overall_score, CAST(10 AS INTEGER) AS total_questions "
             "FROM events")
 ANSWERS = ("SELECT event_id AS answer_id, "
            "user_id * 100000 + (CAST(ts AS DATE) - DATE '1970-01-01') AS session_id, user_id, "
            "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS question_id, "
-           "CASE WHEN event_type = 'error' THEN '' ELSE props END AS user_answer, "
+           f"CASE WHEN event_type <> 'error' THEN props WHEN event_id % 2 = 0 THEN '' ELSE {lit(BLANK)} END "
+           "AS user_answer, "
            "least(value, 100.0::DOUBLE) AS score, ts AS answered_at, event_type AS category "
            "FROM events")
 USERS = ("SELECT c_custkey AS id, split_part(c_name, '#', 1) AS name, "
          "lower(c_name) || '@mail.test' AS email, c_nationkey, c_mktsegment, c_acctbal FROM customer")
 ACCOUNTS = ("SELECT c_custkey + 1000000 AS id, split_part(c_name, '#', 1) AS first_name, "
-            "c_mktsegment AS last_name, '  ' || upper(c_name) || '@Mail.Test ' AS email, c_custkey "
+            f"c_mktsegment AS last_name, CASE WHEN c_custkey % 2 = 0 THEN '  ' ELSE {lit(BLANK)} END "
+            "|| upper(c_name) || '@Mail.Test ' || chr(13) || chr(10) AS email, c_custkey "
             "FROM customer")
 QUESTIONS = ("SELECT doc_id AS id, lang AS category, split_part(text, chr(10), 1) AS question_text, "
              "text AS ideal_answer, source AS hint, 'medium' AS difficulty FROM documents")
@@ -114,8 +145,10 @@ PAIRS = ("SELECT conv_id, turn, user_text, ideal_text FROM ("
          "WHERE role = 'user' AND next_role = 'assistant'")
 QUESTION_SET = ("SELECT split_part(text, chr(10), 1) AS question, text AS ideal_answer, item_id "
                 "FROM benchmark")
-# Answers deduplicated: first submission per (session, question).
-DEDUPED = ("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, question_id "
+# Answers deduplicated: first submission per (session, question); each one
+# without a question.
+DEDUPED = ("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, question_id, "
+           "CASE WHEN question_id IS NULL THEN answer_id END "
            "ORDER BY answered_at, answer_id) AS _rn FROM answers) WHERE _rn = 1")
 
 

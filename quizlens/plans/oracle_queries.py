@@ -4,31 +4,35 @@ Only the driver's pre-registered views are read."""
 from __future__ import annotations
 
 from quizlens.plans.oracle import (ACCOUNTS, ANSWERS, DEDUPED, PAIRS, QUESTION_SET, QUESTIONS,
-                                   SESSIONS, USERS, R, badge, band3, band4, clean, exact_mean,
-                                   final, grade, grade_class, label, lemmas, lit, preview,
-                                   sql_round1_mean, stop_filter, tokens, units, with_)
+                                   SESSIONS, USERS, R, badge, band3, band4, blank, clean, exact_mean,
+                                   final, grade, grade_class, label, lemma_ctes, lit, preview,
+                                   sql_round1_mean, stop_filter, strip, tokens, units, with_)
+from quizlens.sources.standins import BLANK
 from quizlens.functions import text as TX
 
 SPLIT = "TIMESTAMP '2024-01-16 00:00:00'"
 
 
-def _clean_set(src: str) -> str:
-    c = clean("ideal_answer")
-    t = tokens("clean_answer")
-    return (f"SELECT question, ideal_answer, clean_answer, tokens, filtered_tokens, lemmatized, "
-            f"{final('lemmatized')} AS final_text FROM (SELECT *, {lemmas('filtered_tokens')} AS lemmatized "
-            f"FROM (SELECT *, {stop_filter('tokens')} AS filtered_tokens FROM (SELECT *, {t} AS tokens "
-            f"FROM (SELECT question, ideal_answer, {c} AS clean_answer FROM ({src})))))")
+def _clean_set(src: str, columns: str, lists: str = "{}") -> str:
+    """The cleaning job over ``src``; ``lists`` formats the array columns."""
+    ctes = with_(
+        rows_=f"SELECT *, {stop_filter('tokens')} AS filtered_tokens FROM (SELECT *, {tokens('clean_answer')} AS tokens "
+              f"FROM (SELECT row_number() OVER () AS k, {columns}, {clean('ideal_answer')} AS clean_answer FROM ({src})))",
+        **lemma_ctes("rows_", "k"))
+    arrays = ", ".join(f"{lists.format(c)} AS {c}" for c in ("tokens", "filtered_tokens", "lemmatized"))
+    return (ctes.replace("rows_ AS (", "rows_ AS MATERIALIZED (") +
+            f"SELECT {columns}, clean_answer, {arrays}, {final('lemmatized')} AS final_text "
+            f"FROM rows_ JOIN lem ON rows_.k = lem.k")
 
 
 def _smoothed(src: str, keys: str, ts: str, tb: str, x: str, out: str) -> str:
-    return (f"SELECT {keys}, list_reduce(list({x} ORDER BY {ts}, {tb}), "
+    return (f"SELECT {keys}, list_reduce(list({x} ORDER BY {ts}, {tb}) FILTER (WHERE {x} IS NOT NULL), "
             f"lambda acc, v: {R('(acc + v) / 2.0')}) AS {out}, count(*) AS n, "
             f"{R(exact_mean(x))} AS mean_score FROM ({src}) GROUP BY {keys}")
 
 
 def _session_rows(skipped_excluded: bool = True) -> str:
-    s = "CASE WHEN trim(coalesce(user_answer, '')) <> '' THEN score END"
+    s = f"CASE WHEN NOT ({blank('user_answer')}) THEN score END"
     return (f"SELECT session_id, first(user_id) AS user_id, "
             f"arg_min(category, (answered_at, answer_id)) AS category, "
             f"min(answered_at) AS interview_date, "
@@ -40,13 +44,11 @@ def _session_rows(skipped_excluded: bool = True) -> str:
 _TEXT_COS = ("CASE WHEN coalesce(na, 0) > 0 AND coalesce(nb, 0) > 0 THEN "
              "CAST(dot AS DOUBLE) / (sqrt(CAST(na AS DOUBLE)) * sqrt(CAST(nb AS DOUBLE))) ELSE 0.0 END")
 
-_REG = ("SELECT c_custkey AS reg_id, CASE WHEN c_acctbal < 0 THEN '' ELSE split_part(c_name, '#', 1) END "
-        "AS first_name, ' ' || c_mktsegment || CAST(c_nationkey AS VARCHAR) || '@Mail.test' AS email, "
+_REG = (f"SELECT c_custkey AS reg_id, CASE WHEN c_acctbal >= 0 THEN split_part(c_name, '#', 1) "
+        f"WHEN c_custkey % 2 = 0 THEN '' ELSE {lit(BLANK)} END AS first_name, "
+        "' ' || chr(9) || c_mktsegment || CAST(c_nationkey AS VARCHAR) || '@Mail.test' || chr(10) AS email, "
         "c_nationkey FROM customer")
 
-_LEX_RULES = ", ".join(f"({i}, {lit(s)}, {lit(r)})" for i, (s, r) in enumerate(TX.NOUN_RULES, start=1))
-_IRREG = ", ".join(f"({lit(k)}, {lit(v)})" for k, v in sorted(TX.IRREGULAR_NOUNS.items()))
-
 ORACLE: dict[str, str] = {}
 
 # --- sources and sinks ---------------------------------------------------------
@@ -54,17 +56,15 @@ ORACLE["io1_read_question_set"] = f"SELECT question, ideal_answer FROM ({QUESTIO
 ORACLE["io2_load_bank"] = ("SELECT lang AS category, split_part(text, chr(10), 1) AS question_text, "
                            "text AS ideal_answer, source AS hint, 'medium' AS difficulty FROM documents")
 ORACLE["io3_table_round_trip"] = f"SELECT id, user_id, interview_date, overall_score, category, total_questions FROM ({SESSIONS})"
-ORACLE["io4_clean_csv_round_trip"] = (
-    f"SELECT question, ideal_answer, clean_answer, to_json(tokens)::VARCHAR AS tokens, "
-    f"to_json(filtered_tokens)::VARCHAR AS filtered_tokens, to_json(lemmatized)::VARCHAR AS lemmatized, "
-    f"final_text FROM ({_clean_set(QUESTION_SET)})")
+ORACLE["io4_clean_csv_round_trip"] = _clean_set(QUESTION_SET, "question, ideal_answer", "to_json({})::VARCHAR")
 ORACLE["io5_assign_ids"] = (
     "WITH mx AS (SELECT coalesce(max(c_custkey), 0) AS m FROM customer WHERE c_mktsegment = 'BUILDING') "
-    "SELECT c_custkey, m + row_number() OVER (ORDER BY c_custkey) AS new_id "
+    "SELECT customer.*, m + row_number() OVER (ORDER BY c_name, c_custkey) AS new_id "
     "FROM customer, mx WHERE c_mktsegment <> 'BUILDING'")
 ORACLE["io6_append_rows"] = (
     with_(s=SESSIONS) +
-    f"SELECT id, user_id, interview_date, category, overall_score, total_questions FROM s "
+    f"SELECT id, user_id, interview_date, category, CASE WHEN id % 5 <> 0 THEN overall_score END AS overall_score, "
+    f"CASE WHEN id % 7 <> 0 THEN total_questions END AS total_questions FROM s "
     f"WHERE interview_date < {SPLIT} UNION ALL "
     f"SELECT id, user_id, interview_date, category, 0.0 AS overall_score, CAST(10 AS INTEGER) "
     f"FROM s WHERE interview_date >= {SPLIT}")
@@ -85,53 +85,40 @@ ORACLE["p11_date_labels"] = (f"SELECT id, strftime(interview_date, '%b %d') AS s
                              f"strftime(interview_date, '%b %d, %Y') AS long_date FROM ({SESSIONS})")
 ORACLE["p12_previews"] = (f"SELECT doc_id, {preview('text', 60)} AS q_preview, "
                           f"{preview('text', 80)} AS a_preview FROM documents")
-ORACLE["p13_answer_status"] = (f"SELECT answer_id, CASE WHEN trim(coalesce(user_answer, '')) = '' "
+ORACLE["p13_answer_status"] = (f"SELECT answer_id, CASE WHEN {blank('user_answer')} "
                                f"THEN 'Skipped' ELSE 'Answered' END AS status FROM ({ANSWERS})")
 ORACLE["p14_progress"] = (
-    f"SELECT answer_id, CAST(round_even((ordinal - 1) / n * 100.0, 0) AS INTEGER) AS progress_pct, "
-    f"CAST(ordinal AS VARCHAR) || '/10' AS completion FROM (SELECT answer_id, "
+    f"SELECT * EXCLUDE (ordinal, n), CAST(round_even((ordinal - 1) / n * 100.0, 0) AS INTEGER) AS progress_pct, "
+    f"CAST(ordinal AS VARCHAR) || '/10' AS completion FROM (SELECT *, "
     f"row_number() OVER (PARTITION BY session_id ORDER BY answered_at, answer_id) AS ordinal, "
     f"count(*) OVER (PARTITION BY session_id) AS n FROM ({ANSWERS}))")
 ORACLE["p15_display_name"] = (
-    f"SELECT id, coalesce(nullif(trim(name), ''), 'Guest') AS display_name, "
-    f"coalesce(upper(substring(nullif(trim(name), ''), 1, 1)), 'G') AS initial FROM ({USERS})")
+    f"SELECT id, coalesce(nullif({strip('name')}, ''), 'Guest') AS display_name, "
+    f"coalesce(upper(substring(nullif({strip('name')}, ''), 1, 1)), 'G') AS initial FROM ({USERS})")
 
 # --- text -------------------------------------------------------------------------
 _DC = f"SELECT doc_id, {clean('text')} AS clean_answer FROM documents"
 ORACLE["t1_clean_text"] = _DC
 ORACLE["t2_tokens"] = f"SELECT doc_id, {tokens('clean_answer')} AS tokens FROM ({_DC})"
 ORACLE["t3_stop_words"] = f"SELECT doc_id, {stop_filter(tokens('clean_answer'))} AS filtered_tokens FROM ({_DC})"
-ORACLE["t4_lemmas"] = (
-    with_(toks=f"SELECT doc_id, {stop_filter(tokens('clean_answer'))} AS ft FROM ({_DC})",
-          pos="SELECT doc_id, unnest(generate_series(1, len(ft))) AS pos, unnest(ft) AS token FROM toks",
-          lex="SELECT DISTINCT token AS form FROM pos",
-          toks_d="SELECT DISTINCT token FROM pos",
-          rules=f"SELECT * FROM (VALUES {_LEX_RULES}) AS r(idx, suf, rep)",
-          cands="SELECT token, 0 AS idx, token AS form FROM toks_d UNION ALL "
-                "SELECT token, idx, left(token, length(token) - length(suf)) || rep AS form "
-                "FROM toks_d, rules WHERE suffix(token, suf) AND length(token) > length(suf)",
-          best="SELECT token, arg_min(form, (length(form), idx)) AS rule_lemma FROM cands "
-               "WHERE form IN (SELECT form FROM lex) GROUP BY token",
-          irr=f"SELECT * FROM (VALUES {_IRREG}) AS t(token, lemma)",
-          dict_="SELECT d.token, coalesce(irr.lemma, best.rule_lemma, d.token) AS lemma FROM toks_d d "
-                "LEFT JOIN best ON d.token = best.token LEFT JOIN irr ON d.token = irr.token") +
-    "SELECT toks.doc_id, coalesce((SELECT list(dict_.lemma ORDER BY pos.pos) FROM pos "
-    "JOIN dict_ ON pos.token = dict_.token WHERE pos.doc_id = toks.doc_id), []::VARCHAR[]) AS lemmatized "
-    "FROM toks")
-ORACLE["t5_final_text"] = (
-    f"SELECT doc_id, {final(lemmas(stop_filter(tokens(clean('text')))))} AS final_text FROM documents")
-ORACLE["t6_normalise"] = f"SELECT id, lower(trim(email)) AS email, trim(first_name) AS first_name FROM ({ACCOUNTS})"
+_DOC_TOKENS = f"SELECT doc_id, {stop_filter(tokens('clean_answer'))} AS filtered_tokens FROM ({_DC})"
+ORACLE["t4_lemmas"] = with_(toks=_DOC_TOKENS, **lemma_ctes("toks", "doc_id")) + "SELECT doc_id, lemmatized FROM lem"
+ORACLE["t5_final_text"] = (with_(toks=_DOC_TOKENS, **lemma_ctes("toks", "doc_id")) +
+                           f"SELECT doc_id, {final('lemmatized')} AS final_text FROM lem")
+ORACLE["t6_normalise"] = f"SELECT id, lower({strip('email')}) AS email, {strip('first_name')} AS first_name FROM ({ACCOUNTS})"
 ORACLE["t7_registration_checks"] = (
-    with_(reg=f"SELECT *, lower(trim(email)) AS _email, trim(first_name) AS _first FROM ({_REG})",
-          ex="SELECT DISTINCT lower(trim(email)) AS _email FROM reg WHERE c_nationkey < 3",
+    with_(reg=f"SELECT *, lower({strip('email')}) AS _email, {strip('first_name')} AS _first FROM ({_REG})",
+          ex=f"SELECT DISTINCT lower({strip('email')}) AS _email FROM reg WHERE c_nationkey < 3",
           fst="SELECT _email, min(reg_id) AS _fk FROM reg GROUP BY _email") +
     "SELECT reg_id, reg._email AS email, list_filter([CASE WHEN coalesce(_first, '') = '' THEN 'missing first name' END, "
     "CASE WHEN coalesce(reg._email, '') = '' THEN 'missing email' END, "
     "CASE WHEN ex._email IS NOT NULL THEN 'email already registered' END, "
     "CASE WHEN reg_id > fst._fk THEN 'duplicate email in batch' END], lambda e: e IS NOT NULL) AS errors "
     "FROM reg LEFT JOIN ex ON reg._email = ex._email LEFT JOIN fst ON reg._email = fst._email")
-ORACLE["t8_strip_answer"] = ("SELECT conv_id, turn, trim(coalesce(text, '')) AS answer, "
-                             "trim(coalesce(text, '')) = '' AS is_blank FROM conversations")
+ORACLE["t8_strip_answer"] = (
+    f"SELECT conv_id, turn, {strip('t')} AS answer, {strip('t')} = '' AS is_blank FROM (SELECT conv_id, turn, "
+    f"CASE WHEN conv_id % 3 = 0 THEN {lit(BLANK)} || coalesce(text, '') || chr(13) || chr(10) "
+    f"WHEN conv_id % 3 = 1 AND turn = 0 THEN {lit(BLANK)} ELSE coalesce(text, '') END AS t FROM conversations)")
 
 # --- joins ------------------------------------------------------------------------
 ORACLE["j1_answer_question"] = (
@@ -140,8 +127,8 @@ ORACLE["j1_answer_question"] = (
     f"CAST(length(q.ideal_answer) AS INTEGER) AS ideal_chars FROM a LEFT JOIN q ON a.question_id = q.id")
 ORACLE["j2_link_accounts"] = (
     with_(a=ACCOUNTS, u=f"SELECT * FROM ({USERS}) WHERE c_mktsegment <> 'AUTOMOBILE'") +
-    "SELECT a.id AS account_id, u.id AS user_id, lower(trim(a.email)) AS email FROM a "
-    "LEFT JOIN u ON lower(trim(a.email)) = lower(trim(u.email))")
+    f"SELECT a.id AS account_id, u.id AS user_id, lower({strip('a.email')}) AS email FROM a "
+    f"LEFT JOIN u ON lower({strip('a.email')}) = lower({strip('u.email')})")
 ORACLE["j3_insert_if_absent"] = (
     with_(t="SELECT c_custkey AS id, c_name AS name, lower(c_mktsegment) || CAST(c_nationkey AS VARCHAR) "
             "|| '@mail.test' AS email FROM customer WHERE c_mktsegment = 'BUILDING'",
@@ -151,14 +138,20 @@ ORACLE["j3_insert_if_absent"] = (
     "SELECT id, name, email FROM t UNION ALL SELECT id, name, email FROM bf "
     "WHERE email NOT IN (SELECT email FROM t)")
 ORACLE["j4_upsert_performance"] = (
-    with_(sessions=SESSIONS) +
-    f"SELECT user_id, category, average_score FROM ("
-    f"{_smoothed('sessions', 'user_id, category', 'interview_date', 'id', 'overall_score', 'average_score')})")
+    with_(sessions=f"SELECT * REPLACE (CASE WHEN category <> 'error' THEN category END AS category) FROM ({SESSIONS})",
+          old=f"SELECT DISTINCT user_id, category FROM sessions WHERE interview_date < {SPLIT}",
+          stored="SELECT *, row_number() OVER (ORDER BY user_id, category NULLS FIRST) AS performance_id FROM old",
+          fresh="SELECT *, (SELECT count(*) FROM old) + row_number() OVER (ORDER BY user_id, category NULLS FIRST) "
+                "AS performance_id FROM (SELECT user_id, category FROM sessions EXCEPT SELECT user_id, category FROM old)",
+          ids="SELECT * FROM stored UNION ALL SELECT * FROM fresh") +
+    f"SELECT p.user_id, p.category, p.average_score, ids.performance_id FROM ("
+    f"{_smoothed('sessions', 'user_id, category', 'interview_date', 'id', 'overall_score', 'average_score')}) p "
+    f"JOIN ids ON p.user_id = ids.user_id AND p.category IS NOT DISTINCT FROM ids.category")
 ORACLE["j5_update_session_scores"] = (
     with_(answers=ANSWERS, deduped=DEDUPED,
           new="SELECT session_id, coalesce(" + R(exact_mean("_s")) + ", 0.0) AS session_score FROM "
-              "(SELECT *, CASE WHEN trim(coalesce(user_answer, '')) <> '' THEN score END AS _s FROM deduped "
-              "WHERE category <> 'error') GROUP BY session_id") +
+              f"(SELECT *, CASE WHEN NOT ({blank('user_answer')}) THEN score END AS _s FROM deduped) "
+              "GROUP BY session_id") +
     "SELECT s.session_id, coalesce(new.session_score, 0.0) AS overall_score FROM "
     "(SELECT DISTINCT session_id FROM deduped) s LEFT JOIN new ON s.session_id = new.session_id")
 ORACLE["j6_audit"] = (
@@ -194,6 +187,10 @@ def _tok_unnest(keys: str, text: str, src: str, ca: int, cb: int) -> str:
     return (f"SELECT {keys}, unnest({tokens(clean(text))}) AS token, {ca} AS ca, {cb} AS cb FROM {src}")
 
 
+_PLACES = f"list_transform({tokens(clean('text'))}, lambda t: ('0x' || substr(md5(t), 1, 8))::UBIGINT % 64)"
+ORACLE["v2_embed_texts"] = (
+    f"SELECT doc_id, list_transform(range(64), lambda i: len(list_filter(places, lambda p: p = i))::DOUBLE) AS embedding "
+    f"FROM (SELECT doc_id, {_PLACES} AS places FROM documents)")
 ORACLE["v3_text_cosine"] = (
     with_(p=PAIRS,
           c="SELECT conv_id, turn, token, sum(ca) AS ca, sum(cb) AS cb FROM (" +
@@ -204,19 +201,15 @@ ORACLE["v3_text_cosine"] = (
     f"SELECT p.conv_id, p.turn, {R(_TEXT_COS + ' * 100.0')} AS score FROM p "
     f"LEFT JOIN s ON p.conv_id = s.conv_id AND p.turn = s.turn")
 ORACLE["v4_score_answers"] = (
-    with_(ans="SELECT conv_id * 1000 + turn AS answer_id, conv_id AS question_id, text AS user_answer "
-              "FROM conversations WHERE role = 'user'",
-          bank="SELECT conv_id AS question_id, arg_min(text, turn) AS ideal FROM conversations "
-               "WHERE role = 'assistant' GROUP BY conv_id",
-          bc=f"SELECT question_id, token, count(*) AS cb FROM (SELECT question_id, unnest({tokens(clean('ideal'))}) "
-             f"AS token FROM bank) GROUP BY question_id, token",
-          bn="SELECT question_id, sum(cb * cb) AS nb FROM bc GROUP BY question_id",
-          ac=f"SELECT answer_id, question_id, token, count(*) AS ca FROM (SELECT answer_id, question_id, "
-             f"unnest({tokens(clean('user_answer'))}) AS token FROM ans) GROUP BY answer_id, question_id, token",
-          d="SELECT ac.answer_id, sum(coalesce(ac.ca * bc.cb, 0)) AS dot, sum(ac.ca * ac.ca) AS na FROM ac "
-            "LEFT JOIN bc ON ac.question_id = bc.question_id AND ac.token = bc.token GROUP BY ac.answer_id") +
-    f"SELECT ans.answer_id, ans.question_id, {R(_TEXT_COS + ' * 100.0')} AS score FROM ans "
-    f"LEFT JOIN d ON ans.answer_id = d.answer_id LEFT JOIN bn ON ans.question_id = bn.question_id")
+    with_(p="SELECT u.conv_id, u.turn, u.text AS a, i.text AS b FROM conversations u LEFT JOIN conversations i "
+            "ON i.conv_id = u.conv_id AND i.turn = u.turn + 1 AND i.role = 'assistant' WHERE u.role = 'user'",
+          c="SELECT conv_id, turn, token, sum(ca) AS ca, sum(cb) AS cb FROM (" +
+            _tok_unnest("conv_id, turn", "a", "p", 1, 0) + " UNION ALL " +
+            _tok_unnest("conv_id, turn", "b", "p", 0, 1) + ") GROUP BY conv_id, turn, token",
+          s="SELECT conv_id, turn, sum(ca * cb) AS dot, sum(ca * ca) AS na, sum(cb * cb) AS nb FROM c "
+            "GROUP BY conv_id, turn") +
+    f"SELECT p.conv_id, p.turn, {R(_TEXT_COS + ' * 100.0')} AS score FROM p "
+    f"LEFT JOIN s ON p.conv_id = s.conv_id AND p.turn = s.turn")
 
 # --- aggregation --------------------------------------------------------------------
 ORACLE["a1_user_totals"] = (
@@ -232,7 +225,7 @@ ORACLE["a3_categories_tried"] = (f"SELECT user_id, count(DISTINCT category) AS c
 ORACLE["a4_session_scores"] = (
     with_(answers=ANSWERS, deduped=DEDUPED) +
     "SELECT session_id, coalesce(" + R(exact_mean("_s")) + ", 0.0) AS session_score, count(_s) AS answered "
-    "FROM (SELECT *, CASE WHEN trim(coalesce(user_answer, '')) <> '' THEN score END AS _s FROM deduped) "
+    f"FROM (SELECT *, CASE WHEN NOT ({blank('user_answer')}) THEN score END AS _s FROM deduped) "
     "GROUP BY session_id")
 ORACLE["a5_has_rows"] = "SELECT count(*) > 0 AS has_rows FROM (SELECT 1 FROM documents LIMIT 1)"
 ORACLE["a6_max_id"] = "SELECT CAST(coalesce(max(c_custkey), 0) AS BIGINT) AS max_id FROM customer"
@@ -243,7 +236,7 @@ ORACLE["a8_session_counts"] = (
     with_(answers=ANSWERS, deduped=DEDUPED) +
     "SELECT session_id, count(_s) AS answered, count(*) FILTER (WHERE _s >= 70) AS strengths, "
     "count(*) FILTER (WHERE _s < 70) AS weak_areas "
-    "FROM (SELECT *, CASE WHEN trim(coalesce(user_answer, '')) <> '' THEN score END AS _s FROM deduped) "
+    f"FROM (SELECT *, CASE WHEN NOT ({blank('user_answer')}) THEN score END AS _s FROM deduped) "
     "GROUP BY session_id")
 
 # --- windows ----------------------------------------------------------------------
@@ -258,9 +251,9 @@ ORACLE["w2_trend"] = (
 ORACLE["w3_first_questions"] = (
     f"SELECT id, category, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id) AS rn "
     f"FROM ({QUESTIONS})) WHERE rn <= 10")
-ORACLE["w4_ordinal"] = (f"SELECT answer_id, session_id, row_number() OVER (PARTITION BY session_id "
+ORACLE["w4_ordinal"] = (f"SELECT *, row_number() OVER (PARTITION BY session_id "
                         f"ORDER BY answered_at, answer_id) AS ordinal FROM ({ANSWERS})")
-ORACLE["w5_last_flag"] = (f"SELECT answer_id, lead(answer_id) OVER (PARTITION BY session_id "
+ORACLE["w5_last_flag"] = (f"SELECT *, lead(answer_id) OVER (PARTITION BY session_id "
                           f"ORDER BY answered_at, answer_id) IS NULL AS is_last FROM ({ANSWERS})")
 ORACLE["w6_user_latest"] = (f"SELECT id, interview_date, overall_score FROM ({SESSIONS}) WHERE user_id = 7 "
                             f"ORDER BY interview_date DESC, id DESC LIMIT 10")
@@ -279,7 +272,8 @@ ORACLE["st3_stream_smoothed"] = (
     with_(sessions=SESSIONS) +
     f"SELECT user_id, category, smoothed_score, n FROM ("
     f"{_smoothed('sessions', 'user_id, category', 'interview_date', 'id', 'overall_score', 'smoothed_score')})")
-ORACLE["st4_stream_dedupe"] = f"SELECT answer_id, session_id, question_id FROM ({ANSWERS})"
+ORACLE["st4_stream_dedupe"] = (with_(answers=ANSWERS, deduped=DEDUPED) +
+                               "SELECT answer_id, session_id, question_id FROM deduped")
 
 # --- reports ----------------------------------------------------------------------
 _R2_PARTS = (f"SELECT user_id, category, count(*) AS n, count(overall_score) AS n_scored, "
@@ -305,8 +299,8 @@ ORACLE["r2_dashboard"] = (
              "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY interview_date DESC, id DESC) AS rn "
              "FROM s) WHERE rn <= 10 GROUP BY user_id",
           u=USERS) +
-    "SELECT u.id AS user_id, coalesce(nullif(trim(u.name), ''), 'Guest') AS display_name, "
-    "coalesce(upper(substring(nullif(trim(u.name), ''), 1, 1)), 'G') AS initial, "
+    f"SELECT u.id AS user_id, coalesce(nullif({strip('u.name')}, ''), 'Guest') AS display_name, "
+    f"coalesce(upper(substring(nullif({strip('u.name')}, ''), 1, 1)), 'G') AS initial, "
     "CAST(coalesce(pu.total_interviews, 0) AS BIGINT) AS total_interviews, coalesce(pu.avg_score, 0.0) AS avg_score, "
     "coalesce(pu.best_score, 0.0) AS best_score, CAST(coalesce(pu.categories_tried, 0) AS BIGINT) AS categories_tried, "
     "coalesce(pu.cat_names, []::VARCHAR[]) AS cat_names, coalesce(pu.cat_avgs, []::DOUBLE[]) AS cat_avgs, "
@@ -319,7 +313,7 @@ ORACLE["r2_dashboard"] = (
 
 _QP = preview("coalesce(question_text, '')", 60)
 _R1_ITEMS = (
-    "SELECT d.*, q.question_text, CASE WHEN trim(coalesce(d.user_answer, '')) <> '' THEN d.score END AS _s "
+    f"SELECT d.*, q.question_text, CASE WHEN NOT ({blank('d.user_answer')}) THEN d.score END AS _s "
     "FROM deduped d LEFT JOIN q ON d.question_id = q.id")
 ORACLE["r1_session_report"] = (
     with_(answers=ANSWERS, deduped=DEDUPED, q=QUESTIONS, it=_R1_ITEMS,
@@ -331,10 +325,12 @@ ORACLE["r1_session_report"] = (
             f"list({_QP} ORDER BY answered_at, answer_id) "
             "FILTER (WHERE _s < 70) AS weak_questions, "
             "list(_s ORDER BY answered_at, answer_id) FILTER (WHERE _s < 70) AS weak_scores, "
-            "list(CASE WHEN trim(coalesce(user_answer, '')) = '' THEN 'Skipped' ELSE 'Answered' END "
+            f"list(CASE WHEN {blank('user_answer')} THEN 'Skipped' ELSE 'Answered' END "
             "ORDER BY answered_at, answer_id) AS breakdown_status, "
             f"list({band4('coalesce(_s, 0.0)')} ORDER BY answered_at, answer_id) AS breakdown_bands, "
-            f"list({preview('user_answer', 80)} ORDER BY answered_at, answer_id) AS breakdown_answers "
+            f"list({preview('user_answer', 80)} ORDER BY answered_at, answer_id) AS breakdown_answers, "
+            "list(coalesce(question_text, '') ORDER BY answered_at, answer_id) AS breakdown_questions, "
+            "list(_s ORDER BY answered_at, answer_id) AS breakdown_scores "
             "FROM it GROUP BY session_id") +
     f"SELECT session_id, user_id, category, score, {grade('score')} AS grade, {grade_class('score')} AS grade_class, "
     f"{badge('score')} AS badge, {label('category')} AS label, answered, total_questions, "
@@ -343,8 +339,10 @@ ORACLE["r1_session_report"] = (
     "coalesce(strength_questions, []::VARCHAR[]) AS strength_questions, "
     "coalesce(strength_scores, []::DOUBLE[]) AS strength_scores, "
     "coalesce(weak_questions, []::VARCHAR[]) AS weak_questions, coalesce(weak_scores, []::DOUBLE[]) AS weak_scores, "
-    "breakdown_status, breakdown_bands, breakdown_answers FROM g")
-ORACLE["r3_clean_question_set"] = _clean_set(QUESTION_SET)
+    "list_transform(range(1, total_questions + 1), lambda i: i::INTEGER) AS breakdown_ordinals, "
+    "breakdown_questions, breakdown_scores, breakdown_status, breakdown_bands, breakdown_answers FROM g")
+ORACLE["r3_clean_question_set"] = _clean_set(
+    f"SELECT id, question_text AS question, ideal_answer FROM ({QUESTIONS})", "id, question, ideal_answer")
 ORACLE["r4_close_sessions"] = (
     with_(answers=ANSWERS, deduped=DEDUPED, sess=_session_rows()) +
     "SELECT user_id, category, average_score, n AS sessions, mean_score FROM (" +

@@ -8,15 +8,16 @@ the categories of a user).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quizlens.functions import labels as LB
 from quizlens.functions import text as TX
 from quizlens.functions.rounding import UNITS, py_round1
+from quizlens.operators import lemmas as LM
 from quizlens.operators import rank, rollup
 from quizlens.operators.score import join_bank
-from quizlens.session import checkpointed, spread
+from quizlens.session import spread, written
 
 
 # --- R2 -------------------------------------------------------------------------
@@ -99,16 +100,16 @@ def dashboard(sessions: DataFrame, users: DataFrame, recent_k: int = 10, trend_k
 def session_report(answers: DataFrame, bank: DataFrame, skipped: str = "exclude") -> DataFrame:
     """One row per session: score, grade, badge, label, answers counted,
     strengths and weak areas (question previews and scores), and the ordered
-    breakdown with answer status and band.
+    breakdown: ordinal, question, score, answer preview, status and band of
+    every answer.
 
-    One shuffle by session (the dedupe window); the bank is a checked
-    broadcast, and the per-session group-by reuses the session partitioning.
+    Two shuffles: the dedupe by (session, question), whose group limit keeps
+    one row per key and task before it, and the report by session. The bank's
+    question texts are joined by a broadcast checked in bytes.
     """
     a = rollup.dedupe_submissions(answers)
-    # only the 60-character preview of a question crosses the join
-    a = join_bank(a, bank.select("id", LB.preview("question_text", LB.QUESTION_PREVIEW)
-                                 .alias("question_text")), on="question_id", bank_key="id")
-    blank = F.trim(F.coalesce(F.col("user_answer"), F.lit(""))) == ""
+    a = join_bank(a, bank.select("id", "question_text"), on="question_id", bank_key="id")
+    blank = TX.is_blank("user_answer")
     if skipped == "exclude":
         counted = F.when(~blank, F.col("score"))
     elif skipped == "zero":
@@ -118,29 +119,33 @@ def session_report(answers: DataFrame, bank: DataFrame, skipped: str = "exclude"
     a = a.withColumn("_s", counted)
     item = F.struct(
         "answered_at", "answer_id", F.col("_s").alias("score"),
-        F.coalesce("question_text", F.lit("")).alias("q"),
+        F.coalesce("question_text", F.lit("")).alias("question"),
         LB.preview(F.col("user_answer"), LB.ANSWER_PREVIEW).alias("a"),
         LB.answer_status("user_answer").alias("status"),
         LB.band4(F.coalesce(F.col("_s"), F.lit(0.0))).alias("band"))
     g = a.groupBy("session_id").agg(
         F.first("user_id").alias("user_id"),
-        F.min_by("category", F.struct("answered_at", "answer_id")).alias("category"),
         F.coalesce(py_round1(F.sum(F.round(F.col("_s") * float(UNITS)).cast("bigint"))
                              / (F.count("_s") * float(UNITS))), F.lit(0.0)).alias("score"),
         F.count("_s").alias("answered"),
         F.count(F.lit(1)).alias("total_questions"),
-        F.sort_array(F.collect_list(item)).alias("_items"))
+        F.sort_array(F.collect_list(F.struct("answered_at", "answer_id", "category"))).alias("_first"),
+        F.sort_array(F.collect_list(item)).alias("_items")).withColumn("category", F.col("_first")[0]["category"])
     counted_items = F.filter("_items", lambda x: x["score"].isNotNull())
     strong = F.filter(counted_items, lambda x: LB.is_strength(x["score"]))
     weak = F.filter(counted_items, lambda x: ~LB.is_strength(x["score"]))
+    previews = lambda items: F.transform(items, lambda x: LB.preview(x["question"], LB.QUESTION_PREVIEW))
     return g.select(
         "session_id", "user_id", "category", "score",
         LB.grade("score").alias("grade"), LB.grade_class("score").alias("grade_class"),
         LB.badge("score").alias("badge"), LB.category_label("category").alias("label"),
         "answered", "total_questions",
         F.size(strong).alias("n_strengths"), F.size(weak).alias("n_weak"),
-        strong["q"].alias("strength_questions"), strong["score"].alias("strength_scores"),
-        weak["q"].alias("weak_questions"), weak["score"].alias("weak_scores"),
+        previews(strong).alias("strength_questions"), strong["score"].alias("strength_scores"),
+        previews(weak).alias("weak_questions"), weak["score"].alias("weak_scores"),
+        F.transform("_items", lambda x, i: i + 1).alias("breakdown_ordinals"),
+        F.col("_items.question").alias("breakdown_questions"),
+        F.col("_items.score").alias("breakdown_scores"),
         F.col("_items.status").alias("breakdown_status"),
         F.col("_items.band").alias("breakdown_bands"),
         F.col("_items.a").alias("breakdown_answers"),
@@ -149,16 +154,29 @@ def session_report(answers: DataFrame, bank: DataFrame, skipped: str = "exclude"
 
 # --- R3 -------------------------------------------------------------------------
 
+def irregular_lemmas(spark: SparkSession) -> DataFrame:
+    """The fixed irregular nouns as a lemma table."""
+    return spark.createDataFrame(sorted(TX.IRREGULAR_NOUNS.items()), "token string, lemma string")
+
+
 def clean_question_set(qs: DataFrame, text_col: str = "ideal_answer",
-                       stop_words: list[str] | None = None,
-                       exceptions: dict[str, str] | None = None) -> DataFrame:
-    """The whole cleaning notebook as one narrow stage of native
-    expressions: clean, tokens, filtered tokens, lemmas, final text."""
-    return (spread(qs).withColumn("clean_answer", TX.clean_text(text_col))
+                       stop_words: list[str] | None = None, lemmas: DataFrame | None = None,
+                       lexicon: DataFrame | str | None = "corpus") -> DataFrame:
+    """The whole cleaning notebook: clean, tokens, filtered tokens, lemmas
+    (T4: the lemma table, then the noun suffix rules checked against a
+    lexicon, by default the tokens of the set itself), final text.
+
+    The rows up to the filtered tokens are one narrow native stage, written
+    once under a row number; the dictionary and the lemmas read them back."""
+    rows = (spread(qs).withColumn("clean_answer", TX.clean_text(text_col))
             .withColumn("tokens", TX.tokenize("clean_answer"))
             .withColumn("filtered_tokens", TX.remove_stop_words("tokens", stop_words))
-            .withColumn("lemmatized", TX.lemmatize("filtered_tokens", exceptions))
-            .withColumn("final_text", TX.join_tokens("lemmatized")))
+            .withColumn("_row", F.monotonically_increasing_id()))
+    rows = written(rows, "cleaned")
+    table = irregular_lemmas(qs.sparkSession) if lemmas is None else lemmas
+    found = LM.lemmatize_rows(rows, "_row", "filtered_tokens", "lemmatized", lemmas=table, lexicon=lexicon,
+                              is_written=True)
+    return rows.join(found, "_row").withColumn("final_text", TX.join_tokens("lemmatized")).drop("_row")
 
 
 # --- R4 -------------------------------------------------------------------------
@@ -167,7 +185,7 @@ def session_rows(answers: DataFrame, skipped: str = "exclude") -> DataFrame:
     """Answers -> one row per closed session: user, category of its first
     answer, start time, score (A4) and counts (A8)."""
     a = rollup.dedupe_submissions(answers)
-    blank = F.trim(F.coalesce(F.col("user_answer"), F.lit(""))) == ""
+    blank = TX.is_blank("user_answer")
     s = F.when(~blank, F.col("score")) if skipped == "exclude" else \
         F.when(blank, F.lit(0.0)).otherwise(F.col("score"))
     a = a.withColumn("_s", s)
@@ -188,8 +206,8 @@ def close_sessions(answers: DataFrame, state: DataFrame | None = None,
     session scores, then the smoothed per-(user, category) score continued
     from ``state`` (user_id, category, average_score) when given."""
     # Session rows are two shuffles deep and read twice (key statistics and
-    # the fold): written once to the shared checkpoint folder.
-    sess = checkpointed(session_rows(answers, skipped))
+    # the fold): written once to the shared scratch folder.
+    sess = written(session_rows(answers, skipped), "sessions")
     keys = ["user_id", "category"]
     if state is None:
         res = rollup.smoothed_scores(sess, keys, "interview_date", "session_id", "overall_score",

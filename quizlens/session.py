@@ -9,11 +9,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows a side may have to be broadcast. A side is broadcast only after
-# counting at most this many rows of it; beyond it the join is left to
-# Catalyst (sort-merge, with AQE skew handling).
-BROADCAST_MAX_ROWS = 1_000_000
+# Bytes a side may have to be broadcast. A side is broadcast only after its
+# bytes are measured; beyond the bound the join is left to Catalyst
+# (sort-merge, with AQE skew handling).
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 # Settings for a large cluster (about 100 TB of input). They are advice for
@@ -81,15 +82,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "quizlens", f"{name}-{uuid.uuid4().hex}")
 
 
-def has_at_most(df: DataFrame, n: int) -> bool:
-    """True when df has at most n rows. Reads at most n+1 rows."""
-    return df.limit(n + 1).count() <= n
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark df for broadcast only when its row count is proven below the
-    bound; otherwise return it unchanged so Catalyst shuffles both sides."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet into the shared scratch folder and read back
+    under its schema: later readers, and retries after a lost executor, start
+    from the files and read only the columns they need."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _value_bytes(value, kind: T.DataType):
+    """Bytes of one value, as a column: text and binary by length, arrays by
+    their elements, anything else as 8."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint")
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("bigint"),
+                                          lambda n, x: n + _value_bytes(x, kind.elementType)), F.lit(0))
+        return F.greatest(F.size(value), F.lit(0)).cast("bigint") * 8
+    return F.lit(8).cast("bigint")
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Rows and bytes as they would sit in a broadcast: one partial aggregate,
+    of which only the sum comes to the driver."""
+    row = sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("bigint"))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES, is_written: bool = False) -> DataFrame:
+    """Mark df for broadcast only when its measured bytes are below the bound;
+    otherwise Catalyst shuffles both sides. The plan differs, the result does
+    not. df is written once first (unless it is already), so measuring and
+    joining do not compute it twice."""
+    side = df if is_written else written(df, "side")
+    return F.broadcast(side) if table_bytes(side) <= max_bytes else side
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:

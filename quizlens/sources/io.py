@@ -3,14 +3,14 @@ cleaned CSV, serial ids and appends with defaults."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quizlens.session import checkpointed
 from quizlens.sources import schemas
 
 NULL_TOKEN = "\\N"  # CSV text of a null, so that an empty string stays empty
-_ROW_BITS = 33  # monotonically_increasing_id: partition index << 33 | row
+RANGES = 256         # ranges an order is cut into for serial ids
 
 
 def read_question_set(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -46,30 +46,51 @@ def load_bank(nested: DataFrame, existing: DataFrame | None = None) -> DataFrame
     )
 
 
-def write_table(df: DataFrame, path: str, name: str) -> None:
+# Tables stored in folders of one column's values, and the files of a value.
+PARTITIONS = {"interview_session": "month", "performance": "category"}
+FILES_PER_VALUE = 8
+
+
+def _stored_schema(name: str) -> T.StructType:
+    schema = schemas.TABLES[name]
+    by = PARTITIONS.get(name)
+    if by is None or by in schema.fieldNames():
+        return schema
+    return T.StructType([*schema.fields, T.StructField(by, T.StringType())])
+
+
+def write_table(df: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
     """Write one of the six tables as parquet under its fixed schema.
-    Sessions are partitioned by month so date filters prune files."""
+
+    ``mode``: ``overwrite``, ``append`` (new rows beside the stored ones, which
+    are not read) or ``ignore`` (seed only where nothing is stored yet).
+    Sessions are partitioned by month, so date filters prune files, and
+    performance by category, so an upsert rewrites only the categories it
+    touches. Rows are clustered by that value and a small salt first: a value
+    gets FILES_PER_VALUE files at most, whatever the number of tasks.
+    """
     schema = schemas.TABLES[name]
     out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-    w = out.write.mode("overwrite")
-    if name == "interview_session":
+    by = PARTITIONS.get(name)
+    if by is None:
+        out.write.mode(mode).parquet(path)
+        return
+    if by == "month":
         out = out.withColumn("month", F.date_format("interview_date", "yyyy-MM"))
-        w = out.write.mode("overwrite").partitionBy("month")
-    w.parquet(path)
+    salt = F.pmod(F.xxhash64(F.col(schema.fields[0].name)), F.lit(FILES_PER_VALUE))
+    out.repartition(F.col(by), salt).write.mode(mode).partitionBy(by).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Read one of the six tables and cast it to its fixed schema."""
-    schema = schemas.TABLES[name]
-    df = spark.read.parquet(path)
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    """Read one of the six tables under its fixed schema (never inferred)."""
+    return spark.read.schema(_stored_schema(name)).parquet(path).select(*schemas.TABLES[name].fieldNames())
 
 
 def read_sessions_between(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
     """Sessions with start <= interview_date < end. The month predicate on
     the partition column prunes whole folders before any file is opened; the
     exact bound is then pushed into the parquet scan."""
-    df = spark.read.parquet(path)
+    df = spark.read.schema(_stored_schema("interview_session")).parquet(path)
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     months = (F.col("month") >= F.date_format(lo, "yyyy-MM")) & (F.col("month") <= F.date_format(hi, "yyyy-MM"))
     rows = df.where(months & (F.col("interview_date") >= lo) & (F.col("interview_date") < hi))
@@ -87,15 +108,27 @@ def write_clean_csv(df: DataFrame, path: str) -> None:
      .option("nullValue", NULL_TOKEN).csv(path))
 
 
+def _files_outside_partitions(spark: SparkSession, path: str) -> bool:
+    """Whether the folder holds data files of its own beside its partitions."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return False
+    return any(f.isFile() and not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(folder))
+
+
 def write_touched_partitions(state: DataFrame, touched: DataFrame, path: str,
                              partition_col: str = "category") -> None:
     """Store an updated state table partitioned by ``partition_col``,
-    rewriting only the partitions whose values appear in ``touched`` (the
-    batch): dynamic partition overwrite, so untouched partitions are left
-    as they are. ``touched`` is reduced to its distinct partition values
-    before the semi join."""
-    keys = touched.select(partition_col).distinct()
-    (state.join(keys, partition_col, "left_semi")
+    rewriting only the partitions whose values (null among them) appear in
+    ``touched`` (the batch): dynamic partition overwrite, so untouched
+    partitions are left as they are. A target that holds unpartitioned files
+    is refused: its rows would no longer be read beside the partitions."""
+    if _files_outside_partitions(state.sparkSession, path):
+        raise ValueError(f"{path} holds files outside {partition_col}= folders; store it with write_table first")
+    keys = touched.select(F.col(partition_col).alias("_touched")).distinct()
+    (state.join(keys, state[partition_col].eqNullSafe(keys["_touched"]), "left_semi")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(path))
 
@@ -113,62 +146,86 @@ def max_id(existing: DataFrame, id_col: str) -> DataFrame:
     return existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint").alias("max_id"))
 
 
-def global_rank(df: DataFrame, order_cols: list, base: DataFrame | None = None,
-                out: str = "_grank") -> DataFrame:
-    """0-based rank of every row in the order of ``order_cols`` (which must be
-    unique), plus the single value of ``base`` (one row, column ``_n``) if
-    given.
-
-    No single-partition window over all rows: the rows are range-sorted (a
-    hot key is split by the range bounds), each partition counts its rows, a
-    prefix sum over the few partition counts gives each partition's start,
-    and a row's rank is start + its position. The rank is deterministic, so
-    a lost task recomputes the same values.
+def _order_number(col: str, kind: T.DataType):
+    """A bigint that never falls where the column rises (null first): enough
+    to cut the column's order into ranges."""
+    c = F.col(col)
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
+        n = F.conv(head, 16, 10).cast("bigint")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        n = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, T.DateType):
+        n = F.unix_date(c).cast("bigint")
+    elif isinstance(kind, T.BooleanType):
+        n = c.cast("bigint")
+    else:
+        n = F.floor(c.cast("double")).cast("bigint") if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)) \
+            else c.cast("bigint")
+    return F.coalesce(n, F.lit(-(1 << 63)))
+
+
+def _range_of(n, bounds: list[int]):
+    """Index of the range that n falls into: a binary tree of comparisons."""
+    if not bounds:
+        return F.lit(0)
+
+    def tree(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(n < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(bounds))
+
+
+def global_rank(df: DataFrame, order_cols: list[str], out: str = "_grank", ranges: int = RANGES) -> DataFrame:
+    """0-based rank of every row in the order of ``order_cols`` (together
+    unique), with all other columns kept.
+
+    No window spans all rows: the first order column is cut into ranges at
+    approximate percentiles, which become literals of the plan; rows are
+    counted per range, and a row's rank is the number of rows in earlier
+    ranges plus its row number inside its own. Whatever the bounds, the ranks
+    are the same, so nothing depends on sampling, reuse or retries. Rows that
+    agree in the first order column share a range.
     """
-    ordered = df.orderBy(*order_cols)
-    # The counts branch and the row branch must read the same range shuffle
-    # (one set of sampled range bounds). Spark reuses that exchange; if a
-    # session turns reuse off, the sorted rows are written once instead.
-    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        ordered = checkpointed(ordered)
-    ordered = ordered.withColumn("_mid", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("_part", F.shiftright("_mid", _ROW_BITS)) \
-                     .withColumn("_pos", F.col("_mid").bitwiseAND((1 << _ROW_BITS) - 1))
-    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    if base is not None:
-        counts = base.select(F.lit(-1).cast("bigint").alias("_part"), F.col("_n")).unionByName(counts)
-    starts = counts.select(
-        "_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("_start")).where(F.col("_part") >= 0)
-    # one row per partition: a bounded broadcast
-    return (ordered.join(F.broadcast(starts), "_part")
-            .withColumn(out, F.col("_start") + F.col("_pos"))
-            .drop("_mid", "_part", "_pos", "_start"))
+    n = _order_number(order_cols[0], df.schema[order_cols[0]].dataType)
+    at = [i / ranges for i in range(1, ranges)]
+    cuts = df.select(n.alias("n")).agg(F.percentile_approx("n", at, 10 * ranges)).first()[0] or []
+    keyed = df.withColumn("_range", _range_of(n, sorted(set(cuts))))
+    counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range, so at most ``ranges`` rows in this window and broadcast
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*order_cols)
+    return (keyed.withColumn("_pos", F.row_number().over(inside)).join(F.broadcast(starts), "_range")
+            .withColumn(out, F.col("_start") + F.col("_pos") - 1).drop("_range", "_pos", "_start"))
 
 
 def assign_ids(df: DataFrame, existing: DataFrame, id_col: str, order_cols: list[str],
                out_col: str | None = None) -> DataFrame:
     """Serial ids for new rows, continuing above the current maximum, in the
-    order of ``order_cols`` (which must be unique): the current maximum
-    enters the rank as a base, so id = max + rank + 1."""
+    order of ``order_cols`` (together unique); other columns are kept."""
     out_col = out_col or id_col
-    base = max_id(existing, id_col).select(F.col("max_id").alias("_n"))
-    r = global_rank(df, order_cols, base=base, out="_grank")
-    return r.withColumn(out_col, F.col("_grank") + 1).drop("_grank")
+    top = max_id(existing, id_col).first()[0]
+    r = global_rank(df, order_cols, out="_grank")
+    return r.withColumn(out_col, F.col("_grank") + F.lit(top + 1)).drop("_grank")
 
 
 def append_rows(existing: DataFrame, new_rows: DataFrame, table: str,
                 fill_timestamp: bool = True) -> DataFrame:
-    """INSERT with column defaults: new rows may lack defaulted columns."""
-    out = existing.unionByName(new_rows, allowMissingColumns=True)
-    for col, val in schemas.DEFAULTS.get(table, {}).items():
-        if col in out.columns:
-            out = out.withColumn(col, F.coalesce(F.col(col), F.lit(val)))
+    """INSERT with column defaults: a default applies to new rows that come
+    without the column. Stored rows, and nulls given on purpose, stay as they
+    are."""
+    fills = dict(schemas.DEFAULTS.get(table, {}))
     if fill_timestamp:
-        for col in ("created_at", "interview_date", "answered_at"):
-            if col in out.columns:
-                out = out.withColumn(col, F.coalesce(F.col(col), F.localtimestamp()))
-    return out
+        fills |= dict.fromkeys(("created_at", "interview_date", "answered_at"), F.localtimestamp())
+    for col, val in fills.items():
+        if col in existing.columns and col not in new_rows.columns:
+            value = val if isinstance(val, Column) else F.lit(val)
+            new_rows = new_rows.withColumn(col, value.cast(existing.schema[col].dataType))
+    return existing.unionByName(new_rows, allowMissingColumns=True)
 
 
 def is_empty_df(df: DataFrame) -> DataFrame:

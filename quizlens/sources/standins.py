@@ -7,9 +7,9 @@ work grows with the tables and nothing is sampled or cut.
 
 | ours | from | rule |
 | --- | --- | --- |
-| sessions | events | id=event_id, category=event_type, overall_score=least(value, 100) |
-| answers | events | session = (user_id, day of ts), question_id = props.k, score = least(value, 100), answer text blank for type ``error`` |
-| users / accounts | customer | id=c_custkey, emails built from c_name (accounts with case and blanks) |
+| sessions | events | id=event_id, category=event_type, overall_score=value, whole |
+| answers | events | session = (user_id, day of ts), question_id = props.k, score = least(value, 100), answer text blank for type ``error`` (empty, or tabs and line breaks) |
+| users / accounts | customer | id=c_custkey, emails built from c_name (accounts with case, blanks, tabs and line breaks) |
 | questions | documents | id=doc_id, category=lang, question = first line, ideal = text, hint = source |
 | text pairs | conversations | a user turn and the assistant turn right after it |
 | vectors | embeddings | question = label; the smallest vec_id of a label is the ideal |
@@ -23,6 +23,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BLANK = "\n \t\u00a0"        # white space that is not blanks only
 SESSION_DAY_FACTOR = 100_000  # session id = user_id * 100000 + days since 1970
 
 
@@ -44,20 +45,25 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         F.col("ts").alias("interview_date"),
         F.col("event_type").alias("category"),
-        score_of("value").alias("overall_score"),
+        F.col("value").alias("overall_score"),
         F.lit(10).alias("total_questions"),
     )
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored answers from events, sessions being (user, day)."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return answers_of(table(spark, sf_dir, "events"))
+
+
+def answers_of(events: DataFrame) -> DataFrame:
+    """Answers from event rows (a table or a stream)."""
+    return events.select(
         F.col("event_id").alias("answer_id"),
         (F.col("user_id") * SESSION_DAY_FACTOR + F.unix_date(F.to_date("ts"))).alias("session_id"),
         "user_id",
         F.get_json_object("props", "$.k").try_cast("bigint").alias("question_id"),
-        F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("props")).alias("user_answer"),
+        F.when(F.col("event_type") != "error", F.col("props"))
+        .when(F.col("event_id") % 2 == 0, F.lit("")).otherwise(F.lit(BLANK)).alias("user_answer"),
         score_of("value").alias("score"),
         F.col("ts").alias("answered_at"),
         F.col("event_type").alias("category"),
@@ -82,7 +88,8 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("c_custkey") + 1_000_000).alias("id"),
         F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first_name"),
         F.col("c_mktsegment").alias("last_name"),
-        F.concat(F.lit("  "), F.upper("c_name"), F.lit("@Mail.Test ")).alias("email"),
+        F.concat(F.when(F.col("c_custkey") % 2 == 0, F.lit("  ")).otherwise(F.lit(BLANK)),
+                 F.upper("c_name"), F.lit("@Mail.Test \r\n")).alias("email"),
         "c_custkey",
     )
 
@@ -111,6 +118,16 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.join(a, ["conv_id", "turn"])
 
 
+def turn_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """User turns as answers to the turn after them, and every assistant turn
+    as bank; keys are (conv_id, turn)."""
+    c = table(spark, sf_dir, "conversations")
+    answers = c.where(F.col("role") == "user").select(
+        "conv_id", "turn", (F.col("turn") + 1).alias("question_turn"), F.col("text").alias("user_answer"))
+    bank = c.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("ideal_answer"))
+    return answers, bank
+
+
 def question_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON question set from benchmark items."""
     b = table(spark, sf_dir, "benchmark")

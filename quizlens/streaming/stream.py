@@ -3,21 +3,24 @@
 Submissions arrive one at a time in the source application; at scale that is
 a stream. Each job here reads a file stream, runs to the end of the data
 available (``availableNow``) with its checkpoint in the shared folder, and
-writes to parquet in that folder (never a driver-side memory sink). Update
--mode results are appended per micro-batch with the batch id and read back as
-the latest row per key.
+writes one folder per micro-batch, overwritten if the batch is retried, so
+the output is exactly-once. Results are read back as the latest row per key.
+
+Files may arrive in any order. What depends on order (the smoothed score, the
+first submission) is brought in line with the batch form when an older row
+arrives late; nothing is dropped behind a watermark.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quizlens.functions.rounding import UNITS, py_round1, units
+from quizlens.operators import rollup as RU
 from quizlens.operators import score as SC
 from quizlens.session import scratch_path
 from quizlens.sources import standins as S
@@ -34,94 +37,113 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1,
     return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def _run(df: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> str:
-    """Run a streaming query to the end of the available data; return the
-    parquet folder it wrote. Update-mode rows carry ``_batch``."""
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
-    if mode == "append":
-        q = (df.writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", ckpt).outputMode("append")
-             .trigger(availableNow=True).start())
-    else:
-        def sink(batch: DataFrame, batch_id: int) -> None:
-            # one folder per micro-batch, overwritten if the batch is retried
-            # (foreachBatch is at-least-once), so the output is exactly-once
-            batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
-        q = (df.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-             .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
+def land_out_of_order(spark: SparkSession, sf_dir: str, name: str, order: str, parts: int = 4) -> str:
+    """Stand-in for a landing folder: the whole table in ``parts`` ranges of a
+    column, written one after another, the last range first."""
+    t = S.table(spark, sf_dir, name)
+    n = F.col(order) if t.schema[order].dataType.typeName() == "long" else F.unix_micros(F.col(order).cast("timestamp"))
+    lo, hi = t.agg(F.min(n), F.max(n)).first()
+    path = scratch_path(spark, f"{name}-landing")
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // parts))
+    for k in reversed(range(parts)):
+        part = F.floor((n - F.lit(lo or 0)) / F.lit(width)) == k
+        rows = t.where(part if k else part | n.isNull())
+        rows.write.mode("append").parquet(path)
+    return path
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all micro-batches written to ``path`` (with ``_batch``); an
+    empty table where no batch has written. A failed read raises."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], f"{schema}, _batch int")
+    return spark.read.schema(f"{schema}, _batch int").parquet(path)
 
 
-def _latest(spark: SparkSession, path: str, keys: list[str], schema: str) -> DataFrame:
-    """Latest row per key over all update batches (max_by the batch id)."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # no batch had any row
-        return spark.createDataFrame([], schema)
-    others = [c for c in df.columns if c not in keys and c != "_batch"]
-    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("_batch")).alias("_r"))
+def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Latest row per key over micro-batches (max_by the batch id)."""
+    others = [c for c in rows.columns if c not in keys and c != "_batch"]
+    agg = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("_batch")).alias("_r"))
     return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
+def _run(df: DataFrame, name: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Run a streaming query to the end of the available data."""
+    q = (df.writeStream.foreachBatch(sink).outputMode(mode)
+         .option("checkpointLocation", scratch_path(df.sparkSession, f"{name}-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def _write(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]):
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & a[k].eqNullSafe(b[k])
+    return cond
+
+
+# --- ST1 --------------------------------------------------------------------------
+
 def stream_vector_scores(spark: SparkSession, sf_dir: str,
                          parts_dir: str | None = None) -> DataFrame:
-    """ST1: score vectors as they arrive against a static, checked-broadcast
-    bank of ideal vectors (stateless, append)."""
-    static = S.vectors(spark, sf_dir)
-    ideals = SC.ideal_vectors_by_min_key(static, "label", "vec_id")
+    """ST1: score vectors as they arrive against a static bank of ideal
+    vectors, written and measured once (stateless)."""
+    ideals = SC.ideal_vectors_by_min_key(S.vectors(spark, sf_dir), "label", "vec_id")
     stream = read_stream(spark, sf_dir, "embeddings", parts_dir=parts_dir)
     scored = SC.vector_scores(stream, ideals, "label") \
                .where(F.col("vec_id") != F.col("ideal_key")).select("vec_id", "label", "score")
-    return spark.read.parquet(_run(scored, spark, "st1"))
+    out = scratch_path(spark, "st1-out")
+    _run(scored, "st1", lambda batch, i: _write(batch, out, i))
+    return _batches(spark, out, "vec_id bigint, label int, score double").drop("_batch")
 
 
 def stream_text_scores(spark: SparkSession, sf_dir: str,
                        parts_dir: str | None = None) -> DataFrame:
     """ST1 for text answers: user turns of ``conversations`` arrive as a
-    stream and are scored against a static bank (the first assistant turn of
-    each conversation) by term-count cosine. The bank is counted and written
-    once; each micro-batch is scored by the batch operator (JVM-side) in a
-    ``foreachBatch`` sink that appends its rows."""
-    c = S.table(spark, sf_dir, "conversations")
-    bank = c.where(F.col("role") == "assistant").groupBy("conv_id").agg(
-        F.min_by("text", F.col("turn")).alias("ideal_answer")).withColumnRenamed("conv_id", "id")
-    counts, norms = SC.bank_term_counts(bank)
+    stream and are scored against the assistant turn right after them by
+    term-count cosine. The bank (every assistant turn) is counted, written and
+    measured once; each micro-batch is scored by the batch operator."""
+    _, bank = S.turn_answers(spark, sf_dir)
+    question = ["conv_id", "question_turn"]
+    counts, norms = SC.bank_term_counts(bank, question, ["conv_id", "turn"])
     answers = read_stream(spark, sf_dir, "conversations", parts_dir=parts_dir) \
         .where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"),
-        F.col("conv_id").alias("question_id"), F.col("text").alias("user_answer"))
+        "conv_id", "turn", (F.col("turn") + 1).alias("question_turn"), F.col("text").alias("user_answer"))
     out = scratch_path(spark, "st1-text-out")
-    ckpt = scratch_path(spark, "st1-text-ckpt")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        scored = SC.score_against_counts(batch, counts, norms)
-        # a retried micro-batch overwrites its own folder: exactly-once output
-        scored.select("answer_id", "question_id", "score").write.mode("overwrite") \
-              .parquet(f"{out}/_batch={batch_id}")
+        scored = SC.score_against_counts(batch, counts, norms, ["conv_id", "turn"], question)
+        _write(scored.select("conv_id", "turn", "score"), out, batch_id)
+
+    _run(answers, "st1-text", sink)
+    return _batches(spark, out, "conv_id bigint, turn bigint, score double").drop("_batch")
 
-    q = (answers.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    try:
-        return spark.read.parquet(out).select("answer_id", "question_id", "score")
-    except Exception:  # no micro-batch had a row
-        return spark.createDataFrame([], "answer_id bigint, question_id bigint, score double")
 
+# --- ST2 --------------------------------------------------------------------------
 
 def stream_user_stats(spark: SparkSession, sf_dir: str,
                       parts_dir: str | None = None) -> DataFrame:
     """ST2: running per-user totals, average and best (update mode)."""
     s = read_stream(spark, sf_dir, "events", parts_dir=parts_dir).select(
-        "user_id", S.score_of("value").alias("overall_score"))
+        "user_id", F.col("value").alias("overall_score"))
     agg = s.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_interviews"),
         F.sum(units("overall_score")).alias("unit_sum"),
         F.count("overall_score").alias("n_scored"),
         F.max("overall_score").alias("best"))
-    res = _latest(spark, _run(agg, spark, "st2", "update"), ["user_id"],
-                  "user_id bigint, total_interviews bigint, unit_sum bigint, n_scored bigint, best double")
+    out = scratch_path(spark, "st2-out")
+    _run(agg, "st2", lambda batch, i: _write(batch, out, i), mode="update")
+    res = _latest(_batches(spark, out, "user_id bigint, total_interviews bigint, unit_sum bigint, "
+                                       "n_scored bigint, best double"), ["user_id"])
     return res.select(
         "user_id", "total_interviews",
         F.coalesce(py_round1(F.col("unit_sum") / (F.col("n_scored") * float(UNITS))),
@@ -129,50 +151,80 @@ def stream_user_stats(spark: SparkSession, sf_dir: str,
         F.coalesce(py_round1("best"), F.lit(0.0)).alias("best_score"))
 
 
+# --- ST3 --------------------------------------------------------------------------
+
 def stream_smoothed_scores(spark: SparkSession, sf_dir: str,
                            parts_dir: str | None = None) -> DataFrame:
-    """ST3: the smoothed per-category score as keyed state. Equal to the batch
-    fold when rows arrive in time order; a late row is applied on arrival."""
-    def smooth_state(key, pdfs, state):
-        """State of one (user, category): the smoothed score and the count;
-        the micro-batch's rows are applied in (time, id) order. Nested so it
-        is shipped by value: workers need not import this package."""
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["interview_date", "id"])
-        s = state.get[0] if state.exists else None
-        n = state.get[1] if state.exists else 0
-        for x in rows["overall_score"].tolist():
-            s = x if s is None else round((s + x) / 2, 1)
-            n += 1
-        state.update((s, n))
-        yield pd.DataFrame({"user_id": [key[0]], "category": [key[1]],
-                            "smoothed_score": [s], "n": [n]})
-
+    """ST3: the smoothed per-category score kept up to date, equal to the
+    batch fold whatever the order of arrival.
+
+    The rows of every micro-batch are logged. A key whose new rows all come
+    after its last one is continued from its stored state; a key that gets an
+    older row is folded again from its logged rows. Both go through the batch
+    operator, which slices hot keys."""
+    keys = ["user_id", "category"]
+    row = "id bigint, user_id bigint, interview_date timestamp_ntz, category string, overall_score double"
+    kept = "user_id bigint, category string, smoothed_score double, n bigint, last_ts timestamp_ntz, last_id bigint"
     s = read_stream(spark, sf_dir, "events", parts_dir=parts_dir).select(
         F.col("event_id").alias("id"), "user_id", F.col("ts").alias("interview_date"),
-        F.col("event_type").alias("category"), S.score_of("value").alias("overall_score"))
-    out = s.groupBy("user_id", "category").applyInPandasWithState(
-        smooth_state,
-        outputStructType="user_id bigint, category string, smoothed_score double, n bigint",
-        stateStructType="s double, n bigint",
-        outputMode="update",
-        timeoutConf=GroupStateTimeout.NoTimeout)
-    return _latest(spark, _run(out, spark, "st3", "update"), ["user_id", "category"],
-                   "user_id bigint, category string, smoothed_score double, n bigint")
+        F.col("event_type").alias("category"), F.col("value").alias("overall_score"))
+    log, out = scratch_path(spark, "st3-log"), scratch_path(spark, "st3-out")
 
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        _write(batch, log, batch_id)
+        rows = spark.read.schema(row).parquet(f"{log}/_batch={batch_id}")
+        at = F.struct("interview_date", "id")
+        edge = rows.groupBy(*keys).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+        state = _latest(_batches(spark, out, kept).where(F.col("_batch") < batch_id), keys)
+        touched = edge.join(state, _same(edge, state, keys), "left").select(
+            *[edge[k] for k in keys], "first", "last", "smoothed_score", "n", "last_ts", "last_id")
+        stored = F.struct(F.col("last_ts").alias("interview_date"), F.col("last_id").alias("id"))
+        is_late = F.col("last_ts").isNotNull() & (F.col("first") < stored)
+        late = touched.where(is_late).select(*keys)
+        on_time = touched.where(~is_late & F.col("n").isNotNull()).select(
+            F.lit(None).cast("bigint").alias("id"), *keys, F.lit(None).cast("timestamp_ntz").alias("interview_date"),
+            F.col("smoothed_score").alias("overall_score"), F.col("n").alias("rows"))
+        new = rows.join(late, _same(rows, late, keys), "left_anti").withColumn("rows", F.lit(1).cast("bigint"))
+        logged = _batches(spark, log, row).where(F.col("_batch") <= batch_id).drop("_batch")
+        again = logged.join(late, _same(logged, late, keys), "left_semi").withColumn("rows", F.lit(1).cast("bigint"))
+        todo = on_time.unionByName(new).unionByName(again)
+        res = RU.smoothed_scores(todo, keys, "interview_date", "id", "overall_score", stands_for="rows")
+        end = touched.select(*[F.col(k).alias(f"_{k}") for k in keys], F.greatest("last", F.when(
+            F.col("last_ts").isNotNull(), stored)).alias("end"))
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        _write(res.join(end, cond).select(
+            *keys, "smoothed_score", "n", F.col("end.interview_date").alias("last_ts"),
+            F.col("end.id").alias("last_id")), out, batch_id)
+
+    _run(s, "st3", sink)
+    return _latest(_batches(spark, out, kept), keys).select(*keys, "smoothed_score", "n")
+
+
+# --- ST4 --------------------------------------------------------------------------
 
 def stream_dedupe(spark: SparkSession, sf_dir: str, delay: str = "1 day",
-                  parts_dir: str | None = None) -> DataFrame:
-    """ST4: drop re-posted submissions (same answer arriving again) within a
-    watermark. The stream is read twice and unioned, so every submission is
-    planted twice. ``timestamp_ntz`` cannot carry a watermark: cast first."""
-    def answers():
-        e = read_stream(spark, sf_dir, "events", parts_dir=parts_dir)
-        return e.select(
-            F.col("event_id").alias("answer_id"),
-            (F.col("user_id") * S.SESSION_DAY_FACTOR + F.unix_date(F.to_date("ts"))).alias("session_id"),
-            F.get_json_object("props", "$.k").try_cast("bigint").alias("question_id"),
-            F.col("ts").cast("timestamp").alias("_wm"))
-    both = answers().unionByName(answers())
-    dedup = both.withWatermark("_wm", delay).dropDuplicatesWithinWatermark(["answer_id"])
-    return spark.read.parquet(_run(dedup.drop("_wm"), spark, "st4")) \
-        .select("answer_id", "session_id", "question_id")
+                  parts_dir: str | None = None, with_late: bool = False):
+    """ST4: the first submission of each (session, question); answers without
+    a question are each kept.
+
+    Rows older than the newest seen so far by more than ``delay`` are late:
+    they go to a side table instead of the main one. The result joins both,
+    so it equals the batch form; ``with_late`` also returns the side table."""
+    row = ("answer_id bigint, session_id bigint, user_id bigint, question_id bigint, user_answer string, "
+           "score double, answered_at timestamp_ntz, category string")
+    stream = S.answers_of(read_stream(spark, sf_dir, "events", parts_dir=parts_dir))
+    main, side = scratch_path(spark, "st4-out"), scratch_path(spark, "st4-late")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        seen = _batches(spark, main, row).where(F.col("_batch") < batch_id).agg(F.max("answered_at")).first()[0]
+        late = F.lit(False) if seen is None else F.coalesce(
+            F.col("answered_at") < F.lit(seen).cast("timestamp_ntz") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        _write(RU.dedupe_submissions(batch.where(~late)), main, batch_id)
+        _write(batch.where(late), side, batch_id)
+
+    _run(stream, "st4", sink)
+    late = _batches(spark, side, row).drop("_batch")
+    first = RU.dedupe_submissions(_batches(spark, main, row).drop("_batch").unionByName(late))
+    return (first, late) if with_late else first

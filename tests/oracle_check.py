@@ -45,7 +45,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 # Spark type -> DuckDB type name, for the schema part of the comparison.
 TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
               "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
-              "array<string>": "VARCHAR[]", "array<double>": "DOUBLE[]", "array<bigint>": "BIGINT[]"}
+              "array<string>": "VARCHAR[]", "array<double>": "DOUBLE[]", "array<bigint>": "BIGINT[]", "array<int>": "INTEGER[]"}
 
 
 def compare(spark, con, name, fn, sql, sf_dir):

@@ -241,12 +241,75 @@ def test_dashboard_switches(spark):
     assert all_.recent_scores[0] == 0.0 and all_.recent_bands[:2] == ["red", "green"]
 
 
-def test_global_rank_without_exchange_reuse(spark):
-    spark.conf.set("spark.sql.exchange.reuse", "false")
-    try:
-        existing = spark.createDataFrame([(5,)], "id bigint")
-        new = spark.range(0, 500, 1, 6).select((F.col("id") * 7 % 500).alias("k"))
-        got = IO.assign_ids(new, existing, "id", ["k"], out_col="n").orderBy("k").collect()
-        assert [r.n for r in got] == list(range(6, 506))
-    finally:
-        spark.conf.set("spark.sql.exchange.reuse", "true")
+def test_ids_of_a_wide_table_are_dense_and_unique(spark):
+    """Payload columns, many rows, several scan partitions, odd bounds."""
+    new = spark.range(0, 120_000, 1, 11).select(
+        ((F.col("id") * 7919) % 120_000).alias("k"), F.repeat(F.lit("p"), 40).alias("payload"),
+        F.concat(F.lit("n"), (F.col("id") % 97).cast("string")).alias("name"))
+    existing = spark.createDataFrame([(5,)], "id bigint")
+    for order in (["k"], ["name", "k"]):
+        got = IO.assign_ids(new, existing, "id", order, out_col="n")
+        assert got.columns == ["k", "payload", "name", "n"]
+        r = got.agg(F.count("n").alias("c"), F.countDistinct("n").alias("d"), F.min("n").alias("a"), F.max("n").alias("z")).first()
+        assert tuple(r) == (120_000, 120_000, 6, 120_005)
+        rows = got.orderBy("n").select(*order).limit(500).collect()
+        assert [tuple(x) for x in rows] == sorted(tuple(x) for x in rows)
+
+
+def test_ids_by_every_kind_of_column(spark):
+    rnd = random.Random(1)
+    rows = [(i, rnd.choice([None, -1.5, 0.0, 2.5]), T0 + dt.timedelta(hours=rnd.randrange(50)),
+             rnd.choice(["", "a", "ab", "é", "zzzzzzzzz1", "zzzzzzzzz2", None]), rnd.random() < .5) for i in range(300)]
+    df = spark.createDataFrame(rows, "i bigint, x double, t timestamp_ntz, s string, b boolean").repartition(5)
+    for col in ("x", "t", "s", "b"):
+        want = [r.i for r in df.orderBy(col, "i").collect()]
+        assert [r.i for r in IO.global_rank(df, [col, "i"], ranges=8).orderBy("_grank").collect()] == want
+
+
+def test_positions_of_long_sessions_with_payload(spark):
+    n = 100_000
+    a = spark.range(0, n, 1, 9).select(
+        F.col("id").alias("answer_id"), F.when(F.col("id") % 4 > 0, 1).otherwise(F.col("id") % 500).cast("bigint").alias("session_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 7919) % n).cast("timestamp_ntz").alias("answered_at"),
+        F.repeat(F.lit("p"), 30).alias("payload"))
+    got = RK.question_positions(a)
+    per = got.groupBy("session_id").agg(
+        F.max("ordinal").alias("top"), F.countDistinct("ordinal").alias("d"), F.count("ordinal").alias("c"),
+        F.count_if("is_last").alias("last"), F.max("n_in_session").alias("n"))
+    assert per.where("top != c OR d != c OR last != 1 OR n != c").count() == 0 and "payload" in got.columns
+
+
+def test_null_scores_change_nothing_and_null_keys_stay(spark):
+    xs = [None, 12.34, None, 80.0, None, 3.3]
+    rows = [(i, u, i, "hr", x) for u in (1, None) for i, x in enumerate(xs, start=1)]
+    rows += [(i, 2, i, "hr", None) for i in range(1, 5)]
+    for chunk in (1_000_000, 3, 2, 1):
+        got = {r.user_id: (r.smoothed_score, r.n, r.mean_score) for r in RU.smoothed_scores(
+            _sessions(spark, rows), ["user_id"], "interview_date", "id", "overall_score", chunk_rows=chunk).collect()}
+        want = _py_fold([12.34, 80.0, 3.3])
+        assert got == {1: (want, 6, 31.9), None: (want, 6, 31.9), 2: (None, 4, None)}, chunk
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-10 ** 9, 10 ** 9).map(lambda v: v / 4)), min_size=5, max_size=200),
+       st.integers(1, 40))
+def test_sliced_fold_of_wide_ranges_and_nulls(spark, xs, chunk):
+    rows = [(i, 1, i, "hr", x) for i, x in enumerate(xs, start=1)]
+    scored = [x for x in xs if x is not None]
+    want = _py_fold(scored) if scored else None
+    for c in (chunk, len(xs) + 1, 70):
+        got = RU.smoothed_scores(_sessions(spark, rows), ["user_id"], "interview_date", "id", "overall_score", chunk_rows=c).first()
+        assert (got.smoothed_score, got.n) == (want, len(xs))
+
+
+def test_answers_without_a_question_are_each_kept(spark):
+    a = _answers(spark, [(i, 9, None, "x", 10.0 * i, i) for i in range(1, 6)] + [(6, 9, 1, "y", 1.0, 0), (7, 9, 1, "y", 1.0, 1)])
+    assert sorted(r.answer_id for r in RU.dedupe_submissions(a).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_lemmas_by_table_and_suffix_rules(spark):
+    from quizlens.plans.reports import clean_question_set
+    qs = spark.createDataFrame([("a", "Skills and classes help companies"), ("b", "one skill, a class, this company helps children"),
+                                ("c", None)], "question string, ideal_answer string")
+    got = {r.question: r.final_text for r in clean_question_set(qs).collect()}
+    assert got == {"a": "skill class help company", "b": "one skill class company help child", "c": ""}

@@ -27,6 +27,34 @@ def test_smoothed_state_across_batches_equals_batch_fold(spark):
     assert got == want
 
 
+def test_every_job_equals_batch_when_files_arrive_newest_first(spark):
+    ev = ST.land_out_of_order(spark, SF_SMALL, "events", "ts", parts=4)
+    sessions, answers = S.sessions(spark, SF_SMALL), S.answers(spark, SF_SMALL)
+    got = {(r.user_id, r.category): (r.smoothed_score, r.n) for r in
+           ST.stream_smoothed_scores(spark, SF_SMALL, parts_dir=ev).collect()}
+    want = {(r.user_id, r.category): (r.smoothed_score, r.n) for r in RU.smoothed_scores(
+        sessions, ["user_id", "category"], "interview_date", "id", "overall_score").collect()}
+    assert got == want
+    first, late = ST.stream_dedupe(spark, SF_SMALL, parts_dir=ev, with_late=True)
+    assert sorted(r.answer_id for r in first.collect()) == sorted(
+        r.answer_id for r in RU.dedupe_submissions(answers).collect())
+    # all but the newest file, and what is within a day of it, came late
+    assert 0.6 * answers.count() < late.count() < 0.8 * answers.count()
+    stats = {r.user_id: (r.total_interviews, r.avg_score, r.best_score) for r in
+             ST.stream_user_stats(spark, SF_SMALL, parts_dir=ev).collect()}
+    assert stats == {r.user_id: (r.total_interviews, r.avg_score, r.best_score) for r in RU.user_totals(sessions).collect()}
+
+
+def test_a_failed_read_is_not_an_empty_result(spark):
+    import pytest
+    missing = scratch_path(spark, "nothing")
+    assert ST._batches(spark, missing, "a bigint").count() == 0
+    broken = scratch_path(spark, "broken")
+    spark.range(3).select(F.col("id").cast("string").alias("a")).write.parquet(f"{broken}/_batch=0")
+    with pytest.raises(Exception):
+        ST._batches(spark, broken, "a array<int>").collect()
+
+
 def _make_model():
     """A stand-in sentence model: a fixed random projection of byte counts."""
     rng = np.random.default_rng(0)

@@ -28,7 +28,7 @@ def test_readme_flow(spark):
     answers = io.read_table(spark, f"{base}/user_answers", "user_answers")
     sessions = io.read_table(spark, f"{base}/interview_session", "interview_session")
     users = io.read_table(spark, f"{base}/users", "users")
-    scored = score.score_answers(answers.drop("score"), questions)
+    scored = answers.drop("score").join(score.score_answers(answers, questions).select("answer_id", "score"), "answer_id")
     closed = rollup.session_scores(rollup.dedupe_submissions(scored))
     sessions = rollup.update_session_scores(sessions, closed)
     report = reports.session_report(scored.join(
@@ -36,12 +36,14 @@ def test_readme_flow(spark):
     dashboard = reports.dashboard(sessions, users)
     batch = sessions.join(closed.select(closed.session_id.alias("id")), "id", "left_semi")
     perf = rollup.upsert_performance(
-        spark.read.parquet(f"{base}/performance"), batch, ["user_id", "category"],
-        "interview_date", "id", "overall_score")
+        io.read_table(spark, f"{base}/performance", "performance"), batch, ["user_id", "category"],
+        "interview_date", "id", "overall_score", id_col="performance_id")
     io.write_touched_partitions(perf, batch, f"{base}/performance")
     rep = {r.session_id: (r.score, r.grade, r.breakdown_status) for r in report.collect()}
     assert rep == {10: (53.5, "Needs Practice", ["Answered", "Skipped"]), 11: (82.5, "Excellent", ["Answered"])}
     dash = {r.user_id: (r.total_interviews, r.cat_names) for r in dashboard.collect()}
     assert dash == {5: (2, ["sql", "hr"]), 6: (0, [])}
-    stored = {(r.user_id, r.category): r.average_score for r in spark.read.parquet(f"{base}/performance").collect()}
-    assert stored == {(5, "hr"): 46.8, (5, "sql"): 82.5}   # (40 + 53.5) / 2 = 46.75 -> half even
+    stored = {(r.user_id, r.category): (r.performance_id, r.average_score)
+              for r in io.read_table(spark, f"{base}/performance", "performance").collect()}
+    # (40 + 53.5) / 2 = 46.75 -> half even
+    assert stored == {(5, "hr"): (1, 46.8), (5, "sql"): (2, 82.5)}
