@@ -53,7 +53,7 @@ RAW = "script|style|textarea|title|noscript|template|iframe"
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"                                        # a comment, closed or not
     rf"|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"         # an element whose content is no markup
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|[\"'][^>]*(?:>|\Z))"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
