@@ -24,7 +24,7 @@ def tree(df) -> str:
 
 
 def main() -> None:
-    import __spark_entry__ as E
+    from conftest import core_queries
     from quizlens.session import local_session
     spark = local_session()
     sf = "/root/testdata/sf0.01"
@@ -35,9 +35,9 @@ def main() -> None:
            "branches of r2) because its size estimate is under `autoBroadcastJoinThreshold`;",
            "on large inputs these are sort-merge joins whose per-key sides are already",
            "hash-partitioned by that key (only the other side is shuffled). Explicit broadcasts",
-           "(question bank, hot keys, lemma changes, partition offsets) go through a size",
-           "check (`quizlens.session.small_side`).", ""]
-    for name, fn in E.queries().items():
+           "(question bank, hot keys, lemma changes, range starts) go through a check of",
+           "their bytes (`quizlens.session.small_side`).", ""]
+    for name, fn in core_queries().items():
         if name.startswith("st"):
             continue
         out += [f"## {name}", "", "```", tree(fn(spark, sf)), "```", ""]

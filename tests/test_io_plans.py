@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from conftest import SF_SMALL, core_queries
 from quizlens.session import scratch_path
 from quizlens.sources import io as IO
 
@@ -76,7 +76,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-CORE = sorted(q for q in E.queries() if not q.startswith(("op", "pipeline")))
+CORE = sorted(core_queries())
 NATIVE = ["t1_clean_text", "t2_tokens", "t3_stop_words", "t5_final_text", "r3_clean_question_set",
           "v1_vector_scores", "v3_text_cosine", "v4_score_answers", "a7_smoothed_scores",
           "r1_session_report", "r2_dashboard", "r4_close_sessions"]
