@@ -1,0 +1,80 @@
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+import corpus_pipeline as P
+from quizlens.llm.common import written
+from test_jaccard import brute
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """The rows that each stage returned, the input first."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [docs.collect()]
+    for _, stage in P.STAGES:
+        docs = written(stage(spark, docs, SF), "test-stage")
+        out.append(docs.collect())
+    return out
+
+
+def test_names_and_order():
+    assert [n for n, _ in P.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "mixing", "byte-level BPE"]
+    assert P.ORACLE_SQL is None
+
+
+def test_all_but_the_last_return_documents(stages):
+    for rows in stages[:-1]:
+        assert rows[0].__fields__ == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_toxicity_keeps_clean_documents(spark, stages):
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    left = {r.doc_id for r in stages[1]}
+    clean = [i for i, t in toxic.items() if t == 0]
+    bad = [i for i, t in toxic.items() if t == 1]
+    assert sum(i in left for i in clean) >= 0.99 * len(clean)
+    assert sum(i not in left for i in bad) >= 0.7 * len(bad)
+
+
+def test_exact_dedup_keeps_the_largest_id(stages):
+    by = defaultdict(list)
+    for r in stages[1]:
+        by[r.text.translate({c: c + 32 for c in range(65, 91)})].append(r.doc_id)
+    assert sorted(r.doc_id for r in stages[2]) == sorted(map(max, by.values()))
+
+
+def test_one_of_each_near_group_stays(stages):
+    want = brute([(r.doc_id, r.text) for r in stages[2]])
+    assert sorted(r.doc_id for r in stages[3]) == sorted(i for i, (_, c) in want.items() if c == i)
+
+
+def test_mix_repeats_whole_documents(stages):
+    before = {r.doc_id: r for r in stages[3]}
+    n = Counter(r.doc_id for r in stages[4])
+    assert set(n.values()) <= {1, 2} and all(r == before[r.doc_id] for r in stages[4])
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for i, r in before.items()}
+    assert sum(size[i] * k for i, k in n.items()) == pytest.approx(1.5 * sum(size.values()), rel=0.05)
+
+
+def test_encoded_documents_decode_to_their_text(stages):
+    text = {r.doc_id: r.text for r in stages[4]}
+    assert Counter(r.doc_id for r in stages[5]) == Counter(r.doc_id for r in stages[4])
+    for r in stages[5]:
+        assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() and len(r.ids) == r.n_tokens
+
+
+def test_run_returns_the_last_stage(spark, stages):
+    got = P.run(spark, SF)
+    assert Counter((r.doc_id, r.ids_sha256) for r in got.collect()) == Counter((r.doc_id, r.ids_sha256) for r in stages[5])
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0

@@ -1,0 +1,54 @@
+import random
+
+import pytest
+
+from quizlens.llm import url_filter as UF
+
+RULES = [UF.Rule("net", "/", "block"), UF.Rule("example.net", "/en/", "allow"), UF.Rule("a.example.net", "/", "block"),
+         UF.Rule("org", "/f", "block"), UF.Rule("org", "/fr/x", "allow"), UF.Rule("both.io", "/", "allow"),
+         UF.Rule("both.io", "/", "block")]
+
+
+def parts(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host, rest = rest[:cut], rest[cut:]
+    path = rest[:min([rest.find(c) for c in "?#" if c in rest], default=len(rest))]
+    return host.translate({c: c + 32 for c in range(65, 91)}), path
+
+
+def brute(url):
+    host, path = parts(url)
+    fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: (r.host.count("."), len(r.path), r.verdict == "block"), default=None)
+    return host, path, best and best.host + best.path, best.verdict if best else "allow"
+
+
+def test_equals_scan_of_all_rules(frame):
+    rnd = random.Random(2)
+    urls = [None, "", "no scheme", "://", "http://", "http://NET", "x://example.net/en", "HTTP://A.Example.NET/en/",
+            "http://both.io/x", "http://notexample.net.com/en/", "http://net:80/", "http://É.org/fr/", "a://b://net/",
+            "http://h.org/" + "f" * 50_000, "http://x.org?/f", "http://x.org/a\n/b", "http://..net/"]
+    for _ in range(400):
+        host = ".".join(rnd.choices(["a", "b", "example", "net", "org", "both", "io", ""], k=rnd.randrange(1, 5)))
+        urls.append(f"http://{host}" + rnd.choice(["", "/", "?q", "#f"])
+                    + "/".join(rnd.choices(["en", "f", "fr", "x", "", "fx"], k=rnd.randrange(0, 4))) + rnd.choice(["", "?a=/b", "#t"]))
+    rows = [(i, u, "mine", "other") for i, u in enumerate(urls)]
+    df = UF.filter_urls(frame(rows, "page_id long, url string, url_rule string, verdict string"), RULES)
+    got = {r.page_id: (r.url_host, r.url_path, r.url_rule, r.url_verdict) for r in df.collect()}
+    assert got == {i: brute(u) for i, u in enumerate(urls)}
+    assert df.columns.count("url_rule") == 1 and "verdict" in df.columns
+
+
+def test_empty_table_and_limits(empty, monkeypatch):
+    assert UF.filter_urls(empty("page_id long, url string"), RULES).count() == 0
+    monkeypatch.setattr(UF, "MAX_RULES", 3)
+    with pytest.raises(ValueError):
+        UF.build_trie(RULES)
+
+
+def test_no_rules(frame):
+    r = UF.filter_urls(frame([(1, "http://a.b/c")], "page_id long, url string"), [], default="block").collect()[0]
+    assert (r.url_rule, r.url_verdict) == (None, "block")
