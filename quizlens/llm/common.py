@@ -7,32 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quizlens.session import scratch_path
+from quizlens.session import written  # noqa: F401
 
 # A-Z -> a-z on single bytes; UTF-8 continuation bytes are never in that range.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 # Texts are handled in Python a few MB at a time, so that a worker's memory
 # does not follow the size of an Arrow batch.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet into the shared checkpoint folder and read
-    back: later stages (and retries after a lost executor) start from the
-    files, and unlike ``checkpoint()`` they read only the columns they need."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text of an Arrow column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
@@ -43,7 +34,7 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
     n = batch.num_rows
     if not n:
         return
-    sizes = np.array([len(x) for x in text_bytes(batch.column(text))], dtype=np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = (np.cumsum(sizes) - sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
     for a, b in zip(cuts[:-1], cuts[1:]):

@@ -26,23 +26,28 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = joined.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(
             low.select("u", F.col("low").alias("v")))
-    return out.where("u != v").distinct()
+    return out.where("u != v")
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame:
     """(node, component) of every node that has a link; the component is its
     smallest node. Loops and repeated links are allowed; null ends are not
-    links. No links give an empty table."""
-    e = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-                .where("u IS NOT NULL AND v IS NOT NULL AND u != v").distinct(), "edges")
+    links. No links give an empty table.
+
+    With ``rounds``, only so many rounds are run: nodes of one label are then
+    connected, but a long chain may still have several labels."""
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(
+        "u IS NOT NULL AND v IS NOT NULL AND u != v")
     mark = None
-    for _ in range(MAX_ROUNDS):
-        e = written(_star(_star(e, True), False), "edges")
+    for _ in range(rounds or MAX_ROUNDS):
+        e = written(_star(_star(e, True), False).distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
     else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        if rounds is None:
+            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    label = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    roots = e.select(F.col("v").alias("node")).distinct().join(label, "node", "left_anti")
+    return label.unionByName(roots.select("node", F.col("node").alias("component")))

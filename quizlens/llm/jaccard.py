@@ -23,7 +23,7 @@ out. Only pairs that share such a signature are verified, exactly.
   copies, is looked at in hot groups: first against a few hubs of the group
   (linear), then, block by block, against members that are not yet in the same
   component, pruned by bitmaps that bound the difference from below. No pair
-  is lost, and a group's pairs are never all emitted.
+  is lost, and a group's pairs are never emitted.
 """
 
 from __future__ import annotations
@@ -42,11 +42,12 @@ from pyspark.sql import functions as F
 from quizlens.llm.common import chunks, text_bytes, written
 from quizlens.llm.components import components
 from quizlens.llm.shingles import mix, shingle_sets
+from quizlens.session import small_side
 
 SIMILARITY = 0.75
 HOT = 16                 # sets of a signature whose pairs are all candidates
 HUBS = 3                 # of a hot group
-BLOCK = 2048             # rows of a block of a hot group
+BLOCK = 1024             # members of a block of a family of hot groups
 MAX_BITS = 1 << 14       # of a set's bitmap
 PAIR_COST = 100.0        # a candidate's cost in signatures, for the allocation
 SHARED = 0.1             # assumed chance that two texts of a band share an element
@@ -196,15 +197,16 @@ def signature_rows(rows: DataFrame, text_col: str, t: float) -> DataFrame:
 
 
 def group_signatures(rows: DataFrame) -> DataFrame:
-    """(pair, a, b): candidate pairs of tags (pair = true), and the members of
-    hot signatures as (signature, member)."""
+    """(pair, a, b, shared): candidate pairs of tags with the number of
+    signatures they share (pair = true; a pair may come in several rows), and
+    the members of hot signatures as (signature, member)."""
     hot_bit = F.col("member").bitwiseAND(F.lit(1)) == 1
     by = F.when(hot_bit, F.xxhash64("member")).otherwise(F.col("sig"))
     dealt = rows.repartition(by).sortWithinPartitions("sig")
 
-    def found(sig: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def found(sig: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of the rows, sorted by signature, none of them hot."""
-        pairs = []
+        pairs = [np.empty((0, 2), np.int64)]
         for d in range(1, HOT):
             same = np.flatnonzero(sig[d:] == sig[:-d]) if d < len(sig) else np.empty(0, np.int64)
             if not len(same):
@@ -214,14 +216,13 @@ def group_signatures(rows: DataFrame) -> DataFrame:
             useful = ((x >> 1 & 1) + (y >> 1 & 1) < 2) & (x >> 3 != y >> 3)
             x, y = x[useful] >> 3, y[useful] >> 3
             pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-        if not pairs:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        p = np.unique(np.concatenate(pairs), axis=0)
-        return p[:, 0], p[:, 1]
+        p, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+        return p[:, 0], p[:, 1], n
 
-    def out(pair: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), pair)), pa.array(a), pa.array(b)],
-                                          names=["pair", "a", "b"])
+    def out(pair: bool, a: np.ndarray, b: np.ndarray, shared: np.ndarray | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(a), pair)), pa.array(a), pa.array(b),
+             pa.array(np.ones(len(a), np.int64) if shared is None else shared)], names=["pair", "a", "b", "shared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
@@ -260,7 +261,7 @@ def group_signatures(rows: DataFrame) -> DataFrame:
             yield out(True, *found(sig[rest], member[rest]))
         yield out(True, *found(held_sig, held_member))
 
-    return dealt.mapInArrow(run, "pair boolean, a long, b long")
+    return dealt.mapInArrow(run, "pair boolean, a long, b long, shared long")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, t: float) -> bool:
@@ -269,23 +270,71 @@ def _similar(x: np.ndarray, y: np.ndarray, t: float) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, rows: DataFrame, id_col: str, text_col: str,
-           t: float) -> DataFrame:
-    """Of the pairs of tags (a, b) the linked ones as pairs of document ids
-    (u, v), by the whole texts of one document of each set. Pairs whose sizes
-    alone rule a link out are left before any text is fetched."""
-    def side(x):
-        return sets.select(F.col("tag").alias(x), F.col("rep").alias(f"id_{x}"),
-                           F.col("n").alias(f"n_{x}"), F.col("digest").alias(f"digest_{x}"))
+def _ends(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b) with the named columns of either set, as name_a and
+    name_b."""
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("tag").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
+    return pairs
 
-    p = written(pairs.join(side("a"), "a").join(side("b"), "b").where(
-        F.least("n_a", "n_b") >= F.lit(t) * F.greatest("n_a", "n_b")).drop("a", "b", "n_a", "n_b"), "pairs")
-    need = p.select(F.explode(F.array("id_a", "id_b")).alias("need")).distinct()
-    texts = written(rows.select(F.col(id_col).cast("long").alias("need"), F.col(text_col).alias("text"))
-                    .join(need, "need", "left_semi"), "texts")
 
+def _sizes_fit(t: float):
+    return F.least("n_a", "n_b") >= F.lit(t) * F.greatest("n_a", "n_b")
+
+
+def shared_enough(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs that share as many signatures as a link requires.
+
+    A set takes ``slack`` more signatures than its largest difference can
+    spoil, so of a linked pair the member that stops earlier finds at least
+    slack + 1 of its signatures in the other, less those that are hot."""
+    pairs = found.where("pair").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    return _ends(pairs, sets, "spare").where(F.col("shared") > F.least("spare_a", "spare_b")).select("a", "b")
+
+
+def bits_of(described: DataFrame, tags: DataFrame) -> DataFrame:
+    """(tag, bits) of the named tags only. The tags are broadcast where their
+    measured bytes allow it, so the bitmaps need not be shuffled to find them."""
+    return described.select("tag", "bits").join(small_side(tags.distinct()), "tag", "left_semi").dropDuplicates(["tag"])
+
+
+def bits_fit(pairs: DataFrame, sets: DataFrame, described: DataFrame, t: float) -> DataFrame:
+    """The pairs of tags that neither sizes nor bitmaps rule out, as pairs of
+    document ids with their sets' digests."""
+    p = written(_ends(pairs, sets, "n", "rep", "digest").where(_sizes_fit(t)), "sized")
+    bits = bits_of(described, p.select(F.explode(F.array("a", "b")).alias("tag")))
+    for x in "ab":
+        p = p.join(bits.select(F.col("tag").alias(x), F.col("bits").alias(f"bits_{x}")), x)
+    out = ["id_a", "id_b", "digest_a", "digest_b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            limit = (1 - t) / (1 + t) * (b.column("n_a").to_numpy() + b.column("n_b").to_numpy()) + 1e-6
+            fit = pa.array([_apart(x, y) <= k for x, y, k in zip(
+                b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), limit)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(c).filter(fit) for c in ("rep_a", "rep_b", "digest_a", "digest_b")], names=out)
+
+    return p.mapInArrow(run, "id_a long, id_b long, digest_a binary, digest_b binary")
+
+
+def fetch_texts(rows: DataFrame, paired: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(need, text, paired, member): the texts of the documents that stand in
+    a pair or are members of hot signatures (one column of ids each). The ids
+    are broadcast where their measured bytes allow it; beyond that the
+    documents are shuffled to them."""
+    need = paired.toDF("need").select("need", F.lit(True).alias("paired"), F.lit(False).alias("member")).unionAll(
+        members.toDF("need").select("need", F.lit(False), F.lit(True))).groupBy("need").agg(
+        F.max("paired").alias("paired"), F.max("member").alias("member"))
+    return written(rows.select(F.col(id_col).cast("long").alias("need"), F.col(text_col).alias("text"))
+                   .join(small_side(need), "need"), "texts")
+
+
+def verify(p: DataFrame, texts: DataFrame, t: float) -> DataFrame:
+    """Of the pairs (id_a, id_b, digests) the linked ones, as (u, v), by the
+    whole texts."""
     def text(x):
-        return texts.select(F.col("need").alias(f"id_{x}"), F.col("text").alias(f"text_{x}"))
+        return texts.where("paired").select(F.col("need").alias(f"id_{x}"), F.col("text").alias(f"text_{x}"))
 
     # the smaller id, often the hub of a group, first: the second join then
     # deals the rows by their other, mostly distinct, end
@@ -319,73 +368,144 @@ def verify(pairs: DataFrame, sets: DataFrame, rows: DataFrame, id_col: str, text
     return written(joined.mapInArrow(run, "u long, v long"), "links")
 
 
-def hub_pairs(hot: DataFrame) -> DataFrame:
-    """(a, b): every member of a hot signature with each of its hubs."""
+def needing(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sig, tag, needs): members of the hot signatures that some member
+    needs, because so many of its signatures in that role are hot that its
+    slack is used up.
+
+    A linked pair that shares no other signature shares more hot ones than the
+    slack of one of the two. So members with fewer hot signatures than that,
+    such as those that only hold a common passage, are left out; a pair that
+    shares another signature too is a candidate already."""
+    role_slack = F.coalesce(F.get("slack", F.col("role")), F.lit(0))
+    per = hot.groupBy("tag", "role").agg(F.count(F.lit(1)).alias("hot")).join(
+        sets.select("tag", "slack"), "tag").select("tag", "role", "hot", role_slack.alias("slack"))
+    m = hot.join(per, ["tag", "role"]).withColumn("needs", F.col("hot") > F.col("slack"))
+    wanted = m.where("needs").groupBy("sig").agg(F.min("slack").alias("least"))
+    return m.join(wanted, "sig").where("hot > least(slack, least)").select("sig", "tag", "needs")
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): every member that needs a hot signature with its hubs, a few
+    members that need it too."""
+    m = members.where("needs").select("sig", "tag")
     low = [F.min(F.struct(F.xxhash64("tag", F.lit(j)).alias("h"), "tag")).alias(f"hub{j}") for j in range(HUBS)]
-    hubs = hot.groupBy("sig").agg(*low).select(
+    hubs = m.groupBy("sig").agg(*low).select(
         "sig", F.explode(F.array_distinct(F.array(*[F.col(f"hub{j}.tag") for j in range(HUBS)]))).alias("hub"))
-    return hot.join(hubs, "sig").where("hub != tag").select(
+    return m.join(hubs, "sig").where("hub != tag").select(
         F.least("hub", "tag").alias("a"), F.greatest("hub", "tag").alias("b")).distinct()
 
 
-def _unfold(bits: bytes, width: int) -> np.ndarray:
-    b = np.unpackbits(np.frombuffer(bits, np.uint8))
-    while len(b) > width:
-        b = b[:len(b) // 2] | b[len(b) // 2:]
-    return b
-
-
-def _block_pairs(x: pd.DataFrame, y: pd.DataFrame, t: float) -> pd.DataFrame:
-    """Pairs of a row of x and a row of y in different components whose
-    bitmaps do not rule a link out: every differing bit is a differing
-    element."""
-    empty = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    if x.empty or y.empty:
-        return empty
-    width = min(min(map(len, x["bits"])), min(map(len, y["bits"]))) * 8
-    bx, by = (np.stack([_unfold(v, width) for v in f["bits"]]).astype(np.float32) for f in (x, y))
-    nx, ny = (f["n"].to_numpy() for f in (x, y))
-    cx, cy = (f["component"].to_numpy() for f in (x, y))
-    a, b = [], []
-    for i in range(0, len(x), 256):
-        one = bx[i:i + 256]
-        apart = one.sum(1)[:, None] + by.sum(1)[None, :] - 2 * (one @ by.T)
-        limit = (1 - t) / (1 + t) * (nx[i:i + 256, None] + ny[None, :]) + 1e-6
-        r, c = np.nonzero((apart <= limit) & (cx[i:i + 256, None] != cy[None, :]))
-        a.append(x["tag"].to_numpy()[i + r])
-        b.append(y["tag"].to_numpy()[c])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if len(a) else empty
-
-
-def hot_pairs(hot: DataFrame, sets: DataFrame, described: DataFrame, linked: DataFrame, t: float) -> DataFrame:
-    """The pairs of hot signatures that may still matter: one member needs the
-    signature (more of its signatures are hot than it has slack), the members
-    are in different components, and their bitmaps do not rule a link out.
-    Groups are cut into blocks; a task compares two of them."""
-    per_set = hot.groupBy("tag", "role").agg(F.count(F.lit(1)).alias("hot"))
-    needs = per_set.join(sets.select("tag", "slack"), "tag").where(
-        F.col("hot") > F.coalesce(F.get("slack", F.col("role")), F.lit(0))).select(
-        "tag", "role", F.lit(True).alias("needs"))
-    named = sets.select("tag", F.col("rep").alias("node"), "n").join(linked, "node", "left").select(
-        "tag", "n", F.coalesce("component", "node").alias("component"))
-    m = written(hot.join(needs, ["tag", "role"], "left").join(named, "tag").select(
-        "sig", "tag", "n", "component", F.coalesce("needs", F.lit(False)).alias("needs")), "members")
-    open_ = m.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("size"), F.max("needs").alias("any"),
-        (F.min("component") != F.max("component")).alias("apart")).where(F.col("any") & F.col("apart")).select(
-        "sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    m = m.join(open_, "sig").withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int"))
-    few = m.select("tag").distinct()
-    bits = described.select("tag", "bits").join(few, "tag", "left_semi").groupBy("tag").agg(
-        F.first("bits").alias("bits"))
-    m = written(m.join(bits, "tag"), "open_members")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = m.where("needs").select("sig", F.col("block").alias("i"), others.alias("j"), "tag", "n", "component", "bits")
-    right = m.select("sig", others.alias("i"), F.col("block").alias("j"), "tag", "n", "component", "bits")
-    keys = ["sig", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        lambda x, y: _block_pairs(x, y, t), "a long, b long").distinct()
+def _fold(bits: bytes, size: int) -> bytes:
+    """The bitmap of ``size`` bytes: the halves of a larger one together. Bit
+    i of a bitmap stands for the elements that are i modulo its width."""
+    while len(bits) > size:
+        half = len(bits) // 2
+        bits = (int.from_bytes(bits[:half], "big") | int.from_bytes(bits[half:], "big")).to_bytes(half, "big")
+    return bits
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits that differ: no more than the elements that differ."""
+    size = min(len(x), len(y))
+    return (int.from_bytes(_fold(x, size), "big") ^ int.from_bytes(_fold(y, size), "big")).bit_count()
+
+
+def _shared_counts(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of the sorted set x with each other set."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(x, flat)
+    hit = x[np.minimum(at, len(x) - 1)] == flat
+    return np.add.reduceat(hit, np.cumsum([0, *[len(o) for o in others[:-1]]]), dtype=np.int64)
+
+
+def _linked_in_block(shared: pd.DataFrame, members: pd.DataFrame, t: float) -> pd.DataFrame:
+    """Links (u, v) between a left and a right member that share a signature
+    and are in different components. Each pair is looked at once, by a bitmap
+    of 16 bits an element and, where that does not rule it out, exactly."""
+    members = members.rename(columns=lambda c: c.removesuffix("_")).reset_index(drop=True)
+    sets: list[np.ndarray] = []
+    for i in range(0, len(members), 256):
+        sets += shingle_sets([(x or "").encode() for x in members["text"][i:i + 256]])
+    # a document id may be repeated, with the same or another text
+    own = [i for i, (h, d) in enumerate(zip(sets, members["digest"])) if _digest(h) == d]
+    once = members.iloc[own].drop_duplicates("tag").index
+    sets, members = [sets[i] for i in once], members.loc[once].reset_index(drop=True)
+    place = pd.Series(members.index, index=members["tag"])
+    n, comp, node = (members[c].to_numpy() for c in ("n", "component", "node"))
+    at = place.reindex(shared["tag"]).to_numpy()
+    shared = shared.assign(at=at)[~np.isnan(at.astype(float))].sort_values("sig", kind="stable")
+    sig, who, left = shared["sig"].to_numpy(), shared["at"].to_numpy().astype(np.int64), shared["left"].to_numpy().astype(bool)
+    lefts = np.unique(who[left])                       # rows of the matrix: members that need a signature
+    row = np.full(len(members), -1)
+    row[lefts] = np.arange(len(lefts))
+    meet = np.zeros((len(lefts), len(members)), dtype=bool)
+    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.empty(0, np.int64)
+    for a, z in zip(start, np.append(start[1:], len(sig))):
+        side = left[a:z]
+        if side.any() and not side.all():
+            meet[np.ix_(row[who[a:z][side]], who[a:z][~side])] = True
+    meet &= comp[lefts][:, None] != comp[None, :]
+    meet &= np.minimum(n[lefts][:, None], n[None, :]) >= t * np.maximum(n[lefts][:, None], n[None, :])
+    width = min(1 << max(6, int(16 * n.max(initial=1) - 1).bit_length()), MAX_BITS)
+    bits = np.zeros((len(sets), width), dtype=bool)
+    for b, h in zip(bits, sets):
+        b[(h & _U(width - 1)).astype(np.int64)] = True
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    u, v = [], []
+    percent = round(t * 100)
+    for r, x in enumerate(lefts):
+        y = np.flatnonzero(meet[r])
+        if len(y):
+            apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            y = y[apart <= (1 - t) / (1 + t) * (n[x] + n[y]) + 1e-6]
+        if len(y):
+            both = _shared_counts(sets[x], [sets[k] for k in y])
+            y = y[100 * both >= percent * (n[x] + n[y] - both)]
+            u += [node[x]] * len(y)
+            v += node[y].tolist()
+    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+
+def hot_links(members: DataFrame, sets: DataFrame, texts: DataFrame, linked: DataFrame, t: float) -> DataFrame:
+    """The links that only hot signatures show: between a member that needs
+    the signature and any other, in different components so far.
+
+    The groups of a family of near copies overlap in most members, so they are
+    taken together: a family is named by the component with most members in
+    the group. The members that need a signature, which are few, and all
+    members are cut into blocks, and a task gets a block of either with their
+    texts, each once, and the signatures they have. It compares a pair once
+    however many signatures it shares, and returns links only."""
+    named = sets.select("tag", F.col("rep").alias("node"), "n", "digest").join(linked, "node", "left").select(
+        "tag", "node", "n", "digest", F.coalesce("component", "node").alias("component"))
+    m = members.join(named, "tag")
+    per = m.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("k"))
+    open_ = per.groupBy("sig").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("family"),
+                                   F.count(F.lit(1)).alias("apart")).where("apart > 1").select("sig", "family")
+    m = written(m.join(open_, "sig"), "open-members")
+    own = m.groupBy("family", "tag", "node", "n", "digest", "component").agg(F.max("needs").alias("needs"))
+    blocks = own.groupBy("family").agg(
+        F.ceil(F.count_if("needs") / BLOCK).cast("int").alias("lefts"),
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rights"))
+    at = lambda blocks_: F.pmod(F.xxhash64("tag"), F.col(blocks_)).cast("int")
+    place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    as_left = F.when(F.col("needs"), F.transform(F.sequence(F.lit(0), F.col("rights") - 1),
+                                                 lambda j: place(at("lefts"), j, True))).otherwise(F.array())
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: place(i, at("rights"), False))
+    keys = ["family", "i", "j"]
+    shared = m.select("family", "sig", "tag", "needs").join(blocks, "family").select(
+        "family", "sig", "tag", F.explode(F.concat(as_left, as_right)).alias("p")).select(
+        "family", "p.i", "p.j", "sig", "tag", "p.left")
+    spots = F.array_distinct(F.transform(F.concat(as_left, as_right), lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j"))))
+    placed = own.join(blocks, "family").withColumn("p", F.explode(spots)).select(
+        "family", "p.i", "p.j", "tag", "node", "n", "digest", "component").join(
+        texts.where("member").select(F.col("need").alias("node"), "text"), "node")
+    # both sides come from one table: new names keep their columns apart
+    placed = placed.toDF(*[f"{c}_" for c in placed.columns])
+    found = shared.groupBy(*keys).cogroup(placed.groupBy(*[f"{k}_" for k in keys])).applyInPandas(
+        lambda x, y: _linked_in_block(x, y, t), "u long, v long")
+    return written(found.distinct(), "hot-links")
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -406,20 +526,27 @@ def near_duplicates(rows: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("similarity must lie between 0.5 and 1")
     t = similarity
     d = written(describe(rows, id_col, text_col, t), "sets")
-    sets = written(d.where("n > 0").groupBy("digest").agg(
-        F.min("id").alias("rep"), F.first("tag").alias("tag"), F.first("n").alias("n"),
-        F.first("slack").alias("slack")).where("rep IS NOT NULL"), "distinct_sets")
     found = written(group_signatures(signature_rows(rows, text_col, t)), "grouped")
     hot = found.where("NOT pair").select(
         F.col("a").alias("sig"), F.shiftright("b", 3).alias("tag"),
         F.shiftright("b", 1).bitwiseAND(F.lit(3)).cast("int").alias("role")).distinct()
-    tried = written(found.where("pair").select("a", "b").unionByName(hub_pairs(hot)).distinct(), "candidates")
-    links = verify(tried, sets, rows, id_col, text_col, t)
-    linked = written(components(links, "u", "v"), "linked")
-    more = written(hot_pairs(hot, sets, d, linked, t).join(tried, ["a", "b"], "left_anti"), "candidates")
-    if not more.isEmpty():
-        links = links.unionByName(verify(more, sets, rows, id_col, text_col, t))
-        linked = written(components(links, "u", "v"), "linked")
+    hot_own = hot.groupBy("tag").agg(*[F.count_if(F.col("role") == r).alias(f"hot{r}") for r in (OWN, BELOW)])
+    distinct = d.where("n > 0").groupBy("digest").agg(
+        F.min("id").alias("rep"), F.first("tag").alias("tag"), F.first("n").alias("n"),
+        F.first("slack").alias("slack")).where("rep IS NOT NULL")
+    spare = F.least(*[F.get("slack", F.lit(r)) - F.coalesce(f"hot{r}", F.lit(0)) for r in (OWN, BELOW)])
+    sets = written(distinct.join(hot_own, "tag", "left").select(
+        "digest", "rep", "tag", "n", "slack", spare.alias("spare")), "distinct_sets")
+    members = written(needing(hot, sets), "members")
+    first = shared_enough(found, sets).unionByName(hub_pairs(members)).distinct()
+    pairs = written(bits_fit(first, sets, d, t), "pairs")
+    held = sets.join(members.select("tag").distinct(), "tag", "left_semi").select("rep")
+    texts = fetch_texts(rows, pairs.select(F.explode(F.array("id_a", "id_b"))), held, id_col, text_col)
+    links = verify(pairs, texts, t)
+    # connected labels are enough here: they only save comparisons
+    labels = written(components(links, "u", "v", rounds=1), "labels")
+    more = hot_links(members, sets, texts, labels, t)
+    linked = written(components(links.unionByName(more), "u", "v"), "linked")
     of_set = sets.select("digest", F.col("rep").alias("node")).join(linked, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component"))
     return d.select("id", "n", "digest").join(of_set, "digest", "left").select(

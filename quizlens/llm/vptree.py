@@ -199,9 +199,7 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     columns are not looked at.
     """
     u = written(usable(rows, id_col, vector_col), "vectors")
-    dims = {r.dim: r["count"] for r in u.groupBy("dim").count().collect()}
-    n = sum(dims.values())
-    shards = max(1, -(-n // shard_rows))
+    shards = max(1, -(-u.count() // shard_rows))
     blocks = max(1, -(-u.where(is_query).count() // QUERY_ROWS))
     dealt = u.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
 
