@@ -15,6 +15,7 @@ scored again on the original vectors in double precision.
 from __future__ import annotations
 
 import io
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -203,7 +204,7 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     blocks = max(1, -(-u.where(is_query).count() // QUERY_ROWS))
     dealt = u.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
 
-    def build(key, rows_: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple[Any, ...], rows_: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [build_shard(rows_, k)]})
 
     trees = written(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary"), "trees")

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as P
 from quizlens.llm.common import written
-from test_jaccard import brute
+from .test_jaccard import brute
 
 SF = "/root/testdata/sf0.01"
 

@@ -9,7 +9,7 @@ import tiktoken
 import __spark_entry__ as E
 from oracle_check import compare, duck
 from quizlens.llm import queries as Q
-from test_jaccard import brute
+from .test_jaccard import brute
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
