@@ -28,7 +28,7 @@ from quizlens.llm.common import chunks
 NONE = np.int32(2 ** 31 - 1)      # rank of a pair that merges to no token
 WIDEST = 256                      # longer pieces are merged row by row
 ROWS = 4096                       # rows of a matrix
-CACHED_CHUNKS = 400_000           # distinct chunks a worker remembers
+CACHED_CHUNKS = 200_000           # distinct chunks a worker remembers
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

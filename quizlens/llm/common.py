@@ -15,9 +15,9 @@ from quizlens.session import written  # noqa: F401
 # A-Z -> a-z on single bytes; UTF-8 continuation bytes are never in that range.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-# Texts are handled in Python a few MB at a time, so that a worker's memory
+# Texts are handled in Python half a MB at a time, so that a worker's memory
 # does not follow the size of an Arrow batch.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

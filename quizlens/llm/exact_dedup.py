@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quizlens.llm.common import LOWER_AZ, text_bytes, written
+from quizlens.llm.common import LOWER_AZ, chunks, text_bytes, written
 
 FAN = 64
 ROUNDS = 2
@@ -41,7 +41,7 @@ def digests(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
                       F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in chunks(whole, "text")):
             texts = [t.translate(LOWER_AZ) for t in text_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([
                 b.column("row"), b.column("id"),
@@ -137,7 +137,7 @@ def drop_exact_copies(rows: DataFrame, id_col: str = "doc_id", text_col: str = "
     stay = kept.where("kept").select(key.alias("_ed_key"))
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in chunks(whole, text_col)):
             ids = b.column(id_col).to_pylist()
             keys = [f"{'-' if i is None else i}:{hashlib.sha256(t.translate(LOWER_AZ)).hexdigest()}"
                     for i, t in zip(ids, text_bytes(b.column(text_col)))]

@@ -45,7 +45,7 @@ def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(joined, dtype=np.uint8)
     edge = np.diff(np.concatenate(([True], _SPACE[data])).astype(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    size = 1 << max(21, len(data).bit_length())
+    size = 1 << max(20, len(data).bit_length())
     up, down = _powers(size)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[:len(data)], out=total[1:])

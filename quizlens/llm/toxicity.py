@@ -39,7 +39,7 @@ EPOCHS = 400
 STEP = 0.05
 DECAY = 1e-6
 LENGTH_POWER = 0.5
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
