@@ -10,8 +10,10 @@ value of a feature is its count over the square root of the number of words,
 so a text's score is a bias plus the sum of its words' weights over that root:
 one rare word counts in a short text, a dense one in a long text.
 
-Training runs in one Spark task on a bounded, documented sample; scoring reads
-every whole text, and a word's weight is looked up once per worker.
+Training runs in one Spark task on a bounded, documented sample: so many texts
+of either side, whatever their length. The sampled texts are counted where they
+lie, and the task gets each one's distinct words. Scoring reads every whole
+text, and a word's weight is looked up once per worker.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,6 @@ from pyspark.sql import types as T
 
 MAX_POSITIVE = 2000       # confirmed toxic texts in training, at most
 MAX_UNLABELLED = 4000     # unlabelled texts in training, at most
-MAX_CHARS = 40_000_000    # of all training texts; later ones of the sample are left out
 MAX_FEATURES = 20_000     # size of the trained model, at most
 PREFIXES = (4, 5, 6, 7, 8)
 MIN_Z = 3.5               # a feature must be this many deviations more frequent in positives
@@ -40,13 +41,19 @@ STEP = 0.05
 DECAY = 1e-6
 LENGTH_POWER = 0.5
 CACHED_WORDS = 150_000
-_WORDS = re.compile(r"[^\W\d_]+").findall
+_WORD = re.compile(r"[^\W\d_]+")
+_WORDS = _WORD.findall
 
 
 def words(text: str) -> list[str]:
     return _WORDS(text.lower())
 
 
+def word_counts(text: str) -> Counter:
+    """How often each word stands in the text, without a list of all of them."""
+    return Counter(m[0] for m in _WORD.finditer(text.lower()))
+
+
 def features(word: str) -> list[str]:
     return ["=" + word, *[word[:k] for k in PREFIXES if len(word) >= k]]
 
@@ -94,34 +101,42 @@ def fit_nnpu(pos: Sparse, unl: Sparse, prior: float) -> tuple[np.ndarray, float]
     return w[:n], float(w[n])
 
 
-def train(texts: list[tuple[bool, str]], prior: float) -> pd.DataFrame:
-    """(feature, weight) of the classifier; the feature "" is the bias."""
-    counted = [(p, Counter(words(t))) for p, t in texts]
-    n_pos = sum(p for p, _ in counted)
-    n_unl = len(counted) - n_pos
+def train(counted: Iterable[tuple[bool, list[str], list[int]]], prior: float) -> pd.DataFrame:
+    """(feature, weight) of the classifier from each text's side, words and
+    their counts; the feature "" is the bias."""
+    ids: dict[str, int] = {}
+    rows = [(p, np.array([ids.setdefault(w, len(ids)) for w in ws], np.int32), np.array(ks, np.int64))
+            for p, ws, ks in counted]
+    names = list(ids)
+    n_pos = sum(p for p, _, _ in rows)
+    n_unl = len(rows) - n_pos
     if not n_pos or not n_unl:
         # nothing to tell apart: every text gets the prior
         b = math.log(prior / (1 - prior)) if 0 < prior < 1 else -30.0
         return pd.DataFrame({"feature": [""], "weight": [b]})
     in_pos, in_unl = Counter(), Counter()
-    for p, c in counted:
-        (in_pos if p else in_unl).update({f for w in c for f in features(w)})
+    for p, ws, _ in rows:
+        if p:
+            in_pos.update({f for w in ws for f in features(names[w])})
+    often = {f for f, k in in_pos.items() if k >= 3}
+    for p, ws, _ in rows:
+        if not p:
+            in_unl.update({f for w in ws for f in features(names[w]) if f in often})
     z = {}
-    for f, k in in_pos.items():
-        if k >= 3:
-            share = (k + in_unl[f]) / len(counted)
-            sd = math.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_unl)) + 1e-12
-            z[f] = (k / n_pos - in_unl[f] / n_unl) / sd
+    for f in often:
+        share = (in_pos[f] + in_unl[f]) / len(rows)
+        sd = math.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_unl)) + 1e-12
+        z[f] = (in_pos[f] / n_pos - in_unl[f] / n_unl) / sd
     kept = sorted((f for f in z if z[f] >= MIN_Z), key=lambda f: (-z[f], f))[:MAX_FEATURES]
     index = {f: i for i, f in enumerate(kept)}
 
     def matrix(side: bool) -> Sparse:
         row, col, val, n = [], [], [], 0
-        for p, c in counted:
+        for p, ws, ks in rows:
             if p == side:
-                root = scale(sum(c.values()))
-                for w, k in c.items():
-                    for f in features(w):
+                root = scale(int(ks.sum()))
+                for w, k in zip(ws, ks.tolist()):
+                    for f in features(names[w]):
                         if f in index:
                             row.append(n)
                             col.append(index[f])
@@ -139,7 +154,9 @@ def fit(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "doc_
     """The model {feature: weight} from the texts named by ``positives`` (one
     column of ids) and texts of ``docs`` as unlabelled ones. At most
     ``max_positive`` and ``max_unlabelled`` of them, chosen by a hash of the
-    id, are used. Null texts and null ids teach nothing."""
+    id, are used, each one whole. Null texts and null ids teach nothing. Where
+    positives are named and ``docs`` has texts, but none of a chosen positive,
+    a ValueError is raised."""
     def chosen(ids: DataFrame, n: int, salt: int) -> DataFrame:
         return ids.where("id IS NOT NULL").orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(n)
 
@@ -151,18 +168,37 @@ def fit(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "doc_
         unl.select("id", F.lit(False).alias("positive")))
     sample = known.join(F.broadcast(picked), "id")
 
-    def one_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts, size = [], 0
-        for f in frames:
-            for p, t in zip(f["positive"], f["text"]):
-                size += len(t)
-                if size <= MAX_CHARS:
-                    texts.append((bool(p), t))
-        yield train(texts, prior)
-
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in enumerate(b.column("text")):
+                c = word_counts(t.as_py())
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(n).slice(i, 1) for n in ("positive", "at", "id", "text_sha")),
+                     pa.array([list(c)], pa.list_(pa.string())), pa.array([list(c.values())], pa.list_(pa.int64()))],
+                    names=["positive", "at", "id", "text_sha", "words", "counts"])
+
+    def one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = Counter()
+
+        def rows() -> Iterator[tuple[bool, list[str], list[int]]]:
+            for b in batches:
+                for p, w, k in zip(*(b.column(n) for n in ("positive", "words", "counts"))):
+                    sides[p.as_py()] += 1
+                    yield p.as_py(), w.as_py(), k.as_py()
+
+        got = train(rows(), prior)
+        got["n_positive"], got["n_unlabelled"] = sides[True], sides[False]
+        yield pa.RecordBatch.from_pandas(got, preserve_index=False)
+
+    id_type = sample.schema["id"].dataType.simpleString()
+    counted = sample.select("positive", F.xxhash64("id").alias("at"), "id", F.sha2("text", 256).alias("text_sha"), "text").mapInArrow(
+        count, f"positive boolean, at long, id {id_type}, text_sha string, words array<string>, counts array<long>")
     # a sorted single partition: the same sample in the same order on a rerun
-    model = sample.repartition(1).sortWithinPartitions("positive", F.xxhash64("id"), "id", "text")
-    got = model.mapInPandas(one_task, "feature string, weight double").collect()
+    model = counted.repartition(1).sortWithinPartitions("positive", "at", "id", "text_sha")
+    got = model.mapInArrow(
+        one_task, "feature string, weight double, n_positive long, n_unlabelled long").collect()
+    if got and got[0].n_unlabelled and not got[0].n_positive and not pos.isEmpty():
+        raise ValueError("positives are named, but none of the chosen ones has a text to learn from")
     return {r.feature: r.weight for r in got}
 
 

@@ -87,3 +87,21 @@ def test_no_positives_give_the_prior(frame, prior):
     model = TX.fit(frame([(1, "a b", "x")], SCHEMA), frame([], "doc_id long"), prior)
     score = TX.Scorer(model).score("a b")
     assert score == pytest.approx(prior if 0 < prior < 1 else 0.0, abs=1e-6)
+
+
+def test_long_unlabelled_text_displaces_nothing(frame):
+    """One unlabelled text of 44 million characters beside short positives."""
+    from pyspark.sql import functions as F
+    rows, toxic = corpus(5, 300)
+    long_one = frame([(10_000, "", "x")], SCHEMA).withColumn("text", F.expr("repeat('abcd efghab ', 3666667)"))
+    docs = frame(rows, SCHEMA).unionByName(long_one)
+    positives = frame([(i,) for i in sorted(toxic)], "doc_id long")
+    model = TX.fit(docs, positives, 0.15)
+    score = TX.Scorer(model).score
+    assert score("vileword nastything") > 0.5 > score("abcd efghab")
+
+
+def test_positives_without_texts_are_an_error(frame):
+    rows, _ = corpus(6, 30)
+    with pytest.raises(ValueError, match="none of the chosen"):
+        TX.fit(frame(rows, SCHEMA), frame([(5000,)], "doc_id long"), 0.15)
