@@ -12,11 +12,15 @@ nothing, and copies of an article repeat on purpose. So what the markup calls
 the article is kept whole, and what it calls navigation is dropped.
 
 Pages travel to their host compressed, as one zstandard frame each, and a
-host is processed in parts of bounded size.
+host is processed in parts of bounded size. What repeats is counted over the
+whole host: for a host of several parts, Spark counts the distinct pages of
+every window of tokens that an undecided block needs, and the parts' suffix
+arrays take those counts, so the size of the parts decides no text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -29,10 +33,14 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quizlens.session import written
+
 MIN_RUN = 8            # tokens of a repeated run, at least
 MIN_PAGES = 2          # distinct pages it must stand on
 PART_BYTES = 8 << 20   # of html in a part of a host
 END = -1               # token between blocks
+BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)   # of a window's two hashes
+KNOWN_TOKENS = 100_000 # token hashes held by a worker
 
 # Elements whose text is never shown or never article text, and
 # words that name such parts in class, id or role.
@@ -125,9 +133,54 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def repeated(streams: list[list[int]], min_run: int, min_pages: int) -> list[np.ndarray]:
+def tokens(bs: list[Block]) -> tuple[list[str], list[tuple[int, int]]]:
+    """The page's stream, an empty token after each block, and the blocks' spans in it."""
+    stream: list[str] = []
+    span = []
+    for b in bs:
+        a = len(stream)
+        stream.extend(b.text.split())
+        span.append((a, len(stream)))
+        stream.append("")
+    return stream, span
+
+
+class Windows:
+    """128-bit hashes of each window of ``min_run`` tokens of a stream."""
+
+    def __init__(self, min_run: int):
+        self.min_run, self.known = min_run, {}
+
+    def of(self, stream: list[str]) -> np.ndarray:
+        n = len(stream) - self.min_run + 1
+        if n <= 0:
+            return np.zeros(0, "V16")
+        if len(self.known) > KNOWN_TOKENS:
+            self.known = {}
+        known = self.known
+        for t in set(stream).difference(known):
+            known[t] = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        h = np.frombuffer(b"".join(map(known.__getitem__, stream)), np.uint64).reshape(-1, 2)
+        out = np.zeros((n, 2), np.uint64)
+        for k in range(self.min_run):
+            out = out * BASES + h[k:k + n]
+        return np.ascontiguousarray(out).view("V16").ravel()
+
+
+def undecided(bs: list[Block], span: list[tuple[int, int]], n: int, min_run: int) -> np.ndarray:
+    """Which of a stream's n windows hold a token of an undecided block."""
+    hit = np.zeros(max(n, 0), bool)
+    for b, (a, z) in zip(bs, span):
+        if b.place == 0:
+            hit[max(0, a - min_run + 1):z] = True
+    return hit
+
+
+def repeated(streams: list[list[int]], min_run: int, min_pages: int,
+             known: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """Per stream which of its tokens lie in a run of ``min_run`` tokens or
-    more that stands in ``min_pages`` distinct streams.
+    more that stands in ``min_pages`` distinct streams, here or, by the starts
+    that ``known`` gives for each stream, on the rest of the host.
 
     The streams are concatenated and their suffixes ordered by prefix
     doubling, as far as the first ``min_run`` tokens: suffixes that agree that
@@ -151,7 +204,10 @@ def repeated(streams: list[list[int]], min_run: int, min_pages: int) -> list[np.
         full = at + min_run <= end
         on = np.unique(rank[full] * len(streams) + page[full]) // len(streams)
         many = np.bincount(on, minlength=int(rank.max()) + 1) >= min_pages
-        start = np.flatnonzero(full & many[rank])
+        run = full & many[rank]
+        if known is not None:
+            run |= full & np.concatenate(known)
+        start = np.flatnonzero(run)
         edge = np.zeros(total + 1, dtype=np.int64)
         np.add.at(edge, start, 1)
         np.add.at(edge, start + min_run, -1)
@@ -159,23 +215,26 @@ def repeated(streams: list[list[int]], min_run: int, min_pages: int) -> list[np.
     return np.split(covered, np.cumsum(size)[:-1])
 
 
-def extract(pages: list[str | None], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[str]:
-    """The main text of each page of one host (or part of it)."""
+def extract(pages: list[str | None], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES,
+            runs: set[bytes] | frozenset[bytes] = frozenset()) -> list[str]:
+    """The main text of each page of one host, or of a part of it with the
+    windows ``runs`` that the host repeats."""
     parsed = [blocks(p) for p in pages]
-    ids: dict[str, int] = {}
-    streams, spans = [], []
+    ids: dict[str, int] = {"": END}
+    streams, spans, known = [], [], []
+    windows = Windows(min_run)
     for bs in parsed:
-        stream: list[int] = []
-        span = []
-        for b in bs:
-            a = len(stream)
-            stream.extend([ids.setdefault(w, len(ids)) for w in b.text.split()])
-            span.append((a, len(stream)))
-            stream.append(END)
-        streams.append(stream)
+        words, span = tokens(bs)
+        streams.append([ids.setdefault(w, len(ids)) for w in words])
         spans.append(span)
+        if runs:
+            hit = np.zeros(len(words), bool)
+            need = np.flatnonzero(undecided(bs, span, len(words) - min_run + 1, min_run))
+            if len(need):
+                hit[need] = [x in runs for x in windows.of(words)[need].tolist()]
+            known.append(hit)
     out = []
-    for bs, span, hit in zip(parsed, spans, repeated(streams, min_run, min_pages)):
+    for bs, span, hit in zip(parsed, spans, repeated(streams, min_run, min_pages, known or None)):
         kept = []
         for b, (a, z) in zip(bs, span):
             if b.place > 0:
@@ -197,8 +256,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     are each returned, and as copies of one page they are one page to the
     host's suffix array. A host is dealt to parts of about ``part_bytes`` of
     html by a hash of its pages, so a host with a third of all pages is
-    spread; runs repeat within a part. Other columns are not looked at. An
-    empty table gives an empty result.
+    spread; what repeats is counted over all its parts. Other columns are not
+    looked at. An empty table gives an empty result.
     """
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"://([^/?#]*)", 1), F.lit("")))
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"),
@@ -218,16 +277,69 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     id_type = src.schema["id"].dataType.simpleString()
     packed = src.mapInArrow(pack, f"id {id_type}, url string, host string, html binary")
-    packed = packed.join(parts, "host", "left").withColumn(
-        "part", F.pmod(F.xxhash64("id", "url"), F.coalesce("parts", F.lit(1))).cast("int"))
+    def dealt(rows: DataFrame, how: str) -> DataFrame:
+        return rows.join(parts, "host", how).withColumn(
+            "part", F.pmod(F.xxhash64("id", "url"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, runs: set[bytes]) -> pd.DataFrame:
         dec = zstd.ZstdDecompressor().decompress
         distinct = {x: i for i, x in enumerate(dict.fromkeys(rows["html"]))}
-        texts = extract([dec(x).decode() for x in distinct], min_run, min_pages)
+        texts = extract([dec(x).decode() for x in distinct], min_run, min_pages, runs)
         text = [texts[distinct[x]] for x in rows["html"]]
         return pd.DataFrame({"id": rows["id"], "url": rows["url"], "text": text,
                              "n_chars": [len(t) for t in text]})
 
-    done = packed.groupBy("host", "part").applyInPandas(run, f"id {id_type}, url string, text string, n_chars long")
+    packed = dealt(packed, "left")
+    out = f"id {id_type}, url string, text string, n_chars long"
+    common = repeated_runs(dealt(src, "inner"), min_run, min_pages)
+    if common is None:
+        # no host of several parts has undecided blocks
+        done = packed.groupBy("host", "part").applyInPandas(lambda rows: run(rows, set()), out)
+    else:
+        done = packed.groupBy("host", "part").cogroup(common.groupBy("host", "part")).applyInPandas(
+            lambda rows, found: run(rows, set(map(bytes, found["run"]))), out)
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+
+
+def repeated_runs(pages: DataFrame, min_run: int, min_pages: int) -> DataFrame | None:
+    """(host, part, run) of every window of an undecided block of the part
+    that stands on ``min_pages`` distinct pages of the host, over all parts;
+    None where no page has an undecided block.
+
+    Only windows that an undecided block needs are counted, on all pages of
+    the hosts that have them."""
+    def hashed(only_undecided: bool):
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = Windows(min_run)
+            for b in batches:
+                for i, x in enumerate(b.column("html")):
+                    raw = x.as_py() or ""
+                    bs = blocks(raw)
+                    if only_undecided and all(k.place for k in bs):
+                        continue
+                    words, span = tokens(bs)
+                    n = len(words) - min_run + 1
+                    if n <= 0:
+                        continue
+                    found = windows.of(words)
+                    if only_undecided:
+                        found = found[undecided(bs, span, n, min_run)]
+                    found = list(set(found.tolist()))
+                    page = hashlib.blake2b(raw.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    host, part = b.column("host")[i].as_py(), b.column("part")[i].as_py()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([host] * len(found), pa.string()), pa.array([part] * len(found), pa.int32()),
+                         pa.array([page] * len(found), pa.binary()), pa.array(found, pa.binary())],
+                        names=["host", "part", "page", "run"])
+        return go
+
+    rows = pages.select("host", "part", "html")
+    schema = "host string, part int, page binary, run binary"
+    needed = written(rows.mapInArrow(hashed(True), schema).select("host", "part", "run").distinct(), "html-runs")
+    if needed.isEmpty():
+        return None
+    wanted = needed.select("host", "run").distinct()
+    every = rows.join(needed.select("host").distinct(), "host", "left_semi").mapInArrow(hashed(False), schema)
+    common = (every.join(wanted, ["host", "run"], "left_semi").groupBy("host", "run")
+              .agg(F.count_distinct("page").alias("n")).where(F.col("n") >= min_pages).select("host", "run"))
+    return needed.join(common, ["host", "run"], "left_semi").select("host", "part", "run")

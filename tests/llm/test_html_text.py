@@ -101,3 +101,23 @@ def test_query_equals_plain_reading_of_articles(spark):
     want = {r.page_id: plain(r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = {r.page_id: r.text for r in q_op4_html_text(spark, sf).collect()}
     assert got == want and np.mean([bool(t) for t in got.values()]) == 1.0
+
+
+def test_part_size_decides_no_text(frame):
+    """A run on two pages of the host goes, whatever parts they fall into."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(60):
+        own = " ".join(rnd.choices("abcdefghijklmnop", k=40))
+        pair = " ".join(f"pair{i // 2}x{k}" for k in range(9))
+        art = "<article><p>" + " ".join(f"quoted{i - 1}x{k}" for k in range(10)) + "</p></article>" if i % 2 else ""
+        quote = "" if i % 2 else " ".join(f"quoted{i}x{k}" for k in range(10))
+        rows.append((i, f"http://h.x/{i}", f"<div>{own}</div><div>{pair}</div>{art}<div>one {quote} two</div><nav>n</nav>"))
+    rows += [(100, "http://h.x/100", rows[0][2]), (101, "http://other.x/", rows[0][2])]
+    # a copy of a page is not another page
+    rows += [(200 + i, f"http://h.x/c{i}", "<div>" + " ".join(f"copied{k}" for k in range(20)) + "</div>") for i in range(4)]
+    texts = [{r.page_id: r.text for r in HT.main_text(frame(rows, SCHEMA), part_bytes=size).collect()}
+             for size in (1 << 30, 2000, 300)]
+    assert texts[0] == texts[1] == texts[2] and len(texts[0]) == len(rows)
+    assert not any("pair" in texts[0][i] for i in range(60)) and "quoted0x0" not in texts[0][0]
+    assert "copied0 copied1" in texts[0][200] and "quoted0x0" in texts[0][101] and "quoted0x0" in texts[0][1]
