@@ -347,19 +347,21 @@ def verify(p: DataFrame, texts: DataFrame, t: float) -> DataFrame:
                 ids = {x: col[f"id_{x}"].to_pylist() for x in "ab"}
                 known: dict[tuple[int, bytes], np.ndarray] = {}
                 for x in "ab":
+                    # a document id may be repeated with other texts: of all
+                    # texts that come under a key, that of its digest counts
                     todo: dict = {}
                     for key, text_ in zip(zip(ids[x], col[f"digest_{x}"].to_pylist()),
                                           text_bytes(col[f"text_{x}"])):
                         if key not in known:
-                            todo[key] = text_
-                    for key, h in zip(todo, shingle_sets(list(todo.values())) if todo else ()):
-                        # a document id may be repeated with another text
-                        known[key] = h if _digest(h) == key[1] else np.empty(0, np.uint64)
+                            todo[key, text_] = None
+                    for (key, _), h in zip(todo, shingle_sets([t_ for _, t_ in todo]) if todo else ()):
+                        if _digest(h) == key[1]:
+                            known[key] = h
                 u, v = [], []
                 for i, j, di, dj in zip(ids["a"], ids["b"], col["digest_a"].to_pylist(),
                                         col["digest_b"].to_pylist()):
-                    x, y = known[i, di], known[j, dj]
-                    if len(x) and len(y) and _similar(x, y, t):
+                    x, y = known.get((i, di)), known.get((j, dj))
+                    if x is not None and y is not None and len(x) and len(y) and _similar(x, y, t):
                         u.append(i)
                         v.append(j)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())],

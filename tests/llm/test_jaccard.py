@@ -96,6 +96,21 @@ def test_edges(frame, empty):
         (None, 1, 2), (None, 1, None)], key=repr)
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_two_texts_under_one_id(frame, order):
+    """Each text of the repeated id keeps its own links, in either order."""
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    texts = frame([(2, t, True) for t in (one, two)][::order] + [(3, one, True), (4, two, True)],
+                  "need long, text string, paired boolean", parts=1)
+    d = {t: J._digest(h) for t, h in zip((one, two), shingle_sets([one.encode(), two.encode()]))}
+    pairs = frame([(2, 3, d[one], d[one]), (2, 4, d[two], d[two])],
+                  "id_a long, id_b long, digest_a binary, digest_b binary", parts=1)
+    assert {(r.u, r.v) for r in J.verify(pairs, texts, 0.75).collect()} == {(2, 3), (2, 4)}
+    rows = [(2, t) for t in (one, two)][::order] + [(3, one), (4, two)]
+    got = J.near_duplicates(frame(rows, "doc_id long, text string", parts=1)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (2, 2), (3, 2), (4, 2)]
+
+
 def test_shingle_sets_agree_with_tuples():
     texts = [t.encode() for _, t in corpus(7, 60)] + [b"", b" A b\tC\x0cd  e f ", "é É ü x".encode()]
     for t, s in zip(texts, shingle_sets(texts)):
