@@ -5,13 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quizlens.llm import align as AL
 from quizlens.llm import bpe as BPE
+from quizlens.llm import divergence as DV
 from quizlens.llm import exact_dedup as ED
 from quizlens.llm import html_text as HT
 from quizlens.llm import jaccard as JC
 from quizlens.llm import langid as LG
 from quizlens.llm import mixing as MX
 from quizlens.llm import quotes as QT
+from quizlens.llm import sharding as SH
 from quizlens.llm import toxicity as TX
 from quizlens.llm import url_filter as UF
 from quizlens.llm import vptree as VP
@@ -106,6 +109,29 @@ def q_op9_mixing(spark, sf):
         F.col("_mx_target").alias("target"), (F.col("_mx_copies") * F.col("_mx_size")).alias("taken"))
 
 
+def q_op11_token_alignment(spark, sf):
+    """Every document's alignment of the two public tokenizers."""
+    import public_tokenizers as P
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return AL.alignment(d, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), columns=("doc_id",))
+
+
+def q_op12_sharding(spark, sf):
+    """All documents in 24 shards of near equal bytes, equal texts together."""
+    d = table(spark, sf, "documents")
+    told = d.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+                    F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+                    SH.text_key("text").alias("content"))
+    return SH.shard_rows(told, "doc_id", F.col("content"), F.col("size")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_sh_shard").alias("shard"),
+        F.col("_sh_slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def q_op13_source_divergence(spark, sf):
+    """Divergence of every source of a language from the others and from the language."""
+    return DV.audit(table(spark, sf, "documents"))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_op")}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -165,4 +191,34 @@ ORACLE = {
               FROM d JOIN t USING (k))
         SELECT doc_id, size, source_size, target,
                ((floor(u + e * i) - floor(u + e * (i - 1)))::BIGINT * size)::BIGINT AS taken FROM r""",
+    "op13_source_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                              'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws
+                   FROM documents),
+        w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+        c AS (SELECT r, lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING count(*) >= 3),
+        l AS (SELECT lang, sum(n) AS n, count(*) AS v FROM k GROUP BY lang),
+        s AS (SELECT lang, source, term, sum(c.n) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        t AS (SELECT lang, source, coalesce(sum(s.n), 0) AS n FROM g LEFT JOIN s USING (lang, source) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(s.n, 0) AS n,
+                     1 + (1000000000::HUGEINT * (coalesce(s.n, 0) + 1)) // (t.n + l.v)::HUGEINT AS p,
+                     1 + (1000000000::HUGEINT * (k.n + 1)) // (l.n + l.v)::HUGEINT AS q
+              FROM g JOIN l USING (lang) JOIN t USING (lang, source) JOIN k USING (lang)
+              LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item,
+                         coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0)::BIGINT AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN (p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source)
+                    ON x.lang = a.lang AND x.source = a.source AND y.source = b.source
+                  GROUP BY ALL),
+        terms AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value
+                  FROM p WHERE n > 0 AND p > q),
+        u AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+              UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank
+        FROM u QUALIFY part = 'pair'
+          OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) <= 200""",
 }

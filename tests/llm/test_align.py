@@ -1,0 +1,109 @@
+"""Alignment of two tokenizations against a brute force over whole texts."""
+import hashlib
+from collections import Counter, defaultdict
+from itertools import accumulate
+
+import public_tokenizers as P
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from quizlens.llm import align as AL
+
+A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+
+
+def _bytes_a(tok, i):
+    table = {}
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    for b in plain:
+        table[chr(b)] = b
+    for k, b in enumerate(b for b in range(256) if b not in plain):
+        table[chr(256 + k)] = b
+    return bytes(table[c] for c in tok.id_to_token(i))
+
+
+def _bytes_b(sp, i):
+    piece = sp.id_to_piece(i)
+    return bytes([int(piece[3:5], 16)]) if sp.is_byte(i) else piece.replace("▁", " ").encode()
+
+
+def brute(texts):
+    """[(n_a, n_b, n_groups, n_links, n_best, count_sum, sha)] by byte offsets and all pairs of tokens of a group."""
+    tok, sp = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    tok.encode_special_tokens = True
+    docs = []
+    for t in texts:
+        a = b = []
+        if t:
+            a, b = tok.encode(" " + t, add_special_tokens=False).ids, sp.encode(t)
+            ra, rb = [_bytes_a(tok, i) for i in a], [_bytes_b(sp, i) for i in b]
+            if not b"".join(ra) == b"".join(rb) == (" " + t).encode():
+                a = b = []
+        if not a:
+            docs.append((0, 0, [], [], ""))
+            continue
+        ends = lambda rs: list(accumulate(map(len, rs)))
+        span = lambda rs: list(zip([0, *ends(rs)], ends(rs)))
+        sa, sb = span(ra), span(rb)
+        cuts = sorted({e for _, e in sa} & {e for _, e in sb})
+        groups, links, start = [], [], 0
+        for c in cuts:
+            ga = [k for k, (_, e) in enumerate(sa) if start < e <= c]
+            gb = [k for k, (_, e) in enumerate(sb) if start < e <= c]
+            groups.append(",".join(str(a[k]) for k in ga) + "|" + ",".join(str(b[k]) for k in gb))
+            links += [(a[i], b[j]) for i in ga for j in gb if sa[i][0] < sb[j][1] and sb[j][0] < sa[i][1]]
+            start = c
+        docs.append((len(a), len(b), groups, links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    count = Counter(p for d in docs for p in set(d[3]))
+    best = defaultdict(int)
+    for (x, _), n in count.items():
+        best[x] = max(best[x], n)
+    return [(na, nb, len(g), len(ls), sum(count[p] == best[p[0]] for p in ls), sum(count[p] for p in ls), sha)
+            for na, nb, g, ls, sha in docs]
+
+
+TEXTS = ["Hello world, it's tokenization", "hello  double  spaces ", " leading", "", None, "a", "naïve café — Größe ▁ sign",
+         "naïve café — Größe sign", "日本語のテキスト と 한국어", "<|endoftext|> </s> <s> <0x41> <unk>", "tab\tand\nnew line\r\n end",
+         "x y z　w", "a\x1c b \x85c", "can't won't we'll 's", "zero\0byte and more", "emoji 😀😀 here", "\n", " ", "aaaa aaa aaaaa",
+         "Hello world, it's tokenization", "nothing\n here\n\n there", "1234567 89 supercalifragilistic" * 3, "ﬁ ligature ﷺ é"]
+
+
+def check(frame, texts, **kw):
+    rows = frame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in AL.alignment(rows, A, B, columns=("doc_id",), **kw).collect()}
+    assert got == dict(enumerate(brute(texts)))
+
+
+@pytest.mark.parametrize("heavy", [AL.HEAVY, 20, 0])
+def test_equals_brute_force(frame, heavy):
+    check(frame, TEXTS, heavy=heavy)
+
+
+@pytest.mark.parametrize("heavy", [AL.HEAVY, 100])
+def test_documents_equal_brute_force(spark, frame, heavy):
+    texts = [r.text[:600] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    check(frame, texts, heavy=heavy)
+
+
+def test_long_text(frame):
+    long = "word and another one " * 30_000
+    rows = frame([(1, long + "x" * 100_000), (2, "word and another one")], "doc_id long, text string")
+    got = {r.doc_id: r for r in AL.alignment(rows, A, B, columns=("doc_id",), with_groups=True).collect()}
+    assert got[1].n_links == got[1].n_a + got[1].n_b - got[1].n_groups == 170_000
+    assert got[2].groups.count(";") + 1 == got[2].n_groups and got[2].n_best == got[2].n_links
+
+
+def test_edges(frame, empty):
+    assert AL.alignment(empty(), A, B, columns=("doc_id",)).collect() == []
+    rows = frame([(None, "x y"), (7, "x y"), (7, "x y")], "doc_id long, text string")
+    got = [tuple(r)[1:] for r in AL.alignment(rows, A, B, columns=("doc_id",)).collect()]
+    assert len(got) == 3 and len(set(got)) == 1 and got[0][5] == 3 * got[0][3]
+    clash = frame([(1, "x y", "k", 4)], "doc_id long, text string, pair string, n long")
+    assert AL.alignment(clash, A, B, columns=("doc_id",)).count() == 1
+
+
+def test_identity_map():
+    p = AL.tokenizers(A, B)
+    at = [i for i in range(len(p.bytes_a)) if p.same[i] >= 0]
+    assert len(at) > 5000 and all(p.bytes_a[i] == p.bytes_b[p.same[i]] for i in at) and p.by_chunk

@@ -24,12 +24,18 @@ COLUMNS = {
     "op8": [("page_id", "bigint"), ("host", "string"), ("path", "string"), ("rule", "string"), ("verdict", "string")],
     "op9": [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")],
     "op10": [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")],
+    "op11": [("doc_id", "bigint"), ("n_a", "bigint"), ("n_b", "bigint"), ("n_groups", "bigint"), ("n_links", "bigint"),
+             ("n_best", "bigint"), ("count_sum", "bigint"), ("groups_sha256", "string")],
+    "op12": [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"),
+             ("slot", "bigint"), ("grown_shard", "int")],
+    "op13": [("lang", "string"), ("source", "string"), ("part", "string"), ("item", "string"), ("value", "bigint"),
+             ("rank", "int")],
 }
 BY_N = {k.split("_")[0]: k for k in Q.QUERIES}
 
 
 def test_all_are_registered_once():
-    assert sorted(BY_N) == sorted(COLUMNS) and len(Q.QUERIES) == 10
+    assert sorted(BY_N) == sorted(COLUMNS) and len(Q.QUERIES) == 13
     assert set(Q.QUERIES) | {"pipeline"} <= set(E.queries())
     assert set(Q.ORACLE) <= set(Q.QUERIES)
 
