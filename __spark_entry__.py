@@ -265,9 +265,10 @@ def q_j1_answer_question(spark, sf):
 
 
 def q_j2_link_accounts(spark, sf):
-    """Every account linked to its user by normalised e-mail; one segment has no user row,
-    so unmatched accounts show."""
-    users = S.users(spark, sf).where(F.col("c_mktsegment") != "AUTOMOBILE")
+    """Every account linked to its user by normalised e-mail; the users of one segment have
+    another address, so unmatched accounts show."""
+    users = S.users(spark, sf).withColumn("email", F.when(
+        F.col("c_mktsegment") == "AUTOMOBILE", F.concat(F.lit("old-"), F.col("email"))).otherwise(F.col("email")))
     return Q.link_accounts(S.accounts(spark, sf), users)
 
 
@@ -276,7 +277,8 @@ def _j3_parts(spark, sf):
     email = F.concat(F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"), F.lit("@mail.test"))
     target = c.where(F.col("c_mktsegment") == "BUILDING").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), email.alias("email"))
-    batch = c.select((F.col("c_custkey") + 500_000).alias("id"), F.col("c_name").alias("name"),
+    top = IO.max_id(c, "c_custkey").first()[0]
+    batch = c.select((F.col("c_custkey") + top).alias("id"), F.col("c_name").alias("name"),
                      email.alias("email"))
     return target, batch
 
@@ -289,19 +291,15 @@ def q_j3_insert_if_absent(spark, sf):
 
 
 def q_j4_upsert_performance(spark, sf):
-    """The smoothed scores of sessions before the split are stored, partitioned by category;
-    later sessions are applied, the touched categories rewritten, and the table read back (equal
-    to folding all in order; ids kept and continued). One event type plays the null category."""
+    """The smoothed scores of sessions before the split are stored, in folders of category and
+    user bucket; later sessions are applied, the touched folders rewritten, and the table read back
+    (equal to folding all in order; ids kept and continued). One event type plays the null category."""
     s = S.sessions(spark, sf).withColumn("category", F.when(F.col("category") != "error", F.col("category")))
     cut = F.lit(SPLIT_TS).cast("timestamp_ntz")
-    keys, order = ["user_id", "category"], ("interview_date", "id", "overall_score")
     path = scratch_path(spark, "performance")
-    first = RU.upsert_performance(None, s.where(F.col("interview_date") < cut), keys, *order, id_col="performance_id")
-    IO.write_table(first, path, "performance")
-    stored, later = IO.read_table(spark, path, "performance"), s.where(F.col("interview_date") >= cut)
-    IO.write_touched_partitions(
-        RU.upsert_performance(stored, later, keys, *order, id_col="performance_id"), later, path)
-    return IO.read_table(spark, path, "performance").select(*keys, "average_score", "performance_id")
+    RU.upsert_stored_performance(spark, path, s.where(F.col("interview_date") < cut), buckets=4)
+    RU.upsert_stored_performance(spark, path, s.where(F.col("interview_date") >= cut))
+    return IO.read_table(spark, path, "performance").select("user_id", "category", "average_score", "performance_id")
 
 
 def q_j5_update_session_scores(spark, sf):

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quizlens.functions import labels
 from quizlens.functions.rounding import py_round1
+from quizlens.session import small_side, written
+from quizlens.sources.io import RANGE_ROWS, ranged
 
 
 def latest_sessions(sessions: DataFrame, k: int = 10, user: str = "user_id",
@@ -56,7 +58,7 @@ def first_questions(questions: DataFrame, k: int = 10, category: str = "category
 
 
 def grouped_positions(df: DataFrame, group: str, order_cols: list[str], bucket: Column,
-                      out: str = "ordinal") -> DataFrame:
+                      out: str = "ordinal", bucket_rows: int = RANGE_ROWS) -> DataFrame:
     """1-based position of each row inside its group, the group size and a
     last-row flag, with all other columns kept.
 
@@ -64,27 +66,38 @@ def grouped_positions(df: DataFrame, group: str, order_cols: list[str], bucket:
     first order column). Rows are counted per (group, bucket); a prefix sum
     over a group's buckets gives each bucket's start, and rows are numbered
     inside (group, bucket) only, so a group with a third of all rows is spread
-    over its buckets. A null group is one group."""
-    keyed = df.withColumn("_g", F.struct(F.col(group).alias("k"))).withColumn("_b", bucket)
-    counts = keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    over its buckets. A bucket of more than ``bucket_rows`` rows is cut into
+    sorted ranges of about that many, which are buckets of their own. A null
+    group is one group."""
+    keyed = df.withColumn("_g", F.struct(F.col(group).alias("k"))).withColumn("_b", F.struct(bucket.alias("k")))
+    per = lambda rows: rows.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(per(keyed), "buckets")
+    hot = counts.where(F.col("_n") > bucket_rows).select("_g", "_b")
+    if not hot.isEmpty():
+        hot = small_side(hot)
+        cut = ranged(keyed.join(hot, ["_g", "_b"], "left_semi"), ["_g", "_b", *order_cols], bucket_rows).drop("_pos")
+        whole = keyed.join(hot, ["_g", "_b"], "left_anti").withColumn(
+            "_range", F.lit(None).cast(cut.schema["_range"].dataType))
+        keyed = whole.unionByName(cut).withColumn("_b", F.struct("_b", "_range")).drop("_range")
+        counts = written(per(keyed), "buckets")
     of_group = Window.partitionBy("_g")
     before = of_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_g", F.struct(F.col("_b").alias("k")).alias("_bk"),
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-                           F.sum("_n").over(of_group).alias("n_in_group"))
-    inside = Window.partitionBy("_g", "_bk").orderBy(*order_cols)
     # a struct that holds a null key still equals itself, so null groups join
-    return (keyed.withColumn("_bk", F.struct(F.col("_b").alias("k"))).join(starts, ["_g", "_bk"])
+    starts = counts.select("_g", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+                           F.sum("_n").over(of_group).alias("n_in_group"))
+    inside = Window.partitionBy("_g", "_b").orderBy(*order_cols)
+    return (keyed.join(starts, ["_g", "_b"])
             .withColumn(out, F.col("_start") + F.row_number().over(inside))
             .withColumn("is_last", F.col(out) == F.col("n_in_group"))
-            .drop("_g", "_b", "_bk", "_start"))
+            .drop("_g", "_b", "_start"))
 
 
 def question_positions(answers: DataFrame, session: str = "session_id",
-                       ts: str = "answered_at", key: str = "answer_id") -> DataFrame:
+                       ts: str = "answered_at", key: str = "answer_id",
+                       bucket_rows: int = RANGE_ROWS) -> DataFrame:
     """W4 + W5 + P14: 1-based ordinal of each answer in its session, the
     last-question flag, and the progress shown before it (index / n)."""
-    p = grouped_positions(answers, session, [ts, key], F.date_trunc("hour", F.col(ts)))
+    p = grouped_positions(answers, session, [ts, key], F.date_trunc("hour", F.col(ts)), bucket_rows=bucket_rows)
     return (p.withColumnRenamed("n_in_group", "n_in_session")
             .withColumn("progress_pct", labels.progress_pct(F.col("ordinal") - 1, F.col("n_in_session"))))
 

@@ -10,13 +10,14 @@ many tasks and never collected into one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quizlens.functions import labels
 from quizlens.functions.text import is_blank
 from quizlens.functions.rounding import exact_mean, py_round1, sql_round1_mean, units
 from quizlens.session import small_side, written
+from quizlens.sources import io
 from quizlens.sources.io import assign_ids
 
 # Rows of one key folded in one task. A key with more rows is cut into
@@ -242,7 +243,7 @@ def smoothed_scores(rows: DataFrame, keys: list[str], ts: str, tiebreak: str, sc
 
 def upsert_performance(state: DataFrame | None, sessions: DataFrame, keys: list[str],
                        ts: str, tiebreak: str, score: str, out: str = "average_score",
-                       chunk_rows: int = CHUNK_ROWS, id_col: str | None = None) -> DataFrame:
+                       chunk_rows: int = CHUNK_ROWS, id_col: str | None = None, serial=None) -> DataFrame:
     """Apply new session scores to the stored smoothed score.
 
     A stored value acts as the first element of the key's sequence (it sorts
@@ -250,7 +251,9 @@ def upsert_performance(state: DataFrame | None, sessions: DataFrame, keys: list[
     batch start from their first score, and keys in both continue from the
     state: the full-outer-join-and-coalesce of an upsert, done by the fold.
     With ``id_col``, stored rows keep their id and new keys get serial ids
-    above the largest, in the order of the keys.
+    above the largest, in the order of the keys; where ``state`` is only a
+    part of the stored rows, ``serial(wanted)`` sets that many ids aside and
+    gives the one before them.
     """
     new = sessions.select(*keys, F.col(ts).alias("_t"), F.col(tiebreak).cast("bigint").alias("_i"),
                           F.col(score).alias("_x"))
@@ -262,17 +265,39 @@ def upsert_performance(state: DataFrame | None, sessions: DataFrame, keys: list[
     if id_col is None:
         return res
     if state is None:
-        return assign_ids(res, res.limit(0).withColumn(id_col, F.lit(0).cast("bigint")), id_col, keys)
+        res = written(res, "performance")
+        return assign_ids(res, serial(res.count()) if serial else 0, id_col, keys)
     # written once: the ids read it several times
     known = state.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], id_col)
     cond = F.lit(True)
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_s{i}"))
     joined = written(res.join(known, cond, "left").select(*keys, out, id_col), "performance")
-    fresh = assign_ids(joined.where(F.col(id_col).isNull()).drop(id_col), joined, id_col, keys)
+    fresh = joined.where(F.col(id_col).isNull()).drop(id_col)
+    fresh = assign_ids(fresh, serial(fresh.count()) if serial else joined, id_col, keys)
     return joined.where(F.col(id_col).isNotNull()).unionByName(fresh)
 
 
+def upsert_stored_performance(spark: SparkSession, path: str, sessions: DataFrame,
+                              keys: tuple[str, str] = ("user_id", "category"), ts: str = "interview_date",
+                              tiebreak: str = "id", score: str = "overall_score",
+                              buckets: int | None = None) -> None:
+    """J4 on the stored table: of all (category, user bucket) folders only
+    those that the batch touches are read and written again, all by one job
+    that publishes its files when it commits. Nothing stored yet is an empty
+    table. One writer at a time."""
+    new_ids = lambda wanted: io.reserve_ids(spark, path, "performance_id", wanted)
+    order = (ts, tiebreak, score)
+    if io.stored_buckets(spark, path) is None:
+        first = upsert_performance(None, sessions, list(keys), *order, id_col="performance_id", serial=new_ids)
+        io.write_table(first, path, "performance", mode="append", buckets=buckets)
+        return
+    batch = written(sessions.select(*dict.fromkeys([*keys, *order])), "batch")
+    stored = io.read_touched(spark, path, batch)
+    io.write_touched_partitions(
+        upsert_performance(stored, batch, list(keys), *order, id_col="performance_id", serial=new_ids), batch, path)
+
+
 # --- J5 -------------------------------------------------------------------------
 
 def update_session_scores(sessions: DataFrame, new_scores: DataFrame, id_col: str = "id",

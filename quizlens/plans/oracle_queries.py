@@ -126,13 +126,14 @@ ORACLE["j1_answer_question"] = (
     f"SELECT a.answer_id, a.question_id, {preview('q.question_text', 60)} AS question_preview, "
     f"CAST(length(q.ideal_answer) AS INTEGER) AS ideal_chars FROM a LEFT JOIN q ON a.question_id = q.id")
 ORACLE["j2_link_accounts"] = (
-    with_(a=ACCOUNTS, u=f"SELECT * FROM ({USERS}) WHERE c_mktsegment <> 'AUTOMOBILE'") +
+    with_(a=ACCOUNTS, u=f"SELECT * REPLACE (CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'old-' || email ELSE email END "
+                        f"AS email) FROM ({USERS})") +
     f"SELECT a.id AS account_id, u.id AS user_id, lower({strip('a.email')}) AS email FROM a "
     f"LEFT JOIN u ON lower({strip('a.email')}) = lower({strip('u.email')})")
 ORACLE["j3_insert_if_absent"] = (
     with_(t="SELECT c_custkey AS id, c_name AS name, lower(c_mktsegment) || CAST(c_nationkey AS VARCHAR) "
             "|| '@mail.test' AS email FROM customer WHERE c_mktsegment = 'BUILDING'",
-          b="SELECT c_custkey + 500000 AS id, c_name AS name, lower(c_mktsegment) || "
+          b="SELECT c_custkey + (SELECT max(c_custkey) FROM customer) AS id, c_name AS name, lower(c_mktsegment) || "
             "CAST(c_nationkey AS VARCHAR) || '@mail.test' AS email FROM customer",
           bf="SELECT email, arg_min(id, id) AS id, arg_min(name, id) AS name FROM b GROUP BY email") +
     "SELECT id, name, email FROM t UNION ALL SELECT id, name, email FROM bf "

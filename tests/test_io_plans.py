@@ -206,10 +206,115 @@ def test_touched_write_refuses_an_unpartitioned_target(spark):
         IO.write_touched_partitions(rows, rows, path)
 
 
-def test_months_are_few_files(spark):
-    from quizlens.sources import standins as S
+def _files(path):
+    """{folder: {file: bytes}} of a stored table."""
+    local = path[len("file:"):] if path.startswith("file:") else path
+    out = {}
+    for folder, _, names in os.walk(local):
+        found = {n: os.path.getsize(os.path.join(folder, n)) for n in names if n.endswith(".parquet")}
+        if found and "_serial" not in folder:
+            out[os.path.relpath(folder, local)] = found
+    return out
+
+
+def test_files_follow_the_advisory_size(spark):
+    """A month of one row is one file, whatever the number of tasks; a month
+    of many rows is as many files as its size asks for."""
     path = scratch_path(spark, "clustered")
-    IO.write_table(S.sessions(spark, SF_SMALL).repartition(40), path, "interview_session")
-    files = IO.read_table(spark, path, "interview_session").inputFiles()
-    months = {f.split("month=")[1].split("/")[0] for f in files}
-    assert len(files) <= len(months) * IO.FILES_PER_VALUE
+    rows = spark.range(0, 400_001, 1, 40).select(
+        "id", (F.col("id") % 1000).alias("user_id"),
+        F.when(F.col("id") == 7, F.lit("2024-02-01")).otherwise(F.lit("2024-01-15")).cast("timestamp_ntz").alias("interview_date"),
+        F.rand(3).alias("overall_score"), F.lit("hr").alias("category"), F.lit(10).alias("total_questions"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        IO.write_table(rows, path, "interview_session")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = _files(path)
+    assert len(files["month=2024-02"]) == 1
+    assert 4 <= len(files["month=2024-01"]) <= 16
+    assert IO.read_table(spark, path, "interview_session").count() == 400_001
+    small = scratch_path(spark, "small")
+    from quizlens.sources import standins as S
+    IO.write_table(S.sessions(spark, SF_SMALL).repartition(40), small, "interview_session")
+    assert all(len(f) == 1 for f in _files(small).values())
+
+
+def test_upsert_leaves_untouched_buckets(spark):
+    """A batch of ten users rewrites their folders only; ids go on above all
+    stored ones without reading the others."""
+    from quizlens.operators import rollup as RU
+    path = scratch_path(spark, "buckets")
+    first = _performance(spark, [(i, i % 200, i % 24, ["hr", "ml", None][i % 3], float(i % 90)) for i in range(600)])
+    RU.upsert_stored_performance(spark, path, first, buckets=32)
+    assert IO.stored_buckets(spark, path) == 32
+    before, rows = _files(path), {tuple(r) for r in IO.read_table(spark, path, "performance").collect()}
+    batch = _performance(spark, [(1000 + u, u, 30, "hr", 50.0) for u in range(5)] + [(2000 + u, 5000 + u, 31, None, 20.0) for u in range(5)])
+    plan = _plan(IO.read_touched(spark, path, batch))
+    assert "PartitionFilters: [" in plan and "of32" in plan
+    RU.upsert_stored_performance(spark, path, batch)
+    after = _files(path)
+    changed = {f for f in after if after[f] != before.get(f)}
+    assert 1 <= len(changed) <= 10 and all(after[f] == before[f] for f in before if f not in changed)
+    got = {tuple(r) for r in IO.read_table(spark, path, "performance").collect()}
+    new = {r for r in got - rows if r[1] >= 5000}
+    assert sorted(r[0] for r in new) == [len(rows) + 1 + k for k in range(5)]
+    want = RU.smoothed_scores(first.unionByName(batch), ["user_id", "category"], "interview_date", "id", "overall_score")
+    assert {(r[1], r[2], r[3]) for r in got} == {(r.user_id, r.category, r.smoothed_score) for r in want.collect()}
+
+
+def test_lost_serial_falls_back_to_the_stored_ids(spark):
+    path = scratch_path(spark, "serial")
+    assert IO.reserve_ids(spark, path, "performance_id", 3) == 0
+    assert IO.reserve_ids(spark, path, "performance_id", 2) == 3
+    assert IO.reserve_ids(spark, path, "performance_id", 1) == 5
+    other = scratch_path(spark, "serial")
+    IO.write_table(spark.createDataFrame([(9, 1, "hr", 5.0)], "performance_id bigint, user_id bigint, category string, average_score double"),
+                   other, "performance")
+    assert IO.reserve_ids(spark, other, "performance_id", 1) == 9
+
+
+def _range_sizes(spark, df, order, **kw):
+    return [r["count"] for r in IO.ranged(df, order, **kw).groupBy("_range").count().collect()]
+
+
+def test_ranges_are_even_for_texts_that_begin_alike_and_hot_values(spark):
+    """Customers by name, a hot first value and nulls: no range has twice the
+    mean, and ids are those of a plain sort."""
+    from quizlens.sources import standins as S
+    c = S.table(spark, "/root/testdata/sf0.1", "customer").select("c_name", "c_custkey")
+    sizes = _range_sizes(spark, c, ["c_name", "c_custkey"], rows_per_range=500)
+    assert len(sizes) == -(-c.count() // 500) and max(sizes) < 2 * 500
+    hot = spark.range(0, 30_000, 1, 7).select(
+        F.when(F.col("id") % 3 == 0, F.lit("same")).when(F.col("id") % 10 == 1, F.lit(None))
+        .otherwise(F.concat(F.lit("user"), F.col("id") % 97)).alias("name"), "id")
+    sizes = _range_sizes(spark, hot, ["name", "id"], rows_per_range=1000)
+    assert len(sizes) == 30 and max(sizes) < 2000
+    got = IO.global_rank(hot, ["name", "id"], rows_per_range=1000).orderBy("_grank")
+    assert [(r.name, r.id, r._grank) for r in got.collect()] == [
+        (r.name, r.id, k) for k, r in enumerate(hot.orderBy("name", "id").collect())]
+
+
+def test_a_range_that_came_out_large_is_cut_again(spark):
+    df = spark.range(0, 20_000, 1, 4).select((F.col("id") * F.col("id")).alias("x"), "id")
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "1")
+    try:
+        sizes = _range_sizes(spark, df, ["x"], rows_per_range=400)
+        ranks = IO.global_rank(df, ["x"], rows_per_range=400).where("_grank <> id").count()
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+    assert max(sizes) <= 800 and sum(sizes) == 20_000 and ranks == 0
+    # rows that agree in the whole order cannot be cut, and still get ranks
+    same = spark.range(0, 5000, 1, 3).select(F.lit(1).alias("x"))
+    got = sorted(r._grank for r in IO.global_rank(same, ["x"], rows_per_range=100).collect())
+    assert got == list(range(5000))
+    assert IO.global_rank(same.limit(0), ["x"]).count() == 0
+
+
+def test_a_hot_hour_of_a_session_is_cut(spark):
+    from quizlens.operators import rank as RK
+    a = spark.range(0, 20_000, 1, 5).select(
+        F.col("id").alias("answer_id"), F.when(F.col("id") % 4 > 0, 1).otherwise(F.col("id") % 50).cast("bigint").alias("session_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 7919) % 3000).cast("timestamp_ntz").alias("answered_at"))
+    got, want = (RK.question_positions(a, bucket_rows=n).collect() for n in (500, 10 ** 9))
+    assert sorted(got) == sorted(want)

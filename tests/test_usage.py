@@ -35,10 +35,7 @@ def test_readme_flow(spark):
         sessions.select(sessions.id.alias("session_id"), "category"), "session_id"), questions)
     dashboard = reports.dashboard(sessions, users)
     batch = sessions.join(closed.select(closed.session_id.alias("id")), "id", "left_semi")
-    perf = rollup.upsert_performance(
-        io.read_table(spark, f"{base}/performance", "performance"), batch, ["user_id", "category"],
-        "interview_date", "id", "overall_score", id_col="performance_id")
-    io.write_touched_partitions(perf, batch, f"{base}/performance")
+    rollup.upsert_stored_performance(spark, f"{base}/performance", batch)
     rep = {r.session_id: (r.score, r.grade, r.breakdown_status) for r in report.collect()}
     assert rep == {10: (53.5, "Needs Practice", ["Answered", "Skipped"]), 11: (82.5, "Excellent", ["Answered"])}
     dash = {r.user_id: (r.total_interviews, r.cat_names) for r in dashboard.collect()}
