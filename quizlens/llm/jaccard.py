@@ -47,7 +47,9 @@ from quizlens.session import small_side
 SIMILARITY = 0.75
 HOT = 16                 # sets of a signature whose pairs are all candidates
 HUBS = 3                 # of a hot group
+HUB_TURNS = 8            # rounds of hubs, at most, before what is left is compared in blocks
 BLOCK = 1024             # members of a block of a family of hot groups
+BLOCK_ELEMENTS = 1 << 23 # shingles of a block, unless it has fewer than 16 members
 MAX_BITS = 1 << 14       # of a set's bitmap
 PAIR_COST = 100.0        # a candidate's cost in signatures, for the allocation
 SHARED = 0.1             # assumed chance that two texts of a band share an element
@@ -293,9 +295,11 @@ def shared_enough(found: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def bits_of(described: DataFrame, tags: DataFrame) -> DataFrame:
-    """(tag, bits) of the named tags only. The tags are broadcast where their
-    measured bytes allow it, so the bitmaps need not be shuffled to find them."""
-    return described.select("tag", "bits").join(small_side(tags.distinct()), "tag", "left_semi").dropDuplicates(["tag"])
+    """(tag, digest, bits) of the named tags only; sets may share a tag. The
+    tags are broadcast where their measured bytes allow it, so the bitmaps need
+    not be shuffled to find them."""
+    return described.select("tag", "digest", "bits").join(small_side(tags.distinct()), "tag", "left_semi") \
+        .dropDuplicates(["tag", "digest"])
 
 
 def bits_fit(pairs: DataFrame, sets: DataFrame, described: DataFrame, t: float) -> DataFrame:
@@ -304,7 +308,8 @@ def bits_fit(pairs: DataFrame, sets: DataFrame, described: DataFrame, t: float)
     p = written(_ends(pairs, sets, "n", "rep", "digest").where(_sizes_fit(t)), "sized")
     bits = bits_of(described, p.select(F.explode(F.array("a", "b")).alias("tag")))
     for x in "ab":
-        p = p.join(bits.select(F.col("tag").alias(x), F.col("bits").alias(f"bits_{x}")), x)
+        p = p.join(bits.select(F.col("tag").alias(x), F.col("digest").alias(f"digest_{x}"),
+                               F.col("bits").alias(f"bits_{x}")), [x, f"digest_{x}"])
     out = ["id_a", "id_b", "digest_a", "digest_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,11 +335,11 @@ def fetch_texts(rows: DataFrame, paired: DataFrame, members: DataFrame, id_col:
                    .join(small_side(need), "need"), "texts")
 
 
-def verify(p: DataFrame, texts: DataFrame, t: float) -> DataFrame:
+def verify(p: DataFrame, texts: DataFrame, t: float, flag: str = "paired") -> DataFrame:
     """Of the pairs (id_a, id_b, digests) the linked ones, as (u, v), by the
-    whole texts."""
+    whole texts, which are those of the named flag."""
     def text(x):
-        return texts.where("paired").select(F.col("need").alias(f"id_{x}"), F.col("text").alias(f"text_{x}"))
+        return texts.where(flag).select(F.col("need").alias(f"id_{x}"), F.col("text").alias(f"text_{x}"))
 
     # the smaller id, often the hub of a group, first: the second join then
     # deals the rows by their other, mostly distinct, end
@@ -384,7 +389,7 @@ def needing(hot: DataFrame, sets: DataFrame) -> DataFrame:
         sets.select("tag", "slack"), "tag").select("tag", "role", "hot", role_slack.alias("slack"))
     m = hot.join(per, ["tag", "role"]).withColumn("needs", F.col("hot") > F.col("slack"))
     wanted = m.where("needs").groupBy("sig").agg(F.min("slack").alias("least"))
-    return m.join(wanted, "sig").where("hot > least(slack, least)").select("sig", "tag", "needs")
+    return m.join(small_side(wanted), "sig").where("hot > least(slack, least)").select("sig", "tag", "needs")
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
@@ -421,92 +426,97 @@ def _shared_counts(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit, np.cumsum([0, *[len(o) for o in others[:-1]]]), dtype=np.int64)
 
 
-def _linked_in_block(shared: pd.DataFrame, members: pd.DataFrame, t: float) -> pd.DataFrame:
-    """Links (u, v) between a left and a right member that share a signature
-    and are in different components. Each pair is looked at once, by a bitmap
+def _linked_across(rows: pd.DataFrame, t: float) -> pd.DataFrame:
+    """Links (u, v) between a left and a right member of a block, one for each
+    two components that any link joins: a component is connected already. A
+    pair counts if either needs a hot signature; it is looked at by a bitmap
     of 16 bits an element and, where that does not rule it out, exactly."""
-    members = members.rename(columns=lambda c: c.removesuffix("_")).reset_index(drop=True)
+    rows = rows.reset_index(drop=True)
+    once = rows.drop_duplicates(["node", "digest", "text"]).reset_index(drop=True)
     sets: list[np.ndarray] = []
-    for i in range(0, len(members), 256):
-        sets += shingle_sets([(x or "").encode() for x in members["text"][i:i + 256]])
-    # a document id may be repeated, with the same or another text
-    own = [i for i, (h, d) in enumerate(zip(sets, members["digest"])) if _digest(h) == d]
-    once = members.iloc[own].drop_duplicates("tag").index
-    sets, members = [sets[i] for i in once], members.loc[once].reset_index(drop=True)
+    for i in range(0, len(once), 256):
+        sets += shingle_sets([(x or "").encode() for x in once["text"][i:i + 256]])
+    # a document id may be repeated with another text: that of the digest counts
+    own = [i for i, (h, d) in enumerate(zip(sets, once["digest"])) if _digest(h) == d]
+    members = once.iloc[own].drop_duplicates("tag")
+    sets, members = [sets[i] for i in members.index], members.reset_index(drop=True)
     place = pd.Series(members.index, index=members["tag"])
-    n, comp, node = (members[c].to_numpy() for c in ("n", "component", "node"))
-    at = place.reindex(shared["tag"]).to_numpy()
-    shared = shared.assign(at=at)[~np.isnan(at.astype(float))].sort_values("sig", kind="stable")
-    sig, who, left = shared["sig"].to_numpy(), shared["at"].to_numpy().astype(np.int64), shared["left"].to_numpy().astype(bool)
-    lefts = np.unique(who[left])                       # rows of the matrix: members that need a signature
-    row = np.full(len(members), -1)
-    row[lefts] = np.arange(len(lefts))
-    meet = np.zeros((len(lefts), len(members)), dtype=bool)
-    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.empty(0, np.int64)
-    for a, z in zip(start, np.append(start[1:], len(sig))):
-        side = left[a:z]
-        if side.any() and not side.all():
-            meet[np.ix_(row[who[a:z][side]], who[a:z][~side])] = True
-    meet &= comp[lefts][:, None] != comp[None, :]
-    meet &= np.minimum(n[lefts][:, None], n[None, :]) >= t * np.maximum(n[lefts][:, None], n[None, :])
+    n, comp, node, needs = (members[c].to_numpy() for c in ("n", "component", "node", "needs"))
+    side = lambda left: np.unique(place.reindex(rows.loc[rows["left"] == left, "tag"]).dropna().to_numpy(np.int64))
+    lefts, rights = side(True), side(False)
     width = min(1 << max(6, int(16 * n.max(initial=1) - 1).bit_length()), MAX_BITS)
     bits = np.zeros((len(sets), width), dtype=bool)
     for b, h in zip(bits, sets):
         b[(h & _U(width - 1)).astype(np.int64)] = True
     bits = np.packbits(bits, axis=1).view(np.uint64)
+    joined: dict[int, set[int]] = {}
     u, v = [], []
     percent = round(t * 100)
-    for r, x in enumerate(lefts):
-        y = np.flatnonzero(meet[r])
+    for x in lefts:
+        known = joined.setdefault(comp[x], {comp[x]})
+        y = rights[~np.isin(comp[rights], list(known)) & (needs[x] | needs[rights])]
+        y = y[np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y])]
         if len(y):
             apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
             y = y[apart <= (1 - t) / (1 + t) * (n[x] + n[y]) + 1e-6]
         if len(y):
             both = _shared_counts(sets[x], [sets[k] for k in y])
-            y = y[100 * both >= percent * (n[x] + n[y] - both)]
-            u += [node[x]] * len(y)
-            v += node[y].tolist()
+            for k in y[100 * both >= percent * (n[x] + n[y] - both)]:
+                if comp[k] not in known:
+                    known.add(comp[k])
+                    u.append(node[x])
+                    v.append(node[k])
     return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
 
-def hot_links(members: DataFrame, sets: DataFrame, texts: DataFrame, linked: DataFrame, t: float) -> DataFrame:
-    """The links that only hot signatures show: between a member that needs
-    the signature and any other, in different components so far.
-
-    The groups of a family of near copies overlap in most members, so they are
-    taken together: a family is named by the component with most members in
-    the group. The members that need a signature, which are few, and all
-    members are cut into blocks, and a task gets a block of either with their
-    texts, each once, and the signatures they have. It compares a pair once
-    however many signatures it shares, and returns links only."""
+def open_members(members: DataFrame, sets: DataFrame, linked: DataFrame) -> DataFrame:
+    """(family, tag, node, n, digest, component, needs): the members of hot
+    signatures that still hold several components. The groups of a family of
+    near copies overlap in most members, so they are taken together: a family
+    is named by the component with most members in the group."""
     named = sets.select("tag", F.col("rep").alias("node"), "n", "digest").join(linked, "node", "left").select(
         "tag", "node", "n", "digest", F.coalesce("component", "node").alias("component"))
-    m = members.join(named, "tag")
+    m = written(members.join(named, "tag"), "named-members")
     per = m.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("k"))
     open_ = per.groupBy("sig").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("family"),
                                    F.count(F.lit(1)).alias("apart")).where("apart > 1").select("sig", "family")
-    m = written(m.join(open_, "sig"), "open-members")
-    own = m.groupBy("family", "tag", "node", "n", "digest", "component").agg(F.max("needs").alias("needs"))
-    blocks = own.groupBy("family").agg(
-        F.ceil(F.count_if("needs") / BLOCK).cast("int").alias("lefts"),
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rights"))
+    return written(m.join(small_side(open_), "sig").groupBy(
+        "family", "tag", "node", "n", "digest", "component").agg(F.max("needs").alias("needs")), "open-members")
+
+
+def family_hubs(own: DataFrame, turn: int) -> DataFrame:
+    """(a, b): every member outside its family's component with a few members
+    inside it and a few outside, other ones in each turn."""
+    out = F.col("component") != F.col("family")
+    low = [F.min(F.when(side, F.struct(F.xxhash64("tag", F.lit(turn * HUBS + j)).alias("h"), "tag")))
+           .alias(f"hub{k}{j}") for k, side in enumerate((out, ~out)) for j in range(HUBS)]
+    hubs = own.groupBy("family").agg(*low)
+    hubs = hubs.select("family", F.explode(F.array_distinct(F.array_compact(F.array(
+        *[F.col(f"{c}.tag") for c in hubs.columns[1:]])))).alias("hub"))
+    return own.where(out).select("family", "tag").join(small_side(hubs), "family").where("hub != tag").select(
+        F.least("hub", "tag").alias("a"), F.greatest("hub", "tag").alias("b")).distinct()
+
+
+def hot_links(own: DataFrame, texts: DataFrame, t: float) -> DataFrame:
+    """The links that only hot signatures show, but for those inside a
+    component: between a member outside its family's component (left) and any
+    other (right). Both sides are cut into blocks, and a task gets a block of
+    either with their texts, so a family of F members of which k are outside
+    takes F * k / BLOCK rows, about F as long as k stays below a block."""
+    outside = F.col("component") != F.col("family")
+    sizes = own.groupBy("family").agg(F.count_if(outside).alias("lefts"), F.count(F.lit(1)).alias("rights"),
+                                      F.max("n").alias("widest"))
+    room = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_ELEMENTS) / F.col("widest"))))
+    blocks = sizes.where("lefts > 0").select("family", *[F.ceil(F.col(c) / room).cast("int").alias(c) for c in ("lefts", "rights")])
     at = lambda blocks_: F.pmod(F.xxhash64("tag"), F.col(blocks_)).cast("int")
+    spots = lambda side, spot: F.transform(F.sequence(F.lit(0), F.col(side) - 1), spot)
     place = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
-    as_left = F.when(F.col("needs"), F.transform(F.sequence(F.lit(0), F.col("rights") - 1),
-                                                 lambda j: place(at("lefts"), j, True))).otherwise(F.array())
-    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: place(i, at("rights"), False))
-    keys = ["family", "i", "j"]
-    shared = m.select("family", "sig", "tag", "needs").join(blocks, "family").select(
-        "family", "sig", "tag", F.explode(F.concat(as_left, as_right)).alias("p")).select(
-        "family", "p.i", "p.j", "sig", "tag", "p.left")
-    spots = F.array_distinct(F.transform(F.concat(as_left, as_right), lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j"))))
-    placed = own.join(blocks, "family").withColumn("p", F.explode(spots)).select(
-        "family", "p.i", "p.j", "tag", "node", "n", "digest", "component").join(
+    as_left = F.when(outside, spots("rights", lambda j: place(at("lefts"), j, True))).otherwise(F.array())
+    as_right = spots("lefts", lambda i: place(i, at("rights"), False))
+    placed = own.join(small_side(blocks), "family").withColumn("p", F.explode(F.concat(as_left, as_right))).select(
+        "family", "p.i", "p.j", "p.left", "tag", "node", "n", "digest", "component", "needs").join(
         texts.where("member").select(F.col("need").alias("node"), "text"), "node")
-    # both sides come from one table: new names keep their columns apart
-    placed = placed.toDF(*[f"{c}_" for c in placed.columns])
-    found = shared.groupBy(*keys).cogroup(placed.groupBy(*[f"{k}_" for k in keys])).applyInPandas(
-        lambda x, y: _linked_in_block(x, y, t), "u long, v long")
+    found = placed.groupBy("family", "i", "j").applyInPandas(lambda x: _linked_across(x, t), "u long, v long")
     return written(found.distinct(), "hot-links")
 
 
@@ -547,7 +557,19 @@ def near_duplicates(rows: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = verify(pairs, texts, t)
     # connected labels are enough here: they only save comparisons
     labels = written(components(links, "u", "v", rounds=1), "labels")
-    more = hot_links(members, sets, texts, labels, t)
+    own = open_members(members, sets, labels)
+    left = own.where("component != family").count()
+    for turn in range(1, HUB_TURNS):
+        if left <= BLOCK:
+            break                       # a block holds what is outside any component
+        closer = written(bits_fit(family_hubs(own, turn), sets, d, t), "hub-pairs")
+        links = written(links.unionByName(verify(closer, texts, t, "member")), "links")
+        labels = written(components(links, "u", "v", rounds=1), "labels")
+        own = open_members(members, sets, labels)
+        before, left = left, own.where("component != family").count()
+        if left >= before:
+            break
+    more = hot_links(own, texts, t)
     linked = written(components(links.unionByName(more), "u", "v"), "linked")
     of_set = sets.select("digest", F.col("rep").alias("node")).join(linked, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component"))
