@@ -2,8 +2,11 @@
 
 Each page is cut into blocks of text, and every block is judged by its place:
 inside the article, inside a part that is never article text (navigation,
-adverts, forms, comments, ...), or neither. Blocks of the last kind are
-decided by the host: the pages' token streams of a host are concatenated, a
+adverts, forms, comments, ...), or neither. A part is named by its element or
+by a whole class, id or role of a fixed list, or, for containers inside the
+article, by its first word. A name that only holds a word of the list is
+weaker: it decides only outside the article of a page that has one. Blocks
+that are neither, and those weakly named otherwise, are decided by the host: the pages' token streams of a host are concatenated, a
 suffix array finds the runs of tokens that stand on several distinct pages,
 and what they cover is boilerplate; runs that only one page has are kept.
 
@@ -33,7 +36,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.session import written
+from quizlens.session import small_side, written
 
 MIN_RUN = 8            # tokens of a repeated run, at least
 MIN_PAGES = 2          # distinct pages it must stand on
@@ -51,6 +54,15 @@ menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside footer head
 notice notices alert cookie cookies consent gdpr popup modal newsletter subscribe signup login
 comment comments disqus replies share sharing social related recommended widget pagination pager
 search copyright complementary contentinfo""".split())
+# Inside a line of text: what they hold is left out, and the line goes on.
+INLINE = frozenset("svg button select label canvas object audio video map".split())
+# What may stand in the head; any other element ends it.
+HEAD = frozenset("head base link meta title style script noscript template".split())
+# Never judged by their names, but that a reader's comment may be an article.
+WHOLE = frozenset("html body main article".split())
+COMMENT = frozenset(["comment"])
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption".split())
+WEAK = -2              # place of a weakly named part outside the article
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body br dd details div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th
@@ -73,18 +85,34 @@ class Block(NamedTuple):
     place: int      # 1 article, 0 undecided, -1 never article text
 
 
-def _named(attrs: str) -> bool:
-    return any(NAMED.intersection(_SPLIT.split("".join(m).lower())) for m in _NAMES.findall(attrs))
+def _place(name: str, attrs: str, inner: int) -> int:
+    """The place of what an element holds, by that of the element around it."""
+    if inner == -1 or name in DROPPED or name == "header" and inner != 1:
+        return -1
+    names = [n for m in _NAMES.findall(attrs) for n in "".join(m).lower().split()] if attrs else []
+    if name in WHOLE:
+        if name == "article" and COMMENT.intersection(names):
+            return -1
+        return 1 if name in ARTICLE else inner
+    if NAMED.intersection(names):
+        return -1
+    words = [_SPLIT.split(n) for n in names]
+    if inner == 1 and name not in TEXT and any(w[0] in NAMED for w in words):
+        return -1
+    if any(NAMED.intersection(w) for w in words):
+        return 0 if inner == 1 else WEAK
+    return inner
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's blocks of text in order, white space made single spaces,
     character references decoded, empty ones left out. Unclosed and cut tags
-    are tolerated; a closing tag without its opening one is ignored."""
+    are tolerated; a closing tag without its opening one is ignored, and a
+    head that is not closed ends where the body's content begins."""
     out: list[Block] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []        # open elements and their place
-    place = 0
+    place, hidden = 0, False                 # of the block now; inside an inline part that is left out
 
     def flush() -> None:
         t = " ".join("".join(text).split())
@@ -92,17 +120,34 @@ def blocks(page: str | None) -> list[Block]:
         if t:
             out.append(Block(t, place))
 
+    def look() -> None:
+        nonlocal place, hidden
+        hidden = any(n in INLINE for n, _ in stack)
+        place = next((p for n, p in reversed(stack) if n not in INLINE), 0) if hidden else stack[-1][1] if stack else 0
+
+    def end_head() -> None:
+        at = next((i for i, (n, _) in enumerate(stack) if n == "head"), None)
+        if at is not None:
+            flush()
+            del stack[at:]
+            look()
+
     for m in _TOKEN.finditer(page or ""):
         kind = m.lastgroup
         if m["text"] is not None:
-            t = m["text"]
-            text.append(html.unescape(t) if "&" in t else t)
+            if stack and stack[-1][0] == "head" and m["text"].strip():
+                end_head()
+            if not hidden:
+                t = m["text"]
+                text.append(html.unescape(t) if "&" in t else t)
         elif m["name"] is not None:
             name = m["name"].lower()
+            if not m["close"] and name not in HEAD:
+                end_head()
             if name == "br":
                 text.append(" ")
                 continue
-            if name in BLOCK or name in DROPPED:
+            if name in BLOCK or name in DROPPED - INLINE:
                 flush()
             if m["close"]:
                 for i in range(len(stack) - 1, -1, -1):
@@ -120,17 +165,13 @@ def blocks(page: str | None) -> list[Block]:
                             break
                         if stack[i][0] in BLOCK - {"p"}:
                             break
-                inner = stack[-1][1] if stack else 0
-                if name in DROPPED or name == "header" and inner != 1 or (m["attrs"] and _named(m["attrs"])):
-                    inner = -1
-                elif name in ARTICLE and inner == 0:
-                    inner = 1
-                stack.append((name, inner))
-            place = stack[-1][1] if stack else 0
+                stack.append((name, _place(name, m["attrs"], stack[-1][1] if stack else 0)))
+            look()
         elif kind != "text" and m["raw"]:
             flush() if m["raw"].lower() not in ("noscript", "template") else None
     flush()
-    return out
+    weak = -1 if any(b.place == 1 for b in out) else 0
+    return [b if b.place != WEAK else Block(b.text, weak) for b in out]
 
 
 def tokens(bs: list[Block]) -> tuple[list[str], list[tuple[int, int]]]:
@@ -256,16 +297,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     are each returned, and as copies of one page they are one page to the
     host's suffix array. A host is dealt to parts of about ``part_bytes`` of
     html by a hash of its pages, so a host with a third of all pages is
-    spread; what repeats is counted over all its parts. Other columns are not
-    looked at. An empty table gives an empty result.
+    spread: the table of hosts with several parts is broadcast where its
+    measured bytes allow it, and rows are dealt anew by (host, part) in either
+    case. What repeats is counted over all parts of a host. Other columns are
+    not looked at. An empty table gives an empty result.
     """
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"://([^/?#]*)", 1), F.lit("")))
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"),
                        F.col(html_col).alias("html"))
 
     # how many parts a host needs, from its size alone
-    parts = src.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("b")).select(
-        "host", F.ceil(F.col("b") / part_bytes).cast("int").alias("parts")).where("parts > 1")
+    parts = small_side(src.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("b")).select(
+        "host", F.ceil(F.col("b") / part_bytes).cast("int").alias("parts")).where("parts > 1"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = zstd.ZstdCompressor(level=3).compress
@@ -277,6 +320,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     id_type = src.schema["id"].dataType.simpleString()
     packed = src.mapInArrow(pack, f"id {id_type}, url string, host string, html binary")
+
     def dealt(rows: DataFrame, how: str) -> DataFrame:
         return rows.join(parts, "host", how).withColumn(
             "part", F.pmod(F.xxhash64("id", "url"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
@@ -289,14 +333,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         return pd.DataFrame({"id": rows["id"], "url": rows["url"], "text": text,
                              "n_chars": [len(t) for t in text]})
 
-    packed = dealt(packed, "left")
+    # else a join by host would do as the grouping by (host, part) too
+    packed = dealt(packed, "left").repartition("host", "part")
     out = f"id {id_type}, url string, text string, n_chars long"
     common = repeated_runs(dealt(src, "inner"), min_run, min_pages)
     if common is None:
         # no host of several parts has undecided blocks
         done = packed.groupBy("host", "part").applyInPandas(lambda rows: run(rows, set()), out)
     else:
-        done = packed.groupBy("host", "part").cogroup(common.groupBy("host", "part")).applyInPandas(
+        done = packed.groupBy("host", "part").cogroup(common.repartition("host", "part").groupBy("host", "part")).applyInPandas(
             lambda rows, found: run(rows, set(map(bytes, found["run"]))), out)
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
 

@@ -121,3 +121,48 @@ def test_part_size_decides_no_text(frame):
     assert texts[0] == texts[1] == texts[2] and len(texts[0]) == len(rows)
     assert not any("pair" in texts[0][i] for i in range(60)) and "quoted0x0" not in texts[0][0]
     assert "copied0 copied1" in texts[0][200] and "quoted0x0" in texts[0][101] and "quoted0x0" in texts[0][1]
+
+
+ART = "<article><p>The story itself.</p></article>"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<body class='has-sidebar'>{ART}", "The story itself."),
+    (f"<main class='no-ads'>{ART}</main>", "The story itself."),
+    ("<article class='post comments-open'><p>The story itself.</p></article>", "The story itself."),
+    (f"<div id='search-results'>{ART}</div>", "The story itself."),
+    (f"<html><head><title>t</title><body>{ART}", "The story itself."),
+    (f"<head><meta charset=x><link rel=y>{ART}", "The story itself."),
+    ("<head><title>t</title>plain text", "plain text"),
+    ("<article><p class='related-work'>Related work.</p><p>End</p></article>", "Related work.\nEnd"),
+    ("<article><p class='ad'>Buy</p><div class='share-bar'>Share</div><p>End</p></article>", "End"),
+    (f"{ART}<div class='comment-list'><p>First!</p></div>", "The story itself."),
+    (f"{ART}<section><article class='comment'><p>First!</p></article></section>", "The story itself."),
+    (f"<div class='sidebar'>{ART}</div>", ""),
+    ("<article><p>one <svg><text>icon</text></svg>two <button>Like</button>three</p></article>", "one two three"),
+    ("<article><p>one <button><div>x</div></button> two</p></article>", "one\ntwo"),
+    ("<article><p>a <label>b<p>c</article>d", "a\nc\nd")])
+def test_names_and_heads_lose_no_article(page, text):
+    assert HT.extract([page]) == [text]
+
+
+def test_hot_host_is_dealt_by_host_and_part(spark, frame):
+    """With no broadcast at all, the parts of one host still go apart."""
+    from quizlens import session
+    rows = frame([(i, f"http://hot.x/{i}", f"<article><p>page {i} {'words ' * 50}</p></article>") for i in range(400)], SCHEMA, parts=4)
+    conf, limit = "spark.sql.autoBroadcastJoinThreshold", session.BROADCAST_MAX_BYTES
+    spark.conf.set(conf, "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    defaults = session.small_side.__defaults__
+    session.small_side.__defaults__ = (0, False)
+    try:
+        df = HT.main_text(rows, part_bytes=4000)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        sizes = df.rdd.glom().map(len).collect()
+    finally:
+        session.small_side.__defaults__ = defaults
+        spark.conf.unset(conf)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert session.BROADCAST_MAX_BYTES == limit and "BroadcastHashJoin" not in plan
+    assert "hashpartitioning(host" in plan and "part" in plan.split("FlatMapGroupsInPandas")[1].split("Exchange")[1][:120]
+    assert sum(sizes) == 400 and max(sizes) < 200
