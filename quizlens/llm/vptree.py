@@ -15,6 +15,7 @@ scored again on the original vectors in double precision.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 from quizlens.llm.common import written
 
-SHARD_ROWS = 8192
+SHARD_ROWS = (8192, 131_072)   # least and most rows of a shard
+SHARDS = 256                   # as long as shards do not grow beyond that
+HELD = 1 << 20                 # found neighbours held before they are cut to k a query
 QUERY_ROWS = 4096
 LEAF = 128
 EPS = 1e-7         # rounding of a chord length near 0
@@ -90,11 +93,6 @@ class Tree:
             low = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.arange(d.shape[1])[None, :]
             best[some], place[some] = np.take_along_axis(d, low, 1), np.take_along_axis(p, low, 1)
 
-        def sides(node: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            vp, _, _, lo1, hi1, lo2, hi2 = self.nodes[node]
-            d = chord(q[some] @ self.unit[int(vp)])
-            return np.maximum(np.maximum(lo1 - d, d - hi1), 0), np.maximum(np.maximum(lo2 - d, d - hi2), 0)
-
         # first each query's own leaf, for a good bound from the start
         todo = [(self.root, np.arange(len(q)))]
         while todo:
@@ -103,7 +101,7 @@ class Tree:
                 scan(~node, some)
                 scanned[some] = ~node
                 continue
-            inner, outer = sides(node, some)
+            inner, outer = self._sides(node, q[some])
             near = inner <= outer
             for child, take in ((int(self.nodes[node][1]), near), (int(self.nodes[node][2]), ~near)):
                 if take.any():
@@ -117,12 +115,36 @@ class Tree:
                     scan(~node, some)
                 continue
             far = best[some].max(axis=1) + EPS
-            for child, bound in zip((int(self.nodes[node][1]), int(self.nodes[node][2])), sides(node, some)):
+            for child, bound in zip((int(self.nodes[node][1]), int(self.nodes[node][2])), self._sides(node, q[some])):
                 take = bound * factor <= far
                 if take.any():
                     todo.append((child, some[take]))
         return place, best
 
+    def within(self, q: np.ndarray, radius: np.ndarray, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, places) of all vectors no further from a unit query than
+        its radius, leaf by leaf, by the same bounds as ``search``."""
+        todo = [(self.root, np.arange(len(q)))] if len(self.unit) else []
+        while todo:
+            node, some = todo.pop()
+            if node < 0:
+                a, b = self.leaves[~node]
+                at = self.order[a:b]
+                hit, col = np.nonzero(chord(q[some] @ self.unit[at].T) <= radius[some][:, None])
+                yield some[hit], at[col]
+                continue
+            vp, inner, outer, *_ = self.nodes[node]
+            for child, bound in zip((int(inner), int(outer)), self._sides(node, q[some])):
+                take = bound * factor <= radius[some]
+                if take.any():
+                    todo.append((child, some[take]))
+
+    def _sides(self, node: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How near either half can come to each query."""
+        vp, _, _, lo1, hi1, lo2, hi2 = self.nodes[node]
+        d = chord(q @ self.unit[int(vp)])
+        return np.maximum(np.maximum(lo1 - d, d - hi1), 0), np.maximum(np.maximum(lo2 - d, d - hi2), 0)
+
 
 def chord(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * cosine, 0.0))
@@ -170,25 +192,46 @@ def build_shard(rows: pd.DataFrame, k: int) -> bytes:
 
 
 def search_shard(blob: bytes, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> pd.DataFrame:
-    """The k best of the shard for each query, scored on the originals."""
+    """The k best of the shard for each query, scored on the originals.
+
+    The tree gives each query's k-th distance; then all vectors that are as
+    near, but for rounding, are scored, so that ties go by id however many
+    there are."""
     a = np.load(io.BytesIO(blob))
+    v, held, used = a["v"], a["held"], a["used"]
     tree = Tree.__new__(Tree)
     tree.unit, tree.order, tree.leaves, tree.nodes, tree.root = (
-        _unit(a["v"]), a["order"], a["leaves"], a["nodes"], int(a["root"][0]))
-    # the query's own row may be among them; a few more settle ties by rounding
-    place, _ = tree.search(_unit(queries), k + 4, factor)
-    qi, col = np.nonzero(place >= 0)
-    cls = place[qi, col]
-    score = cosine(queries[qi], a["v"][cls])
-    r, c = np.nonzero(a["used"][cls])
-    out = pd.DataFrame({"query_id": query_ids[qi[r]], "vec_id": a["held"][cls[r], c], "score": score[r]})
-    out = out[out["query_id"] != out["vec_id"]].sort_values(
-        ["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
-    return out.groupby("query_id").head(k)
+        _unit(v), a["order"], a["leaves"], a["nodes"], int(a["root"][0]))
+    unit = _unit(queries)
+    # the query's own row may be among them
+    _, best = tree.search(unit, k + 1, factor)
+    columns = ["query_id", "vec_id", "score"]
+    out, parts, n = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}), [], 0
+
+    def cut(found: list[pd.DataFrame]) -> pd.DataFrame:
+        all_ = pd.concat(found)[columns].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return all_.drop_duplicates(["query_id", "vec_id"]).groupby("query_id").head(k)
+
+    for qi, cls in tree.within(unit, best.max(axis=1) + EPS, factor):
+        score = cosine(queries[qi], v[cls])
+        r, c = np.nonzero(used[cls])
+        found = pd.DataFrame({"query_id": query_ids[qi[r]], "vec_id": held[cls[r], c], "score": score[r]})
+        parts.append(found[found["query_id"] != found["vec_id"]])
+        n += len(parts[-1])
+        if n > HELD:
+            parts, n = [cut(parts)], 0
+    return cut(parts) if parts else out
+
+
+def rows_of_shard(n: int) -> int:
+    """Rows of a shard in a table of n: every query meets every shard, so
+    shards grow with the table, to what a worker holds, and their number does
+    not, until they have grown that far."""
+    return min(SHARD_ROWS[1], max(SHARD_ROWS[0], -(-n // SHARDS)))
 
 
 def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-            factor: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+            factor: float = 1.0, shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by cosine,
     nearest first, ties to the smaller id.
 
@@ -200,7 +243,8 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     columns are not looked at.
     """
     u = written(usable(rows, id_col, vector_col), "vectors")
-    shards = max(1, -(-u.count() // shard_rows))
+    n = u.count()
+    shards = max(1, -(-n // (shard_rows or rows_of_shard(n))))
     blocks = max(1, -(-u.where(is_query).count() // QUERY_ROWS))
     dealt = u.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
 

@@ -83,3 +83,31 @@ def test_edges(frame, empty):
     assert got(VP.nearest(df, QUERY)) == {
         (0, 1, 12, 1.0), (0, 2, 15, 0.0), (0, 3, 13, -1.0), (10, 1, 11, 1.0),
         (15, 1, 0, 0.0), (15, 2, 12, 0.0), (15, 3, 13, 0.0)}
+
+
+@pytest.mark.parametrize("shard", [8, 8192])
+def test_all_ties_go_by_id(frame, shard):
+    """Fifty positive multiples of one vector, in any shard, beside others."""
+    base = np.array([0.3, -1.2, 0.7, 2.0])
+    rows = [(i, [float(x) for x in base * 2.0 ** (i % 20 - 10)], 0) for i in range(50)] + [
+        (100 + i, [1.0, float(i), 0.0, 0.0], 0) for i in range(20)]
+    df = VP.nearest(frame(rows, "vec_id long, embedding array<double>, label int"), QUERY, shard_rows=shard)
+    assert got(df) == brute(rows, 5)
+    assert {(q, v) for q, _, v, _ in got(df) if q == 10} == {(10, v) for v in range(5)}
+
+
+def test_ties_are_cut_while_they_are_found(frame, monkeypatch):
+    monkeypatch.setattr(VP, "HELD", 10)
+    rows = [(i, [float(i % 3 == 0), float(i % 3 == 1), float(i % 3 == 2)], 0) for i in range(300)]
+    rows = [(i, [x * 2.0 ** (i % 7) for x in v], 0) for i, v, _ in rows]
+    blob = VP.build_shard(__import__("pandas").DataFrame({"id": [r[0] for r in rows], "v": [r[1] for r in rows]}), 5)
+    found = VP.search_shard(blob, np.array([9]), np.array([[4.0, 0.0, 0.0]]), 5, 1.0)
+    assert found["vec_id"].tolist() == [0, 3, 6, 12, 15]
+
+
+def test_rows_sent_grow_with_the_table():
+    """Queries meet at most SHARDS shards until a shard is as large as a worker holds."""
+    sent = lambda n: n // 50 * -(-n // VP.rows_of_shard(n))
+    least, most = VP.SHARD_ROWS
+    n = least * VP.SHARDS
+    assert sent(8 * n) <= 8.1 * sent(n) and VP.rows_of_shard(10) == least and VP.rows_of_shard(10 ** 12) == most
