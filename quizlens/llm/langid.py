@@ -11,7 +11,6 @@ narrower than ``min_margin``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,39 +19,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quizlens.llm.common import written
+from quizlens.session import small_side
+
 SAMPLE_TEXTS = 200             # labelled texts per language, at most
 DICTIONARY_BYTES = 256 * 1024  # per language, at most
-MAX_LANGUAGES = 200            # so the dictionaries broadcast stay below 50 MB
+ALL_BYTES = 50 << 20           # of all dictionaries: with many languages each is smaller
+LEAST_BYTES = 1024             # of a dictionary, however many languages there are
 WINDOW = 8 * 1024              # characters encoded at a time
 # short matches count in short texts: matches from 4 bytes, searched lazily
 PARAMETERS = zstd.ZstdCompressionParameters(
     window_log=19, hash_log=16, chain_log=17, search_log=4, min_match=4, target_length=16,
     strategy=zstd.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 def _plain(text: str) -> bytes:
     return text.lower().encode()
 
 
-def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str,
-          sample: int = SAMPLE_TEXTS) -> dict[str, bytes]:
+def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE_TEXTS,
+          all_bytes: int = ALL_BYTES) -> dict[str, bytes]:
     """{language: dictionary} from at most ``sample`` texts of each language,
     chosen by a hash of the id; whole texts are joined until the dictionary is
-    full. Rows without text or language teach nothing."""
+    full (DICTIONARY_BYTES, or a language's share of ``all_bytes``). Rows
+    without text or language teach nothing. What a dictionary cannot hold is
+    cut off in the tasks: the driver gets twice its size at most."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     named = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # ids alone are ranked (with a partial limit before the exchange)
     pick = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(7)), "id"))
-    ids = named.select("id", "lang").withColumn("n", pick).where(F.col("n") <= sample)
-    if ids.select("lang").distinct().count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    ids = small_side(named.select("id", "lang").withColumn("n", pick).where(F.col("n") <= sample))
+    room = max(LEAST_BYTES, min(DICTIONARY_BYTES, all_bytes // max(1, ids.select("lang").distinct().count())))
+    picked = written(named.join(ids, ["id", "lang"]).select("lang", "n", F.substring("text", 1, room).alias("text")), "samples")
+    ahead = Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    needed = picked.withColumn("ahead", F.coalesce(F.sum(F.length("text")).over(ahead), F.lit(0))).where(F.col("ahead") < room)
     out: dict[str, bytes] = {}
-    for r in named.join(F.broadcast(ids), ["id", "lang"]).orderBy("lang", "n").toLocalIterator():
+    for r in needed.orderBy("lang", "n").toLocalIterator():
         held = out.get(r.lang, b"")
-        if len(held) < DICTIONARY_BYTES:
-            out[r.lang] = (held + b"\n" + _plain(r.text))[:DICTIONARY_BYTES]
+        if len(held) < room:
+            out[r.lang] = (held + b"\n" + _plain(r.text))[:room]
     return out
 
 
@@ -67,7 +72,7 @@ class Classifier:
     def classify(self, text: str | None) -> tuple[str, float]:
         """(language or und, margin): the margin is the winner's lead over the
         second as a share of the second's size, 1 if only one is known."""
-        if not self.langs or not text or not _LETTER.search(text):
+        if not self.langs or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         sizes = [0] * len(self.langs)
         for a in range(0, len(text), WINDOW):
@@ -89,8 +94,12 @@ def identify(rows: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     every text if nothing was learned. Equal sizes go to the language whose
     name sorts first. A margin below ``min_margin`` gives ``und`` with that
     margin; 0 always decides. Texts are read whole. Columns that are not
-    named are not looked at. An empty table gives an empty result.
+    named are not looked at; a named one may not be called lang_pred or score.
+    An empty table gives an empty result.
     """
+    taken = {"lang_pred", "score"}.intersection(c.lower() for c in columns)
+    if taken:
+        raise ValueError(f"these names are those of the result: {sorted(taken)}")
     src = rows.select(*columns, rows[text_col].alias("_lang_text"))
     held = src.sparkSession.sparkContext.broadcast(dictionaries)
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("lang_pred", T.StringType()),
