@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from quizlens.llm.common import chunks
 
 NONE = np.int32(2 ** 31 - 1)      # rank of a pair that merges to no token
-WIDEST = 256                      # longer pieces are merged row by row
+WIDEST = 256                      # longer pieces are merged one by one, with a heap
 ROWS = 4096                       # rows of a matrix
 CACHED_CHUNKS = 200_000           # distinct chunks a worker remembers
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -141,31 +142,33 @@ def _merge_rows(v: Vocabulary, ids: np.ndarray, length: np.ndarray) -> tuple[np.
 
 
 def _merge_long(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
-    """One long row. All places of the lowest pair are merged in one pass where
-    that equals merging them leftmost first: none of the pairs that arise in
-    between may rank as low. Otherwise only the leftmost is merged."""
-    rank = v.pairs.ranks(ids[:-1], ids[1:])
-    while len(ids) > 1:
-        low = rank.min()
-        if low == NONE:
-            break
-        at = np.flatnonzero(rank == low)
-        # of touching places, every second one from the left of its run
-        run = np.cumsum(np.diff(at, prepend=at[0] - 2) != 1)
-        start = at[np.searchsorted(run, run)]
-        at = at[(at - start) % 2 == 0]
-        merged = np.full(len(at), low, dtype=ids.dtype)
-        prev = at > 0
-        after = at + 2 < len(ids)
-        near = [v.pairs.ranks(ids[at[prev] - 1], merged[prev]), v.pairs.ranks(merged[after], ids[at[after] + 2])]
-        both = v.pairs.ranks(merged[:1], merged[:1])
-        if min((int(x.min()) for x in (*near, both) if len(x)), default=int(NONE)) <= low:
-            at = at[:1]
-        ids = ids.copy()
-        ids[at] = low
-        ids = np.delete(ids, at + 1)
-        rank = v.pairs.ranks(ids[:-1], ids[1:])
-    return ids
+    """One long row, by a heap of (rank, place) over linked neighbours: the
+    leftmost pair of lowest rank each time, in n log n steps."""
+    n, known = len(ids), v.ranks.get
+    first = v.pairs.ranks(ids[:-1], ids[1:])
+    at = np.flatnonzero(first != NONE)
+    heap = list(zip(first[at].tolist(), at.tolist()))
+    heapq.heapify(heap)
+    token = [v.tokens[i] for i in ids.tolist()]       # None once merged into the one before
+    rank = first.tolist() + [int(NONE)]               # of the pair that begins here
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while heap:
+        r, i = heapq.heappop(heap)
+        if token[i] is None or rank[i] != r:
+            continue                                   # the pair is gone
+        j = after[i]
+        token[i] += token[j]
+        token[j] = None
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+        for x, y in ((before[i], i), (i, k)):
+            if x >= 0:
+                new = known(token[x] + token[y]) if y < n else None
+                rank[x] = int(NONE) if new is None else new
+                if new is not None:
+                    heapq.heappush(heap, (new, x))
+    return np.array([v.ranks[t] for t in token if t is not None], dtype=ids.dtype)
 
 
 def encode_pieces(v: Vocabulary, pieces: list[bytes]) -> list[bytes]:

@@ -70,3 +70,14 @@ def test_rows(frame, empty, library):
         assert r.ids == ids and r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_a_very_long_piece_in_n_log_n(library):
+    import time
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(160_000))
+    began = time.process_time()
+    ids = B.Encoder(PATH, P.PATTERN).encode([text])[0]
+    assert time.process_time() - began < 8
+    assert library.decode(ids.tolist()) == text
+    assert ids[:2000].tolist() == library.encode_ordinary(text[:20_000])[:2000]
