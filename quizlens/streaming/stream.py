@@ -7,17 +7,27 @@ writes one folder per micro-batch, overwritten if the batch is retried, so
 the output is exactly-once. Results are read back as the latest row per key.
 
 Files may arrive in any order. What depends on order (the smoothed score, the
-first submission) is brought in line with the batch form when an older row
-arrives late; nothing is dropped behind a watermark.
+first submission) is kept in Spark's own keyed state (``transformWithState`` on
+the RocksDB state store), so a micro-batch reads the state of its own keys and
+nothing written before it; an older row that arrives late is put in its place.
+Nothing is dropped behind a watermark.
+
+A job that changes a key again and again (ST2, ST3) writes the changed keys of
+each micro-batch, and every COMPACT_EVERY batches one table of the latest rows,
+so that reading the result does not grow with the age of the stream.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
 
 from quizlens.functions.rounding import UNITS, py_round1, units
 from quizlens.operators import rollup as RU
@@ -25,6 +35,11 @@ from quizlens.operators import score as SC
 from quizlens.session import scratch_path
 from quizlens.sources import standins as S
 
+COMPACT_EVERY = 16
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FIRST = -(1 << 63)        # a null time or id comes before every other
+
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1,
                 parts_dir: str | None = None) -> DataFrame:
@@ -72,6 +87,62 @@ def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers of the complete folders ``<prefix>=<number>``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    done = [n for n in names if n.startswith(f"{prefix}=")
+            and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in done)
+
+
+class Latest:
+    """The latest row per key of a changing table: folders of micro-batches
+    and, every ``every`` batches, one of all keys as they were then. Each is
+    written with overwrite, so a retried batch replaces its own."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], every: int = COMPACT_EVERY):
+        self.spark, self.path, self.schema, self.keys, self.every = spark, path, schema, keys, every
+
+    def _folder(self, kind: str, number: int) -> DataFrame:
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/{kind}={number}")
+        return rows.withColumn("_batch", F.lit(number))
+
+    def read(self, upto: int | None = None) -> DataFrame:
+        """The rows as of batch ``upto`` (the last)."""
+        within = [n for n in _numbers(self.spark, self.path, "batch") if upto is None or n <= upto]
+        base = [n for n in _numbers(self.spark, self.path, "all") if upto is None or n < upto][-1:]
+        parts = [self._folder("all", n) for n in base] + [self._folder("batch", n) for n in within if not base or n > base[0]]
+        rows = parts[0] if parts else self.spark.createDataFrame([], f"{self.schema}, _batch int")
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return _latest(rows, self.keys)
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        if (number + 1) % self.every == 0:
+            self.read(number).write.mode("overwrite").parquet(f"{self.path}/all={number}")
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store of a query is the one set when it starts."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+
+
+def _micros(col) -> F.Column:
+    """A time as micro-seconds, in the same order; null first."""
+    return F.coalesce(F.unix_micros(F.col(col).cast("timestamp")), F.lit(FIRST))
+
+
 def _run(df: DataFrame, name: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Run a streaming query to the end of the available data."""
     q = (df.writeStream.foreachBatch(sink).outputMode(mode)
@@ -84,13 +155,6 @@ def _write(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]):
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
-
-
 # --- ST1 --------------------------------------------------------------------------
 
 def stream_vector_scores(spark: SparkSession, sf_dir: str,
@@ -140,11 +204,10 @@ def stream_user_stats(spark: SparkSession, sf_dir: str,
         F.sum(units("overall_score")).alias("unit_sum"),
         F.count("overall_score").alias("n_scored"),
         F.max("overall_score").alias("best"))
-    out = scratch_path(spark, "st2-out")
-    _run(agg, "st2", lambda batch, i: _write(batch, out, i), mode="update")
-    res = _latest(_batches(spark, out, "user_id bigint, total_interviews bigint, unit_sum bigint, "
-                                       "n_scored bigint, best double"), ["user_id"])
-    return res.select(
+    out = Latest(spark, scratch_path(spark, "st2-out"),
+                 "user_id bigint, total_interviews bigint, unit_sum bigint, n_scored bigint, best double", ["user_id"])
+    _run(agg, "st2", out.write, mode="update")
+    return out.read().select(
         "user_id", "total_interviews",
         F.coalesce(py_round1(F.col("unit_sum") / (F.col("n_scored") * float(UNITS))),
                    F.lit(0.0)).alias("avg_score"),
@@ -153,78 +216,128 @@ def stream_user_stats(spark: SparkSession, sf_dir: str,
 
 # --- ST3 --------------------------------------------------------------------------
 
+def _folded(score: float | None, rows: list[tuple]) -> float | None:
+    """The smoothed score after (at, id, score) rows in their order."""
+    for *_, x in rows:
+        if x is not None:
+            score = x if score is None else round((score + x) / 2, 1)
+    return score
+
+
+class SmoothedScore(StatefulProcessor):
+    """Keyed state of one (user, category): the score, the number of rows and
+    the place of the last one, and the rows themselves. A batch whose rows all
+    come after the last one goes on from the score and only appends its rows,
+    which are not read; one that brings an older row reads them and folds
+    again."""
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("state", "score double, n bigint, at bigint, id bigint")
+        self.rows = handle.getListState("rows", "at bigint, id bigint, score double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = sorted(((int(a), int(i), None if pd.isna(x) else float(x)) for part in rows
+                      for a, i, x in zip(part["at"], part["id"], part["score"])), key=lambda r: r[:2])
+        held = self.state.get()
+        last = (held[2], held[3]) if held else (FIRST, FIRST)
+        if held is None or new[0][:2] >= last:
+            score, last = _folded(held[0] if held else None, new), new[-1][:2]
+        else:
+            every = sorted([*map(tuple, self.rows.get()), *new], key=lambda r: r[:2])
+            score, last = _folded(None, every), every[-1][:2]
+        n = (held[1] if held else 0) + len(new)
+        self.rows.appendList(new)
+        self.state.update((score, n, *last))
+        yield pd.DataFrame({"user_id": pd.array([key[0]], "Int64"), "category": [key[1]],
+                            "smoothed_score": pd.array([score], "Float64"), "n": [n]})
+
+
 def stream_smoothed_scores(spark: SparkSession, sf_dir: str,
-                           parts_dir: str | None = None) -> DataFrame:
+                           parts_dir: str | None = None, max_files: int = 1) -> DataFrame:
     """ST3: the smoothed per-category score kept up to date, equal to the
-    batch fold whatever the order of arrival.
-
-    The rows of every micro-batch are logged. A key whose new rows all come
-    after its last one is continued from its stored state; a key that gets an
-    older row is folded again from its logged rows. Both go through the batch
-    operator, which slices hot keys."""
-    keys = ["user_id", "category"]
-    row = "id bigint, user_id bigint, interview_date timestamp_ntz, category string, overall_score double"
-    kept = "user_id bigint, category string, smoothed_score double, n bigint, last_ts timestamp_ntz, last_id bigint"
-    s = read_stream(spark, sf_dir, "events", parts_dir=parts_dir).select(
-        F.col("event_id").alias("id"), "user_id", F.col("ts").alias("interview_date"),
-        F.col("event_type").alias("category"), F.col("value").alias("overall_score"))
-    log, out = scratch_path(spark, "st3-log"), scratch_path(spark, "st3-out")
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        _write(batch, log, batch_id)
-        rows = spark.read.schema(row).parquet(f"{log}/_batch={batch_id}")
-        at = F.struct("interview_date", "id")
-        edge = rows.groupBy(*keys).agg(F.min(at).alias("first"), F.max(at).alias("last"))
-        state = _latest(_batches(spark, out, kept).where(F.col("_batch") < batch_id), keys)
-        touched = edge.join(state, _same(edge, state, keys), "left").select(
-            *[edge[k] for k in keys], "first", "last", "smoothed_score", "n", "last_ts", "last_id")
-        stored = F.struct(F.col("last_ts").alias("interview_date"), F.col("last_id").alias("id"))
-        is_late = F.col("last_ts").isNotNull() & (F.col("first") < stored)
-        late = touched.where(is_late).select(*keys)
-        on_time = touched.where(~is_late & F.col("n").isNotNull()).select(
-            F.lit(None).cast("bigint").alias("id"), *keys, F.lit(None).cast("timestamp_ntz").alias("interview_date"),
-            F.col("smoothed_score").alias("overall_score"), F.col("n").alias("rows"))
-        new = rows.join(late, _same(rows, late, keys), "left_anti").withColumn("rows", F.lit(1).cast("bigint"))
-        logged = _batches(spark, log, row).where(F.col("_batch") <= batch_id).drop("_batch")
-        again = logged.join(late, _same(logged, late, keys), "left_semi").withColumn("rows", F.lit(1).cast("bigint"))
-        todo = on_time.unionByName(new).unionByName(again)
-        res = RU.smoothed_scores(todo, keys, "interview_date", "id", "overall_score", stands_for="rows")
-        end = touched.select(*[F.col(k).alias(f"_{k}") for k in keys], F.greatest("last", F.when(
-            F.col("last_ts").isNotNull(), stored)).alias("end"))
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        _write(res.join(end, cond).select(
-            *keys, "smoothed_score", "n", F.col("end.interview_date").alias("last_ts"),
-            F.col("end.id").alias("last_id")), out, batch_id)
-
-    _run(s, "st3", sink)
-    return _latest(_batches(spark, out, kept), keys).select(*keys, "smoothed_score", "n")
+    batch fold whatever the order of arrival (see ``SmoothedScore``). A key's
+    rows of one micro-batch are folded in one task: ``max_files`` bounds them."""
+    s = read_stream(spark, sf_dir, "events", max_files, parts_dir).select(
+        "user_id", F.col("event_type").alias("category"), _micros("ts").alias("at"),
+        F.coalesce("event_id", F.lit(FIRST)).alias("id"), F.col("value").alias("score"))
+    kept = "user_id bigint, category string, smoothed_score double, n bigint"
+    out = Latest(spark, scratch_path(spark, "st3-out"), kept, ["user_id", "category"])
+    with _rocksdb(spark):
+        scores = s.groupBy("user_id", "category").transformWithStateInPandas(
+            SmoothedScore(), kept, outputMode="Update", timeMode="None")
+        _run(scores, "st3", out.write, mode="update")
+    return out.read()
 
 
 # --- ST4 --------------------------------------------------------------------------
 
+ANSWER = ("answer_id bigint, session_id bigint, user_id bigint, question_id bigint, user_answer string, "
+          "score double, answered_at timestamp_ntz, category string")
+
+
+class FirstSubmission(StatefulProcessor):
+    """Keyed state of one (session, question): the place of the earliest
+    submission passed on. Of a batch, the earliest is passed on if it is the
+    key's first (``is_first``) or earlier than that one; the rest are repeats.
+    Answers without a question come one to a key and leave no state. Every key
+    also tells its newest time."""
+
+    def init(self, handle) -> None:
+        self.first = handle.getValueState("first", "at bigint, id bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = pd.concat(list(rows))
+        newest = parts["at"].max()
+        own = parts.sort_values(["at", "answer_id"], kind="stable").head(1)
+        place = (int(own["at"].iloc[0]), int(own["id"].iloc[0]))
+        has_question = key[1] is not None and not pd.isna(key[1])
+        held = self.first.get() if has_question else None
+        if has_question and (held is None or place < tuple(held)):
+            self.first.update(place)
+        kept = held is None or place < tuple(held)
+        yield own.assign(newest=newest, kept=kept, is_first=held is None).drop(columns=["id", "key"])
+
+
 def stream_dedupe(spark: SparkSession, sf_dir: str, delay: str = "1 day",
-                  parts_dir: str | None = None, with_late: bool = False):
+                  parts_dir: str | None = None, with_late: bool = False, with_main: bool = False):
     """ST4: the first submission of each (session, question); answers without
     a question are each kept.
 
-    Rows older than the newest seen so far by more than ``delay`` are late:
-    they go to a side table instead of the main one. The result joins both,
-    so it equals the batch form; ``with_late`` also returns the side table."""
-    row = ("answer_id bigint, session_id bigint, user_id bigint, question_id bigint, user_answer string, "
-           "score double, answered_at timestamp_ntz, category string")
-    stream = S.answers_of(read_stream(spark, sf_dir, "events", parts_dir=parts_dir))
-    main, side = scratch_path(spark, "st4-out"), scratch_path(spark, "st4-late")
+    A submission that is its key's first goes to the main output, which has
+    one row per key over all batches. The side output has what came late: rows
+    older than the newest time seen before their batch by more than ``delay``,
+    and rows that are earlier than one already passed on. The result is the
+    earliest of both and equals the batch form; ``with_late`` also returns the
+    side output, ``with_main`` the main one too."""
+    a = S.answers_of(read_stream(spark, sf_dir, "events", parts_dir=parts_dir))
+    stream = a.withColumn("answered_at", _micros("answered_at")).withColumnRenamed("answered_at", "at").withColumns({
+        "id": F.coalesce("answer_id", F.lit(FIRST)), "key": F.when(F.col("question_id").isNull(), F.col("answer_id"))})
+    row = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields if f.name not in ("id", "key"))
+    main, side, newest = (scratch_path(spark, f"st4-{x}") for x in ("out", "late", "newest"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        seen = _batches(spark, main, row).where(F.col("_batch") < batch_id).agg(F.max("answered_at")).first()[0]
-        late = F.lit(False) if seen is None else F.coalesce(
-            F.col("answered_at") < F.lit(seen).cast("timestamp_ntz") - F.expr(f"INTERVAL {delay}"), F.lit(False))
-        _write(RU.dedupe_submissions(batch.where(~late)), main, batch_id)
-        _write(batch.where(late), side, batch_id)
-
-    _run(stream, "st4", sink)
-    late = _batches(spark, side, row).drop("_batch")
-    first = RU.dedupe_submissions(_batches(spark, main, row).drop("_batch").unionByName(late))
-    return (first, late) if with_late else first
+        # the batch comes from the state store: once, for all uses
+        passed = scratch_path(spark, "st4-batch")
+        batch.write.parquet(passed)
+        rows = spark.read.schema(batch.schema).parquet(passed)
+        seen = None
+        if batch_id:
+            seen = spark.read.schema("newest bigint").parquet(f"{newest}/_batch={batch_id - 1}").first()[0]
+        now = [x for x in (seen, rows.agg(F.max("newest")).first()[0]) if x is not None]
+        spark.createDataFrame([(max(now, default=None),)], "newest bigint").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{newest}/_batch={batch_id}")
+        kept = rows.where("kept").withColumn("answered_at", F.when(
+            F.col("at") != FIRST, F.timestamp_micros("at").cast("timestamp_ntz")))
+        before = F.lit(None) if seen is None else F.timestamp_micros(F.lit(seen)) - F.expr(f"INTERVAL {delay}")
+        late = ~F.col("is_first") | F.coalesce((F.col("at") != FIRST) & (F.timestamp_micros("at") < before), F.lit(False))
+        columns = [c.split()[0] for c in ANSWER.split(", ")]
+        _write(kept.where(~late).select(*columns), main, batch_id)
+        _write(kept.where(late).select(*columns), side, batch_id)
+
+    with _rocksdb(spark):
+        firsts = stream.groupBy("session_id", "question_id", "key").transformWithStateInPandas(
+            FirstSubmission(), f"{row}, newest bigint, kept boolean, is_first boolean", outputMode="Update", timeMode="None")
+        _run(firsts, "st4", sink, mode="update")
+    on_time, late = (_batches(spark, x, ANSWER).drop("_batch") for x in (main, side))
+    first = RU.dedupe_submissions(on_time.unionByName(late))
+    return (first, late, on_time) if with_main else (first, late) if with_late else first

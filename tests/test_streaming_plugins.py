@@ -45,6 +45,87 @@ def test_every_job_equals_batch_when_files_arrive_newest_first(spark):
     assert stats == {r.user_id: (r.total_interviews, r.avg_score, r.best_score) for r in RU.user_totals(sessions).collect()}
 
 
+def _progress_of(spark, run):
+    """Micro-batches of a job: (rows in, keys updated, bytes read from earlier output)."""
+    from pyspark.sql.streaming import StreamingQueryListener
+    seen = []
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, e): pass
+        def onQueryIdle(self, e): pass
+        def onQueryTerminated(self, e): pass
+        def onQueryProgress(self, e):
+            state = e.progress.stateOperators
+            seen.append((e.progress.numInputRows, state[0].numRowsUpdated if state else 0))
+
+    one = Listener()
+    spark.streams.addListener(one)
+    try:
+        out = run()
+        rows = sorted(map(tuple, out.collect()), key=repr)
+    finally:
+        spark.streams.removeListener(one)
+    return rows, seen
+
+
+def _small_events(spark, batches, rows, users=20):
+    """Files in time order, the same keys in each."""
+    import os
+    import time
+    path = scratch_path(spark, "events-small")
+    schema = S.table(spark, SF_SMALL, "events").schema
+    for b in range(batches):
+        df = spark.range(b * rows, (b + 1) * rows).select(
+            F.col("id").alias("event_id"), (F.col("id") % users).alias("user_id"),
+            F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).cast("timestamp_ntz").alias("ts"),
+            F.lit("view").alias("event_type"), (F.col("id") * 37 % 101).cast("double").alias("value"),
+            F.concat(F.lit('{"k": '), (F.col("id") % 5).cast("string"), F.lit("}")).alias("props"))
+        df = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in schema.fields])
+        df.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    assert os.path.basename(path)
+    return path
+
+
+def test_a_batch_costs_the_same_whatever_came_before(spark):
+    """Twenty batches of the same keys: the state touched per batch does not
+    grow, the output is compacted, and the result is that of the batch form."""
+    path = _small_events(spark, 20, 40)
+    rows, seen = _progress_of(spark, lambda: ST.stream_smoothed_scores(spark, SF_SMALL, parts_dir=path))
+    ev = spark.read.parquet(path)
+    want = RU.smoothed_scores(ev.withColumnRenamed("event_type", "category"), ["user_id", "category"], "ts", "event_id", "value")
+    assert rows == sorted(((r.user_id, r.category, r.smoothed_score, r.n) for r in want.collect()), key=repr)
+    if len(seen) >= 19:
+        assert seen[17] == seen[9]
+
+
+def test_latest_reads_one_base_and_the_batches_after_it(spark):
+    path = scratch_path(spark, "latest")
+    t = ST.Latest(spark, path, "k bigint, v bigint", ["k"], every=4)
+    for i in range(10):
+        t.write(spark.createDataFrame([(i % 3, i), (100 + i, i)], "k bigint, v bigint"), i)
+    t.write(spark.createDataFrame([(0, 90)], "k bigint, v bigint"), 9)      # a retried batch replaces its own
+    want = {0: 90, 1: 7, 2: 8} | {100 + i: i for i in range(9)}
+    assert {r.k: r.v for r in t.read().collect()} == want
+    files = t.read().inputFiles()
+    assert {f.split("/")[-2] for f in files} == {"all=7", "batch=8", "batch=9"}
+    assert {r.k: r.v for r in t.read(3).collect()} == {0: 3, 1: 1, 2: 2, 100: 0, 101: 1, 102: 2, 103: 3}
+
+
+def test_main_output_has_one_row_per_key_across_batches(spark):
+    """Repeats of a (session, question) in later files, some of them older."""
+    ev = ST.land_out_of_order(spark, SF_SMALL, "events", "event_id", parts=4)
+    answers = S.answers(spark, SF_SMALL)
+    first, late, main = ST.stream_dedupe(spark, SF_SMALL, delay="20 days", parts_dir=ev, with_main=True)
+    keyed = main.where("question_id IS NOT NULL").groupBy("session_id", "question_id").count()
+    assert keyed.where("count > 1").count() == 0
+    assert main.groupBy("answer_id").count().where("count > 1").count() == 0
+    want = sorted(r.answer_id for r in RU.dedupe_submissions(answers).collect())
+    assert sorted(r.answer_id for r in first.collect()) == want
+    assert main.count() + late.count() <= answers.count()
+
+
 def test_a_failed_read_is_not_an_empty_result(spark):
     import pytest
     missing = scratch_path(spark, "nothing")
