@@ -29,8 +29,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,10 +42,15 @@ from pyspark.sql import types as T
 from quizlens.llm.common import chunks, written
 
 HEAVY = 500_000            # pairs whose counts are sent to every task
-CACHED_CHUNKS = 200_000    # distinct chunks a worker remembers
+CACHED_CHARS = 6 << 20     # of distinct chunks a worker remembers
+JOINED = 500               # chunks encoded in one string
 SPACE = "▁"           # B's sign for a space
-_UNEVEN = re.compile(r"(?:^|\s) | (?:\s|$)").search
-_LOW = (1 << 32) - 1
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+
+
+def _uneven(text: str) -> bool:
+    """Whether a space stands beside white space, or at either end."""
+    return text[0] == " " or text[-1] == " " or any(c in text and (c + " " in text or " " + c in text) for c in _SPACES)
 
 
 def _byte_level() -> dict[str, int]:
@@ -80,8 +85,8 @@ class Pair:
         for i in range(n_b):
             if self.b.is_byte(i):
                 same.setdefault(self.bytes_b[i], i)
+        self.size_a, self.size_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
         self.identity = np.array([same.get(x, -1) if x else -1 for x in self.bytes_a], dtype=np.int64)
-        self.same = self.identity.tolist()
         self.by_chunk = not any(SPACE in p.lstrip(SPACE) for p in pieces)
 
 
@@ -90,118 +95,155 @@ def tokenizers(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-class Aligned:
-    """A stretch of text in both tokenizations. ``identity`` has the A ids of
-    links of the identity map, ``pairs`` the other links (A id << 32 | B id)."""
-    __slots__ = ("n_a", "n_b", "n_groups", "groups", "identity", "pairs")
-
-    def __init__(self, p: Pair, a: list[int], b: list[int]):
-        groups, identity, pairs = [], [], []
-        in_a, in_b = [], []
-        j, end_a, end_b = -1, 0, 0
-        for x in a:
-            in_a.append(str(x))
-            end_a += len(p.bytes_a[x])
-            while True:
-                if end_b < end_a - len(p.bytes_a[x]) + 1:
-                    j += 1
-                    end_b += len(p.bytes_b[b[j]])
-                    in_b.append(str(b[j]))
-                y = b[j]
-                if p.same[x] == y:
-                    identity.append(x)
-                else:
-                    pairs.append(x << 32 | y)
-                if end_b >= end_a:
-                    break
-                j += 1
-                end_b += len(p.bytes_b[b[j]])
-                in_b.append(str(b[j]))
-            if end_a == end_b:
-                groups.append(f"{','.join(in_a)}|{','.join(in_b)}")
-                in_a, in_b = [], []
-        self.n_a, self.n_b, self.n_groups, self.groups = len(a), len(b), len(groups), ";".join(groups)
-        self.identity, self.pairs = np.array(identity, np.int64), np.array(pairs, np.int64)
+class Chunks:
+    """Distinct chunks of text in both tokenizations, held in flat arrays that
+    grow by appending: per chunk its counts, its links of the identity map (A
+    ids) and its other links (A id << 32 | B id), and its groups as text."""
+
+    def __init__(self, p: Pair):
+        self.p, self.place, self.size = p, {}, 0
+        self.groups: list[str] = []
+        self.counts = np.zeros((0, 3), np.int64)                  # n_a, n_b, n_groups; -1: bytes lost
+        self.ident, self.ident_at = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.pairs, self.pairs_at = np.empty(0, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, new: list[str], by_space: list[bool]) -> None:
+        """Adds chunks; those that ``by_space`` marks are encoded many in one
+        string, since neither tokenizer joins them, the others alone."""
+        p, joint, alone = self.p, [], []
+        for k, joined in enumerate(by_space):
+            if not joined:
+                alone.append([k])
+            elif joint and len(joint[-1]) < JOINED:
+                joint[-1].append(k)
+            else:
+                joint.append([k])
+        found: list[tuple] = []
+        for members in [*joint, *alone]:
+            self._add([new[k] for k in members], found)
+        counts, ident, n_ident, pairs, n_pairs = (np.concatenate(x) for x in zip(*found)) if found else [np.empty(0, np.int64)] * 5
+        self.counts = np.concatenate((self.counts, counts.reshape(-1, 3)))
+        self.ident, self.pairs = np.concatenate((self.ident, ident)), np.concatenate((self.pairs, pairs))
+        self.ident_at = np.concatenate((self.ident_at, self.ident_at[-1] + np.cumsum(n_ident)))
+        self.pairs_at = np.concatenate((self.pairs_at, self.pairs_at[-1] + np.cumsum(n_pairs)))
+        for members in [*joint, *alone]:
+            for k in members:
+                self.place[new[k]] = len(self.place)
+                self.size += len(new[k])
+
+    def _add(self, chunks_: list[str], found: list[tuple]) -> None:
+        p, text = self.p, "".join(chunks_)
+        a = p.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        b = p.b.encode(text[1:], num_threads=1)
+        raw = text.encode()
+        if not (b"".join([p.bytes_a[i] for i in a]) == raw == b"".join([p.bytes_b[i] for i in b])):
+            if len(chunks_) > 1:                                  # find those to blame
+                for c in chunks_:
+                    self._add([c], found)
+                return
+            self.groups.append("")
+            none, no_link = np.empty(0, np.int64), np.zeros(1, np.int64)
+            found.append((np.full((1, 3), -1), none, no_link, none, no_link))
+            return
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        end_a, end_b = np.cumsum(p.size_a[a]), np.cumsum(p.size_b[b])
+        # each stretch between two ends lies in one token of either: a link
+        ends = np.union1d(end_a, end_b)
+        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        both = (end_a[at_a] == ends) & (end_b[at_b] == ends)
+        chunk_end = np.cumsum([len(c.encode()) for c in chunks_])
+        inside = lambda x: np.diff(np.searchsorted(x, chunk_end, side="right"), prepend=0)
+        n_groups = inside(ends[both])
+        same = p.identity[a[at_a]] == b[at_b]
+        found.append((np.stack((inside(end_a), inside(end_b), n_groups), axis=1), a[at_a[same]], inside(ends[same]),
+                      (a[at_a] << 32 | b[at_b])[~same], inside(ends[~same])))
+        told_a, told_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        cut_a, cut_b = (at_a[both] + 1).tolist(), (at_b[both] + 1).tolist()
+        told = [f"{told_a[i]}|{told_b[k]}" if j - i == 1 and m - k == 1 else f"{','.join(told_a[i:j])}|{','.join(told_b[k:m])}"
+                for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)]
+        at = 0
+        for n in n_groups.tolist():
+            self.groups.append(";".join(told[at:at + n]) if n != 1 else told[at])
+            at += n
+
+
+def _gather(values: np.ndarray, at: np.ndarray, chunk: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each named chunk, one after another, and their rows."""
+    size = at[chunk + 1] - at[chunk]
+    total = np.cumsum(size)
+    place = np.arange(total[-1] if len(total) else 0) + np.repeat(at[chunk] - (total - size), size)
+    return values[place], np.repeat(row, size)
+
+
+def _distinct(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
+    """Each row's distinct values and how often it has them, as list columns."""
+    dense, which = np.unique(values, return_inverse=True)
+    key, often = np.unique(row * max(len(dense), 1) + which, return_counts=True)
+    at = pa.array(np.searchsorted(key, np.arange(rows + 1) * max(len(dense), 1)).astype(np.int32))
+    found = dense[key % max(len(dense), 1)] if len(key) else values
+    return pa.ListArray.from_arrays(at, pa.array(found)), pa.ListArray.from_arrays(at, pa.array(often.astype(np.int32)))
 
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
-        self.p, self.known = tokenizers(path_a, path_b), {}
-
-    def _align(self, pieces: list[str]) -> list[Aligned | None]:
-        """Each piece, space first, aligned; None where A or B lose bytes."""
-        p, out = self.p, []
-        a = [e.ids for e in self.p.a.encode_batch(pieces, add_special_tokens=False)] if pieces else []
-        b = p.b.encode([x[1:] for x in pieces], num_threads=1) if pieces else []
-        for text, ia, ib in zip(pieces, a, b):
-            raw = text.encode()
-            fits = (b"".join([p.bytes_a[i] for i in ia]) == raw == b"".join([p.bytes_b[i] for i in ib])
-                    and all(p.bytes_b[i] for i in ib) and all(p.bytes_a[i] for i in ia))
-            out.append(Aligned(p, ia, ib) if fits else None)
-        return out
-
-    def align(self, texts: list[str | None]) -> list[list[Aligned] | None]:
-        """The parts of each text; None for a text that has no tokens."""
-        cut: list[list[str] | None] = []
+        self.p = tokenizers(path_a, path_b)
+        self.known = Chunks(self.p)
+
+    def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[pa.Array]]:
+        """Of each text n_a, n_b, n_groups, then its groups as text, then its
+        identity links, other links, each with how often it has them."""
+        if self.known.size > CACHED_CHARS:
+            self.known = Chunks(self.p)
+        cut: list[list[str]] = []
+        split = []
         for t in texts:
-            if not t:
-                cut.append(None)
-            elif self.p.by_chunk and not _UNEVEN(t):
-                cut.append([" " + w for w in t.split(" ")])
-            else:
-                cut.append([" " + t])
-        if len(self.known) > CACHED_CHUNKS:
-            self.known = {}
-        new = list(dict.fromkeys(c for cs in cut if cs for c in cs if c not in self.known))
-        self.known.update(zip(new, self._align(new)))
-        out = []
-        for cs in cut:
-            parts = [self.known[c] for c in cs] if cs else None
-            out.append(None if parts is None or any(x is None for x in parts) else parts)
-        for c in new:
-            if len(c) > 1000:                # long stretches are not worth remembering
-                del self.known[c]
-        return out
-
-
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.cumsum([0, *[len(x) for x in arrays]]).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat).cast(kind))
+            split.append(bool(t) and self.p.by_chunk and not _uneven(t))
+            cut.append([] if not t else [" " + w for w in t.split(" ")] if split[-1] else [" " + t])
+        known = self.known
+        new: dict[str, bool] = {}
+        for cs, s in zip(cut, split):
+            for c in cs:
+                if c not in known.place:
+                    new[c] = s
+        known.learn(list(new), list(new.values()))
+        get = known.place.__getitem__
+        size = np.array([len(cs) for cs in cut], np.int64)
+        chunk = np.fromiter(map(get, chain.from_iterable(cut)), np.int64, int(size.sum()))
+        row = np.repeat(np.arange(len(texts)), size)
+        lost = np.zeros(len(texts), bool)
+        lost[row[known.counts[chunk, 0] < 0]] = True
+        chunk, row = chunk[~lost[row]], row[~lost[row]]
+        counts = np.stack([np.bincount(row, weights=known.counts[chunk, i], minlength=len(texts)).astype(np.int64)
+                           for i in range(3)], axis=1)
+        told = known.groups.__getitem__
+        edge = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+        listed = chunk.tolist()
+        groups = [";".join(map(told, listed[i:j])) for i, j in zip(edge, edge[1:])]
+        links = [*_distinct(*_gather(known.ident, known.ident_at, chunk, row), len(texts)),
+                 *_distinct(*_gather(known.pairs, known.pairs_at, chunk, row), len(texts))]
+        return counts, groups, links
 
 
 def align_rows(rows: DataFrame, path_a: str, path_b: str, text_col: str = "text",
-               columns: tuple[str, ...] = ()) -> DataFrame:
-    """The named columns plus n_a, n_b, n_groups, n_links, groups (as text,
-    ``a1,a2|b1;a3|b2,b3``), the document's distinct identity links and other
-    links, and how often each occurs."""
+               columns: tuple[str, ...] = (), with_groups: bool = True) -> DataFrame:
+    """The named columns plus n_a, n_b, n_groups, n_links, groups_sha256
+    (and ``groups`` as text, ``a1,a2|b1;a3|b2,b3``), the document's distinct
+    identity links and other links, and how often each occurs."""
     src = rows.select(*columns, rows[text_col].alias("_al_text"))
     fields = [*src.schema.fields[:-1], *T._parse_datatype_string(
-        "n_a long, n_b long, n_groups long, n_links long, groups string, ident array<int>, ident_n array<int>, "
-        "pairs array<long>, pairs_n array<int>").fields]
+        "n_a long, n_b long, n_groups long, n_links long, " + "groups string, " * with_groups +
+        "groups_sha256 string, ident array<long>, ident_n array<int>, pairs array<long>, pairs_n array<int>").fields]
     names = [f.name for f in fields]
-    none = np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al = Aligner(path_a, path_b)
         for whole in batches:
             for b in chunks(whole, "_al_text"):
-                n, texts, held = [], [], [[], [], [], []]
-                for parts in al.align(b.column("_al_text").to_pylist()):
-                    parts = parts or []
-                    counts = [sum(getattr(x, c) for x in parts) for c in ("n_a", "n_b", "n_groups")]
-                    n.append((*counts, counts[0] + counts[1] - counts[2]))
-                    texts.append(";".join([x.groups for x in parts]))
-                    for at, which in ((0, "identity"), (2, "pairs")):
-                        flat = np.concatenate([getattr(x, which) for x in parts]) if parts else none
-                        held[at], held[at + 1] = held[at], held[at + 1]
-                        keys, often = np.unique(flat, return_counts=True)
-                        held[at].append(keys)
-                        held[at + 1].append(often)
+                n, groups, links = al.align(b.column("_al_text").to_pylist())
+                sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:-1], *[pa.array([x[i] for x in n], pa.int64()) for i in range(4)],
-                     pa.array(texts, pa.string()), _lists(held[0], pa.int32()), _lists(held[1], pa.int32()),
-                     _lists(held[2], pa.int64()), _lists(held[3], pa.int32())], names=names)
+                    [*b.columns[:-1], *[pa.array(n[:, i]) for i in range(3)], pa.array(n[:, 0] + n[:, 1] - n[:, 2]),
+                     *[pa.array(groups, pa.string())] * with_groups, pa.array(sha, pa.string()), *links], names=names)
 
     return src.mapInArrow(run, T.StructType(fields))
 
@@ -263,10 +305,8 @@ def alignment(rows: DataFrame, path_a: str, path_b: str, text_col: str = "text",
     like those added. An empty table gives an empty result.
     """
     spark = rows.sparkSession
-    src = align_rows(rows, path_a, path_b, text_col, columns)
-    aligned = src.withColumn("_al_row", F.monotonically_increasing_id()).withColumn(
-        "groups_sha256", F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(F.lit("")))
-    aligned = written(aligned if with_groups else aligned.drop("groups"), "aligned")
+    aligned = written(align_rows(rows, path_a, path_b, text_col, columns, with_groups)
+                      .withColumn("_al_row", F.monotonically_increasing_id()), "aligned")
 
     p = tokenizers(path_a, path_b)
     size = len(p.bytes_a)
