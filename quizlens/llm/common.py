@@ -39,3 +39,10 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(a, b - a)
+
+
+def positional(rows: DataFrame, *named: str) -> list:
+    """The rows under names of their places (c0, c1, ...), which clash with no
+    name that an operator adds, and the new names of the named columns."""
+    found = [c.lower() for c in rows.columns]
+    return [rows.toDF(*[f"c{i}" for i in range(len(found))]), *[f"c{found.index(c.lower())}" for c in named]]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quizlens.llm.common import LOWER_AZ, chunks, text_bytes, written
+from quizlens.llm.common import LOWER_AZ, chunks, positional, text_bytes, written
 
 FAN = 64
 ROUNDS = 2
@@ -128,10 +128,13 @@ def exact_dedup(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       keep_largest: bool = False) -> DataFrame:
-    """The rows that ``exact_dedup`` keeps, with all their columns.
+    """The rows that ``exact_dedup`` keeps, with all their columns, whatever
+    their names.
 
     Rows are found again by (id, digest); where several rows share both, any
-    one of them is kept. Columns named ``_ed_key`` are not allowed."""
+    one of them is kept."""
+    names = rows.columns
+    rows, id_col, text_col = positional(rows, id_col, text_col)
     kept = exact_dedup(rows, id_col, text_col, keep_largest)
     key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), "text_sha256")
     stay = kept.where("kept").select(key.alias("_ed_key"))
@@ -148,4 +151,4 @@ def drop_exact_copies(rows: DataFrame, id_col: str = "doc_id", text_col: str = "
     # join and window share one exchange by the key
     once = Window.partitionBy("_ed_key").orderBy("_ed_key")
     return named.join(stay, "_ed_key").withColumn("_ed_n", F.row_number().over(once)) \
-                .where("_ed_n = 1").select(*rows.columns)
+                .where("_ed_n = 1").select(*rows.columns).toDF(*names)

@@ -17,12 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizlens.llm.common import positional
+
 WEIGHTS = (3, 1, 2)      # of the sources by code point, null last, repeating
 SHARE = 1.5              # the mix's words as a share of all words
 MOST = 2.0               # a source's target is at most this many times its words
 SEED = "mix"
 BAND = 64                # sizes in a band
 WORD = r"[^\x20\x09-\x0D]+"
+ADDED = frozenset(f"_mx_{x}" for x in "key slot before rank u source_size target copies".split())
 
 
 def n_words(text) -> Column:
@@ -76,8 +79,13 @@ def mix(rows: DataFrame, id_col: str, source_col: str, size: Column, counted: Da
     order: they are interchangeable. Other columns pass through. An empty
     table gives an empty result. ``counted`` may give (id, source, size) of
     the same rows under the names of ``rows`` and ``_mx_size``, already
-    written, so that sizes are not computed again for the counts.
+    written, so that sizes are not computed again for the counts. The names
+    in ``ADDED`` are taken: rows that have one of them are refused.
     """
+    taken = ADDED.intersection(c.lower() for c in rows.columns)
+    if taken:
+        raise ValueError(f"reserved column names: {sorted(taken)}")
+
     def keyed(df):
         return df.withColumn("_mx_key", _source_key(source_col)).withColumn("_mx_slot", _slot(id_col))
 
@@ -116,7 +124,8 @@ def mix(rows: DataFrame, id_col: str, source_col: str, size: Column, counted: Da
 def mixed_rows(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source",
                text_col: str = "text") -> DataFrame:
     """The mix itself: each row as often as it is emitted (not at all, once or
-    twice), with the columns of ``rows``."""
-    m = mix(rows, id_col, source_col, n_words(text_col))
+    twice), with the columns of ``rows``, whatever their names."""
+    plain, id_, source, text = positional(rows, id_col, source_col, text_col)
+    m = mix(plain, id_, source, n_words(text))
     return m.where("_mx_copies > 0").withColumn(
-        "_mx_i", F.explode(F.sequence(F.lit(1), F.col("_mx_copies").cast("int")))).select(*rows.columns)
+        "_mx_i", F.explode(F.sequence(F.lit(1), F.col("_mx_copies").cast("int")))).select(*plain.columns).toDF(*rows.columns)

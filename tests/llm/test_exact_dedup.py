@@ -60,3 +60,10 @@ def test_copies_with_repeated_and_null_ids(frame):
     rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (None, "a")]
     kept = ED.drop_exact_copies(frame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect()), key=repr) == [(1, "a"), (1, "b"), (None, "c")]
+
+
+def test_clashing_columns(frame):
+    rows = frame([(1, "a", 1, 2, "x"), (2, "A", 3, 4, "y"), (3, "b", 5, 6, "z")],
+                 "doc_id long, text string, _ed_n int, _ed_key int, text_sha256 string")
+    got = ED.drop_exact_copies(rows, keep_largest=True)
+    assert got.columns == rows.columns and sorted(map(tuple, got.collect())) == [(2, "A", 3, 4, "y"), (3, "b", 5, 6, "z")]

@@ -86,3 +86,13 @@ def test_edges(frame, empty):
 def test_main_path_is_native(frame):
     plan = MX.mixed_rows(frame(corpus(1, 20), SCHEMA))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_clashing_columns(frame):
+    names = sorted(MX.ADDED) + ["_mx_size", "_mx_i", "c0"]
+    rows = frame([(i, "s", "w w", *[k for k, _ in enumerate(names)]) for i in range(20)],
+                 SCHEMA + "".join(f", {c} int" for c in names))
+    got = MX.mixed_rows(rows)
+    assert got.columns == rows.columns and {tuple(r)[3:] for r in got.collect()} == {tuple(range(len(names)))}
+    with pytest.raises(ValueError):
+        MX.mix(rows, "doc_id", "source", MX.n_words("text"))
