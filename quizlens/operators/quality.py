@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quizlens.functions import text as TX
+from quizlens.session import small_side, written
 
 
 def link_accounts(accounts: DataFrame, users: DataFrame, account_key: str = "id",
@@ -22,12 +24,11 @@ def link_accounts(accounts: DataFrame, users: DataFrame, account_key: str = "id"
 
 
 def first_per_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by ``order``: min_by over a struct, which is
-    partially aggregated, so a repeated key never gathers in one task."""
-    others = [c for c in batch.columns if c not in keys]
-    o = F.struct(*[F.col(c) for c in order])
-    agg = batch.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in others]), o).alias("_r"))
-    return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
+    """The first row of each key by ``order``: a window group limit of one,
+    so every task keeps one row per key before the shuffle, whatever the
+    columns are."""
+    first = Window.partitionBy(*keys).orderBy(*order)
+    return batch.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def insert_if_absent(target: DataFrame, batch: DataFrame, keys: list[str],
@@ -72,17 +73,68 @@ def _one(name: str, n) -> DataFrame:
     return n.select(F.lit(name).alias("check_name"), F.col("bad_rows").cast("bigint"))
 
 
+SPARSE = 64          # places per id, from which bitmaps are not used
+
+
+def id_bitmaps(df: DataFrame, key: str) -> DataFrame:
+    """(bucket, bits, n): the ids of a table as bitmaps of 32,768 ids, built in
+    the tasks first, and the rows of each bucket. Only bitmaps are shuffled,
+    4 kB for each bucket and task, never the keys."""
+    k = F.col(key).cast("bigint")
+    return df.where(k.isNotNull()).groupBy(F.bitmap_bucket_number(k).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(k)).alias("bits"), F.count(F.lit(1)).alias("n"))
+
+
+def _is_dense(df: DataFrame, key: str) -> bool:
+    """Whether bitmaps pay: ids spread so widely that a bucket has few of them
+    (random 64-bit keys) would take a bitmap each."""
+    if not isinstance(df.schema[key].dataType, (T.LongType, T.IntegerType)):
+        return False
+    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    return n > 0 and hi - lo <= SPARSE * n
+
+
+def _rows_in(df: DataFrame, key: str, buckets: DataFrame) -> DataFrame:
+    """The keys of the rows in the named buckets, which are few."""
+    k = F.col(key).cast("bigint")
+    return df.select(k.alias("_k")).where("_k IS NOT NULL").withColumn("bucket", F.bitmap_bucket_number("_k")).join(
+        small_side(buckets, is_written=True), "bucket", "left_semi").select("_k")
+
+
 def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key occurs more than once (one row: bad_rows)."""
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    return g.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("bad_rows"))
+    """Rows whose key occurs more than once (one row: bad_rows). For a single
+    whole-number key, only rows in buckets that hold fewer ids than rows are
+    grouped by key."""
+    if len(keys) == 1 and _is_dense(df, keys[0]):
+        full = written(id_bitmaps(df, keys[0]).where(F.bitmap_count("bits") < F.col("n")).select("bucket"), "full")
+        g = df.where(F.col(keys[0]).isNull()).groupBy().agg(F.count(F.lit(1)).alias("_n"))
+        if not full.isEmpty():
+            g = g.unionByName(_rows_in(df, keys[0], full).groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).select("_n"))
+    else:
+        g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return g.where(F.col("_n") > 1).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("bad_rows"))
 
 
 def orphan_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Rows of child whose non-null foreign key has no parent."""
-    c = child.select(F.col(fk).alias("_k")).where(F.col("_k").isNotNull())
-    p = parent.select(F.col(pk).alias("_k"))
-    return c.join(p, "_k", "left_anti").agg(F.count(F.lit(1)).alias("bad_rows"))
+    """Rows of child whose non-null foreign key has no parent. Where ids are
+    dense, those of both are compared as bitmaps, and only rows in buckets
+    where the child has ids that the parent lacks are joined by key; if there
+    are none, the child is not read again."""
+    if not (_is_dense(child, fk) and _is_dense(parent, pk)):
+        c, p = child.select(F.col(fk).alias("_k")).where("_k IS NOT NULL"), parent.select(F.col(pk).alias("_k"))
+        return c.join(p, "_k", "left_anti").agg(F.count(F.lit(1)).alias("bad_rows"))
+    c = id_bitmaps(child, fk).select("bucket", F.col("bits").alias("child_bits"))
+    p = id_bitmaps(parent, pk).select("bucket", F.col("bits").alias("parent_bits"))
+    both = c.join(p, "bucket", "left")
+    # the child adds ids to the parent's: the union holds more than the parent
+    merged = both.select("bucket", "parent_bits", F.explode(F.array("child_bits", "parent_bits")).alias("b")).groupBy(
+        "bucket").agg(F.bitmap_count(F.bitmap_or_agg("b")).alias("of_both"),
+                      F.coalesce(F.max(F.bitmap_count("parent_bits")), F.lit(0)).alias("of_parent"))
+    short = written(merged.where("of_both > of_parent").select("bucket"), "short")
+    if short.isEmpty():
+        return short.agg(F.count(F.lit(1)).alias("bad_rows"))
+    return _rows_in(child, fk, short).join(_rows_in(parent, pk, short), "_k", "left_anti").agg(
+        F.count(F.lit(1)).alias("bad_rows"))
 
 
 def too_long(df: DataFrame, col: str, n: int) -> DataFrame:

@@ -103,9 +103,11 @@ def session_report(answers: DataFrame, bank: DataFrame, skipped: str = "exclude"
     breakdown: ordinal, question, score, answer preview, status and band of
     every answer.
 
-    Two shuffles: the dedupe by (session, question), whose group limit keeps
-    one row per key and task before it, and the report by session. The bank's
-    question texts are joined by a broadcast checked in bytes.
+    Three shuffles: the dedupe by (session, question), whose group limit keeps
+    one row per key and task before it; sums and sorted breakdowns by (session,
+    hour), since answers without a question make a session as long as they
+    like; and the report by session, which puts its hours one after another.
+    The bank's question texts are joined by a broadcast checked in bytes.
     """
     a = rollup.dedupe_submissions(answers)
     a = join_bank(a, bank.select("id", "question_text"), on="question_id", bank_key="id")
@@ -122,15 +124,17 @@ def session_report(answers: DataFrame, bank: DataFrame, skipped: str = "exclude"
         F.coalesce("question_text", F.lit("")).alias("question"),
         LB.preview(F.col("user_answer"), LB.ANSWER_PREVIEW).alias("a"),
         LB.answer_status("user_answer").alias("status"),
-        LB.band4(F.coalesce(F.col("_s"), F.lit(0.0))).alias("band"))
-    g = a.groupBy("session_id").agg(
-        F.first("user_id").alias("user_id"),
-        F.coalesce(py_round1(F.sum(F.round(F.col("_s") * float(UNITS)).cast("bigint"))
-                             / (F.count("_s") * float(UNITS))), F.lit(0.0)).alias("score"),
-        F.count("_s").alias("answered"),
-        F.count(F.lit(1)).alias("total_questions"),
-        F.sort_array(F.collect_list(F.struct("answered_at", "answer_id", "category"))).alias("_first"),
-        F.sort_array(F.collect_list(item)).alias("_items")).withColumn("category", F.col("_first")[0]["category"])
+        LB.band4(F.coalesce(F.col("_s"), F.lit(0.0))).alias("band"), "category")
+    hours = a.groupBy("session_id", F.date_trunc("hour", "answered_at").alias("_hour")).agg(
+        F.min("user_id").alias("user_id"),
+        F.sum(F.round(F.col("_s") * float(UNITS)).cast("bigint")).alias("_units"), F.count("_s").alias("_scored"),
+        F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(item)).alias("_items"))
+    g = hours.groupBy("session_id").agg(
+        F.min("user_id").alias("user_id"),
+        F.coalesce(py_round1(F.sum("_units") / (F.sum("_scored") * float(UNITS))), F.lit(0.0)).alias("score"),
+        F.sum("_scored").alias("answered"), F.sum("_n").alias("total_questions"),
+        F.flatten(F.sort_array(F.collect_list(F.struct("_hour", "_items")))["_items"]).alias("_items")) \
+        .withColumn("category", F.col("_items")[0]["category"])
     counted_items = F.filter("_items", lambda x: x["score"].isNotNull())
     strong = F.filter(counted_items, lambda x: LB.is_strength(x["score"]))
     weak = F.filter(counted_items, lambda x: ~LB.is_strength(x["score"]))

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quizlens.operators import quality as Q
@@ -313,3 +314,36 @@ def test_lemmas_by_table_and_suffix_rules(spark):
                                 ("c", None)], "question string, ideal_answer string")
     got = {r.question: r.final_text for r in clean_question_set(qs).collect()}
     assert got == {"a": "skill class help company", "b": "one skill class company help child", "c": ""}
+
+
+@pytest.mark.parametrize("spread", [1, 3, 10 ** 12])
+def test_audit_counts_equal_plain_counts(spark, spread):
+    """Dense ids by bitmaps, sparse ones by joins: negative, repeated, missing
+    and null ids."""
+    from collections import Counter
+    from quizlens.operators import quality as Q
+    rnd = random.Random(spread)
+    ids = [rnd.randrange(-70_000, 70_000) * spread for _ in range(3000)]
+    child = [rnd.choice(ids) if rnd.random() < .98 else rnd.randrange(80_000) * spread for _ in range(9000)] + [None] * 5
+    parent = [None if i % 500 == 0 else x for i, x in enumerate(ids)]
+    p, c = (spark.createDataFrame([(x,) for x in xs], "k bigint").repartition(4) for xs in (parent, child))
+    n = Counter(parent)
+    assert Q.duplicate_rows(p, ["k"]).first()[0] == sum(v for v in n.values() if v > 1)
+    assert Q.orphan_rows(c, "k", p, "k").first()[0] == sum(x is not None and x not in n for x in child)
+    assert Q.orphan_rows(p, "k", p, "k").first()[0] == 0 == Q.orphan_rows(c.limit(0), "k", p, "k").first()[0]
+    assert Q.duplicate_rows(p.where("k IS NOT NULL").distinct(), ["k"]).first()[0] == 0
+
+
+def test_a_session_without_question_ids_is_reported_whole(spark):
+    from quizlens.plans import reports as RP
+    n = 200_000
+    a = spark.range(0, n, 1, 8).select(
+        F.col("id").alias("answer_id"), F.lit(1).cast("bigint").alias("session_id"), F.lit(5).cast("bigint").alias("user_id"),
+        F.lit(None).cast("bigint").alias("question_id"), F.lit("said").alias("user_answer"), (F.col("id") % 101).cast("double").alias("score"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 7919) % n).cast("timestamp_ntz").alias("answered_at"), F.lit("hr").alias("category"))
+    bank = spark.createDataFrame([(1, "Q")], "id bigint, question_text string")
+    r = RP.session_report(a, bank).selectExpr(
+        "total_questions", "category", "size(breakdown_scores) AS n", "breakdown_ordinals[199999] AS last",
+        "slice(breakdown_scores, 1, 3) AS head").first()
+    first = sorted(range(n), key=lambda i: (i * 7919) % n)[:3]
+    assert (r.total_questions, r.category, r.n, r["last"], r.head) == (n, "hr", n, n, [float(i % 101) for i in first])
