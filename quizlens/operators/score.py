@@ -83,6 +83,34 @@ def embed_texts(df: DataFrame, text_col: str, out: str = "embedding", dim: int =
     return hashed_term_vectors(t, "_tok", out, dim).drop("_tok")
 
 
+def embed_with_store(df: DataFrame, text_col: str, store: str, embedder, out: str = "embedding") -> DataFrame:
+    """V2 with vectors kept by content: ``df`` plus its texts' vectors, of
+    which the model computes only those that the store lacks.
+
+    The store is a Parquet table (digest, vector) of distinct texts, read and
+    appended to by digest (SHA-256). New texts are sorted by length over the
+    tasks, so that a model batch holds texts of like length. A null text has a
+    null vector. Two jobs that add the same text at a time store it twice;
+    either vector is then used. A store belongs to one model."""
+    spark = df.sparkSession
+    digest = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
+    texts = df.where(F.col(text_col).isNotNull()).select(digest.alias("digest"), F.col(text_col).alias("_text")).distinct()
+    schema = "digest binary, vector array<float>"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(store)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(folder):
+        texts = texts.join(spark.read.schema(schema).parquet(store).select("digest"), "digest", "left_anti")
+    new = written(texts, "new-texts")
+    if not new.isEmpty():
+        tasks = max(1, spark.sparkContext.defaultParallelism)
+        (new.repartitionByRange(tasks, F.length("_text"), "digest").sortWithinPartitions(F.length("_text"))
+         .select("digest", embedder(F.col("_text")).cast("array<float>").alias("vector")).write.mode("append").parquet(store))
+    vectors = spark.read.schema(schema).parquet(store) if fs.exists(folder) else spark.createDataFrame([], schema)
+    vectors = vectors.dropDuplicates(["digest"]).select("digest", F.col("vector").alias(out))
+    return df.withColumn("_digest", digest).join(
+        vectors.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
+
+
 # --- V3 ---------------------------------------------------------------------------
 
 def _term_counts(df: DataFrame, keys: list[str], text_col: str, side: str) -> DataFrame:

@@ -15,14 +15,33 @@ RANGE_ROWS = 1_000_000   # rows of a range of an order, about
 MAX_CUTS = 6             # times a range that came out too large is cut again
 
 
-def read_question_set(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+BAD_RECORD = "_bad_record"
+
+
+def _parsed(reader, fmt: str, schema: T.StructType, path: str) -> DataFrame:
+    """A permissive read in which a malformed record keeps its text in
+    BAD_RECORD and has nulls elsewhere."""
+    with_bad = T.StructType([*schema.fields, T.StructField(BAD_RECORD, T.StringType())])
+    return (reader.format(fmt).schema(with_bad).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", BAD_RECORD).load(path))
+
+
+def read_question_set(spark: SparkSession, path: str, multi_line: bool = True, with_bad: bool = False):
     """A JSON question set (an array of objects, or JSON lines with
     ``multi_line=False``) cut to (question, ideal_answer); other fields are
-    ignored and nothing is inferred."""
-    return (spark.read.schema(schemas.QUESTION_SET)
-            .option("multiLine", multi_line)
-            .json(path)
-            .select("question", "ideal_answer"))
+    ignored and nothing is inferred. ``with_bad`` gives two tables: the good
+    rows, and (file, record) of what is no valid JSON, of which there are no
+    rows in the first. Without it such a record is a row of nulls. The file is
+    parsed once for both. An array is read by one task per file; JSON lines
+    are split."""
+    if not with_bad:
+        return (spark.read.schema(schemas.QUESTION_SET).option("multiLine", multi_line)
+                .json(path).select("question", "ideal_answer"))
+    # a table of its own: Spark does not read a record's text alone from JSON
+    rows = written(_parsed(spark.read.option("multiLine", multi_line), "json", schemas.QUESTION_SET, path)
+                   .withColumn("file", F.input_file_name()), "parsed")
+    return (rows.where(F.col(BAD_RECORD).isNull()).select("question", "ideal_answer"),
+            rows.where(F.col(BAD_RECORD).isNotNull()).select("file", F.col(BAD_RECORD).alias("record")))
 
 
 def write_question_set(df: DataFrame, path: str) -> None:
@@ -207,12 +226,18 @@ def reserve_ids(spark: SparkSession, path: str, id_col: str, wanted: int) -> int
     return top
 
 
-def read_clean_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Read the cleaned CSV back, every column as text."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("emptyValue", "").option("nullValue", NULL_TOKEN)
-            .csv(path))
+def read_clean_csv(spark: SparkSession, path: str, columns: list[str], with_bad: bool = False):
+    """Read the cleaned CSV back, every column as text. ``with_bad`` gives two
+    tables: the rows, and (file, record) of the lines that have more or fewer
+    fields than there are columns."""
+    reader = (spark.read.option("header", True).option("multiLine", True)
+              .option("escape", '"').option("emptyValue", "").option("nullValue", NULL_TOKEN))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    if not with_bad:
+        return reader.schema(schema).csv(path)
+    rows = written(_parsed(reader, "csv", schema, path).withColumn("file", F.input_file_name()), "parsed")
+    return (rows.where(F.col(BAD_RECORD).isNull()).select(*columns),
+            rows.where(F.col(BAD_RECORD).isNotNull()).select("file", F.col(BAD_RECORD).alias("record")))
 
 
 def max_id(existing: DataFrame, id_col: str) -> DataFrame:

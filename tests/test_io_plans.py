@@ -25,6 +25,24 @@ def test_read_json_array_question_set(spark):
     assert IO.read_question_set(spark, path).columns == ["question", "ideal_answer"]
 
 
+def test_malformed_records_go_to_a_side_table(spark):
+    path = scratch_path(spark, "bad-json")
+    local = path[len("file:"):] if path.startswith("file:") else path
+    os.makedirs(local)
+    with open(os.path.join(local, "set.json"), "w") as f:
+        f.write('{"question": "Q1", "ideal_answer": "A1"}\n{"question": "Q2", "ideal\n{"question": null}\nnot json\n')
+    good, bad = IO.read_question_set(spark, path, multi_line=False, with_bad=True)
+    assert [tuple(r) for r in good.collect()] == [("Q1", "A1"), (None, None)]
+    assert sorted(r.record for r in bad.collect()) == ["not json", '{"question": "Q2", "ideal'] and bad.first().file.endswith("set.json")
+    path = scratch_path(spark, "bad-csv")
+    local = path[len("file:"):] if path.startswith("file:") else path
+    os.makedirs(local)
+    with open(os.path.join(local, "set.csv"), "w") as f:
+        f.write('question,ideal\nq1,"a\n1"\nq2\nq3,a3,more\n')
+    good, bad = IO.read_clean_csv(spark, path, ["question", "ideal"], with_bad=True)
+    assert [tuple(r) for r in good.collect()] == [("q1", "a\n1")] and bad.count() == 2
+
+
 def test_clean_csv_round_trip_keeps_empty_and_newlines(spark):
     from quizlens.plans.reports import clean_question_set
     df = spark.createDataFrame([("q,1", "Line one\nline \"two\""), ("q2", "!!!")],

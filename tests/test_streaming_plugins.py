@@ -161,6 +161,34 @@ def test_model_plugin_embeds_whole_table(spark):
     assert len(rows) == d.count() and all(len(r.embedding) == 8 for r in rows)
 
 
+def test_the_model_sees_new_texts_only(spark, tmp_path):
+    """A vector store: each distinct text is embedded once over two runs."""
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    log, store = str(tmp_path / "calls"), scratch_path(spark, "vectors")
+
+    def make():
+        model = _make_model()
+
+        def predict(texts):
+            with open(log, "a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return model(texts)
+        return predict
+
+    emb = SC.model_embedder(make, dim=8, batch_size=4)
+    run = lambda texts: {r.text: r.embedding for r in SC.embed_with_store(
+        spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string").repartition(3), "text", store, emb).collect()}
+    first = run(["a", "bb", "a", "ccc", None, "a"])
+    assert sorted(open(log).read().split()) == ["a", "bb", "ccc"] and first[None] is None and len(first["a"]) == 8
+    second = run(["bb", "dddd", "a"])
+    assert sorted(open(log).read().split()) == ["a", "bb", "ccc", "dddd"]
+    assert second["a"] == first["a"] and second["bb"] == first["bb"] and run(["a"]) == {"a": first["a"]}
+    want = SC.embed_texts(spark.createDataFrame([("dddd",)], "text string"), "text", embedder=emb).first().embedding
+    assert second["dddd"] == want
+
+
 def test_hashed_vectors_default(spark):
     d = spark.createDataFrame([(1, "Data data science"), (2, "")], "doc_id bigint, text string")
     rows = {r.doc_id: r.embedding for r in SC.embed_texts(d, "text", dim=16).collect()}
