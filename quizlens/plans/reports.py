@@ -8,6 +8,8 @@ the categories of a user).
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,58 @@ def dashboard(sessions: DataFrame, users: DataFrame, recent_k: int = 10, trend_k
     """
     if not count_abandoned:
         sessions = sessions.where(F.col("overall_score") != 0.0)
-    parts = rollup.category_parts(sessions)
+    return _dashboard(rollup.category_parts(sessions), sessions, sessions, users, recent_k, trend_k, trend_which, per_session)
+
+
+class DashboardState(NamedTuple):
+    """What the dashboard needs of all sessions so far: ``parts``, a row per
+    (user, category) with counts, exact sum and best, and ``edges``, each
+    user's first and last ``k`` sessions (marked in ``edge``). Both are plain
+    tables of a size that does not grow with a user's history."""
+    parts: DataFrame
+    edges: DataFrame
+    k: int
+
+
+def dashboard_state(sessions: DataFrame, k: int = 20, count_abandoned: bool = True) -> DashboardState:
+    """The state of a table of sessions, by a partial aggregate and two window
+    group limits."""
+    if not count_abandoned:
+        sessions = sessions.where(F.col("overall_score") != 0.0)
+    return DashboardState(rollup.category_parts(sessions), _edges(sessions, sessions, k), k)
+
+
+def _edges(firsts: DataFrame, lasts: DataFrame, k: int) -> DataFrame:
+    first, last = rank.first_sessions(firsts, k).drop("rn"), rank.latest_sessions(lasts, k).drop("rn")
+    return first.withColumn("edge", F.lit("first")).unionByName(last.withColumn("edge", F.lit("last")))
+
+
+def merge_dashboard_state(state: DashboardState, batch: DashboardState) -> DashboardState:
+    """The state of the sessions of both, which share no session: sums of sums
+    and the edges of the edges, so history is not read again. In any order of
+    batches the same."""
+    if state.k != batch.k:
+        raise ValueError("states of different k")
+    parts = state.parts.unionByName(batch.parts).groupBy("user_id", "category").agg(
+        F.sum("n").alias("n"), F.sum("n_scored").alias("n_scored"), F.sum("unit_sum").alias("unit_sum"),
+        F.max("best").alias("best"))
+    both = state.edges.unionByName(batch.edges)
+    side = lambda edge: both.where(F.col("edge") == edge).drop("edge")
+    return DashboardState(parts, _edges(side("first"), side("last"), state.k), state.k)
+
+
+def dashboard_from_state(state: DashboardState, users: DataFrame, recent_k: int = 10, trend_k: int = 20,
+                         trend_which: str = "oldest", per_session: int = LB.QUESTIONS_PER_SESSION) -> DataFrame:
+    """R2 from the state: what ``dashboard`` gives for all its sessions."""
+    if max(recent_k, trend_k) > state.k:
+        raise ValueError(f"the state keeps {state.k} sessions")
+    side = lambda edge: state.edges.where(F.col("edge") == edge).drop("edge")
+    trend_rows = side("first" if trend_which == "oldest" else "last")
+    return _dashboard(state.parts, trend_rows, side("last"), users, recent_k, trend_k, trend_which, per_session)
+
+
+def _dashboard(parts: DataFrame, trend_rows: DataFrame, recent_rows: DataFrame, users: DataFrame, recent_k: int,
+               trend_k: int, trend_which: str, per_session: int) -> DataFrame:
     s, n = F.col("unit_sum"), F.col("n_scored")
     cat_avg = F.when(n > 0, F.signum(s) * F.floor((F.abs(s) + n * 500) / (n * 1000)) / 10.0)
     parts = parts.withColumn("avg", cat_avg)
@@ -57,9 +110,9 @@ def dashboard(sessions: DataFrame, users: DataFrame, recent_k: int = 10, trend_k
              F.col("_c.category").alias("cat_names"), F.col("_c.avg").alias("cat_avgs"),
              F.col("_c.band").alias("cat_bands"))
 
-    trend = rank.trend_series(sessions, trend_k, trend_which)
+    trend = rank.trend_series(trend_rows, trend_k, trend_which)
 
-    rec = rank.latest_sessions(sessions, recent_k)
+    rec = rank.latest_sessions(recent_rows, recent_k)
     items = F.sort_array(F.collect_list(F.struct(
         "rn", LB.category_title("category").alias("title"),
         LB.long_date("interview_date").alias("date"),

@@ -1,13 +1,16 @@
 """Hypothesis properties of the operators that replace windows and joins."""
 
 import datetime as dt
+import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quizlens.operators import rank as RK
 from quizlens.operators import rollup as RU
 from quizlens.operators import score as SC
+from quizlens.plans import reports as RP
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -54,3 +57,24 @@ def test_text_cosine_symmetric_and_bounded(spark, pairs):
     ab = {r.k: r.score for r in SC.text_cosine(df, ["k"], "a", "b").collect()}
     ba = {r.k: r.score for r in SC.text_cosine(df, ["k"], "b", "a").collect()}
     assert ab == ba and all(0.0 <= v <= 100.0 for v in ab.values()) and len(ab) == len(data)
+
+
+@pytest.mark.parametrize("seed,which", [(1, "oldest"), (2, "latest")])
+def test_dashboard_state_plus_batches_equals_all(spark, seed, which):
+    """Days merged one after another, in two orders, against one computation over all sessions."""
+    rnd = random.Random(seed)
+    rows = [(i, rnd.choice([1, 1, 1, 2, 3, 4]), dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randrange(400)),
+             rnd.choice([None, 0.0, 47.5, 88.25, 100.0]), rnd.choice(["hr", "ml", None]), 10) for i in range(160)]
+    schema = "id bigint, user_id bigint, interview_date timestamp_ntz, overall_score double, category string, total_questions int"
+    users = spark.createDataFrame([(u, f"U{u}") for u in range(1, 6)], "id bigint, name string")
+    key = lambda df: sorted(map(repr, df.collect()))
+    want = key(RP.dashboard(spark.createDataFrame(rows, schema), users, trend_which=which))
+    parts = [rows[:50], rows[50:51], rows[51:120], rows[120:]]
+    for order in (parts, parts[::-1]):
+        states = [RP.dashboard_state(spark.createDataFrame(p, schema)) for p in order]
+        state = states[0]
+        for s in states[1:]:
+            state = RP.merge_dashboard_state(state, s)
+        assert key(RP.dashboard_from_state(state, users, trend_which=which)) == want
+    with pytest.raises(ValueError):
+        RP.dashboard_from_state(states[0], users, trend_k=30)
