@@ -105,3 +105,50 @@ def test_positives_without_texts_are_an_error(frame):
     rows, _ = corpus(6, 30)
     with pytest.raises(ValueError, match="none of the chosen"):
         TX.fit(frame(rows, SCHEMA), frame([(5000,)], "doc_id long"), 0.15)
+
+
+def plain_risk(w, pos, unl, prior, part):
+    """The class-prior-corrected risk on dense rows, or its parts."""
+    loss = lambda z: np.log1p(np.exp(z))
+    zp, zu = pos @ w[:-1] + w[-1], unl @ w[:-1] + w[-1]
+    rest = loss(zu).mean() - prior * loss(zp).mean()
+    return rest if part == "rest" else prior * loss(-zp).mean() + rest
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.4, 0.9])
+def test_training_follows_the_numeric_gradient_of_the_risk(monkeypatch, prior):
+    """A plain Adam on numeric gradients of the non-negative risk, dense."""
+    monkeypatch.setattr(TX, "EPOCHS", 40)
+    rng = np.random.default_rng(int(prior * 10))
+    pos, unl = (rng.random((n, 5)) * (rng.random((n, 5)) < 0.6) for n in (12, 30))
+    pos[:, 0] += 1.5
+    sparse = lambda d: TX.Sparse(*np.nonzero(d), d[np.nonzero(d)], d.shape)
+    got_w, got_b = TX.fit_nnpu(sparse(pos), sparse(unl), prior)
+    w, m, v, eps = np.zeros(6), np.zeros(6), np.zeros(6), 1e-6
+    turned = 0
+    for t in range(1, 41):
+        rest = plain_risk(w, pos, unl, prior, "rest")
+        part, sign = ("all", 1.0) if rest >= 0 else ("rest", -1.0)
+        turned += rest < 0
+        g = sign * np.array([(plain_risk(w + d, pos, unl, prior, part) - plain_risk(w - d, pos, unl, prior, part)) / (2 * eps)
+                             for d in eps * np.eye(6)])
+        g[:5] += TX.DECAY * w[:5]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= TX.STEP * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    assert np.allclose([*got_w, got_b], w, atol=2e-3)
+    assert turned > 0 or prior < 0.9
+
+
+def test_scores_equal_a_plain_sum_over_words(spark, frame):
+    """Every document, word by word, from the model's weights alone."""
+    import math
+    import re
+    rows, toxic = corpus(8, 200)
+    model = model_of(frame, rows, toxic)
+    docs = [(r.doc_id, r.text, "x") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs += [(10_000 + i, t, "x") for i, t, _ in rows]
+    got = {r.doc_id: r.toxic_score for r in TX.score_rows(frame(docs, SCHEMA), model, columns=("doc_id",)).collect()}
+    for i, text, _ in docs:
+        ws = re.findall(r"[^\W\d_]+", text.lower())
+        z = sum(model.get("=" + w, 0.0) + sum(model.get(w[:k], 0.0) for k in (4, 5, 6, 7, 8) if len(w) >= k) for w in ws)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(model[""] + z / math.sqrt(max(1, len(ws)))))), abs=1e-9)
