@@ -320,16 +320,16 @@ def stream_dedupe(spark: SparkSession, sf_dir: str, delay: str = "1 day",
         passed = scratch_path(spark, "st4-batch")
         batch.write.parquet(passed)
         rows = spark.read.schema(batch.schema).parquet(passed)
-        seen = None
-        if batch_id:
-            seen = spark.read.schema("newest bigint").parquet(f"{newest}/_batch={batch_id - 1}").first()[0]
+        seen, before = None, [n for n in _numbers(spark, newest, "_batch") if n < batch_id]
+        if before:
+            seen = spark.read.schema("newest bigint").parquet(f"{newest}/_batch={before[-1]}").first()[0]
         now = [x for x in (seen, rows.agg(F.max("newest")).first()[0]) if x is not None]
         spark.createDataFrame([(max(now, default=None),)], "newest bigint").coalesce(1) \
             .write.mode("overwrite").parquet(f"{newest}/_batch={batch_id}")
         kept = rows.where("kept").withColumn("answered_at", F.when(
             F.col("at") != FIRST, F.timestamp_micros("at").cast("timestamp_ntz")))
-        before = F.lit(None) if seen is None else F.timestamp_micros(F.lit(seen)) - F.expr(f"INTERVAL {delay}")
-        late = ~F.col("is_first") | F.coalesce((F.col("at") != FIRST) & (F.timestamp_micros("at") < before), F.lit(False))
+        bound = F.lit(None) if seen is None else F.timestamp_micros(F.lit(seen)) - F.expr(f"INTERVAL {delay}")
+        late = ~F.col("is_first") | F.coalesce((F.col("at") != FIRST) & (F.timestamp_micros("at") < bound), F.lit(False))
         columns = [c.split()[0] for c in ANSWER.split(", ")]
         _write(kept.where(~late).select(*columns), main, batch_id)
         _write(kept.where(late).select(*columns), side, batch_id)
