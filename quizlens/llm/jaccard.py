@@ -48,6 +48,8 @@ SIMILARITY = 0.75
 HOT = 16                 # sets of a signature whose pairs are all candidates
 HUBS = 3                 # of a hot group
 HUB_TURNS = 8            # rounds of hubs, at most, before what is left is compared in blocks
+LINKED = 0.25            # share of a family that hubs have linked, for another round to be worth it
+GAIN = 0.8               # share of those outside that a round may leave for another to follow
 BLOCK = 1024             # members of a block of a family of hot groups
 BLOCK_ELEMENTS = 1 << 23 # shingles of a block, unless it has fewer than 16 members
 MAX_BITS = 1 << 14       # of a set's bitmap
@@ -558,17 +560,20 @@ def near_duplicates(rows: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # connected labels are enough here: they only save comparisons
     labels = written(components(links, "u", "v", rounds=1), "labels")
     own = open_members(members, sets, labels)
-    left = own.where("component != family").count()
+    before = None
     for turn in range(1, HUB_TURNS):
-        if left <= BLOCK:
-            break                       # a block holds what is outside any component
-        closer = written(bits_fit(family_hubs(own, turn), sets, d, t), "hub-pairs")
+        wide = written(own.groupBy("family").agg(
+            F.count_if(F.col("component") != F.col("family")).alias("lefts"), F.count(F.lit(1)).alias("rights")).where(
+            (F.col("lefts") > BLOCK) & (F.col("rights") - F.col("lefts") >= LINKED * F.col("rights"))), "wide-families")
+        left = wide.agg(F.coalesce(F.sum("lefts"), F.lit(0))).first()[0]
+        if not left or before is not None and left > GAIN * before:
+            break                       # a block holds what is outside, or hubs do not help
+        before = left
+        narrow = own.join(small_side(wide, is_written=True), "family", "left_semi")
+        closer = written(bits_fit(family_hubs(narrow, turn), sets, d, t), "hub-pairs")
         links = written(links.unionByName(verify(closer, texts, t, "member")), "links")
         labels = written(components(links, "u", "v", rounds=1), "labels")
         own = open_members(members, sets, labels)
-        before, left = left, own.where("component != family").count()
-        if left >= before:
-            break
     more = hot_links(own, texts, t)
     linked = written(components(links.unionByName(more), "u", "v"), "linked")
     of_set = sets.select("digest", F.col("rep").alias("node")).join(linked, "node", "left").select(

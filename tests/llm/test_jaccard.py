@@ -145,3 +145,23 @@ def test_components_of_a_long_path(spark):
 
 def test_components_without_links(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_more_hub_rounds_and_blocks_lose_no_link(frame, monkeypatch):
+    """Two groups of near copies with a passage in common, with blocks and
+    hubs so few that rounds, blocks and several families are needed."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "HUBS", 1)
+    monkeypatch.setattr(J, "HOT", 4)
+    monkeypatch.setattr(J, "LINKED", 0.0)
+    rnd = random.Random(11)
+    passage = [f"p{k}" for k in range(60)]
+    bases = [passage + [f"{c}{k}" for k in range(80)] for c in "ab"]
+    rows = []
+    for i in range(100):
+        w = list(bases[i % 2]) if i < 70 else passage + [f"z{i}x{k}" for k in range(rnd.randrange(5, 60))]
+        for _ in range(rnd.randrange(0, 6)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(10 ** 6)}"
+        rows.append((i, " ".join(w)))
+    got = J.near_duplicates(frame(rows, "doc_id long, text string", 4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
