@@ -25,12 +25,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlens.llm.common import LOWER_AZ, chunks, text_bytes, written
+from quizlens.session import small_side
 
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")   # same on UTF-8 bytes as on characters
 MIN_DOCS = 3
@@ -38,14 +38,15 @@ RANKS = 200              # ranks of the part ``term`` (the report's length)
 SCALE = 1000             # p is scaled by its cube
 BLOCK_TERMS = 2048       # mean number of terms in a block
 TILE = 64                # sources in a tile
-HELD = 300_000           # (group, term) counts a task holds before it passes them on
+HELD = 700_000           # (group, term) counts a task holds before it passes them on
 LONG = 4 << 20           # bytes of text from which words are taken one by one
 
 
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source",
                 text_col: str = "text") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents, added up in
-    the tasks first. A group without any term has one row of null term."""
+    """(lang, source, term, n, docs): occurrences and documents as each task
+    has added them up, in rows to be added up further. A group has rows of
+    null term too, so that one without any term is not lost."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     src = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), F.col(text_col).alias("text"))
 
@@ -57,7 +58,7 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
                 terms = [None, *n]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
-                     pa.array([t and t.decode() for t in terms], pa.string()),
+                     pa.array(terms, pa.binary()).cast(pa.string()),
                      pa.array([0, *n.values()], pa.int64()), pa.array([0, *(in_docs[t] for t in n)], pa.int64())],
                     names=["lang", "source", "term", "n", "docs"])
             held.clear()
@@ -80,8 +81,22 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
                     yield from out()
         yield from out()
 
-    return (src.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-            .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    return src.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+
+
+def kept_terms(counts: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, source, term, n, n_lang, is_first): the kept terms of each group
+    with the lang's count, one row of each (lang, term) marked, and a row of
+    null term for each group. One exchange, by (lang, term), serves the sums
+    by group and those by lang."""
+    own = counts.repartition("lang", "term").groupBy("lang", "source", "term").agg(
+        F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("lang", "term")
+    return own.select(
+        "lang", "source", "term", "n", F.sum("n").over(of_term).alias("n_lang"), F.sum("docs").over(of_term).alias("docs"),
+        F.row_number().over(of_term.orderBy("source")).alias("at")).where(
+        F.col("term").isNull() | (F.col("docs") >= min_docs)).select(
+        "lang", "source", "term", "n", "n_lang", (F.col("term").isNotNull() & (F.col("at") == 1)).alias("is_first"))
 
 
 def share(count: Column, total: Column) -> Column:
@@ -143,31 +158,38 @@ class Trees:
         return a[real], b[real], n[real]
 
 
-def _price_block(rows: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+def _price_block(rows: pa.Table, groups: pa.Table) -> list[tuple[int, int, int, int]]:
     """(x, y, value, terms) of every ordered pair of a block's groups, one of
     either tile, over the terms that occur in the block here."""
-    if rows.empty or groups.empty:
-        return pd.DataFrame({"x": [], "y": [], "value": [], "terms": []}, dtype="int64")
-    sources = groups.sort_values("source").reset_index(drop=True)
-    place = pd.Series(sources.index, index=sources["source"])
-    terms = rows[["term", "n_lang"]].drop_duplicates().sort_values(["n_lang", "term"], ascending=[False, True])
-    column = pd.Series(np.arange(len(terms)), index=terms["term"])
-    matrix = np.zeros((len(sources), len(terms)), np.int64)
-    matrix[place[rows["source"]].to_numpy(), column[rows["term"]].to_numpy()] = rows["n"].to_numpy()
+    if not rows.num_rows or not groups.num_rows:
+        return []
+    name, tile, total = (groups.column(c).to_pylist() for c in ("id_", "tile_", "total_"))
+    term = rows.column("term").combine_chunks().dictionary_encode()
+    if isinstance(term, pa.ChunkedArray):
+        term = term.combine_chunks()
+    term = term.indices.to_numpy()
+    count, everywhere, source = (rows.column(c).to_numpy() for c in ("n", "n_lang", "place"))
+    # ids by falling count of the lang: rare terms, which most groups lack, lie together
+    of_lang = np.zeros(int(term.max()) + 1, np.int64)
+    of_lang[term] = everywhere
+    place = np.empty_like(of_lang)
+    place[np.argsort(-of_lang, kind="stable")] = np.arange(len(of_lang))
+    by_name = np.argsort(name)
+    matrix = np.zeros((len(name), len(of_lang)), np.int64)
+    matrix[by_name[np.searchsorted(np.array(name)[by_name], source)], place[term]] = count
     trees = Trees(matrix)
-    tile, total, name = (sources[c].tolist() for c in ("tile", "total", "id"))
-    first, last = min(rows["tile_a"].iloc[0], rows["tile_b"].iloc[0]), max(rows["tile_a"].iloc[0], rows["tile_b"].iloc[0])
+    crossed = rows.column("tile_a")[0] != rows.column("tile_b")[0]
     found = []
-    for x in range(len(sources)):
-        for y in range(x + 1, len(sources)):
-            if first != last and tile[x] == tile[y]:
+    for x in range(len(name)):
+        for y in range(x + 1, len(name)):
+            if crossed and tile[x] == tile[y]:
                 continue                     # such a pair has a task of its own
             a, b, n = trees.meetings(x, y)
             p, q = shares(a, total[x]), shares(b, total[y])
             d = (p - q) * (p - q)
-            found.append((name[x], name[y], int((d // q * n).sum()), len(terms)))
-            found.append((name[y], name[x], int((d // p * n).sum()), len(terms)))
-    return pd.DataFrame(found, columns=["x", "y", "value", "terms"], dtype="int64")
+            found.append((name[x], name[y], int((d // q * n).sum()), len(of_lang)))
+            found.append((name[y], name[x], int((d // p * n).sum()), len(of_lang)))
+    return found
 
 
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
@@ -186,27 +208,22 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     are read whole. Other columns are not looked at. An empty table gives an
     empty result.
     """
-    counts = written(term_counts(docs, lang_col, source_col, text_col), "term-counts")
-    lang_terms = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(
-        F.sum("n").alias("n_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select(
-        "lang", "term", "n_lang")
-    kept = written(counts.where("term IS NOT NULL").select("lang", "source", "term", "n").join(
-        lang_terms, ["lang", "term"]), "kept-terms")
+    counted = written(kept_terms(term_counts(docs, lang_col, source_col, text_col), min_docs), "kept-terms")
+    kept = counted.where("term IS NOT NULL")
 
     # one row per lang, and one per group: totals and places
-    langs = kept.groupBy("lang", "term").agg(F.first("n_lang").alias("n_lang")).groupBy("lang").agg(
-        F.sum("n_lang").alias("n"), F.count(F.lit(1)).alias("v"))
+    langs = kept.groupBy("lang").agg(F.sum("n").alias("n"), F.count_if("is_first").alias("v"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     at = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = written(
-        counts.select("lang", "source").distinct().join(sums, ["lang", "source"], "left")
+        counted.where("term IS NULL").select("lang", "source").distinct().join(sums, ["lang", "source"], "left")
         .join(langs.select("lang", "v", F.col("n").alias("n_lang")), "lang", "left")
         .select("lang", "source", at.cast("long").alias("id"), F.coalesce("v", F.lit(0)).alias("v"),
                 (F.coalesce("n", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("total"),
                 (F.coalesce("n_lang", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("lang_total"))
         .withColumn("tile", F.floor(F.col("id") / tile).cast("long")), "divergence-groups")
 
-    named = kept.join(groups, ["lang", "source"])
+    named = kept.join(small_side(groups, is_written=True), ["lang", "source"])
     p, q = share(F.col("n"), F.col("total")), share(F.col("n_lang"), F.col("lang_total"))
     ranked = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     terms = (named.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q"))
@@ -219,20 +236,25 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     both = lambda t, z: F.transform(F.sequence(F.lit(0).cast("long"), z), lambda o: F.struct(
         F.least(t, o).alias("a"), F.greatest(t, o).alias("b")))
     keys = ["lang", "block", "tile_a", "tile_b"]
-    rows = (named.select("lang", "source", "term", "n", "n_lang", "tile").join(last, "lang")
+    last = small_side(last)
+    rows = (named.select("lang", "id", "term", "n", "n_lang", "tile").join(last, "lang")
             .withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
             .withColumn("t", F.explode(both(F.col("tile"), F.col("last"))))
-            .select("lang", "block", F.col("t.a").alias("tile_a"), F.col("t.b").alias("tile_b"), "source", "term", "n", "n_lang"))
+            .select("lang", "block", F.col("t.a").alias("tile_a"), F.col("t.b").alias("tile_b"), F.col("id").alias("place"), "term", "n", "n_lang"))
     members = (groups.join(last, "lang")
                .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
                .withColumn("t", F.explode(both(F.col("tile"), F.col("last"))))
-               .select("lang", "block", F.col("t.a").alias("tile_a"), F.col("t.b").alias("tile_b"), "source", "id", "tile", "total"))
-    rows, members = written(rows, "block-terms"), written(members, "block-groups")
+               .select("lang", "block", F.col("t.a").alias("tile_a"), F.col("t.b").alias("tile_b"), "id", "tile", "total"))
 
-    def price(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _price_block(left, right).assign(lang=key[0])
+    def price(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _price_block(left, right)
+        lang = pa.array([key[0].as_py()] * len(found), pa.string())
+        return pa.table([lang, *(pa.array([f[i] for f in found], pa.int64()) for i in range(4))],
+                        names=["lang", "x", "y", "value", "terms"])
 
-    parts = rows.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(
+    # both sides come from the same tables: new names keep their columns apart
+    members = members.toDF(*[f"{c}_" for c in members.columns])
+    parts = rows.groupBy(*keys).cogroup(members.groupBy(*[f"{c}_" for c in keys])).applyInArrow(
         price, "lang string, x long, y long, value long, terms long")
     parts = parts.groupBy("lang", "x", "y").agg(F.sum("value").alias("value"), F.sum("terms").alias("terms"))
 
