@@ -285,10 +285,12 @@ def upsert_stored_performance(spark: SparkSession, path: str, sessions: DataFram
     """J4 on the stored table: of all (category, user bucket) folders only
     those that the batch touches are read and written again, all by one job
     that publishes its files when it commits. Nothing stored yet is an empty
-    table. One writer at a time."""
+    table; one stored without buckets is refused. One writer at a time."""
     new_ids = lambda wanted: io.reserve_ids(spark, path, "performance_id", wanted)
     order = (ts, tiebreak, score)
     if io.stored_buckets(spark, path) is None:
+        if io.has_data(spark, path):
+            raise ValueError(f"{path} is stored without user buckets; store it with write_table first")
         first = upsert_performance(None, sessions, list(keys), *order, id_col="performance_id", serial=new_ids)
         io.write_table(first, path, "performance", mode="append", buckets=buckets)
         return

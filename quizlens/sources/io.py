@@ -178,6 +178,11 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     return [n for n in names if not n.startswith(("_", "."))]
 
 
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether the folder holds files or folders of data."""
+    return any(not f.getPath().getName().startswith(("_", ".")) for f in _listed(spark, path))
+
+
 def _files_outside_partitions(spark: SparkSession, path: str) -> bool:
     """Whether the folder holds data files of its own beside its partitions."""
     return any(f.isFile() and not f.getPath().getName().startswith(("_", ".")) for f in _listed(spark, path))

@@ -281,6 +281,15 @@ def test_upsert_leaves_untouched_buckets(spark):
     assert {(r[1], r[2], r[3]) for r in got} == {(r.user_id, r.category, r.smoothed_score) for r in want.collect()}
 
 
+def test_upsert_refuses_a_table_without_buckets(spark):
+    from quizlens.operators import rollup as RU
+    path = scratch_path(spark, "by-category")
+    spark.createDataFrame([(1, 5, 40.0, "hr")], "performance_id bigint, user_id bigint, average_score double, category string") \
+        .write.partitionBy("category").parquet(path)
+    with pytest.raises(ValueError):
+        RU.upsert_stored_performance(spark, path, _performance(spark, [(1, 5, 0, "hr", 50.0)]))
+
+
 def test_lost_serial_falls_back_to_the_stored_ids(spark):
     path = scratch_path(spark, "serial")
     assert IO.reserve_ids(spark, path, "performance_id", 3) == 0
