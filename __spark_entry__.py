@@ -428,11 +428,13 @@ def q_w7_category_rank(spark, sf):
 # --- streaming --------------------------------------------------------------------
 
 def _landed(spark, sf, name, order):
-    return dict(parts_dir=ST.land_out_of_order(spark, sf, name, order))
+    path = ST.land_out_of_order(spark, sf, name, order)
+    return dict(parts_dir=path, max_files=ST.files_of_a_range(spark, path))
 
 
 def q_st1_stream_scores(spark, sf):
-    """ST1-ST4: the whole table arrives in several files, the newest range first."""
+    """ST1-ST4: the whole table arrives in several ranges, the newest first; a micro-batch takes as
+    many files as a range has, so their number does not grow with the table."""
     return ST.stream_vector_scores(spark, sf, **_landed(spark, sf, "embeddings", "vec_id"))
 
 

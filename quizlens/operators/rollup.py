@@ -126,7 +126,7 @@ def _step(s: Column, x: Column) -> Column:
     return py_round1((s + x) / 2.0)
 
 
-def _fold(items: Column) -> Column:
+def fold(items: Column) -> Column:
     """Fold a sorted array<struct<..., x>> from its first element."""
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))),
                        items[0]["x"], lambda s, r: _step(s, r["x"]))
@@ -224,7 +224,7 @@ def smoothed_scores(rows: DataFrame, keys: list[str], ts: str, tiebreak: str, sc
               .agg(F.sort_array(F.collect_list(scored)).alias("_items"), F.sum("_w").alias("_cn"),
                    F.sum(units("x")).alias("_us_sum"), F.count("x").alias("_xn"))
               .select(*keys, "_chunk", "_cn", "_us_sum", "_xn",
-                      F.when(F.size("_items") > 0, _fold(F.col("_items"))).alias("_final"),
+                      F.when(F.size("_items") > 0, fold(F.col("_items"))).alias("_final"),
                       F.when(F.col("_hot") & (F.size("_items") > 0),
                              _transfer(F.col("_items"), F.col("_lo") - 0.1, F.col("_hi") + 0.1)).alias("_g")))
 

@@ -126,6 +126,53 @@ def test_main_output_has_one_row_per_key_across_batches(spark):
     assert main.count() + late.count() <= answers.count()
 
 
+def test_a_range_of_many_files_is_one_micro_batch(spark):
+    """Each range lands as a file per task; the jobs run as many micro-batches
+    as there are ranges and keep the result of the batch form."""
+    import __spark_entry__ as E
+    d = scratch_path(spark, "many-files")
+    spark.read.parquet(_small_events(spark, 1, 480)).repartition(6).write.parquet(f"{d}/events.parquet")
+    landed = E._landed(spark, d, "events", "ts")
+    assert len(spark.read.parquet(landed["parts_dir"]).inputFiles()) > 12
+    answers, sessions = S.answers(spark, d), S.sessions(spark, d)
+    rows, seen = _progress_of(spark, lambda: ST.stream_dedupe(spark, d, **landed).select("answer_id"))
+    assert len(seen) <= 5
+    assert rows == sorted(map(tuple, RU.dedupe_submissions(answers).select("answer_id").collect()), key=repr)
+    rows, seen = _progress_of(spark, lambda: ST.stream_smoothed_scores(spark, d, **landed))
+    assert len(seen) <= 5
+    want = RU.smoothed_scores(sessions, ["user_id", "category"], "interview_date", "id", "overall_score")
+    assert rows == sorted(((r.user_id, r.category, r.smoothed_score, r.n) for r in want.collect()), key=repr)
+
+
+def _two_files(spark, first, second):
+    """Event rows (event_id, user_id, ts, event_type, value, props) as two files."""
+    import time
+    path = scratch_path(spark, "events-two")
+    schema = S.table(spark, SF_SMALL, "events").schema
+    for rows in (first, second):
+        df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts string, event_type string, value double, props string")
+        df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                    for f in schema.fields]).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    return path
+
+
+def test_first_submissions_by_place_over_batches(spark):
+    """Of equal times the null id comes first, as in the batch form; an older
+    one of a later batch comes late; repeats and ties go nowhere; answers
+    without a question are each kept."""
+    t, k = "2024-01-10 10:00:00", '{"k": 1}'
+    path = _two_files(spark, [(5, 1, t, "view", 1.0, k), (None, 1, t, "view", 2.0, k), (7, 2, t, "view", 3.0, k),
+                              (8, 2, t, "view", 4.0, None), (9, 2, t, "view", 5.0, None)],
+                      [(6, 2, "2024-01-10 09:00:00", "view", 6.0, k), (7, 2, t, "view", 9.0, k), (4, 3, t, "view", 7.0, k),
+                       (None, 1, t, "view", 8.0, k), (10, 2, t, "view", 5.0, None)])
+    first, late, main = ST.stream_dedupe(spark, SF_SMALL, parts_dir=path, with_main=True)
+    scores = lambda df: sorted(r.score for r in df.collect())
+    assert scores(main) == [2.0, 3.0, 4.0, 5.0, 5.0, 7.0]
+    assert scores(late) == [6.0]
+    assert scores(first) == [2.0, 4.0, 5.0, 5.0, 6.0, 7.0]
+
+
 def test_a_failed_read_is_not_an_empty_result(spark):
     import pytest
     missing = scratch_path(spark, "nothing")
