@@ -8,8 +8,12 @@ once per answer.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +21,7 @@ from pyspark.sql import types as T
 from quizlens.functions import text as TX
 from quizlens.functions.rounding import py_round1
 from quizlens.functions.vectors import similarity_score
-from quizlens.session import small_side, spread, written
+from quizlens.session import BROADCAST_MAX_BYTES, small_side, spread, table_bytes, written
 
 
 # --- J1 ---------------------------------------------------------------------------
@@ -56,11 +60,22 @@ def hashed_term_vectors(df: DataFrame, tokens_col: str, out: str = "embedding",
                         dim: int = 64) -> DataFrame:
     """V2 default: hashed term counts of a token array, as array<double>. A
     token's place is the number of its md5's first 8 hex digits modulo
-    ``dim``, a rule any engine can repeat. Native, per row, no shuffle."""
-    place = F.transform(tokens_col, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim))
-    counts = [(F.size("_place") - F.size(F.array_remove("_place", F.lit(i).cast("bigint")))).cast("double")
-              for i in range(dim)]
-    return df.withColumn("_place", place).withColumn(out, F.array(*counts)).drop("_place")
+    ``dim``, a rule any engine can repeat. Per row, no shuffle: on Arrow
+    batches, of which each distinct token is hashed once and every token is
+    counted once."""
+    @F.arrow_udf("array<double>")
+    def vectors(tokens: pa.Array) -> pa.Array:
+        n = len(tokens)
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        words = tokens.flatten().dictionary_encode()
+        place = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim if w is not None else 0
+                          for w in words.dictionary.to_pylist()], dtype=np.int64)
+        known = words.indices.is_valid().to_numpy(zero_copy_only=False)
+        index = words.indices.fill_null(0).to_numpy(zero_copy_only=False)[known]
+        counts = np.bincount(row[known] * dim + place[index], minlength=n * dim).astype(np.float64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(counts))
+
+    return df.withColumn(out, vectors(F.col(tokens_col)))
 
 
 def model_embedder(make_predict_fn: Callable, dim: int, batch_size: int = 64):
@@ -74,8 +89,8 @@ def model_embedder(make_predict_fn: Callable, dim: int, batch_size: int = 64):
 
 def embed_texts(df: DataFrame, text_col: str, out: str = "embedding", dim: int = 64,
                 embedder=None) -> DataFrame:
-    """V2: text -> vector for a whole table. Default: clean, tokenise and hash
-    (native); with ``embedder`` (see ``model_embedder``) the model runs on
+    """V2: text -> vector for a whole table. Default: clean, tokenise (native)
+    and hash; with ``embedder`` (see ``model_embedder``) the model runs on
     Arrow batches."""
     if embedder is not None:
         return df.withColumn(out, embedder(F.col(text_col)))
@@ -154,15 +169,29 @@ def text_cosine(pairs: DataFrame, keys: list[str], a_col: str, b_col: str,
 # --- V4 ---------------------------------------------------------------------------
 
 def bank_term_counts(bank: DataFrame, question="question_id", bank_key="id",
-                     ideal_text: str = "ideal_answer") -> tuple[DataFrame, DataFrame]:
+                     ideal_text: str = "ideal_answer", mark: bool = True) -> tuple[DataFrame, DataFrame]:
     """The bank counted once: (question, token, cb) and (question, nb), both
-    written once and marked for broadcast where their measured bytes allow it;
-    every later batch reads them as they are."""
+    written once and, unless ``mark`` is false, marked for broadcast where
+    their measured bytes allow it; every later batch reads them as they are."""
     q = _keys(question)
     b = bank.select(*[F.col(k).alias(n) for k, n in zip(_keys(bank_key), q)], F.col(ideal_text).alias("_ideal"))
     counts = written(_term_counts(b, q, "_ideal", "cb"), "bank-counts")
     norms = written(counts.groupBy(*q).agg(F.sum(F.col("cb") * F.col("cb")).alias("nb")), "bank-norms")
-    return small_side(counts, is_written=True), small_side(norms, is_written=True)
+    return tuple(small_side(x, is_written=True) for x in (counts, norms)) if mark else (counts, norms)
+
+
+def bank_for(answers: DataFrame, counts: DataFrame, norms: DataFrame, question="question_id") -> tuple[DataFrame, DataFrame]:
+    """The counted bank as a batch of answers needs it: a side that is too
+    large to be broadcast is first cut to the batch's questions (told by the
+    first part of their key), whose ids are broadcast where their measured
+    bytes allow it, so that a batch does not shuffle the whole bank."""
+    q = _keys(question)[0]
+    if table_bytes(counts) <= BROADCAST_MAX_BYTES:
+        return F.broadcast(counts), F.broadcast(norms)
+    asked = written(answers.select(q).distinct(), "asked")
+    if table_bytes(asked) > BROADCAST_MAX_BYTES:
+        return counts, norms
+    return tuple(x.join(F.broadcast(asked), q, "left_semi") for x in (counts, norms))
 
 
 def score_against_counts(answers: DataFrame, bank_counts: DataFrame, bank_norm: DataFrame,

@@ -347,3 +347,20 @@ def test_a_session_without_question_ids_is_reported_whole(spark):
         "slice(breakdown_scores, 1, 3) AS head").first()
     first = sorted(range(n), key=lambda i: (i * 7919) % n)[:3]
     assert (r.total_questions, r.category, r.n, r["last"], r.head) == (n, "hr", n, n, [float(i % 101) for i in first])
+
+
+def test_hashed_vectors_count_each_token_in_one_expression(spark):
+    """One pass over the tokens, not one per place; null lists and tokens count nothing."""
+    import hashlib
+    from quizlens.operators import score as SC
+    lists = [["a", "b", "a"], [], None, ["x", None, "\u00e9"], ["a"]]
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, t array<string>").repartition(2)
+    out = SC.hashed_term_vectors(df, "t", dim=8)
+    want = {}
+    for k, ts in enumerate(lists):
+        want[k] = [0.0] * 8
+        for w in ts or []:
+            if w is not None:
+                want[k][int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8] += 1.0
+    assert {r.k: r.embedding for r in out.collect()} == want
+    assert "array_remove" not in out._jdf.queryExecution().optimizedPlan().toString()
