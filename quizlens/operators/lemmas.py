@@ -50,7 +50,7 @@ def lemma_dictionary(tokens: DataFrame, lemmas: DataFrame | None = None,
 
 def lemmatize_rows(df: DataFrame, key: str, tokens_col: str, out: str,
                    lemmas: DataFrame | None = None, lexicon: DataFrame | str | None = None,
-                   is_written: bool = False) -> DataFrame:
+                   is_written: bool = False, carried: list[str] | None = None, again=None) -> DataFrame:
     """(key, out): the lemmas of ``tokens_col`` in order for every row of df
     (``key`` must be unique). ``lexicon='corpus'`` takes the tokens of df
     themselves as the lexicon.
@@ -59,9 +59,13 @@ def lemmatize_rows(df: DataFrame, key: str, tokens_col: str, out: str,
     lexicon, the dictionary, the changes and the rows read them, each only its
     columns. Of a row only the distinct tokens that change are joined and
     collected, into a map; the row's list is then mapped in place, so the
-    other tokens never cross the network by themselves.
+    other tokens never cross the network by themselves. With ``carried``, the
+    result also has these columns of df, and the token lists do not cross the
+    network at all: ``again(rows)`` adds them to the rows anew, by the carried
+    columns, after the join.
     """
-    base = df.select(key, tokens_col) if is_written else written(spread(df.select(key, tokens_col)), "tokens")
+    rows = df.select(key, tokens_col, *(carried or []))
+    base = rows if is_written else written(spread(rows), "tokens")
     tokens = base.select(F.explode(tokens_col).alias("token"))
     d = lemma_dictionary(tokens, lemmas, lexicon)
     changes = written(d.where(F.col("lemma") != F.col("token")), "changes")
@@ -69,8 +73,10 @@ def lemmatize_rows(df: DataFrame, key: str, tokens_col: str, out: str,
     maps = own.join(small_side(changes, is_written=True), "token").groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_m"))
     mapped = F.transform(tokens_col, lambda t: F.coalesce(F.element_at("_m", t), t))
-    return base.join(maps, key, "left").select(
-        key, F.when(F.col("_m").isNull(), F.col(tokens_col)).otherwise(mapped).alias(out))
+    lemmatized = F.when(F.col("_m").isNull(), F.col(tokens_col)).otherwise(mapped)
+    if carried is None:
+        return base.join(maps, key, "left").select(key, lemmatized.alias(out))
+    return again(base.drop(tokens_col).join(maps, key, "left")).withColumn(out, lemmatized).drop("_m")
 
 
 def remove_stop_words_table(df: DataFrame, key: str, tokens_col: str, out: str,

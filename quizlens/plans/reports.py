@@ -223,17 +223,22 @@ def clean_question_set(qs: DataFrame, text_col: str = "ideal_answer",
     (T4: the lemma table, then the noun suffix rules checked against a
     lexicon, by default the tokens of the set itself), final text.
 
-    The rows up to the filtered tokens are one narrow native stage, written
-    once under a row number; the dictionary and the lemmas read them back."""
-    rows = (spread(qs).withColumn("clean_answer", TX.clean_text(text_col))
-            .withColumn("tokens", TX.tokenize("clean_answer"))
-            .withColumn("filtered_tokens", TX.remove_stop_words("tokens", stop_words))
-            .withColumn("_row", F.monotonically_increasing_id()))
-    rows = written(rows, "cleaned")
+    The rows and their filtered tokens are one narrow native stage, written
+    once under a row number, which the dictionary reads back. Only the rows as
+    given are joined to their lemmas; what follows from a row's text alone is
+    taken from it again after the join, so that no text crosses the network
+    or is written in several forms."""
+    def cleaned(rows: DataFrame) -> DataFrame:
+        return (rows.withColumn("clean_answer", TX.clean_text(text_col))
+                .withColumn("tokens", TX.tokenize("clean_answer"))
+                .withColumn("filtered_tokens", TX.remove_stop_words("tokens", stop_words)))
+
+    rows = cleaned(spread(qs)).withColumn("_row", F.monotonically_increasing_id())
+    rows = written(rows.select(*qs.columns, "filtered_tokens", "_row"), "cleaned")
     table = irregular_lemmas(qs.sparkSession) if lemmas is None else lemmas
     found = LM.lemmatize_rows(rows, "_row", "filtered_tokens", "lemmatized", lemmas=table, lexicon=lexicon,
-                              is_written=True)
-    return rows.join(found, "_row").withColumn("final_text", TX.join_tokens("lemmatized")).drop("_row")
+                              is_written=True, carried=qs.columns, again=cleaned)
+    return found.withColumn("final_text", TX.join_tokens("lemmatized")).drop("_row")
 
 
 # --- R4 -------------------------------------------------------------------------

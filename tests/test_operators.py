@@ -364,3 +364,28 @@ def test_hashed_vectors_count_each_token_in_one_expression(spark):
                 want[k][int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8] += 1.0
     assert {r.k: r.embedding for r in out.collect()} == want
     assert "array_remove" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_large_bank_is_cut_to_the_questions_of_a_batch(spark, monkeypatch):
+    from quizlens.operators import score as SC
+    bank = spark.createDataFrame([(i, f"word{i} and some more of it") for i in range(200)], "id int, ideal_answer string")
+    answers = spark.createDataFrame([(1, 3, "word3 and more"), (2, 999, "word3")], "answer_id int, question_id int, user_answer string")
+    counts, norms = SC.bank_term_counts(bank, mark=False)
+    want = sorted(map(tuple, SC.score_answers(answers, bank).collect()))
+    monkeypatch.setattr(SC, "BROADCAST_MAX_BYTES", 1000)
+    own, own_norms = SC.bank_for(answers, counts, norms)
+    assert {r.question_id for r in own.collect()} == {r.question_id for r in own_norms.collect()} == {3}
+    assert sorted(map(tuple, SC.score_against_counts(answers, own, own_norms).collect())) == want
+
+
+def test_cleaning_shuffles_no_token_lists(spark):
+    import re
+    from quizlens.plans import reports as RP
+    qs = spark.createDataFrame([(1, "Wolves and a wolf, the children"), (2, None), (3, "")], "id int, ideal_answer string")
+    out = RP.clean_question_set(qs)
+    assert out.columns == ["id", "ideal_answer", "clean_answer", "tokens", "filtered_tokens", "lemmatized", "final_text"]
+    rows = {r.id: r for r in out.collect()}
+    assert rows[1].final_text == "wolf wolf child" and rows[2].final_text == rows[3].final_text == ""
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[plan.index("Join LeftOuter"):].splitlines()[1]
+    assert re.search(r"Project \[_row#\d+L?, id#\d+L?, ideal_answer#\d+\]$", left)
