@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlens.llm.common import chunks, text_bytes, written
@@ -395,13 +395,18 @@ def needing(hot: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def hub_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): every member that needs a hot signature with its hubs, a few
-    members that need it too."""
+    """(a, b): every member that needs hot signatures with its hubs. Hubs of
+    a hot signature are a few members that need it too; of all that a member
+    meets in its signatures, it takes the ``HUBS`` it shares most of them
+    with. So a member has ``HUBS`` pairs at most of its own, however many hot
+    signatures it has; what they do not link is compared in blocks."""
     m = members.where("needs").select("sig", "tag")
     low = [F.min(F.struct(F.xxhash64("tag", F.lit(j)).alias("h"), "tag")).alias(f"hub{j}") for j in range(HUBS)]
     hubs = m.groupBy("sig").agg(*low).select(
         "sig", F.explode(F.array_distinct(F.array(*[F.col(f"hub{j}.tag") for j in range(HUBS)]))).alias("hub"))
-    return m.join(hubs, "sig").where("hub != tag").select(
+    met = m.join(hubs, "sig").where("hub != tag").groupBy("tag", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    most = Window.partitionBy("tag").orderBy(F.desc("shared"), F.xxhash64("hub"), "hub")
+    return met.withColumn("place", F.row_number().over(most)).where(F.col("place") <= HUBS).select(
         F.least("hub", "tag").alias("a"), F.greatest("hub", "tag").alias("b")).distinct()
 
 

@@ -165,3 +165,20 @@ def test_more_hub_rounds_and_blocks_lose_no_link(frame, monkeypatch):
         rows.append((i, " ".join(w)))
     got = J.near_duplicates(frame(rows, "doc_id long, text string", 4)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_hubs_of_a_member_do_not_grow_with_its_signatures(frame):
+    """Members of many hot groups that overlap: each has its hubs, those it
+    shares most groups with, and the pairs stay within HUBS a member."""
+    rnd = random.Random(13)
+    groups = {sig: rnd.sample(range(60), 40) for sig in range(50)}
+    rows = [(sig, tag, True) for sig, tags in groups.items() for tag in tags]
+    rows += [(sig, 100 + sig, False) for sig in groups]                # others need them, these do not
+    got = J.hub_pairs(frame(rows, "sig long, tag long, needs boolean", 4)).collect()
+    pairs = {(r.a, r.b) for r in got}
+    assert len(pairs) == len(got) <= J.HUBS * 60
+    assert {x for p in pairs for x in p} == set(range(60))
+    assert all(a < b and any(a in g and b in g for g in groups.values()) for a, b in pairs)
+    near = frame([*((s, t, True) for s in range(9) for t in (1, 2)), (9, 1, True), *((9, t, True) for t in range(3, 40))],
+                 "sig long, tag long, needs boolean", 4)
+    assert (1, 2) in {(r.a, r.b) for r in J.hub_pairs(near).collect()}
